@@ -6,8 +6,8 @@ _OP3 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
 ), w AS (
-  SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), x -> x <> '') AS ws,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ls, text
+  SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ls, text
   FROM d
 ), g AS (
   SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
