@@ -16,6 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie; the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a new
     local one only where the session names none, as in tests."""

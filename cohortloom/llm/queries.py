@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .byte_bpe import encode_decode
+from .common import read, tokenizer_file
+from .packing import pack
 from .quality_rules import host_quality
 
 
@@ -14,6 +17,18 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(read(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return done.select(
+        "doc_id", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
