@@ -11,6 +11,8 @@ from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
 from .packing import pack
 from .quality_rules import host_quality
+from .surrogates import replace_entities
+from .toxicity import toxicity
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+#: Stands for a secret that a deployment keeps elsewhere.
+SURROGATE_KEY = b"a key for tests"
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = replace_entities(docs, SURROGATE_KEY)
+    listed = F.transform("entities", lambda e: F.struct(e["type"].alias("type"), e["start"].alias("start"), e["stop"].alias("stop"), e["surrogate"].alias("surrogate")))
+    return done.select("doc_id", F.size("entities").alias("n_entities"), listed.alias("entities"), "text")
+
+
 def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
