@@ -11,10 +11,15 @@ from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
 from .packing import pack
 from .quality_rules import host_quality
+from .sharding import shard_documents, text_hub
 from .surrogates import replace_entities
 from .toxicity import toxicity
 
 
+def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"), text_hub())
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(read(spark, sf_dir, "documents"))
 
