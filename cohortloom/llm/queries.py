@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
+from .jaccard import near_duplicates
 from .packing import pack
 from .quality_rules import host_quality
 from .sharding import shard_documents, text_hub
@@ -51,6 +52,10 @@ def op9_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
