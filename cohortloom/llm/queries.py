@@ -13,6 +13,7 @@ from .jaccard import near_duplicates
 from .packing import pack
 from .quality_rules import host_quality
 from .sharding import shard_documents, text_hub
+from .suffix_dedup import remove_repeats
 from .surrogates import replace_entities
 from .toxicity import toxicity
 
@@ -33,6 +34,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
