@@ -251,7 +251,7 @@ def pack(
     places = spark.createDataFrame(
         _places(plan), "_length long, _from long, _to long, _sequence long, _each long, _offset long"
     )
-    wide = max(1, total // 50_000)
+    wide = max(1, total // 5_000)
     ranked = numbered(
         slim,
         ["length"],

@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, hub: Column, shards: int = 40, rounds: int
         "slim",
     )
     total = slim.count()
-    wide = max(1, total // 50_000)
+    wide = max(1, total // 5_000)
     common = slim.where("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub")
     linked = slim.select("row", "hub").join(common, "hub", "left_semi")
     state = propagate(linked, shards, max(1, total // shards), rounds)

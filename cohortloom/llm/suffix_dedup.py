@@ -303,8 +303,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``."""
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, and ``kept``, ``n_bytes``, ``n_removed``, ``n_spans``.
+
+    ``kept`` is binary, or with ``as_text`` a string without characters cut in two.
+    """
     hashed = docs.withColumn("_t", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     spans = repeated_spans(hashed.select(F.col("_t").alias("t"), F.col(text_col).alias("text")), length)
     listed = spans.distinct().groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
@@ -329,10 +332,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                rows.append((rest, len(data), len(data) - len(rest), len(merged)))
+                rows.append((rest.decode(errors="ignore") if as_text else rest, len(data), len(data) - len(rest), len(merged)))
             a, b, c, d = zip(*rows) if rows else ((), (), (), ())
-            new = [pa.array(a, pa.binary()), *(pa.array(x, pa.int64()) for x in (b, c, d))]
+            new = [pa.array(a, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (b, c, d))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(schema)], *new], names=[*schema.names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     ordered = joined.select(*schema.names, "_spans")
-    return ordered.mapInArrow(cut, f"{', '.join(names)}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return ordered.mapInArrow(cut, f"{', '.join(names)}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
