@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
+from .hidden_markov import score_texts
 from .jaccard import near_duplicates
 from .packing import pack
 from .quality_rules import host_quality
@@ -39,6 +40,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op7_clause_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
