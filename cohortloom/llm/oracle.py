@@ -67,4 +67,24 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = w.doc_id
 """
 
-SQL = {"op10_jaccard_join": _OP10, "op3_host_quality": _OP3}
+_OP2 = r"""
+WITH w AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS t
+  FROM documents
+), tf AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY doc_id, t
+), dl AS (SELECT doc_id, sum(n) AS len FROM tf GROUP BY doc_id
+), st AS (SELECT count(*) AS nd, (SELECT sum(len) FROM dl) / count(*) AS avg_len FROM documents
+), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t
+), s AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(q.n * ln(1 + (nd - df + 0.5) / (df + 0.5)) * d.n * 2.2
+                   / (d.n + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+  FROM tf q JOIN tf d USING (t) JOIN df USING (t) JOIN dl ON dl.doc_id = d.doc_id, st
+  WHERE q.doc_id % 100 = 0 GROUP BY 1, 2
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+SQL = {"op2_block_max_wand": _OP2, "op10_jaccard_join": _OP10, "op3_host_quality": _OP3}

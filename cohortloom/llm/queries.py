@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25 import top_k
 from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
 from .hidden_markov import score_texts
@@ -23,6 +24,11 @@ def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), text_hub())
 
 
+def op2_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(read(spark, sf_dir, "documents"))
 
