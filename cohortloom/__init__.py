@@ -1,0 +1 @@
+"""A Spark-native engine for feature x sample count matrices."""
