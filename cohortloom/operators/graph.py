@@ -154,16 +154,17 @@ def assemble(nodes: DataFrame, edges: DataFrame, parts: DataFrame, k: int, thres
     ``nodes`` (kmer, score). Trimming and walking depend on order, so they run in Python,
     component by component.
     """
-    rows = parts.join(nodes, "kmer").select("component", "kmer", "score")
-    links = edges.join(parts.withColumnRenamed("kmer", "src"), "src").select("component", "src", "dst", "shift")
+    rows = parts.join(nodes, "kmer").select(F.col("component").alias("part"), "kmer", "score")
+    of_src = parts.select(F.col("kmer").alias("src"), F.col("component").alias("of"))
+    links = edges.join(of_src, "src").select("of", "src", "dst", "shift")
 
     def walk(key: tuple, own: pd.DataFrame, between: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame(columns=["component", "sequence", "best_kmer", "best_score", "n_nodes"])
-        found = [(own["component"].iloc[0], *x) for x in assembled(own, between, threshold) if len(x[0]) > k + 3]
+        found = [(own["part"].iloc[0], *x) for x in assembled(own, between, threshold) if len(x[0]) > k + 3]
         return pd.DataFrame(found, columns=["component", "sequence", "best_kmer", "best_score", "n_nodes"])
 
-    return rows.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(
+    return rows.groupBy("part").cogroup(links.groupBy("of")).applyInPandas(
         walk, "component string, sequence string, best_kmer string, best_score double, n_nodes long"
     )
 

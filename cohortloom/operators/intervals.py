@@ -46,7 +46,7 @@ def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFr
     pairs = overlap_join(features, reads, width=width)
     clipped = pairs.select("a_id", "a_start", "a_end", F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
     united = merged(clipped, ["a_id", "a_start", "a_end"])
-    covered = F.sum(F.col("end") - F.col("start")) * 10000 / (F.col("a_end") - F.col("a_start"))
+    covered = F.try_divide(F.sum(F.col("end") - F.col("start")) * 10000, F.col("a_end") - F.col("a_start"))
     return united.groupBy("a_id", "a_start", "a_end").agg((F.floor(covered) / 100.0).alias("coverage")).select("a_id", "coverage")
 
 

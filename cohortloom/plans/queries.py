@@ -430,7 +430,7 @@ def component_best(s: SparkSession, d: str) -> DataFrame:
 @query()
 def assemble_sequences(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
-    return graph.assemble(_nodes(s, d), edges, parts, 9, 10.0)
+    return graph.assemble(_nodes(s, d), edges, parts, 9, 2.0)
 
 
 INTERVAL_SQL = "WITH " + T.SQL_INTERVALS
@@ -460,7 +460,7 @@ def interval_union(s: SparkSession, d: str) -> DataFrame:
 ), w AS (SELECT *, max("end") OVER (PARTITION BY a_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o
 ), i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY a_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM w
 ), u AS (SELECT a_id, s0, e0, min(start) AS start, max("end") AS "end" FROM i GROUP BY a_id, s0, e0, island)
-SELECT a_id, floor(sum("end" - start) * 10000 / (e0 - s0)) / 100.0 AS coverage FROM u GROUP BY a_id, s0, e0""")
+SELECT a_id, floor(sum("end" - start) * 10000 / nullif(e0 - s0, 0)) / 100.0 AS coverage FROM u GROUP BY a_id, s0, e0""")
 def interval_coverage(s: SparkSession, d: str) -> DataFrame:
     return intervals.coverage(T.intervals_a(s, d), T.intervals_b(s, d))
 
