@@ -244,6 +244,7 @@ def second_tries(docs: DataFrame, key: bytes, text_col: str, rounds: int = 12) -
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text_col`` rewritten, and ``entities``."""
     tries = second_tries(docs, key, text_col)
+    retried = tries is not None
     schema = docs.schema
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     where = schema.names.index(text_col)
@@ -252,7 +253,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
         kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
         for batch in batches:
             texts = batch.column(where).to_pylist()
-            again = batch.column(len(schema)).to_pylist() if tries is not None else [None] * len(texts)
+            again = batch.column(len(schema)).to_pylist() if retried else [None] * len(texts)
             done = [
                 (None, []) if t is None else replaced(t, key, {(x["type"], x["value"]): x["attempt"] for x in a or []})
                 for t, a in zip(texts, again)
@@ -262,7 +263,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], names=[*schema.names, "entities"])
 
     out = f"{', '.join(names)}, entities {FIELDS}"
-    if tries is None:
+    if not retried:
         return docs.mapInArrow(rewrite, out)
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
