@@ -48,6 +48,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results have been saved: its
+    cleaner acts when the driver collects garbage, which may be long after."""
+    spark._jvm.System.gc()
+
+
 def discard(*saved: DataFrame) -> None:
     """Delete what ``save`` wrote, once nothing reads it any more."""
     for df in saved:

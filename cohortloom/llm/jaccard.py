@@ -8,9 +8,11 @@ filter at its first common n-gram and, when its sets are at hand, the suffix fil
 before its intersection is counted, once.
 
 What is asked for are components, so a pair inside one component need not be looked at.
-Rounds link every class to one centre per n-gram, which joins large groups of near copies
-in a number of pairs that follows their size; a last exact round takes all pairs that
-still lie in different components. No link between components is lost.
+Rounds link every class to one centre per n-gram, the class with the fewest n-grams of its
+own, which joins large groups of near copies in a number of pairs that follows their size;
+a last exact round takes all pairs that still lie in different components. In large groups
+a pair must also have enough n-grams that any other member has, counted exactly, so that
+copies too far off for any link are not compared. No link between components is lost.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated
 rows share their class. Texts of any length are read whole. Ties cannot arise: similarity
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_rows, save
+from .common import has_rows, release, save
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -164,30 +166,60 @@ def _prefixes(docs: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFra
 
 
 def _fits(percent: int, a: str = "", b: str = "c_"):
-    """Length and positional filters for a pair, from one common prefix n-gram."""
+    """Length, positional and shared-count filters for a pair, from one common prefix
+    n-gram."""
     na, nb, pa_, pb = F.col(a + "n"), F.col(b + "n"), F.col(a + "pos"), F.col(b + "pos")
     length = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     reach = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return length & ((100 + percent) * reach >= percent * (na + nb))
+    most = F.least(reach, F.col(a + "shared"), F.col(b + "shared"))
+    return length & ((100 + percent) * most >= percent * (na + nb))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """The pairs of classes (a, b) that are similar. ``firsts``: (class, doc_id) to read."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    rows = firsts.join(wanted, "class")
+def _sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
+    """(class, items): the sets of the wanted classes, from one document each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n, seed)
         for batch in batches:
-            made = [make.shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([make.class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
-                names=["class", "items"],
-            )
+            for at in range(0, batch.num_rows, 300):
+                made = [make.shingles(t) for t in batch.column(0).slice(at, 300).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([make.class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
+                    names=["class", "items"],
+                )
 
     # A repeated id may bring rows of other classes along; the class is worked out anew.
-    texts = docs.select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi")
-    items = save(texts.select("text").mapInArrow(sets, "class long, items binary").dropDuplicates(["class"]), "sets")
+    ids = firsts.join(wanted, "class", "left_semi").select("doc_id")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return texts.select("text").mapInArrow(sets, "class long, items binary").dropDuplicates(["class"])
+
+
+def _shared_counts(rows: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """(class, shared): how many of a class's n-grams another class of a large group has.
+
+    Only these can be common to two members of large groups, whose pairs would be many.
+    """
+    large = rows.groupBy("shingle").count().where(F.col("count") > least).select("shingle")
+    hot = rows.join(large, "shingle", "left_semi").select("class").distinct()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 300):
+                part = batch.slice(at, 300)
+                sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                classes = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(classes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["class", "g"]
+                )
+
+    same = Window.partitionBy("g")
+    each = items.join(hot, "class", "left_semi").select("class", "items").mapInArrow(listed, "class long, g long")
+    shared = each.withColumn("lo", F.min("class").over(same)).withColumn("hi", F.max("class").over(same))
+    return shared.groupBy("class").agg(F.count_if(F.col("lo") != F.col("hi")).cast("int").alias("shared"))
+
+
+def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for pairs of classes: the suffix filter, then their intersection."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,11 +232,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, perc
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, large: int = 16) -> DataFrame:
     """n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
-    ``rounds`` of links to centres come before the exact round; they change only the work.
+    ``rounds`` of links to centres come before the exact round, and groups of more than
+    ``large`` classes get the shared-count filter; both change only the work.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     for seed in range(16):  # another seed if two different sets should get one class
         members, prefixes = _prefixes(docs, n, percent, seed)
@@ -216,6 +250,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
     group = Window.partitionBy("shingle")
     met = prefixes.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group))
     rows = save(met.where("lo <> hi").select("shingle", "class", "n", "pos").dropDuplicates(["shingle", "class"]), "met")
+    release(spark)
+    items = save(_sets(docs, firsts, rows.select("class").distinct(), n, seed), "sets")
+    shared = _shared_counts(rows, items, large)
+    rows = save(rows.join(shared, "class", "left").withColumn("shared", F.coalesce("shared", "n")), "met")
+    release(spark)
     checked, roots = None, None
     for turn in range(rounds + 1):
         now = rows.withColumn("root", F.col("class"))
@@ -224,10 +263,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
             now = now.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi")
         if turn < rounds:
             centre = now.groupBy("shingle").agg(
-                F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "root")).alias("c")
-            ).select("shingle", *[F.col("c")[k].alias(f"c_{k}") for k in ("class", "n", "pos", "root")])
+                F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "shared", "root")).alias("c")
+            ).select("shingle", *[F.col("c")[k].alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
         else:
-            centre = now.select("shingle", *[F.col(k).alias(f"c_{k}") for k in ("class", "n", "pos", "root")])
+            centre = now.select("shingle", *[F.col(k).alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
         found = now.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & _fits(percent))
         if turn == rounds:
             found = found.where("class < c_class")
@@ -239,7 +278,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
             if turn < rounds:
                 continue
             break
-        new = save(_verified(pairs, docs, firsts, n, percent, seed), "checked")
+        new = save(_verified(pairs, items, percent), "checked")
         checked = new if checked is None else checked.unionByName(new)
         roots = save(components(checked.where("linked").select("a", "b")), "roots")
     labelled = classes.withColumn("root", F.col("class"))

@@ -207,6 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dic
     )
     rows = known.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "toxic")
 
+    def rows_of(stems: list[str], n: list[int], ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(n, pa.int64()), ids], names=["stem", "n", "doc"])
+
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
         for batch in batches:
@@ -219,11 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dic
                     ids += [i] * len(own)
                 else:
                     clean.update(own)
-            yield pa.RecordBatch.from_pydict({"stem": stems, "n": [0] * len(ids), "doc": pa.array(ids, pa.int64())})
+            yield rows_of(stems, [0] * len(ids), pa.array(ids, pa.int64()))
         keys = list(clean)
-        yield pa.RecordBatch.from_pydict(
-            {"stem": keys, "n": [clean[k] for k in keys], "doc": pa.nulls(len(keys), pa.int64())}
-        )
+        yield rows_of(keys, [clean[k] for k in keys], pa.nulls(len(keys), pa.int64()))
 
     found = (
         rows.select(F.col("doc_id").cast("long"), "text", "toxic")
