@@ -111,7 +111,7 @@ def grammar() -> Transducer:
 class Scorer:
     """Features of a text: what the grammar emits, weighted by the stems that matched."""
 
-    NAMES = ("plain", "aimed", "negated", "reported", "threat", "most", "clauses")
+    NAMES = ("plain", "aimed", "negated", "reported", "threat", "most", "clauses", "distinct", "density")
 
     def __init__(self, stems: dict[str, float]):
         self.stems, self.machine = stems, grammar()
@@ -127,7 +127,7 @@ class Scorer:
         text = text.lower()
         if self.find is None or not self.find.search(text):
             return list(out.values())  # threats count beside insults only
-        step, index = self.machine.step, self.NAMES
+        step, seen = self.machine.step, {}
         at = 0
         while hit := self.find.search(text, at):
             start = max(text.rfind(c, 0, hit.start()) for c in ".!?;\n") + 1
@@ -144,6 +144,9 @@ class Scorer:
                     name = "negated" if "n" in mark else "reported" if "r" in mark else "aimed" if "t" in mark else "plain"
                     out[name] += weight
                     out["most"] = max(out["most"], weight)
+                    seen[word] = weight
+        out["distinct"] = sum(seen.values())
+        out["density"] = 600 * out["distinct"] / max(300, len(text))  # over a hundred words or so
         return [min(v, 40.0) for v in out.values()]
 
 
@@ -164,12 +167,13 @@ def choose_stems(found: list[tuple[str, int, list[int]]], toxic: int, clean: int
         if gain[best] < least:
             break
         c, docs = left[best]
+        # Extensions add nothing, nor does a beginning that stands in hardly more texts.
         out[best] = math.log((len(docs) + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         for d in docs:
             share[d] /= 2
         left = {
             s: x for s, x in left.items()
-            if gain[s] >= least and not s.startswith(best) and not best.startswith(s)
+            if gain[s] >= least and not s.startswith(best) and not (best.startswith(s) and 2 * len(x[1]) < 3 * len(docs))
         }
     return out
 
