@@ -7,7 +7,7 @@ what a document of a block could reach at most; as in WAND, blocks whose bound l
 the k-th best score so far are never opened. Collection size, average length and document
 frequencies are those of all documents, so the shards' scores merge exactly.
 
-Queries go to the shards in blocks. Scores are compared after rounding to six decimals,
+Queries stream past every shard's index. Scores are compared after rounding to six decimals,
 ties by the smaller id. Null and empty texts match nothing and, as queries, find nothing;
 repeated rows are found as often as they are there. Whole texts are indexed and queried.
 """
@@ -141,7 +141,7 @@ def build_indexes(docs: DataFrame, shard_docs: int) -> DataFrame:
     )
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 8192, query_block: int = 256) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 8192) -> DataFrame:
     """(query_id, rank, doc_id, score): for every row of ``queries`` the k best of ``docs``.
 
     Both have ``doc_id`` and ``text``.
@@ -178,35 +178,36 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 81
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(counts.where("what = 0").select("h", "df"), "h").select("query_id", "h", (F.col("n") * idf).alias("w"))
     each = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("terms"))
-    blocks = max(1, -(-queries.count() // query_block))
     shards = [r[0] for r in index.select("shard").collect()]  # one number a shard
-    blocked = each.withColumn("block", spread(blocks, "query_id"))
-    sent = blocked.withColumn("shard", F.explode(F.array(*map(F.lit, shards)))) if shards else blocked.withColumn("shard", F.lit(0))
-    batches = sent.groupBy("shard", "block").agg(F.collect_list(F.struct("query_id", "terms")).alias("queries"))
+    if not shards:
+        return each.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    # A shard's index comes first, then the queries: it is read once, and they pass by.
+    columns = ["ids", "lengths", "terms", "starts", "docs", "times"]
+    indexes = index.select("shard", F.lit(0).alias("kind"), *[F.col(c).alias("i_" + c) for c in columns])
+    sent = each.select(F.explode(F.array(*map(F.lit, shards))).alias("shard"), F.lit(1).alias("kind"), "query_id", "terms")
+    both = indexes.unionByName(sent, allowMissingColumns=True).repartition(len(shards), "shard").sortWithinPartitions("shard", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, made = None, None
+        made = None
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                shard = row.column(0)[0].as_py()
-                if shard != last:
-                    arrays = [np.frombuffer(row.column(i)[0].as_py(), d) for i, d in zip(range(2, 7), (np.int64, np.int64, np.int64, np.int32, np.int32))]
-                    made, last = Index(row.column(1)[0].as_py(), *arrays, mean_length), shard
-                out = []
-                for q in row.column(7)[0].as_py():
-                    h = np.array([x["h"] for x in q["terms"]], np.int64)
-                    w = np.array([x["w"] for x in q["terms"]])
-                    out += [(q["query_id"], made.ids[d], s) for d, s in made.search(h, w, k)]
-                columns = list(zip(*out)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], query_arrow), pa.array(columns[1], doc_arrow), pa.array(columns[2], pa.float64())],
-                    names=["query_id", "doc_id", "score"],
-                )
+            of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            kinds, out = of["kind"].to_pylist(), []
+            for at, is_query in enumerate(kinds):
+                if not is_query:
+                    raw = [np.frombuffer(of["i_" + c][at].as_py(), d) for c, d in zip(columns[1:], (np.int64, np.int64, np.int64, np.int32, np.int32))]
+                    made = Index(of["i_ids"][at].as_py(), *raw, mean_length)
+                    continue
+                terms = of["terms"][at].values
+                h, w = terms.field("h").to_numpy(), terms.field("w").to_numpy()
+                out += [(of["query_id"][at].as_py(), made.ids[d], s) for d, s in made.search(h, w, k)]
+            found = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[0], query_arrow), pa.array(found[1], doc_arrow), pa.array(found[2], pa.float64())],
+                names=["query_id", "doc_id", "score"],
+            )
 
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     query_arrow, doc_arrow = arrow[query_kind], arrow[kind]
-    columns = ["shard", "ids", "lengths", "terms", "starts", "docs", "times", "queries"]
-    found = index.join(batches, "shard").select(*columns).mapInArrow(search, f"query_id {query_kind}, doc_id {kind}, score double")
+    found = both.mapInArrow(search, f"query_id {query_kind}, doc_id {kind}, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
