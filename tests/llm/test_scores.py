@@ -75,7 +75,7 @@ def test_search_against_brute_force(spark):
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(300, None, "s"), (301, texts[5], "s")]
     docs = docs_of(spark, rows)
     got = {}
-    for r in top_k(docs, docs.where("doc_id % 25 = 0"), 5, shard_docs=50, query_block=3).collect():
+    for r in top_k(docs, docs.where("doc_id % 25 = 0"), 5, shard_docs=50).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     bags = [(i, (t or "").split()) for i, t, _ in rows]
     mean = sum(len(b) for _, b in bags) / len(bags)
