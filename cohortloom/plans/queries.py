@@ -405,24 +405,36 @@ def _typed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edges, graph.components(edges)
 
 
-@query()
+COMPONENT_SQL = EDGE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e
+), walk AS (SELECT a, a AS b FROM u UNION SELECT walk.a, u.b FROM walk JOIN u ON walk.b = u.a
+), comp AS (SELECT a AS kmer, min(b) AS component FROM walk GROUP BY a
+), deg AS (SELECT kmer, sum(o) AS o, sum(i) AS i FROM (SELECT src AS kmer, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY kmer
+), typed AS (
+  SELECT component, count(*) AS n_nodes, CASE WHEN max(greatest(o, i)) > 1 THEN 'complex' ELSE 'linear' END
+         || CASE WHEN min(i) > 0 THEN '_circular' ELSE '' END AS graph_type
+  FROM comp JOIN deg USING (kmer) GROUP BY component
+)
+"""
+
+
+@query(COMPONENT_SQL + "SELECT component, count(*) AS n_nodes FROM comp GROUP BY component")
 def component_sizes(s: SparkSession, d: str) -> DataFrame:
     return _typed(s, d)[1].groupBy("component").agg(F.count("*").alias("n_nodes"))
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT component, n_nodes, graph_type FROM typed")
 def component_type(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.component_types(parts, edges)
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT graph_type, count(*) AS n_graphs, CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM typed GROUP BY graph_type")
 def component_type_counts(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.type_counts(graph.component_types(parts, edges))
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT component, arg_max(kmer, (score, kmer)) AS best_kmer, CAST(max(score) AS DOUBLE) AS best_score FROM comp JOIN n USING (kmer) GROUP BY component")
 def component_best(s: SparkSession, d: str) -> DataFrame:
     return graph.best_per_component(_typed(s, d)[1], _nodes(s, d))
 
