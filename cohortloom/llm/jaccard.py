@@ -11,11 +11,13 @@ What is asked for are components, so a pair inside one component need not be loo
 Rounds link every class to one centre per n-gram, the class with the fewest n-grams of its
 own, which joins large groups of near copies in a number of pairs that follows their size;
 a last exact round takes all pairs that still lie in different components. In large groups
-a pair must also have enough n-grams that any other member has, counted exactly, so that
-copies too far off for any link are not compared. No link between components is lost.
+two members must also either both have enough n-grams that many members have, or share one
+that few have, by exact counts, so that copies too far off for any link are not compared.
+No link between components is lost.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated
-rows share their class. Texts of any length are read whole. Ties cannot arise: similarity
+rows share their class. A text that only rows with a null id have is linked with nothing,
+and such rows have a null component. Texts of any length are read whole. Ties cannot arise: similarity
 is compared in whole numbers. Extra columns are ignored.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_rows, release, save
+from .common import discard, has_rows, release, save
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -123,8 +125,9 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of every row; (shingle, class, n, pos) of the prefixes."""
+def _prefixes(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """A saved table of two kinds of rows: (doc_id, n, class) of every document, without a
+    shingle, and (shingle, class, n, pos) of the prefixes."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(_frequencies(docs.select("text"), n))  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -160,9 +163,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFra
                     names=["doc_id", "n", "class", "shingle", "pos"],
                 )
 
-    both = save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, class long, shingle long, pos int"), "prefixes")
-    members = both.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "class")
-    return members, both.where("shingle IS NOT NULL").select("shingle", "class", "n", "pos")
+    return save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, class long, shingle long, pos int"), "prefixes")
 
 
 def _fits(percent: int, a: str = "", b: str = "c_"):
@@ -171,7 +172,9 @@ def _fits(percent: int, a: str = "", b: str = "c_"):
     na, nb, pa_, pb = F.col(a + "n"), F.col(b + "n"), F.col(a + "pos"), F.col(b + "pos")
     length = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     reach = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    most = F.least(reach, F.col(a + "shared"), F.col(b + "shared"))
+    # Shared counts are known to the classes of large groups, and hold among them only.
+    sa, sb = F.col(a + "shared"), F.col(b + "shared")
+    most = F.when(sa.isNull() | sb.isNull(), reach).otherwise(F.least(reach, sa, sb))
     return length & ((100 + percent) * most >= percent * (na + nb))
 
 
@@ -194,13 +197,14 @@ def _sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, n: int, seed: i
     return texts.select("text").mapInArrow(sets, "class long, items binary").dropDuplicates(["class"])
 
 
-def _shared_counts(rows: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    """(class, shared): how many of a class's n-grams another class of a large group has.
+def _core_counts(rows: DataFrame, items: DataFrame, large: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """For the classes of large groups: (class, shared), how many of its n-grams more than
+    ``rare`` of them have; and the pairs (a, b) that have a rarer one in common.
 
-    Only these can be common to two members of large groups, whose pairs would be many.
+    Two of them that share no rarer n-gram have at most ``shared`` of either in common.
     """
-    large = rows.groupBy("shingle").count().where(F.col("count") > least).select("shingle")
-    hot = rows.join(large, "shingle", "left_semi").select("class").distinct()
+    groups = rows.groupBy("shingle").count().where(F.col("count") > large).select("shingle")
+    hot = rows.join(groups, "shingle", "left_semi").select("class").distinct()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +216,13 @@ def _shared_counts(rows: DataFrame, items: DataFrame, least: int) -> DataFrame:
                     [pa.array(classes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["class", "g"]
                 )
 
-    same = Window.partitionBy("g")
     each = items.join(hot, "class", "left_semi").select("class", "items").mapInArrow(listed, "class long, g long")
-    shared = each.withColumn("lo", F.min("class").over(same)).withColumn("hi", F.max("class").over(same))
-    return shared.groupBy("class").agg(F.count_if(F.col("lo") != F.col("hi")).cast("int").alias("shared"))
+    counted = save(each.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1"), "grams")
+    core = hot.join(counted.groupBy("class").agg(F.count_if(F.col("df") > rare).alias("shared")), "class", "left")
+    few = counted.where(F.col("df") <= rare)
+    one, two = few.select("g", F.col("class").alias("a")), few.select("g", F.col("class").alias("b"))
+    pairs = one.join(two, "g").where("a < b").select("a", "b").distinct()
+    return core.select("class", F.coalesce("shared", F.lit(0)).cast("int").alias("shared")), pairs
 
 
 def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -232,28 +239,43 @@ def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, large: int = 16) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) whose classes lie in different components so far."""
+    if roots is None:
+        return pairs
+    of_a, of_b = (roots.select(F.col("node").alias(k), F.col("root").alias("r" + k)) for k in "ab")
+    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, large: int = 200, rare: int = 8) -> DataFrame:
     """n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
-    ``rounds`` of links to centres come before the exact round, and groups of more than
-    ``large`` classes get the shared-count filter; both change only the work.
+    ``rounds`` of links to centres come before the exact round; in groups of more than
+    ``large`` classes, where each of them could cost as many pairs, n-grams of at most
+    ``rare`` classes are told from the others. All three change only the work.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     for seed in range(16):  # another seed if two different sets should get one class
-        members, prefixes = _prefixes(docs, n, percent, seed)
+        both = _prefixes(docs, n, percent, seed)
+        members = save(both.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "class"), "members")
         sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
         if not has_rows(sizes.where("lo <> hi")):
             break
+        discard(both, members)
+    prefixes = both.where("shingle IS NOT NULL").select("shingle", "class", "n", "pos")
     classes = save(members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
     firsts = classes.where("doc_id IS NOT NULL")
     group = Window.partitionBy("shingle")
     met = prefixes.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group))
     rows = save(met.where("lo <> hi").select("shingle", "class", "n", "pos").dropDuplicates(["shingle", "class"]), "met")
+    discard(both)
     release(spark)
     items = save(_sets(docs, firsts, rows.select("class").distinct(), n, seed), "sets")
-    shared = _shared_counts(rows, items, large)
-    rows = save(rows.join(shared, "class", "left").withColumn("shared", F.coalesce("shared", "n")), "met")
+    shared, close = _core_counts(rows, items, large, rare)
+    close = save(close, "close")
+    rows = save(rows.join(shared, "class", "left"), "met")
     release(spark)
     checked, roots = None, None
     for turn in range(rounds + 1):
@@ -263,7 +285,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
             now = now.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi")
         if turn < rounds:
             centre = now.groupBy("shingle").agg(
-                F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "shared", "root")).alias("c")
+                F.min(F.struct(F.coalesce(F.col("n") - F.col("shared"), F.lit(0)).alias("own"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "shared", "root")).alias("c")
             ).select("shingle", *[F.col("c")[k].alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
         else:
             centre = now.select("shingle", *[F.col(k).alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
@@ -271,6 +293,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
         if turn == rounds:
             found = found.where("class < c_class")
         pairs = found.select(F.least("class", "c_class").alias("a"), F.greatest("class", "c_class").alias("b")).distinct()
+        if turn == rounds:
+            pairs = pairs.unionByName(_apart(close, roots)).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
@@ -281,6 +305,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int
         new = save(_verified(pairs, items, percent), "checked")
         checked = new if checked is None else checked.unionByName(new)
         roots = save(components(checked.where("linked").select("a", "b")), "roots")
+    discard(items, rows)
     labelled = classes.withColumn("root", F.col("class"))
     if roots is not None:
         labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
