@@ -34,8 +34,8 @@ def brute_components(rows, percent=80):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("large", [1, 16])
-def test_components_against_brute_force(spark, large):
+@pytest.mark.parametrize(("large", "rare"), [(1, 2), (4, 2), (200, 8)])
+def test_components_against_brute_force(spark, large, rare):
     rng = random.Random(4)
     rows, n = [], 0
     for _ in range(8):
@@ -46,7 +46,7 @@ def test_components_against_brute_force(spark, large):
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one two"), (n + 4, "ONE  two"), (n + 5, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, class string, n int").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, large=large).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, large=large, rare=rare).collect()}
     assert got == brute_components(rows)
 
 
