@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmers as K
-from ..operators import browse, graph, groups, intervals, matrix, models, reduce, similarity
+from ..operators import annotation, browse, graph, groups, intervals, matrix, models, reduce, similarity
 from . import tables as T
 
 K_SMALL = 6
@@ -652,3 +652,30 @@ def winner_events(s: SparkSession, d: str) -> DataFrame:
     """One row a k-mer with the set of what it stands for."""
     rows = T.matrix(s, d).where("raw_count >= 150").groupBy("kmer").agg(F.array_sort(F.collect_set("grp")).alias("grps"))
     return rows.withColumn("in_asia", F.arrays_overlap("grps", F.array(F.lit("ASIA"))))
+
+
+@query("""SELECT l_linestatus AS chrom, l_partkey AS position, l_returnflag AS kind, max(l_extendedprice) AS best_score,
+  arg_min(l_orderkey, (-l_extendedprice, l_orderkey)) AS best_kmer, bool_and(l_discount > 0.02) AS generates_event FROM lineitem GROUP BY 1, 2, 3""")
+def signature_merge(s: SparkSession, d: str) -> DataFrame:
+    rows = T.table(s, d, "lineitem").select(
+        F.col("l_linestatus").alias("chrom"), F.col("l_partkey").alias("position"), F.col("l_returnflag").alias("kind"),
+        F.col("l_orderkey").alias("kmer"), F.col("l_extendedprice").alias("score"), (F.col("l_discount") > 0.02).alias("generates_event"),
+    )
+    return annotation.merged_signatures(rows).select("chrom", "position", "kind", "best_score", "best_kmer", "generates_event")
+
+
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS gene, l_partkey AS start, l_orderkey % 97 AS e FROM lineitem)
+SELECT a.gene, a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.gene = b.gene AND a.id < b.id AND (a.start = b.start) <> (a.e = b.e)""")
+def shared_splice_ends(s: SparkSession, d: str) -> DataFrame:
+    rows = T.table(s, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("start"), (F.col("l_orderkey") % 97).alias("end")
+    )
+    return annotation.shared_splice_ends(rows)
+
+
+@query("WITH " + T.SQL_STATS + """, w AS (SELECT kmer, list(round(mean, 3) ORDER BY grp) AS means FROM st GROUP BY kmer), m1 AS (SELECT kmer, count(*) AS n FROM m GROUP BY kmer)
+SELECT kmer, CASE WHEN n = 1 THEN 0 ELSE 1 END AS repetitive, CAST(CASE WHEN list_max(means) > 0 THEN list_position(means, list_max(means)) - 1 ELSE -1 END AS INT) AS class FROM w JOIN m1 USING (kmer)""")
+def ideogram(s: SparkSession, d: str) -> DataFrame:
+    means = _stats(s, d).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("grp", F.round("mean", 3).alias("v")))).alias("a"))
+    places = T.matrix(s, d).groupBy("kmer").agg(F.collect_list("sample").alias("alignments"))
+    return annotation.ideogram(means.join(places, "kmer").select("kmer", "alignments", F.transform("a", lambda x: x["v"]).alias("means")))
