@@ -234,21 +234,24 @@ def score_texts(docs: DataFrame, states: int = 6, rounds: int = 5, chunk: int =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths, classes = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["classes"], np.uint16).astype(np.int64)
-                c = np.zeros(len(row["found"] or []))
-                for x in row["found"] or []:
-                    c[x["place"]] = x["c"]
-                words, times = np.frombuffer(row["word"], np.uint32), np.frombuffer(row["times"], np.uint32)
-                owner = np.repeat(np.arange(len(lengths)), np.frombuffer(row["distinct"], np.int64))
+            of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for at in range(batch.num_rows):
+                raw = lambda name, kind: np.frombuffer(of[name][at].as_py(), kind)
+                lengths, classes = raw("lengths", np.int64), raw("classes", np.uint16).astype(np.int64)
+                found = of["found"][at].values  # arrays as they are: a chunk has many words
+                c = np.zeros(0 if found is None else len(found))
+                if found is not None:
+                    c[found.field("place").to_numpy()] = found.field("c").to_numpy()
+                words, times = raw("word", np.uint32), raw("times", np.uint32)
+                owner = np.repeat(np.arange(len(lengths)), raw("distinct", np.int64))
                 logs = np.bincount(owner, times * np.log10(c[words] + 1), len(lengths))
                 known = np.bincount(owner, times * (c[words] > 0), len(lengths)).astype(np.int64) + (ends > 0)
                 base = logs + np.log10(ends + 1) - lengths * np.log10(train_tokens + vocabulary + 1)
                 shares = np.add.reduceat(share_of[classes], np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["ids"], batch.schema.field("ids").type.value_type),
-                        pa.array(np.frombuffer(row["held"], np.bool_)),
+                        of["ids"][at].values,
+                        pa.array(raw("held", np.bool_)),
                         pa.array(lengths), pa.array(known),
                         pa.array(np.full(len(lengths), train_tokens, np.int64)),
                         pa.array(base), pa.array(model.likelihoods(classes, lengths) + logs - shares),
