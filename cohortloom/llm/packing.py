@@ -4,9 +4,9 @@ All pieces of one length are alike, so the problem is the histogram of lengths:
 ``capacity`` numbers, however many documents there are. A configuration is a multiset of
 lengths that fits one sequence. The program covers every length's count with as few
 configurations as it can; multiplicative weights solve it, where a knapsack by dynamic
-programming finds the best configuration at the current weights. Whole numbers of the
-configurations are used, what they leave over is packed best-fit, and every piece finds
-its sequence by its rank among the pieces of its length.
+programming finds the best configuration at the current weights. Configurations are used
+in whole numbers until no piece is left over, and every piece finds its sequence by its
+rank among the pieces of its length.
 
 Null texts count as empty: a document of the end id alone. Repeated rows are packed like
 any others, and told apart by a hash of their text where ids agree; rows alike in both
@@ -112,103 +112,71 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     )
 
 
-def best_configuration(value: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
+def best_configuration(value: np.ndarray, limit: np.ndarray, capacity: int, enough: float = np.inf) -> dict[int, int]:
     """The knapsack that prices configurations: lengths worth most that fit a sequence.
 
     ``value[l]`` is what a piece of length l is worth, ``limit[l]`` how many there are.
-    Lengths enter the dynamic program as bundles of 1, 2, 4, ... pieces.
+    Lengths enter the dynamic program as bundles of 1, 2, 4, ... pieces, those worth most
+    a token first; it ends early once a full sequence is worth ``enough``.
     """
     best = np.zeros(capacity + 1)
     taken: list[tuple[int, int, np.ndarray]] = []
-    for length in np.nonzero(value > 0)[0]:
-        left, bundle = min(int(limit[length]), capacity // int(length)), 1
+    present = np.nonzero(value > 0)[0]
+    for length in present[np.argsort(-value[present] / present, kind="stable")].tolist():
+        left, bundle = min(int(limit[length]), capacity // length), 1
         while left > 0:
             k = min(bundle, left)
-            weight, worth = int(length) * k, value[length] * k
-            moved = best[: capacity + 1 - weight] + worth
-            better = moved > best[weight:] + 1e-15
+            weight = length * k
+            moved = best[: capacity + 1 - weight] + value[length] * k
+            better = moved > best[weight:] + 1e-12
             if better.any():
-                taken.append((int(length), k, np.concatenate([np.zeros(weight, bool), better])))
+                taken.append((length, k, better))
                 best[weight:] = np.where(better, moved, best[weight:])
             left, bundle = left - k, bundle * 2
+        if best[capacity] >= enough:
+            break
     out: dict[int, int] = {}
     room = capacity
     for length, k, used in reversed(taken):
-        if used[room]:
+        if room >= length * k and used[room - length * k]:
             out[length] = out.get(length, 0) + k
             room -= length * k
     return out
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 80, step: float = 4.0) -> list[tuple[dict[int, int], int]]:
+def solve(
+    histogram: np.ndarray, capacity: int, step: float = 0.2, longer: float = 0.01, gap: float = 0.005
+) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often to use each: a packing of the whole histogram.
 
-    ``histogram[l]`` counts the pieces of length l. In every round the configuration that
-    is best at the current weights takes a share of each of its lengths, and their weights
-    fall as their counts are met. Whole parts are used as they are; the rest, no more than
-    a few pieces a configuration and length, goes best-fit.
+    ``histogram[l]`` counts the pieces of length l. In every round a configuration that is
+    best at the current weights, or within ``gap`` of a bound on the best, is used as often
+    as its scarcest length allows, and the weights of its lengths fall with the part of
+    them that is covered. So shares are whole numbers from the start, a round uses up one
+    length at least, and rounds go on until every length is covered: there are no more of
+    them than lengths, however many pieces there are.
     """
     left = histogram.astype(np.int64).copy()
-    lengths = np.arange(capacity + 1)
     out: list[tuple[dict[int, int], int]] = []
     if left[capacity]:
         out.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    if not left.any():
-        return out
-    covered = np.zeros(capacity + 1)
-    found: dict[tuple, float] = {}
-    present = left > 0
-    need = np.where(present, left, 1).astype(float)
-    for _ in range(rounds):
-        # A piece weighs its length, and more the further its length lags behind the others.
-        lag = covered / need
-        weight = np.where(present, lengths * np.exp(-step * (lag - lag[present].min())), 0.0)
-        pattern = best_configuration(weight, left, capacity)
-        if not pattern:
-            break
-        key = tuple(sorted(pattern.items()))
-        share = max(1.0, min(need[l] / k for l, k in key) / 6)
-        found[key] = found.get(key, 0.0) + share
-        for l, k in key:
-            covered[l] += k * share
-    scale = 1.0 / max(1e-9, max((covered[present] / need[present]).max(), 1e-9))
-    for key, amount in sorted(found.items(), key=lambda x: -x[1]):
-        times = min(int(amount * scale * 1.0000001), *[int(left[l] // k) for l, k in key])
-        if times > 0:
-            out.append((dict(key), times))
-            for l, k in key:
-                left[l] -= k * times
-    out += _best_fit(left, capacity)
+    need = np.maximum(histogram, 1)
+    while left.any():
+        present = np.nonzero(left)[0]
+        # A token weighs more the further its length lags behind the others; ties go to long pieces.
+        lag = 1 - left[present] / need[present]
+        price = np.exp(-step * (lag - lag.min())) * (1 + longer * present / capacity)
+        value = np.zeros(capacity + 1)
+        value[present] = price * present
+        pattern = best_configuration(value, left, capacity, (1 - gap) * capacity * price.max())
+        times = min(int(left[l]) // k for l, k in pattern.items())
+        out.append((pattern, times))
+        for l, k in pattern.items():
+            left[l] -= k * times
     return out
 
 
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first, each piece into the fullest sequence that has room for it."""
-    at_room: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(capacity + 1)]
-    for length in range(capacity, 0, -1):
-        n = int(left[length])
-        while n:
-            room = next((r for r in range(length, capacity + 1) if at_room[r]), None)
-            if room is None:
-                each = capacity // length
-                if n >= each:
-                    at_room[capacity - each * length].append(({length: each}, n // each))
-                    n -= n // each * each
-                else:
-                    at_room[capacity - n * length].append(({length: n}, 1))
-                    n = 0
-                continue
-            content, times = at_room[room].pop()
-            each = min(room // length, max(1, n // times))
-            used = min(times, n // each)
-            if used < times:
-                at_room[room].append((content, times - used))
-            at_room[room - each * length].append((content | {length: content.get(length, 0) + each}, used))
-            n -= each * used
-    return [x for group in at_room for x in group]
-
-
 def _places(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """For each length, which of its ranks go where: first rank, one past the last,
     first sequence, how many lie in each sequence, offset of the first of them."""

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from cohortloom.llm import packing
 from cohortloom.llm.byte_bpe import ByteBpe, encode_decode
 from cohortloom.llm.common import tokenizer_file
 from cohortloom.llm.packing import best_configuration, pack, solve
@@ -96,3 +97,22 @@ def test_knapsack_against_brute_force():
     )
     got = best_configuration(value, limit, 10)
     assert np.isclose(sum(value[n] * k for n, k in got.items()), best)
+
+
+def test_program_places_every_piece(monkeypatch):
+    rng = np.random.default_rng(5)
+    histogram = np.bincount(np.clip(rng.lognormal(6, 1, 3000), 1, 2047).astype(int), minlength=2049)
+    priced = []
+
+    def keep(*args):
+        priced.append(best_configuration(*args))
+        return priced[-1]
+
+    monkeypatch.setattr(packing, "best_configuration", keep)
+    plan, left = solve(histogram, 2048), histogram.copy()
+    for pattern, times in plan:
+        assert pattern in priced and times > 0
+        for n, k in pattern.items():
+            left[n] -= k * times
+    assert not left.any() and len(priced) <= np.count_nonzero(histogram)
+    assert sum(times for _, times in plan) <= 1.003 * (histogram @ np.arange(2049)) / 2048 + 1
