@@ -42,17 +42,26 @@ ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 
 TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
 UPPER = r"[A-ZÀ-ÖØ-Þ][\w'-]+"
+SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+PHONE = r"(?P<phone>(?<![\w.])(?:\+|00)\d{2}[ .-]\d{1,2}(?:[ .-]\d{2}){4}(?![\w]|\.\d)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<!\w)\+\d{8,15}\b)"
 PATTERNS = re.compile(
     r"(?P<email>[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key)\b[ \t]*[=:][ \t]*[\"']?(?P<value>[A-Za-z0-9_\-]{16,})"
     r"|\b(?:AKIA[A-Z0-9]{16}|sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{30,})\b)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    rf"|{SSN}"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<!\w)\+\d{8,15}\b)"
+    r"|(?P<card>(?<![\w.])(?!00\d{2}[ .-]\d{1,2}(?:[ .-]\d{2}){4}(?!\w|\.\d))\d(?:[ -]?\d){12,18}(?![\w]|\.\d))"
+    rf"|{PHONE}"
     rf"|\b(?P<title>{TITLES})\.? (?P<name>{UPPER}(?: {UPPER})?)"
 )
+#: What else may begin where a run of digits does.
+NUMBERS = re.compile(f"{SSN}|{PHONE}")
+#: Digits and single separators, of which a card may be a part.
+RUN = re.compile(r"\d+(?:[ -]\d+)*")
+#: Groups of digits as cards are written in; and numbers that are complete beside others.
+LAYOUT = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5}")
+COMPLETE = re.compile(r"(?<![\w.])(?:\d{3}([ .-])\d{3}\1\d{4}|\d{3}-\d{2}-\d{4})(?![\w]|\.\d)")
 #: A line without any of these has no entity.
 HINTS = (re.compile("[0-9@=:]"), re.compile(rf"(?:{TITLES})\.? "))
 
@@ -72,24 +81,43 @@ def hinted_lines(text: str) -> Iterator[tuple[int, int]]:
 def entities(text: str) -> list[tuple[str, int, int, str]]:
     """(type, start, end, key): the key is what coreferent mentions share.
 
-    A run of 13 to 19 digits is a card only if its check digit is right.
+    A run of 13 to 19 digits is a card only if its check digit is right. Numbers beside an
+    entity may stand in one run with it: see ``card_in`` and ``is_part``.
     """
     out = []
     for line_start, line_end in hinted_lines(text):
-        for m in PATTERNS.finditer(text, line_start, line_end):
+        at, run_end = line_start, line_start
+        while m := PATTERNS.search(text, at, line_end):
             kind = m.lastgroup
             part = "name" if m["name"] else "value" if m["value"] else 0
             start, end, found = m.start(part), m.end(part), m[part]
+            at = m.end()
+            if kind == "card":
+                span = card_in(text, start, end, line_end, start < run_end)
+                if not span:
+                    # Other entities may begin at any group of the run.
+                    run_end = max(run_end, RUN.match(text, start, line_end).end())
+                    m = NUMBERS.match(text, start, line_end)
+                    if not m or is_part(text, m, line_end, True):
+                        at = start + len(re.match(r"\d+", found)[0])
+                        continue
+                    kind, start, end, found, at = m.lastgroup, m.start(), m.end(), m[0], m.end()
+                elif span[0] > start:
+                    out += entities_before(text, start, span[0])
+                if span:
+                    start, end = span
+                    found, at = text[start:end], end
+            elif kind == "phone" and is_part(text, m, line_end, start < run_end):
+                at = start + max(1, len(re.match(r"\d*", found)[0]))
+                continue
             key = found
             if kind == "email":
                 key = found.lower()
             elif kind == "phone":
-                code = re.match(r"\+\d{1,3}(?=[ .(-])", found)
+                code = re.match(r"\+\d{1,3}(?=[ .(-])|00\d{2}(?=[ .-]\d{1,2}[ .-])", found)
                 key = (code[0] if code else "") + "/" + re.sub(r"\D", "", found[code.end() if code else 0 :])
             elif kind in ("card", "iban", "ssn"):
                 key = re.sub(r"[ -]", "", found)
-                if kind == "card" and luhn(key[:-1]) != int(key[-1]):
-                    continue
             elif m["name"]:
                 kind = "female" if m["title"] in FEMALE_TITLES else "male"
             elif kind == "value":
@@ -98,6 +126,60 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def entities_before(text: str, start: int, end: int) -> list[tuple[str, int, int, str]]:
+    """The entities of the numbers that stand before a card in one run."""
+    return [(k, a + start, b + start, v) for k, a, b, v in entities(text[start:end])]
+
+
+def card_in(text: str, start: int, end: int, line_end: int, rest: bool) -> tuple[int, int] | None:
+    """Where a card lies in the run of digits that was matched from ``start`` to ``end``.
+
+    Of whole groups, those with a right check digit: first what is laid out as cards are,
+    by one kind of separator and beginning as most cards do, then the longest that begins
+    where the run does, unless ``start`` is in the ``rest`` of a run that was read before.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", text[start : RUN.match(text, start, min(line_end, end + 40)).end()])]
+    best = None
+    for i, (a, _) in enumerate(groups):
+        if start + a >= end:
+            break
+        digits = ""
+        for x, b in groups[i:]:
+            digits += text[start + x : start + b]
+            if len(digits) > 19:
+                break
+            if len(digits) < 13 or luhn(digits[:-1]) != int(digits[-1]):
+                continue
+            if text[start + b : start + b + 1].isalnum() or re.match(r"\.\d|\w", text[start + b : start + b + 2]):
+                continue
+            found = text[start + a : start + b]
+            mixed, usual = " " in found and "-" in found, bool(LAYOUT.fullmatch(found))
+            if usual or i == 0 and not (mixed or rest or COMPLETE.search(found)):
+                rank = (not usual, mixed, found[0] not in "3456", a, -b)
+                best = min(best, (rank, a, b)) if best else (rank, a, b)
+    return best and (start + best[1], start + best[2])
+
+
+def is_part(text: str, m: re.Match, line_end: int, in_run: bool) -> bool:
+    """Whether what looks like a phone is made of parts of other numbers.
+
+    It is where a complete number begins inside it and ends behind it. In a run that is no
+    card it is as well where the same separator joins it to further digits, unless it has
+    the groups of a complete number or begins with a zero or a sign.
+    """
+    found = m[0]
+    if m.lastgroup != "phone" or not found[0].isdigit() or m.start() and text[m.start() - 1] == "+":
+        return False
+    other = COMPLETE.search(text, m.start() + 1, min(line_end, m.end() + 12))
+    if other and other.start() < m.end() < other.end() and not COMPLETE.fullmatch(found):
+        return True
+    if not in_run or found[0] == "0" or COMPLETE.fullmatch(found):
+        return False
+    separators = set(re.sub(r"\d", "", found))
+    before, after = re.search(r"\d([ -])$", text[max(0, m.start() - 2) : m.start()]), re.match(r"([ -])\d", text[m.end() : m.end() + 2])
+    return any(x and x[1] in separators for x in (before, after))
+
+
 def permuted(number: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): Feistel rounds, walked until inside the range."""
     if size <= 1:

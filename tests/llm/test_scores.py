@@ -130,6 +130,22 @@ def test_surrogates_are_distinct_and_consistent(spark):
     assert [e["type"] for e in out[1]["entities"]] == ["female", "email", "email", "phone", "ip", "card"]
 
 
+def test_numbers_beside_entities():
+    card = "455667788990012"
+    card += str(luhn(card))
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    grouped = [sep.join(x[i : i + 4] for i in range(0, 16, 4)) for x in (card, wrong) for sep in " -"]
+    kinds = {card: "card", grouped[0]: "card", grouped[1]: "card", "555-123-4567": "phone", "123-45-6789": "ssn", "0033 6 12 34 56 78": "phone"}
+    for found, kind in kinds.items():
+        for before in ("", "in ", "7 ", "42 ", "980 ", "2024 "):
+            for after in ("", " items", " 7", " 42", " 123", " 2024"):
+                text = before + found + after
+                assert [(k, text[a:b]) for k, a, b, _ in entities(text)] == [(kind, found)], text
+    text = f"555-123-4567 {card} 123-45-6789"
+    assert [k for k, *_ in entities(text)] == ["phone", "card", "ssn"]
+    assert not any(entities(x) for x in (wrong, *grouped[2:]))
+
+
 def test_permutation_of_a_range():
     assert sorted(permuted(i, 1000, KEY, "x") for i in range(1000)) == list(range(1000))
 
