@@ -3,6 +3,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm.bm25 import top_k
@@ -160,6 +161,22 @@ def test_colliding_names_get_another_try(spark):
     assert len(set(out)) == 120
 
 
+def test_bare_keys_on_lines_without_digits():
+    for found in ("sk-" + "abcdefghij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghij" * 3):
+        text = f"a line\nuse {found} here\nend"
+        assert [(k, text[a:b]) for k, a, b, _ in entities(text)] == [("secret", found)]
+
+
+def test_full_format_of_names(spark):
+    rows = [(i, f"Mr {chr(65 + i // 26)}{chr(97 + i % 26)}", "s") for i in range(676)]
+    docs = docs_of(spark, rows)
+    names = {t[3:] for _, t, _ in rows}
+    made = [r["text"][3:] for r in replace_entities(docs, KEY).collect()]
+    assert len(set(made)) == 676 and not names & set(made)
+    with pytest.raises(RuntimeError):
+        second_tries(docs, KEY, "text", 4)
+
+
 def test_grammar_knows_the_clause():
     scorer = Scorer({"idiot": 5.0})
     at = dict(zip(scorer.NAMES, range(9)))
