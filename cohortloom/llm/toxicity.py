@@ -54,12 +54,19 @@ CLASSES = ("other", "insult", "threat", "target", "negation", "report")
 
 CLAUSE = re.compile(r"[^.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: French words that lose their last letter before a vowel; a word of its own follows.
+ELISION = re.compile(r"\b([cdjlmnst]|qu)['’](?=[^\W\d_]{2})")
 #: Lengths of word beginnings that may become stems.
 STEM = range(3, 15)
 #: Words after which a negation or a report no longer holds.
 REACH = 6
 
 
+def clear(text: str) -> str:
+    """``text`` in small letters, elided words apart from what follows them."""
+    return ELISION.sub(r"\1 ", text.lower())
+
+
 class Transducer:
     """Reads a class, moves to a state, and may emit a mark; ``step[state][class]``."""
 
@@ -108,43 +115,54 @@ def grammar() -> Transducer:
     )
 
 
+def context_of(mark: str) -> str:
+    """What a clause has said about an insult or a threat before it."""
+    return "negated" if "n" in mark else "reported" if "r" in mark else "aimed" if "t" in mark else "plain"
+
+
 class Scorer:
     """Features of a text: what the grammar emits, weighted by the stems that matched."""
 
-    NAMES = ("plain", "aimed", "negated", "reported", "threat", "most", "clauses", "distinct", "density")
+    NAMES = (
+        "plain", "aimed", "negated", "reported", "most", "clauses", "distinct", "density",
+        "plain_threat", "aimed_threat", "negated_threat", "reported_threat",
+    )
 
     def __init__(self, stems: dict[str, float]):
         self.stems, self.machine = stems, grammar()
         self.lengths = sorted({len(s) for s in stems})
         listed = "|".join(sorted(map(re.escape, stems), key=len, reverse=True))
-        self.find = re.compile(rf"\b(?:{listed})") if stems else None
+        threats = "|".join(sorted(THREAT, key=len, reverse=True))
+        self.find = re.compile(rf"\b(?:{listed}|(?:{threats})\b)" if stems else rf"\b(?:{threats})\b")
 
     def weight(self, word: str) -> float:
         return max((self.stems.get(word[:n], 0.0) for n in self.lengths), default=0.0)
 
     def features(self, text: str) -> list[float]:
         out = dict.fromkeys(self.NAMES, 0.0)
-        text = text.lower()
-        if self.find is None or not self.find.search(text):
-            return list(out.values())  # threats count beside insults only
+        text = clear(text)
         step, seen = self.machine.step, {}
         at = 0
         while hit := self.find.search(text, at):
             start = max(text.rfind(c, 0, hit.start()) for c in ".!?;\n") + 1
             end = CLAUSE.match(text, hit.start()).end()
-            at, state = end, 0
-            out["clauses"] += 1
+            at, state, insults = end, 0, False
             for word in WORD.findall(text, start, end):
                 weight = self.weight(word)
-                kind = INSULT if weight else CLASS_OF.get(word, OTHER)
-                state, mark = step[state][kind]
-                if "H" in mark:
-                    out["threat"] += 1
-                if "I" in mark:
-                    name = "negated" if "n" in mark else "reported" if "r" in mark else "aimed" if "t" in mark else "plain"
+                threat = CLASS_OF.get(word) == "threat"
+                before = state
+                if weight:
+                    state, mark = step[state][INSULT]
+                    name = context_of(mark)
                     out[name] += weight
                     out["most"] = max(out["most"], weight)
                     seen[word] = weight
+                    insults = True
+                if threat or not weight:  # a word may be an insult and a threat
+                    state, mark = step[before][CLASS_OF.get(word, OTHER)]
+                if "H" in mark:
+                    out[context_of(mark) + "_threat"] += 1
+            out["clauses"] += insults
         out["distinct"] = sum(seen.values())
         out["density"] = 600 * out["distinct"] / max(300, len(text))  # over a hundred words or so
         return [min(v, 40.0) for v in out.values()]
@@ -219,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dic
         for batch in batches:
             stems, ids = [], []
             for i, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = set(WORD.findall((text or "").lower()))
+                words = set(WORD.findall(clear(text or "")))
                 own = {w[:n] for w in words for n in STEM if n <= len(w)}
                 if toxic:
                     stems += own

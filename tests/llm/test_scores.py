@@ -187,6 +187,22 @@ def test_grammar_knows_the_clause():
     assert scorer.features("she said idiot")[at["reported"]] == 5
 
 
+def test_threats_count_without_insults():
+    scorer = Scorer({"idiot": 5.0, "kill": 2.0})
+    of = lambda text: {k: v for k, v in zip(scorer.NAMES, scorer.features(text)) if "threat" in k and v}
+    assert of("You there, I will murder you") == {"aimed_threat": 1}
+    assert of("What an idiot. He said murder! Never hurt. To beat") == {"reported_threat": 1, "negated_threat": 1, "plain_threat": 1}
+    assert of("To kill") == {"plain_threat": 1} and of("A diet.") == {}
+    assert Scorer({}).features("You murder")[scorer.NAMES.index("aimed_threat")] == 1
+
+
+def test_elided_words_hide_no_stem():
+    scorer = Scorer({"idiot": 5.0, "imb": 4.0})
+    at = dict(zip(scorer.NAMES, range(20)))
+    assert scorer.features("pas d'idiot")[at["negated"]] == 5
+    assert scorer.features("voilà l’imbécile, l'imbecile")[at["plain"]] == 8
+
+
 def test_toxicity_learns_stems(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghi"), 4))
