@@ -1,24 +1,26 @@
 """Word n-gram Jaccard join with rare-first prefixes, and its components.
 
-Every text becomes a set of hashed word 5-grams; equal sets are one class from then on.
-A set's n-grams are put in one order for all sets, rare ones first, by counts over all
-documents. Sets that are similar enough must share an n-gram of their prefixes, so only
-prefixes are indexed. A pair found there has to pass the length filter, the positional
-filter at its first common n-gram and, when its sets are at hand, the suffix filter,
-before its intersection is counted, once.
-
-What is asked for are components, so a pair inside one component need not be looked at.
-Rounds link every class to one centre per n-gram, the class with the fewest n-grams of its
-own, which joins large groups of near copies in a number of pairs that follows their size;
-a last exact round takes all pairs that still lie in different components. In large groups
-two members must also either both have enough n-grams that many members have, or share one
-that few have, by exact counts, so that copies too far off for any link are not compared.
-No link between components is lost.
+Every text becomes a set of hashed word n-grams; equal sets are one class, told apart by
+128 bits. A set's n-grams are put in one order for all sets, rare ones first: n-grams that
+make up more than a 2**20th of all have exact enough counts over all documents, the others
+come before them by their hash. Sets that are similar enough must share an n-gram of their
+prefixes, so only prefixes are shuffled. A pair is looked at where its first common n-gram
+can be: what follows that place bounds how much the two can share (length and positional
+filter), and a row that no set of its group is short enough for is dropped before any pair
+is made. The suffix filter divides the range of hashes evenly and adds up the smaller count
+of either part. Pairs that pass it have their intersection counted, once.
+
+What is asked for are components, so a pair inside one component need not be looked at. A
+first round links every class to one centre per n-gram, the class with the fewest rarer
+n-grams, which joins a large group of near copies in as many pairs as it has members. An
+exact round then takes all pairs of different components; in each group, only classes
+outside its largest component are paired with others. No link between components is lost.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated
-rows share their class. A text that only rows with a null id have is linked with nothing,
-and such rows have a null component. Texts of any length are read whole. Ties cannot arise: similarity
-is compared in whole numbers. Extra columns are ignored.
+rows share their class. Rows with a null id are linked like others, and have the component
+of the smallest id that they reach, or null if there is none. Texts of any length are read
+whole. Ties cannot arise: similarity is compared in whole numbers. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,42 +34,21 @@ from pyspark.sql import functions as F
 
 from .common import discard, has_rows, release, save
 from .components import components
+from .words import Shingles, first_of_runs, slices
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SKETCH_BITS, BLOCKS = 18, 16
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: n-grams that are counted at once in a task, and how often one must be among them to count.
+COUNTED, LEAST = 1 << 21, 3
+#: An n-gram is frequent if it makes up more than one in so many of all.
+FREQUENT = 1 << 20
+#: Bits of the filter that says which sets are wanted; of fixed size.
+FILTER_BITS = 23
 
 
-class Shingler:
-    """Sets of hashed word n-grams; remembers the words' hashes."""
+def class_of(items: np.ndarray) -> tuple[int, int]:
+    import xxhash
 
-    def __init__(self, n: int, seed: int = 0):
-        import xxhash
-
-        self.n, self.seed, self.known, self.hash = n, seed, {}, xxhash.xxh3_64_intdigest
-        self.wide_hash = xxhash.xxh3_64_intdigest
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct n-grams of a text, as unsigned 64-bit hashes."""
-        words = (text or "").encode().translate(LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.hash(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        n = min(self.n, len(h))
-        with np.errstate(over="ignore"):
-            out = np.full(len(h) - n + 1, np.uint64(n))
-            for i in range(n):
-                out = (out ^ (out >> np.uint64(29))) * ODD[i % 5] + h[i : len(h) - n + 1 + i]
-            out ^= out >> np.uint64(31)
-        return np.unique(out)
-
-    def class_of(self, shingles: np.ndarray) -> int:
-        return self.wide_hash(shingles.tobytes(), self.seed) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(items.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -75,243 +56,271 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
-    """No more elements than this are common to two sorted arrays: a split at the middle
-    of one bounds both halves."""
-    if depth == 0 or len(x) < 8 or len(y) < 8:
-        return min(len(x), len(y))
-    m = len(y) // 2
-    k = int(np.searchsorted(x, y[m]))
-    return suffix_bound(x[:k], y[:m], depth - 1) + suffix_bound(x[k:], y[m:], depth - 1)
+def parts(items: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of a power of two of equal ranges."""
+    bits = min(12, max(4, len(items).bit_length() - 3))
+    return np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    need = least_overlap(len(x), len(y), percent)
-    if min(len(x), len(y)) < need or suffix_bound(x, y) < need:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """No more elements than this are common to two sets of these parts."""
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return int(np.minimum(x, y).sum())
 
 
-def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams fall into each bucket of a fixed number, over all documents."""
-    size = 1 << SKETCH_BITS
+def common_items(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        total, make = np.zeros(size, np.int64), Shingler(n)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, (make.shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array(range(BLOCKS), pa.int32()),
-                "salt": pa.array([salt] * BLOCKS, pa.int32()),
-                "counts": [p.tobytes() for p in np.split(total, BLOCKS)],
-            }
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "counts": [total.tobytes()]})
-
-    kind = "block int, salt int, counts binary"
-    parts = docs.mapInArrow(count, kind).groupBy("block", "salt").applyInArrow(add, kind)
-    rows = parts.groupBy("block").applyInArrow(add, kind).collect()  # BLOCKS rows, 2 MB in all
-    out = np.zeros(size, np.int64)
-    for row in rows:
-        out[row[0] * (size // BLOCKS) : (row[0] + 1) * (size // BLOCKS)] = np.frombuffer(row[2], np.int64)
-    return out
-
-
-def _prefixes(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """A saved table of two kinds of rows: (doc_id, n, class) of every document, without a
-    shingle, and (shingle, class, n, pos) of the prefixes."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(_frequencies(docs.select("text"), n))  # of fixed size
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, kind)
+
+
+def _read_sets(docs: DataFrame, n: int) -> DataFrame:
+    """Saved, of three kinds: (doc_id, n, c1, c2) for every document, its class's parts with
+    the first of them in a task, and (gram, times) for n-grams that a task has often."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen, common = Shingler(n, seed), set(), counts.value
+        make, seen, kept, count = Shingles(n), set(), [], 0
+        names = ["doc_id", "n", "c1", "c2", "parts", "gram", "times"]
+
+        def often(id_type: pa.DataType) -> pa.RecordBatch:
+            every = np.sort(np.concatenate(kept))
+            starts = np.nonzero(first_of_runs(every))[0]
+            times = np.diff(np.append(starts, len(every)))
+            good = times >= LEAST
+            m = int(good.sum())
+            empty = [pa.nulls(m, t) for t in (id_type, pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(every[starts[good]].view(np.int64)), pa.array(times[good])], names=names)
+
+        id_type = pa.null()
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                classes, sizes, made = [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    s = make.shingles(text)
-                    c = make.class_of(s)
-                    classes.append(c if len(s) else None)
-                    sizes.append(len(s))
-                    if not len(s) or c in seen:
+            id_type = batch.column(0).type
+            for part in slices(batch, 1):
+                rows = []
+                for s in make.sets(part.column(1)):
+                    if not len(s):
+                        rows.append((0, None, None, None))
+                        continue
+                    c = class_of(s)
+                    rows.append((len(s), *c, None if c in seen else parts(s).tobytes()))
+                    if c not in seen:
+                        seen.add(c)
+                        kept.append(s)
+                        count += len(s)
+                sizes, c1, c2, shape = zip(*rows)
+                m = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _column(sizes, pa.int32()), _column(c1, pa.int64()), _column(c2, pa.int64()), _column(shape, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                    names=names,
+                )
+                if count >= COUNTED:
+                    yield often(id_type)
+                    kept, count = [], 0
+        if kept:
+            yield often(id_type)
+
+    return save(docs.mapInArrow(run, f"doc_id {kind}, n int, c1 long, c2 long, parts binary, gram long, times long"), "sets")
+
+
+def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, c1, c2, n, pos, often): the prefix of every set, once a task."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT n-grams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen, (grams, times) = Shingles(n), set(), known.value
+        for batch in batches:
+            for part in slices(batch, 0):
+                made = []
+                for s in make.sets(part.column(0)):
+                    if not len(s) or (c := class_of(s)) in seen:
                         continue
                     seen.add(c)
-                    length = len(s) - -(-percent * len(s) // 100) + 1
-                    f = common[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    made.append((s[np.lexsort((s, f))[:length]].view(np.int64), c, len(s), k))
-                m, wide = part.num_rows, [len(x[0]) for x in made]
-                flat = lambda i, t: np.repeat(np.array([x[i] for x in made], t), wide) if made else np.zeros(0, t)
-                total = sum(wide)
+                    count = np.zeros(len(s), np.int64)
+                    if len(grams):
+                        at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+                        count = np.where(grams[at] == s, times[at], 0)
+                    order = np.argsort(count, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+                    made.append((s[order], count[order] > 0, c, len(s)))
+                if not made:
+                    continue
+                wide = [len(x[0]) for x in made]
+                each = lambda values: pa.array(np.repeat(np.array(values, np.int64), wide))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([part.column(0), pa.nulls(total, part.column(0).type)]),
-                        pa.array([*sizes, *flat(2, np.int32).tolist()], pa.int32()),
-                        pa.concat_arrays([pa.array(classes, pa.int64()), pa.array(flat(1, np.int64))]),
-                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate([x[0] for x in made]) if made else np.zeros(0, np.int64))]),
-                        pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(np.concatenate([np.arange(w, dtype=np.int32) for w in wide]) if made else np.zeros(0, np.int32))]),
+                        pa.array(np.concatenate([x[0] for x in made]).view(np.int64)),
+                        each([x[2][0] for x in made]), each([x[2][1] for x in made]),
+                        each([x[3] for x in made]).cast(pa.int32()),
+                        pa.array(np.concatenate([np.arange(w, dtype=np.int32) for w in wide])),
+                        pa.array(np.concatenate([x[1] for x in made])),
                     ],
-                    names=["doc_id", "n", "class", "shingle", "pos"],
+                    names=["gram", "c1", "c2", "n", "pos", "often"],
                 )
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, class long, shingle long, pos int"), "prefixes")
+    return docs.select("text").mapInArrow(run, "gram long, c1 long, c2 long, n int, pos int, often boolean")
 
 
-def _fits(percent: int, a: str = "", b: str = "c_"):
-    """Length, positional and shared-count filters for a pair, from one common prefix
-    n-gram."""
-    na, nb, pa_, pb = F.col(a + "n"), F.col(b + "n"), F.col(a + "pos"), F.col(b + "pos")
-    length = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    reach = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    # Shared counts are known to the classes of large groups, and hold among them only.
-    sa, sb = F.col(a + "shared"), F.col(b + "shared")
-    most = F.when(sa.isNull() | sb.isNull(), reach).otherwise(F.least(reach, sa, sb))
-    return length & ((100 + percent) * most >= percent * (na + nb))
+def _needed(percent: int, a, b):
+    return F.ceil((percent * (a + b)).cast("double") / (100 + percent))
 
 
-def _sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
-    """(class, items): the sets of the wanted classes, from one document each."""
+def _met(prefixes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, pos) of the prefix n-grams that several classes have.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(n, seed)
+    Frequent n-grams pass as they are; the rest, none of which has many rows, are brought
+    together. A row stays only if a set as short as its group's shortest could be similar.
+    """
+    group = Window.partitionBy("gram")
+    shortest = F.greatest(F.col("short"), F.ceil(F.col("n") * (percent / 100.0) - 1e-9))
+    rare = (
+        prefixes.where("NOT often")
+        .withColumn("lo", F.min("c1").over(group)).withColumn("hi", F.max("c1").over(group)).withColumn("short", F.min("n").over(group))
+        .where("lo <> hi").where(F.col("n") - F.col("pos") >= _needed(percent, F.col("n"), shortest))
+    )
+    columns = ["gram", "c1", "c2", "n", "pos"]
+    return rare.select(*columns).unionByName(prefixes.where("often").select(*columns)).join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).select("gram", "node", "n", "pos").distinct()
+
+
+def _fits(percent: int):
+    """Length and positional filter for a pair whose first common n-gram this is."""
+    na, nb, pa_, pb = F.col("n"), F.col("c_n"), F.col("pos"), F.col("c_pos")
+    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return length & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
+
+
+def _paired(pairs: DataFrame, of: DataFrame, column: str, test, name: str) -> DataFrame:
+    """(a, b, good) of the pairs, where ``test`` decides on what ``of`` (node, column) has
+    for either node."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                made = [make.shingles(t) for t in batch.column(0).slice(at, 300).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([make.class_of(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
-                    names=["class", "items"],
-                )
+            good = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    # A repeated id may bring rows of other classes along; the class is worked out anew.
-    ids = firsts.join(wanted, "class", "left_semi").select("doc_id")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(sets, "class long, items binary").dropDuplicates(["class"])
+    one = of.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    two = of.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return save(both.mapInArrow(check, "a long, b long, good boolean"), name)
 
 
-def _core_counts(rows: DataFrame, items: DataFrame, large: int, rare: int) -> tuple[DataFrame, DataFrame]:
-    """For the classes of large groups: (class, shared), how many of its n-grams more than
-    ``rare`` of them have; and the pairs (a, b) that have a rarer one in common.
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, items): the sets of ``wanted`` (c1, c2, node), saved.
 
-    Two of them that share no rarer n-gram have at most ``shared`` of either in common.
+    Texts are read once more; a filter of fixed size keeps back most sets that aren't
+    wanted, a join the rest.
     """
-    groups = rows.groupBy("shingle").count().where(F.col("count") > large).select("shingle")
-    hot = rows.join(groups, "shingle", "left_semi").select("class").distinct()
+    size = 1 << FILTER_BITS
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                classes = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["class", "g"]
-                )
+    def row(salt: int, bits: np.ndarray) -> dict:
+        return {"salt": pa.array([salt], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())}
 
-    each = items.join(hot, "class", "left_semi").select("class", "items").mapInArrow(listed, "class long, g long")
-    counted = save(each.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1"), "grams")
-    core = hot.join(counted.groupBy("class").agg(F.count_if(F.col("df") > rare).alias("shared")), "class", "left")
-    few = counted.where(F.col("df") <= rare)
-    one, two = few.select("g", F.col("class").alias("a")), few.select("g", F.col("class").alias("b"))
-    pairs = one.join(two, "g").where("a < b").select("a", "b").distinct()
-    return core.select("class", F.coalesce("shared", F.lit(0)).cast("int").alias("shared")), pairs
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        bits = np.zeros(size, np.bool_)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & (size - 1)] = True
+        yield pa.RecordBatch.from_pydict(row(TaskContext.get().partitionId() % 64, np.packbits(bits)))
 
-def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs of classes: the suffix filter, then their intersection."""
+    def either(table: pa.Table) -> pa.Table:
+        return pa.table(row(0, np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marked = wanted.select("c1").mapInArrow(mark, "salt int, bits binary")
+    for _ in range(2):  # 64 rows, then one, of a fixed size
+        marked = marked.groupBy("salt").applyInArrow(either, "salt int, bits binary")
+    rows = marked.collect()
+    bits = docs.sparkSession.sparkContext.broadcast(rows[0][1] if rows else bytes(size // 8))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen = Shingles(n), set()
+        known = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(np.bool_)
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
+            for part in slices(batch, 0):
+                out = []
+                for s in make.sets(part.column(0)):
+                    if len(s) and (c := class_of(s)) not in seen and known[c[0] & (size - 1)]:
+                        seen.add(c)
+                        out.append((*c, s.tobytes()))
+                if out:
+                    c1, c2, items = zip(*out)
+                    yield pa.RecordBatch.from_arrays([_column(c1, pa.int64()), _column(c2, pa.int64()), _column(items, pa.binary())], names=["c1", "c2", "items"])
+
+    found = docs.select("text").mapInArrow(sets, "c1 long, c2 long, items binary")
+    return save(found.join(wanted, ["c1", "c2"]).select("node", "items").dropDuplicates(["node"]), "items")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Which of ``pairs`` (a, b) are similar enough: the suffix filter, then the sets."""
 
-    one = items.select(F.col("class").alias("a"), F.col("items").alias("x"))
-    two = items.select(F.col("class").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
+    def may(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        return most_common(x, y) >= least_overlap(int(x.sum()), int(y.sum()), percent)
 
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        return common_items(x, y) >= least_overlap(len(x), len(y), percent)
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) whose classes lie in different components so far."""
-    if roots is None:
-        return pairs
-    of_a, of_b = (roots.select(F.col("node").alias(k), F.col("root").alias("r" + k)) for k in "ab")
-    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    likely = _paired(pairs, classes, "parts", may, "likely")
+    good = likely.where("good").select("a", "b")
+    ends = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).distinct()
+    items = _wanted_sets(docs, classes.join(ends, "node", "left_semi").select("c1", "c2", "node"), n)
+    checked = _paired(good, items, "items", similar, "checked")
+    discard(likely, items)
+    return checked
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2, large: int = 200, rare: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
-    ``rounds`` of links to centres come before the exact round; in groups of more than
-    ``large`` classes, where each of them could cost as many pairs, n-grams of at most
-    ``rare`` classes are told from the others. All three change only the work.
+    ``docs`` is read several times, and should be a table or files.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    for seed in range(16):  # another seed if two different sets should get one class
-        both = _prefixes(docs, n, percent, seed)
-        members = save(both.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "class"), "members")
-        sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-        if not has_rows(sizes.where("lo <> hi")):
-            break
-        discard(both, members)
-    prefixes = both.where("shingle IS NOT NULL").select("shingle", "class", "n", "pos")
-    classes = save(members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-    firsts = classes.where("doc_id IS NOT NULL")
-    group = Window.partitionBy("shingle")
-    met = prefixes.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group))
-    rows = save(met.where("lo <> hi").select("shingle", "class", "n", "pos").dropDuplicates(["shingle", "class"]), "met")
-    discard(both)
-    release(spark)
-    items = save(_sets(docs, firsts, rows.select("class").distinct(), n, seed), "sets")
-    shared, close = _core_counts(rows, items, large, rare)
-    close = save(close, "close")
-    rows = save(rows.join(shared, "class", "left"), "met")
-    release(spark)
-    checked, roots = None, None
-    for turn in range(rounds + 1):
-        now = rows.withColumn("root", F.col("class"))
-        if roots is not None:
-            now = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-            now = now.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi")
-        if turn < rounds:
-            centre = now.groupBy("shingle").agg(
-                F.min(F.struct(F.coalesce(F.col("n") - F.col("shared"), F.lit(0)).alias("own"), F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "shared", "root")).alias("c")
-            ).select("shingle", *[F.col("c")[k].alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
-        else:
-            centre = now.select("shingle", *[F.col(k).alias(f"c_{k}") for k in ("class", "n", "pos", "shared", "root")])
-        found = now.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & _fits(percent))
-        if turn == rounds:
-            found = found.where("class < c_class")
-        pairs = found.select(F.least("class", "c_class").alias("a"), F.greatest("class", "c_class").alias("b")).distinct()
-        if turn == rounds:
-            pairs = pairs.unionByName(_apart(close, roots)).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        if not has_rows(pairs):
-            if turn < rounds:
-                continue
-            break
-        new = save(_verified(pairs, items, percent), "checked")
-        checked = new if checked is None else checked.unionByName(new)
-        roots = save(components(checked.where("linked").select("a", "b")), "roots")
-    discard(items, rows)
-    labelled = classes.withColumn("root", F.col("class"))
-    if roots is not None:
-        labelled = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    read = _read_sets(docs, n)
+    members = read.where("n IS NOT NULL")
+    total = members.agg(F.sum("n")).collect()[0][0] or 0
+    counted = read.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times"))
+    table = counted.where(F.col("times") > max(LEAST, total // FREQUENT)).toArrow()  # at most FREQUENT rows
+    grams, times = (table.column(c).to_numpy() for c in ("gram", "times"))
+    order = np.argsort(grams.view(np.uint64))
+    frequent = grams.view(np.uint64)[order], times[order]
+    found = members.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("parts").alias("parts"))
+    classes = save(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = save(_met(_prefixes(docs, n, percent, frequent), classes, percent), "met")
+    release(docs.sparkSession)
+
+    centre = rows.groupBy("gram").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    centre = centre.select("gram", *[F.col("c")[k].alias(f"c_{k}") for k in ("node", "n", "pos")])
+    pair = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
+    star = save(rows.join(centre, "gram").where((F.col("node") != F.col("c_node")) & _fits(percent)).select(*pair).distinct(), "pairs")
+    checked = _linked(docs, classes, star, n, percent)
+    roots = save(components(checked.where("good").select("a", "b")), "roots")
+
+    # All pairs that still lie apart. In each group the classes of its largest component
+    # are only ever the other end.
+    now = save(rows.join(roots, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "rooted")
+    cells = now.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    groups = cells.groupBy("gram").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    apart = now.join(groups.select("gram", F.col("top.root").alias("top")), "gram")
+    others = apart.where("root <> top").select("gram", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "root")])
+    once = (F.col("root") == F.col("top")) | (F.col("node") < F.col("c_node"))
+    last = apart.join(others, "gram").where((F.col("root") != F.col("c_root")) & once & _fits(percent)).select(*pair).distinct()
+    last = save(last.join(star, ["a", "b"], "left_anti"), "pairs")
+    discard(star, rows, now)
+    if has_rows(last):
+        more = _linked(docs, classes, last, n, percent)
+        links = checked.unionByName(more).where("good").select("a", "b")
+        before, roots = roots, save(components(links), "roots")
+        discard(before, more)
+    discard(checked, last)
+
+    labelled = classes.join(roots, "node", "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = labelled.join(smallest, "root").select(F.col("class").alias("_class"), "component_id")
-    return members.join(of_class, F.col("class") == F.col("_class"), "left").select(
-        "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+    of_class = labelled.join(smallest, "root").select("c1", "c2", "component_id")
+    return members.join(of_class, ["c1", "c2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

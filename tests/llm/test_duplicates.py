@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from cohortloom.llm import suffix_dedup
+from cohortloom.llm import jaccard, suffix_dedup
 from cohortloom.llm.jaccard import near_duplicates
 from cohortloom.llm.suffix_dedup import remove_repeats, repeated_windows, two_stage_sort
 
@@ -34,9 +34,10 @@ def brute_components(rows, percent=80):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize(("large", "rare"), [(1, 2), (4, 2), (200, 8)])
-def test_components_against_brute_force(spark, large, rare):
-    rng = random.Random(4)
+@pytest.mark.parametrize(("seed", "frequent"), [(4, 1 << 20), (5, 100), (6, 20)])
+def test_components_against_brute_force(spark, monkeypatch, seed, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(seed)
     rows, n = [], 0
     for _ in range(8):
         base = words(rng, rng.randint(3, 120))
@@ -46,7 +47,7 @@ def test_components_against_brute_force(spark, large, rare):
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one two"), (n + 4, "ONE  two"), (n + 5, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, class string, n int").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs, large=large, rare=rare).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}
     assert got == brute_components(rows)
 
 
@@ -62,6 +63,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == [("3", 2, "3"), ("3", 2, "3"), ("None", 2, "None")]
 
 
+def test_a_group_of_near_copies_of_which_few_link(spark):
+    rng = random.Random(9)
+    base = words(rng, 150)
+    rows = [(i, " ".join(f"x{rng.randint(0, 99999)}" if rng.random() < 0.03 else w for w in base)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == brute_components(rows) and 1 < len({c for _, c in got.values()}) < 120
+
+
+def test_a_row_without_an_id_links_others(spark):
+    a = [f"w{i}" for i in range(60)]
+    b = [*a[:-4], "v1", "v2", "v3", "v4"]
+    c = ["u1", "u2", "u3", "u4", *b[4:]]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b, c)]
+    near = [100 * len(x & y) >= 80 * len(x | y) for x, y in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+    assert near == [True, True, False]
+    for middle, want in ((2, {1: 1, 2: 1, 3: 1}), (None, {1: 1, None: 1, 3: 1})):
+        docs = spark.createDataFrame([(1, " ".join(a)), (middle, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == want
+
+
 def brute_removed(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
