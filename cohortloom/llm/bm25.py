@@ -1,15 +1,20 @@
-"""Exact top-k search by BM25 over inverted indexes with block-max pruning.
-
-Documents are dealt to shards of bounded size. A shard's index has, for every term, its
-postings in document order and, for every block of neighbouring documents, the greatest
-impact that the term has there. For a query the greatest impacts of its terms add up to
-what a document of a block could reach at most; as in WAND, blocks whose bound lies below
-the k-th best score so far are never opened. Collection size, average length and document
-frequencies are those of all documents, so the shards' scores merge exactly.
-
-Queries stream past every shard's index. Scores are compared after rounding to six decimals,
-ties by the smaller id. Null and empty texts match nothing and, as queries, find nothing;
-repeated rows are found as often as they are there. Whole texts are indexed and queried.
+"""Exact top-k search by BM25 over inverted indexes with block-max WAND pruning.
+
+Documents are cut into shards of a bounded number of bytes where they lie, without a
+shuffle. A shard's index has, for every term, its postings in document order and, for every
+block of neighbouring documents, the greatest impact that the term has there. A query's
+pivot is the point up to which its terms, the weakest first, can't reach the k-th best score
+so far: blocks whose maxima add up to less are never opened, and in an opened block only
+documents with a posting of a term at or beyond the block's pivot are scored. The k-th best
+score goes along from shard to shard, first from a few shards to all others. Collection
+size, average length and document frequencies are those of all documents, so the shards'
+scores merge exactly.
+
+Queries go to the shards in blocks of a bounded number of terms. Scores are compared after
+rounding to six decimals, ties by the smaller id. Null and empty texts match nothing and, as
+queries, find nothing; repeated rows are found as often as they are there, and a repeated
+query counts its words again. Texts of any length are read whole. An empty table of
+documents or of queries gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,141 +26,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, spread
+from .common import discard, save
+from .idcache import ranges
+from .words import WordHasher, slices
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 K1, B = 1.2, 0.75
 BLOCK = 32
+#: Terms of the queries that go out together, and one in how many shards is searched first.
+BLOCK_TERMS, AHEAD = 1 << 20, 12
+RAW = {"lengths": np.int64, "terms": np.int64, "starts": np.int64, "docs": np.int32, "times": np.int32}
 
 
-def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of a text as 64-bit hashes, and how often each occurs."""
-    import xxhash
-
-    words = (text or "").encode().translate(LOWER).split()
-    own, times = {}, []
-    for w in words:
-        if (i := own.setdefault(w, len(own))) == len(times):
-            times.append(0)
-        times[i] += 1
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in own], np.uint64).view(np.int64)
-    return hashes, np.array(times, np.int64)
+def counted(h: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, ...]:
+    """Distinct hashes, where each one's postings start, and the postings: owner and count."""
+    terms, of = np.unique(h, return_inverse=True)
+    key, times = np.unique(of * max(1, owners) + owner, return_counts=True)
+    term_of = key // max(1, owners)
+    starts = np.searchsorted(term_of, np.arange(len(terms) + 1))
+    return terms.view(np.int64), starts, (key - term_of * max(1, owners)).astype(np.int32), times.astype(np.int32)
 
 
 class Index:
     """Postings of one shard, with the impacts that global statistics give them."""
 
     def __init__(self, ids: list, lengths: np.ndarray, terms: np.ndarray, starts: np.ndarray, docs: np.ndarray, times: np.ndarray, mean_length: float):
-        self.ids, self.terms, self.starts, self.docs = ids, terms, starts, docs
+        self.ids, self.terms, self.docs = ids, terms.view(np.uint64), docs
         self.impact = times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[docs] / mean_length))
-        term_of = np.repeat(np.arange(len(terms)), np.diff(starts))
-        key = term_of * (len(ids) // BLOCK + 1) + docs // BLOCK
-        self.block_at = np.concatenate([np.nonzero(np.diff(key, prepend=-1))[0], [len(docs)]]).astype(np.int64)
+        self.blocks = len(ids) // BLOCK + 1
+        edge = np.ones(len(docs), np.bool_)
+        edge[1:] = docs[1:] // BLOCK != docs[:-1] // BLOCK
+        edge[starts[:-1]] = True
+        self.block_at = np.append(np.nonzero(edge)[0], len(docs))
         first = self.block_at[:-1]
         self.block = docs[first] // BLOCK
         self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.block_starts = np.searchsorted(first, starts)
+        self.opened = self.scored = 0
 
-    def search(self, query: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(document, score) of the k best, in order."""
-        at = np.searchsorted(self.terms, query)
+    def search(self, query: np.ndarray, weight: np.ndarray, k: int, limit: float = 0.0) -> list[tuple[int, float]]:
+        """(document, score) of the k best that can reach ``limit``, in order."""
+        at = np.searchsorted(self.terms, query.view(np.uint64))
         inside = at < len(self.terms)
-        inside[inside] = self.terms[at[inside]] == query[inside]
+        inside[inside] = self.terms[at[inside]] == query.view(np.uint64)[inside]
         at, weight = at[inside], weight[inside]
         if not len(at):
             return []
         a, b = self.block_starts[at], self.block_starts[at + 1]
-        entries = ranges(a, b)
-        entry_weight = np.repeat(weight, b - a)
-        blocks = len(self.ids) // BLOCK + 1
-        bound = np.bincount(self.block[entries], entry_weight * self.block_max[entries], blocks)
-        order = np.argsort(-bound, kind="stable")
-        best_docs, best_scores, limit, opened, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, max(2, k // 4)
-        while opened < blocks and bound[order[opened]] > limit:
+        entries, wide = ranges(a, b - a), b - a
+        bound = np.repeat(weight, wide) * self.block_max[entries]
+        block = self.block[entries]
+        total = np.bincount(block, bound, self.blocks)
+        may = np.nonzero(total > limit)[0]
+        order = may[np.argsort(-total[may], kind="stable")]
+        best_docs, best_scores, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, max(2, k // 4)
+        while opened < len(order) and total[order[opened]] > limit:
             take = order[opened : opened + step]
-            take = take[bound[take] > limit]
+            take = take[total[take] > limit]
             opened, step = opened + step, step * 2
-            mask = np.zeros(blocks, np.bool_)
+            self.opened += len(take)
+            mask = np.zeros(self.blocks, np.bool_)
             mask[take] = True
-            pick = mask[self.block[entries]]
-            e = entries[pick]
-            low, high = self.block_at[e], self.block_at[e + 1]
-            postings = ranges(low, high)
-            score = np.bincount(self.docs[postings], np.repeat(entry_weight[pick], high - low) * self.impact[postings], len(self.ids))
-            found = np.nonzero(score)[0]
+            pick = np.nonzero(mask[block])[0]
+            low, n = self.block_at[entries[pick]], self.block_at[entries[pick] + 1] - self.block_at[entries[pick]]
+            postings = ranges(low, n)
+            docs = self.docs[postings]
+            score = np.bincount(docs, np.repeat(np.repeat(weight, wide)[pick], n) * self.impact[postings], len(self.ids))
+            if limit > 0:
+                # The weakest terms of a block that together stay below the limit have no candidates.
+                by = np.lexsort((bound[pick], block[pick]))
+                summed = np.cumsum(bound[pick][by])
+                opens = np.nonzero(np.diff(block[pick][by], prepend=-1))[0]
+                before = np.repeat(summed[opens] - bound[pick][by][opens], np.diff(np.append(opens, len(by))))
+                strong = np.empty(len(by), np.bool_)
+                strong[by] = summed - before > limit
+                candidate = np.zeros(len(self.ids), np.bool_)
+                candidate[docs[np.repeat(strong, n)]] = True
+                score[~candidate] = 0
+            found = np.nonzero(score > max(0.0, limit))[0]
+            self.scored += len(found)
             docs, scores = np.concatenate([best_docs, found]), np.concatenate([best_scores, np.round(score[found], 6)])
             if len(docs) > k:
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                 keep = scores >= kth
-                docs, scores, limit = docs[keep], scores[keep], kth - 1e-5
+                docs, scores, limit = docs[keep], scores[keep], max(limit, kth - 1e-5)
             best_docs, best_scores = docs, scores
         ranked = sorted(zip(best_docs.tolist(), best_scores.tolist()), key=lambda x: (-x[1], self.ids[x[0]] is not None, self.ids[x[0]]))
         return ranked[:k]
 
 
-def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All numbers of all ranges [start, end), one range after another."""
-    wide = ends - starts
-    return np.arange(wide.sum()) + np.repeat(starts - (np.cumsum(wide) - wide), wide)
-
-
-def build_indexes(docs: DataFrame, shard_docs: int) -> DataFrame:
+def build_indexes(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """One row a shard: its ids, lengths and postings, sorted by term and document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = docs.select("doc_id", "text", spread(shards, "doc_id").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        hashes, times, current = [], [], None
+        from pyspark import TaskContext
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if not ids:
-                return
-            lengths = np.array([t.sum() for t in times], np.int64)
-            docs_of = np.repeat(np.arange(len(ids), dtype=np.int32), [len(h) for h in hashes])
-            h, t = np.concatenate(hashes), np.concatenate(times).astype(np.int32)
-            order = np.lexsort((docs_of, h))
-            terms, starts = np.unique(h[order], return_index=True)
-            raw = [lengths, terms, np.append(starts, len(h)).astype(np.int64), docs_of[order], t[order]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([current], pa.int32()), pa.array([ids], pa.list_(arrow_kind)), *[pa.array([x.tobytes()], pa.binary()) for x in raw]],
-                names=["shard", "ids", "lengths", "terms", "starts", "docs", "times"],
+        make, number = WordHasher(), TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        hashes, lengths, size = [], [], 0
+
+        def done() -> pa.RecordBatch:
+            n = np.concatenate(lengths)
+            owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
+            raw = [n, *counted(np.concatenate(hashes), owner, len(n))]
+            listed = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed),
+                    *[pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(raw, RAW.values())],
+                ],
+                names=["shard", "ids", *RAW],
             )
 
         for batch in batches:
-            for i, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != current:
-                    yield from done()
-                    ids, hashes, times, current = [], [], [], shard
-                h, t = terms_of(text)
-                ids.append(i)
+            for part in slices(batch, 1, 1 << 19):
+                h, starts = make.hashes(part.column(1))
+                ids.append(part.column(0))
                 hashes.append(h)
-                times.append(t)
-        yield from done()
-
-    spread_out = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    return spread_out.mapInArrow(
-        run, f"shard int, ids array<{kind}>, lengths binary, terms binary, starts binary, docs binary, times binary"
-    )
+                lengths.append(np.diff(starts))
+                size += part.column(1).nbytes + 8 * part.num_rows
+                if size >= shard_bytes:
+                    yield done()
+                    ids, hashes, lengths, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield done()
 
+    return docs.mapInArrow(run, f"shard long, ids array<{kind}>, " + ", ".join(f"{c} binary" for c in RAW))
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 8192) -> DataFrame:
-    """(query_id, rank, doc_id, score): for every row of ``queries`` the k best of ``docs``.
 
-    Both have ``doc_id`` and ``text``.
-    """
-    index = save(build_indexes(docs.select("doc_id", "text"), shard_docs), "index")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    query_kind = queries.schema["doc_id"].dataType.simpleString()
+def _weighted(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
+    """(query_id, terms) with each distinct word's hash and weight; the average length."""
+    kind = queries.schema["doc_id"].dataType.simpleString()
 
     def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = WordHasher()
         for batch in batches:
-            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h, n = terms_of(text)
+            for part in slices(batch, 1, 1 << 19):
+                h, starts = make.hashes(part.column(1))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(starts))
+                terms, at, docs, times = counted(h, owner, part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * len(h), batch.column(0).type), pa.array(h), pa.array(n)], names=["query_id", "h", "n"]
+                    [part.column(0).take(pa.array(docs)), pa.array(np.repeat(terms, np.diff(at))), pa.array(times.astype(np.int64))],
+                    names=["query_id", "h", "n"],
                 )
 
     def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,48 +179,93 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 81
                     [
                         pa.array(np.append(np.frombuffer(terms, np.int64), [0, 0])),
                         pa.array(np.append(np.diff(np.frombuffer(starts, np.int64)), [len(lengths), lengths.sum()])),
-                        pa.array(np.append(np.zeros(len(starts) // 8 - 1, np.int32), [1, 2]).astype(np.int32)),
+                        pa.array(np.append(np.zeros(len(terms) // 8, np.int32), [1, 2]).astype(np.int32)),
                     ],
                     names=["h", "df", "what"],
                 )
 
-    asked = save(queries.select("doc_id", "text").mapInArrow(query_terms, f"query_id {query_kind}, h long, n long"), "terms")
-    counts = save(index.select("terms", "starts", "lengths").mapInArrow(term_counts, "h long, df long, what int").groupBy("h", "what").agg(F.sum("df").alias("df")), "df")
+    asked = queries.mapInArrow(query_terms, f"query_id {kind}, h long, n long")
+    counts = index.select("terms", "starts", "lengths").mapInArrow(term_counts, "h long, df long, what int")
+    counts = save(counts.groupBy("h", "what").agg(F.sum("df").alias("df")), "df")
     whole = {r[0]: r[1] for r in counts.where("what > 0").select("what", "df").collect()}  # two numbers
     total, mean_length = whole.get(1, 0), max(1.0, whole.get(2, 0) / max(1, whole.get(1, 0)))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(counts.where("what = 0").select("h", "df"), "h").select("query_id", "h", (F.col("n") * idf).alias("w"))
-    each = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("terms"))
-    shards = [r[0] for r in index.select("shard").collect()]  # one number a shard
-    if not shards:
-        return each.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    # A shard's index comes first, then the queries: it is read once, and they pass by.
-    columns = ["ids", "lengths", "terms", "starts", "docs", "times"]
-    indexes = index.select("shard", F.lit(0).alias("kind"), *[F.col(c).alias("i_" + c) for c in columns])
-    sent = each.select(F.explode(F.array(*map(F.lit, shards))).alias("shard"), F.lit(1).alias("kind"), "query_id", "terms")
-    both = indexes.unionByName(sent, allowMissingColumns=True).repartition(len(shards), "shard").sortWithinPartitions("shard", "kind")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = None
-        for batch in batches:
-            of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            kinds, out = of["kind"].to_pylist(), []
-            for at, is_query in enumerate(kinds):
-                if not is_query:
-                    raw = [np.frombuffer(of["i_" + c][at].as_py(), d) for c, d in zip(columns[1:], (np.int64, np.int64, np.int64, np.int32, np.int32))]
-                    made = Index(of["i_ids"][at].as_py(), *raw, mean_length)
-                    continue
-                terms = of["terms"][at].values
-                h, w = terms.field("h").to_numpy(), terms.field("w").to_numpy()
-                out += [(of["query_id"][at].as_py(), made.ids[d], s) for d, s in made.search(h, w, k)]
-            found = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0], query_arrow), pa.array(found[1], doc_arrow), pa.array(found[2], pa.float64())],
-                names=["query_id", "doc_id", "score"],
-            )
+    each = save(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("terms")), "queries")
+    discard(counts)
+    return each, mean_length
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20) -> DataFrame:
+    """(query_id, rank, doc_id, score): for every row of ``queries`` the k best of ``docs``.
+
+    Both have ``doc_id`` and ``text``. Work grows with the product of both, as every query
+    meets every shard; memory, broadcasts and shuffles don't.
+    """
+    spark = docs.sparkSession
+    index = save(build_indexes(docs.select("doc_id", "text"), shard_bytes), "index")
+    asked, mean_length = _weighted(index, queries.select("doc_id", "text"))
+    kind, query_kind = docs.schema["doc_id"].dataType.simpleString(), queries.schema["doc_id"].dataType.simpleString()
+    out = f"query long, doc_id {kind}, score double"
+
+    def block_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms = rows.column("terms").combine_chunks()
+        terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
+        return terms.offsets.to_numpy().astype(np.int64), terms.values.field("h").to_numpy(), terms.values.field("w").to_numpy()
+
+    def found_by(shards: DataFrame, block, limits) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (offsets, h, w), limit = block.value, limits.value.copy()
+            best: list[list] = [[] for _ in limit]
+            doc_type = pa.null()
+            for batch in batches:
+                doc_type = batch.column(0).type.value_type
+                for at in range(batch.num_rows):
+                    raw = [np.frombuffer(batch.column(i + 1)[at].as_py(), t) for i, t in enumerate(RAW.values())]
+                    made = Index(batch.column(0)[at].as_py(), *raw, mean_length)
+                    for q in range(len(limit)):
+                        got = made.search(h[offsets[q] : offsets[q + 1]], w[offsets[q] : offsets[q + 1]], k, limit[q])
+                        if got:
+                            both = best[q] + [(s, made.ids[d]) for d, s in got]
+                            both.sort(key=lambda x: (-x[0], x[1] is not None, x[1]))
+                            best[q] = both[:k]
+                            if len(both) >= k:
+                                limit[q] = max(limit[q], best[q][-1][0] - 1e-5)
+            rows = [(q, i, s) for q, found in enumerate(best) for s, i in found]
+            if not rows:
+                return
+            q, i, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, doc_type), pa.array(s, pa.float64())], names=["query", "doc_id", "score"])
+
+        return shards.select("ids", *RAW).mapInArrow(search, out)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    query_arrow, doc_arrow = arrow[query_kind], arrow[kind]
-    found = both.mapInArrow(search, f"query_id {query_kind}, doc_id {kind}, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    terms = asked.agg(F.sum(F.size("terms"))).collect()[0][0] or 0
+    blocks, results = max(1, -(-terms // BLOCK_TERMS)), []
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+    ahead = F.pmod(F.xxhash64("shard"), F.lit(AHEAD)) == 0
+    for number in range(blocks):
+        part = save(dealt.where(F.col("block") == number).select(F.monotonically_increasing_id().alias("query"), "query_id", "terms"), "block")
+        rows = part.select("query", "terms").toArrow()  # about BLOCK_TERMS terms
+        if not rows.num_rows:
+            continue
+        numbers = rows.column("query").to_numpy()
+        block = spark.sparkContext.broadcast(block_of(rows))
+        limits = np.zeros(len(numbers))
+        first = save(found_by(index.where(ahead), block, spark.sparkContext.broadcast(limits)), "ahead")
+        nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+        kth = first.withColumn("nth", nth).where(F.col("nth") == k).select("query", "score").toArrow()  # one row a query of the block
+        limits[kth.column("query").to_numpy()] = kth.column("score").to_numpy() - 1e-5
+        rest = found_by(index.where(~ahead), block, spark.sparkContext.broadcast(limits))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc_id"))
+        ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        names = spark.createDataFrame([(i, n) for i, n in enumerate(numbers.tolist())], "query long, _number long")
+        named = ranked.join(names, "query").join(part.select(F.col("query").alias("_number"), "query_id"), "_number")
+        results.append(save(named.select("query_id", "rank", "doc_id", "score"), "found"))
+        discard(first, part)
+        block.unpersist()
+    if not results:
+        return asked.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
+    every = results[0]
+    for more in results[1:]:
+        every = every.unionByName(more)
+    return every

@@ -13,19 +13,24 @@ MULTIPLIER = 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 
 
+def byte_numbers(seed: int) -> np.ndarray:
+    """A random 64-bit number for each byte."""
+    return np.random.default_rng(seed).integers(1, MASK, 256, np.uint64, endpoint=True)
+
+
 def _letters(seed: int) -> np.ndarray:
-    """A random 64-bit number for each byte; A-Z as a-z, separators 0."""
-    out = np.random.default_rng(seed).integers(1, MASK, 256, np.uint64, endpoint=True)
+    """The same with A-Z as a-z, and 0 for separators."""
+    out = byte_numbers(seed)
     out[65:91] = out[97:123]
     out[[9, 10, 11, 12, 13, 32]] = 0
     return out
 
 
-def _powers(factor: int) -> np.ndarray:
-    out = np.empty(PIECE, np.uint64)
+def _powers(factor: int, size: int = PIECE) -> np.ndarray:
+    out = np.empty(size, np.uint64)
     out[0], have = 1, 1
-    while have < PIECE:
-        more = min(have, PIECE - have)
+    while have < size:
+        more = min(have, size - have)
         out[have : have + more] = out[:more] * np.uint64(pow(factor, have, 1 << 64))
         have += more
     return out
@@ -38,6 +43,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class RangeHasher:
+    """64-bit hashes of stretches of bytes, by differences of running sums."""
+
+    def __init__(self, letter: np.ndarray):
+        self.letter, self.size = letter, 0
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) > self.size:
+            self.size = max(PIECE, 1 << (len(data) - 1).bit_length())
+            self.power, self.inverse = _powers(MULTIPLIER, self.size), _powers(pow(MULTIPLIER, -1, 1 << 64), self.size)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(np.take(self.letter, data, mode="clip") * self.power[: len(data)], out=sums[1:])
+            return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 class WordHasher:
     """64-bit hashes of the words of many texts; a word is a run of bytes other than
     white space, in lower case as far as A-Z go.

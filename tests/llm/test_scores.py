@@ -3,15 +3,17 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm.bm25 import top_k
+from cohortloom.llm.bm25 import Index, counted, top_k
 from cohortloom.llm.hidden_markov import CLASSES, END, Model, score_texts
 from cohortloom.llm.quality_rules import host_quality
 from cohortloom.llm.sharding import shard_documents, text_hub
 from cohortloom.llm.surrogates import entities, luhn, permuted, replace_entities, second_tries, surrogate
 from cohortloom.llm.toxicity import Scorer, choose_stems, toxicity
+from cohortloom.llm.words import WordHasher
 
 KEY = b"k"
 
@@ -70,13 +72,43 @@ def test_language_model_counts_and_gain(spark):
     assert score_texts(docs_of(spark, [])).count() == 0
 
 
+def test_blocks_below_the_pivot_stay_closed():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{min(200, int(x))}" for x in rng.exponential(30, 40)) + (f" r{i // 40}" * 3) for i in range(2000)]
+    h, starts = WordHasher().hashes(pa.array(texts))
+    n = np.diff(starts)
+    terms, at, docs, times = counted(h, np.repeat(np.arange(2000), n), 2000)
+    index = Index(list(range(2000)), n, terms, at, docs, times, n.mean())
+    asked = np.unique(h[starts[7] : starts[8]]).view(np.int64)
+    where = np.searchsorted(terms.view(np.uint64), asked.view(np.uint64))
+    rare = np.argsort(np.diff(at)[where])[[0, 1, 20]]
+    asked, where = asked[np.sort(rare)], where[np.sort(rare)]
+    weight = np.log(1 + 2000 / np.diff(at)[where])
+    score = np.zeros(2000)
+    for t, w in zip(where, weight):
+        score[docs[at[t] : at[t + 1]]] += w * index.impact[at[t] : at[t + 1]]
+    want = sorted(range(2000), key=lambda i: (-round(score[i], 6), i))[:5]
+    assert [d for d, _ in index.search(asked, weight, 5)] == want
+    assert index.opened < index.blocks / 2
+    opened, scored = index.opened, index.scored
+    assert [d for d, _ in index.search(asked, weight, 5, round(score[want[4]], 6) - 1e-5)] == want
+    assert index.opened - opened <= opened and index.scored - scored < scored
+
+
+def test_search_of_nothing(spark):
+    some, none = docs_of(spark, [(1, "a b", "s"), (1, "a b", "s"), (None, "a", "s")]), docs_of(spark, [])
+    assert top_k(none, some).count() == 0 and top_k(some, none).count() == 0
+    got = sorted((r["rank"], r["doc_id"]) for r in top_k(some, some.where("doc_id = 1").limit(1), 2).collect())
+    assert got == [(1, 1), (2, 1)]
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{min(60, int(x))}" for x in rng.exponential(15, rng.integers(0, 60))) for _ in range(300)]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(300, None, "s"), (301, texts[5], "s")]
     docs = docs_of(spark, rows)
     got = {}
-    for r in top_k(docs, docs.where("doc_id % 25 = 0"), 5, shard_docs=50).collect():
+    for r in top_k(docs, docs.where("doc_id % 25 = 0"), 5, shard_bytes=2000).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     bags = [(i, (t or "").split()) for i, t, _ in rows]
     mean = sum(len(b) for _, b in bags) / len(bags)
