@@ -3,40 +3,32 @@
 A token of the vocabulary is a run of bytes. Two neighbouring bytes that stand together
 inside no token can never be merged, so a cut between them is certain: what lies on
 either side is encoded on its own and the ids are put one after another. The cuts make
-the fragments short and few, and a worker encodes each of them once.
+the fragments short. All fragments of a batch that a worker doesn't know yet are merged
+side by side, a step of array operations at a time; ids are looked up by hashes of 64 bits.
 
 Null texts count as empty and give no tokens. Repeated rows are encoded like any others;
 extra columns are ignored. Texts of any length are taken whole: a fragment without a
-certain cut is merged with a heap, in n log n steps.
+certain cut is merged with a heap, in n log n steps. An empty table gives an empty result.
+Ties between pairs can't arise: every pair has a rank of its own.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import json
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .idcache import IdCache
+from .merges import byte_letters, merger_of
+from .words import RangeHasher, byte_numbers, slices, text_bytes
+
 #: White space as Unicode has it. Fixed values.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: A word with the blank before it, or white space: no pre-token crosses these.
-CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-KEPT_LENGTH, KEPT = 48, 250_000
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, extra = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else extra))
-        extra += b not in plain
-    return out
 
 
 class ByteBpe:
@@ -51,24 +43,24 @@ class ByteBpe:
         of_letter = {c: b for b, c in enumerate(letters)}
         vocab = file["model"]["vocab"]
         self.token = {i: bytes(map(of_letter.__getitem__, t)) for t, i in vocab.items()}
-        self.first = [vocab[c] for c in letters]
-        self.rank: dict[int, int] = {}
-        self.made: list[int] = []
-        for rank, pair in enumerate(file["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[a] << 32 | vocab[b]] = rank
-            self.made.append(vocab[a + b])
+        self.first = np.array([vocab[c] for c in letters], np.int64)
+        self.merger = merger_of(file["model"])
         self.joined = {(t[i], t[i + 1]) for t in self.token.values() for i in range(len(t) - 1)}
-        added = {x["content"]: x["id"] for x in file["added_tokens"]}
-        for text, i in added.items():
+        self.side_by_side = np.zeros((256, 256), np.bool_)
+        self.side_by_side[tuple(np.array(sorted(self.joined)).T)] = True
+        self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        for text, i in self.added.items():
             self.token[i] = text.encode()
-        self.added = added
-        self.split_added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.words = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         )
-        self.fragments: dict[bytes, list[int]] = {}
-        self.chunks: dict[str, tuple[int, str, bytes]] = {}
+        spaces = [c.encode() for c in map(chr, range(128, 1 << 16)) if not 0xD800 <= ord(c) < 0xE000 and c.isspace()]
+        self.wide_spaces = {c: len(c) for c in spaces}
+        top = max(self.token) + 1
+        plain = [str(i) for i in range(top)]
+        self.names = pa.array(plain + ["," + x for x in plain])
+        self.raw = pa.array([self.token.get(i, b"") for i in range(top)], pa.binary())
+        self.hasher, self.cache = RangeHasher(byte_numbers(5)), IdCache()
 
     def cuts(self, word: bytes) -> list[bytes]:
         """``word`` in fragments, cut between bytes that no token has side by side."""
@@ -82,81 +74,112 @@ class ByteBpe:
         out.append(word[start:])
         return out
 
-    def merge(self, fragment: bytes) -> list[int]:
-        """The ids of one fragment: always the pair of lowest rank, leftmost first."""
-        ids = [self.first[b] for b in fragment]
-        if len(ids) > 60:
-            return self._merge_long(ids)
-        rank, none = self.rank.get, len(self.made)
-        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i : i + 2] = [new] = [self.made[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 32 | new, none)
-            if i < len(ranks):
-                ranks[i] = rank(new << 32 | ids[i + 1], none)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        n, found = len(ids), lambda a, b: self.rank.get(a << 32 | b)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := found(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = right[i]
-            if j >= n or ids[i] < 0 or found(ids[i], ids[j]) != r:
-                continue  # one of the two has been merged since
-            ids[i], ids[j], right[i] = self.made[r], -1, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := found(ids[x], ids[y])) is not None:
-                    heapq.heappush(heap, (r, x))
-        return [i for i in ids if i >= 0]
-
-    def encode_fragment(self, fragment: bytes) -> list[int]:
-        ids = self.fragments.get(fragment)
-        if ids is None:
-            ids = self.merge(fragment)
-            if len(fragment) <= KEPT_LENGTH:
-                if len(self.fragments) >= KEPT:
-                    self.fragments.clear()
-                self.fragments[fragment] = ids
-        return ids
-
-    def encode_chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids as text, and the bytes that the ids decode to."""
-        ids: list[int] = []
-        for word in self.words.findall(chunk):
-            for fragment in self.cuts(word.encode()):
-                ids += self.encode_fragment(fragment)
-        out = len(ids), ",".join(map(str, ids)), b"".join([self.token[i] for i in ids])
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
-            self.chunks[chunk] = out
-        return out
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and the ids. A chunk is split into words, and words
+        are cut between bytes that no token has side by side."""
+        lengths, owner, special = [], [], []
+        for k, raw in enumerate(chunks):
+            text = raw.decode()
+            if text in self.added:
+                special.append(k)
+                lengths.append(len(raw))
+                owner.append(k)
+            elif text.isascii() and text[text[:1] == " " :].isalpha():
+                lengths.append(len(raw))
+                owner.append(k)
+            else:
+                words = self.words.findall(text)
+                lengths += [len(w.encode()) for w in words]
+                owner += [k] * len(words)
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        sizes = np.array(lengths, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        edge = np.zeros(len(data), np.bool_)
+        edge[1:] = ~self.side_by_side[data[:-1], data[1:]]
+        for k in special:
+            at = begin[owner.index(k)]
+            edge[at : at + len(chunks[k])] = False
+        edge[begin] = True
+        starts = np.nonzero(edge)[0]
+        counts, ids = self.merger.merge_all(self.first[data], starts)
+        of = np.array(owner)[np.searchsorted(begin, starts, "right") - 1]
+        total = np.bincount(of, counts, len(chunks)).astype(np.int64)
+        if special:
+            keep = np.ones(len(ids), np.bool_)
+            first = np.cumsum(total) - total
+            for k in special:
+                ids[first[k]] = self.added[chunks[k].decode()]
+                keep[first[k] + 1 : first[k] + total[k]] = False
+            ids, total[special] = ids[keep], 1
+        return total, ids
+
+    def chunk_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks start in texts that lie one after another from ``offsets``. Chunks
+        are words with the blank before them and runs of white space; no pre-token crosses
+        their borders, and added tokens are chunks of their own."""
+        ascii_space = (data == 32) | ((data >= 9) & (data <= 13))
+        space, text_start = ascii_space.copy(), np.zeros(len(data) + 1, np.bool_)
+        text_start[offsets] = True
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token.encode())
+            while at >= 0:
+                end = at + len(token.encode())
+                if not text_start[at + 1 : end].any():
+                    text_start[[at, end]] = True
+                    at = raw.find(token.encode(), end)
+                else:
+                    at = raw.find(token.encode(), at + 1)
+        wide = np.zeros(len(data), np.int8)
+        for lead in np.nonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))[0] if (data >= 0xC2).any() else ():
+            letter = self.wide_spaces.get(raw[lead : lead + 2]) or self.wide_spaces.get(raw[lead : lead + 3])
+            if letter:
+                space[lead : lead + letter] = True
+                wide[lead + letter - 1] = letter
+        mark = text_start[:-1].copy()
+        before = np.zeros(len(data), np.bool_)
+        before[1:] = space[:-1]
+        before[text_start[:-1]] = False
+        mark |= space & ~before  # a run of white space starts
+        word = np.nonzero(before & ~space)[0]  # a word starts behind white space
+        last = word - np.maximum(1, wide[word - 1])
+        mark[last] = True
+        mark[word[data[last] != 32]] = True
+        return np.nonzero(mark)[0]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of ids, the ids as text, and the decoded text, of every text."""
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(len(texts), np.int64), pa.array([""] * len(texts)), pa.array([""] * len(texts))
+        starts = self.chunk_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes = self.hasher.hashes(data, starts, ends)
+        ids, counts = self.cache.sequence(hashes, lambda at: self.encode_chunks([data[starts[i] : ends[i]].tobytes() for i in at.tolist()]))
+        total = np.append(0, np.cumsum(counts))
+        bounds = total[np.searchsorted(starts, offsets)]  # of each text's ids
+        opens = np.zeros(len(ids) + 1, np.bool_)
+        opens[bounds] = True
+        named = self.names.take(pa.array(np.where(opens[:-1], ids, ids + len(self.names) // 2)))
+        return np.diff(bounds), _regrouped(named, bounds), _regrouped(self.raw.take(pa.array(ids)), bounds)
 
     def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as text, and the decoded text."""
-        n, texts, raw = 0, [], []
-        parts = self.split_added.split(text) if self.split_added else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                i = self.added[part]
-                n, texts, raw = n + 1, [*texts, str(i)], [*raw, self.token[i]]
-                continue
-            known, new = self.chunks.get, self.encode_chunk
-            done = [known(c) or new(c) for c in CHUNK.findall(part)]
-            if done:
-                counts, ids, data = zip(*done)
-                n += sum(counts)
-                texts.append(",".join(ids))
-                raw.append(b"".join(data))
-        return n, ",".join(texts), b"".join(raw).decode("utf-8", "replace")
+        n, ids, decoded = self.encode_texts(pa.array([text], pa.string()))
+        return int(n[0]), ids[0].as_py(), decoded[0].as_py()
+
+
+def _regrouped(strings: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The strings between neighbouring bounds put together; bytes that are no UTF-8 are
+    replaced as Python does it."""
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1][bounds]
+    out = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), data or pa.py_buffer(b"")])
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = out.view(pa.binary()).to_pylist()
+        out = pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,18 +199,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                done = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([d[0] for d in done], pa.int64()),
-                        pa.array([d[1] for d in done], pa.string()),
-                        pa.array([d[2] for d in done], pa.string()),
-                    ],
-                    names=[id_col, "n_tokens", "ids", "decoded"],
-                )
+            for part in slices(batch, 1, 1 << 19):
+                n, ids, decoded = bpe.encode_texts(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids, decoded], names=[id_col, "n_tokens", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col), F.col(text_col))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string")
