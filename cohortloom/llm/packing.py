@@ -17,6 +17,8 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, save, spread
+from .idcache import IdCache, ranges
+from .merges import byte_letters, merger_of
+from .words import RangeHasher, byte_numbers, slices, text_bytes
 
-KEPT_LENGTH, KEPT = 40, 500_000
+
+#: Words that no normalisation but lower case changes, without apostrophes.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space, word by word.
 
-    White space ends every word before any merge, so the library encodes a word once,
-    many words in one call with a special token between them, and it is looked up
-    afterwards. Breaks are blank, newline and tab; other white space stays in its word.
+    White space ends every word before any merge, so a word is encoded once and its ids are
+    looked up afterwards. New words of plain letters, digits and signs are merged side by
+    side; the library encodes all others, many in one call with a special token between
+    them. Breaks are blank, newline and tab; other white space stays in its word.
     """
 
     def __init__(self, path: str):
@@ -45,31 +53,74 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
-        self.known: dict[str, bytes] = {"": b""}
+        self.hasher, self.cache = RangeHasher(byte_numbers(6)), IdCache()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, end = byte_letters(), model["end_of_word_suffix"]
+        self.first = np.array([[model["vocab"][c + e] for c in letters] for e in ("", end)])
+        self.merger = merger_of(model)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word of plain letters, digits and signs has, and the ids: runs
+        of letters or signs and single digits are merged on their own."""
+        data = np.frombuffer("".join(words).lower().encode(), np.uint8)
+        sizes = np.array([len(w) if w.isascii() else len(w.encode()) for w in words])
+        begin = np.cumsum(sizes) - sizes
+        digit = (data >= 48) & (data <= 57)
+        kind = ((data >= 97) & (data <= 122)) | (data >= 128)
+        edge = digit.copy()
+        edge[1:] |= digit[:-1] | (kind[1:] != kind[:-1])
+        edge[begin] = True
+        starts, ends = np.nonzero(edge)[0], np.append(edge[1:], True).astype(np.int8)
+        counts, ids = self.merger.merge_all(self.first[ends, data], starts)
+        of = np.searchsorted(begin, starts, "right") - 1
+        return np.bincount(of, counts, len(words)).astype(np.int64), ids
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids."""
         if self.mark_id is None or any(self.mark in w for w in words):
-            return [self._ids(w).tobytes() for w in words]
+            each = [self._ids(w) for w in words]
+            return np.array([len(x) for x in each]), np.concatenate(each)
         ids = self._ids(self.mark.join(words))
-        raw, ends = ids.tobytes(), [*np.nonzero(ids == self.mark_id)[0].tolist(), len(ids)]
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        known.update(zip(new, self._encode_words(new) if new else []))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > KEPT_LENGTH:
-                del known[w]
-        return out
+        ends = np.append(np.nonzero(ids == self.mark_id)[0], len(ids))
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.mark_id]
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([bool(PLAIN.fullmatch(w)) and "<|" not in w for w in words])
+        counts, parts = np.zeros(len(words), np.int64), []
+        for which, how in ((plain, self._plain), (~plain, self._encode_words)):
+            here = np.nonzero(which)[0]
+            if len(here):
+                counts[here], ids = how([words[i] for i in here.tolist()])
+                parts.append((here, ids))
+        out, begin = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
+        for here, ids in parts:
+            out[ranges(begin[here], counts[here])] = ids
+        return counts, out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and where each text's begin; one
+        more number stands at the end."""
+        data, offsets = text_bytes(texts)
+        inside = (data != 32) & (data != 10) & (data != 9)
+        before = np.zeros(len(data) + 1, np.bool_)
+        before[1:] = inside
+        before[offsets] = False
+        starts = np.nonzero(inside & ~before[:-1])[0]
+        after = np.zeros(len(data) + 1, np.bool_)
+        after[:-1] = inside
+        after[offsets] = False
+        ends = np.nonzero(inside & ~after[1:])[0] + 1
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        hashes = self.hasher.hashes(data, starts, ends)
+        ids, counts = self.cache.sequence(
+            hashes, lambda at: self._new([data[starts[i] : ends[i]].tobytes().decode() for i in at.tolist()])
+        )
+        return ids, np.append(0, np.cumsum(counts))[np.searchsorted(starts, offsets)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,13 +138,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = _encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, 1 << 19):
+                ids_of, bounds = encoder.encode(part.column(1))
+                data, offsets = text_bytes(part.column(1))
+                ids_of, bounds, offsets = ids_of.astype("<u4"), bounds.tolist(), offsets.tolist()
                 out: list[tuple] = []
-                for k, ids in enumerate(encoder.encode(texts)):
-                    ids += end
-                    hashed = zlib.crc32(texts[k].encode())
+                for k in range(part.num_rows):
+                    ids = ids_of[bounds[k] : bounds[k + 1]].tobytes() + end
+                    hashed = zlib.crc32(data[offsets[k] : offsets[k + 1]])
                     for p, start in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[start : start + 4 * capacity]
                         out.append((k, p, start // 4, len(piece) // 4, zlib.crc32(piece), hashed))
