@@ -10,7 +10,8 @@ over its classes, times its words' shares of their classes.
 Word counts come back to documents in chunks: a chunk lists its distinct words once, and a
 join on the words' 64-bit hashes returns their counts. Null texts count as empty: the end
 token alone. Repeated rows are counted and scored as they stand. Texts of any length are
-read whole. Without training rows every count is 0 and the model is its start.
+read whole. Without training rows every count is 0 and the model is its start; an empty
+table gives an empty result. Nothing depends on ties; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_remainder, save
+from .words import WordHasher, mixed, slices
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CLASSES = 1024
 END = CLASSES
 PIECE = 256
@@ -69,27 +70,26 @@ class Model:
 
     def expected(self, classes: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts over padded pieces (pieces x PIECE); ``width`` is their length."""
+        order = np.argsort(-width, kind="stable")
+        classes, width = classes[order], width[order]
         n, steps = classes.shape
-        k, emit = len(self.start), np.ascontiguousarray(self.emit.T)
+        k, emit, ones = len(self.start), np.ascontiguousarray(self.emit.T), np.ones(len(self.start))
+        live = np.searchsorted(-width, -np.arange(1, steps + 1), side="right")  # pieces longer than t
         alphas, scales = np.empty((steps, n, k)), np.empty((steps, n, 1))
         emits = emit[classes.T]  # steps x pieces x states
-        for t in range(steps):
-            a = (self.start if t == 0 else alphas[t - 1] @ self.move) * emits[t]
-            inside = (t < width)[:, None]
-            a = np.where(inside, a, alphas[t - 1] if t else a)
-            scales[t] = np.where(inside, a.sum(1, keepdims=True), 1.0)
-            alphas[t] = a / scales[t]
+        for t, m in enumerate(live):
+            a = (alphas[t - 1, :m] @ self.move if t else self.start) * emits[t, :m]
+            scales[t, :m, 0] = a @ ones
+            alphas[t, :m] = a / scales[t, :m]
         beta, move = np.ones((n, k)), np.zeros((k, k))
         for t in range(steps - 1, -1, -1):
-            inside = (t < width)[:, None]
-            gamma = alphas[t] * beta
-            ahead = emits[t] * beta / scales[t]
-            alphas_before = alphas[t - 1] if t else None
+            m = live[t]
+            ahead = emits[t, :m] * beta[:m] / scales[t, :m]
+            emits[t, :m] = alphas[t, :m] * beta[:m]  # no longer needed as emissions
+            emits[t, m:] = 0
             if t:
-                weighted = np.where(inside, ahead, 0.0)
-                move += alphas_before.T @ weighted
-                beta = np.where(inside, ahead @ self.move.T, beta)
-            emits[t] = np.where(inside, gamma, 0.0)  # no longer needed as emissions
+                move += alphas[t - 1, :m].T @ ahead
+                beta[:m] = ahead @ self.move.T
         start = emits[0].sum(0)
         flat = classes.T.ravel()
         counts = np.stack([np.bincount(flat, emits[:, :, s].ravel(), CLASSES + 1) for s in range(k)])
@@ -111,37 +111,31 @@ CHUNK = "chunk long, held binary, lengths binary, classes binary, of_word binary
 
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
-    """Texts as class numbers and word counts, ``size`` documents a row."""
+    """Texts as class numbers and word counts, documents of about ``size`` bytes a row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        make, number = WordHasher(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                known: dict[bytes, int] = {}
-                ids, times, distinct, sequences = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    words = (text or "").encode().translate(LOWER).split()
-                    seq = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-                    sequences.append(seq)
-                    own, n = np.unique(seq, return_counts=True)
-                    ids.append(own.astype(np.uint32))
-                    times.append(n.astype(np.uint32))
-                    distinct.append(len(own))
-                vocabulary = list(known)
-                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64).view(np.int64)
-                class_of = np.array([xxhash.xxh32_intdigest(w[-3:]) % CLASSES for w in vocabulary], np.uint16)
-                classes = np.concatenate([np.append(class_of[s] if len(s) else np.zeros(0, np.uint16), np.uint16(END)) for s in sequences])
+            for part in slices(batch, 1, size):
+                h, starts, tails = make.with_tails(part.column(1))
+                hashes, first, of = np.unique(h, return_index=True, return_inverse=True)
+                hashes = hashes.view(np.int64)
+                class_of = (mixed(tails[first].view(np.uint64)) % np.uint64(CLASSES)).astype(np.uint16)
+                words = np.diff(starts)
+                lengths = words + 1
+                classes = np.full(lengths.sum(), END, np.uint16)
+                inside = np.ones(len(classes), np.bool_)
+                inside[np.cumsum(lengths) - 1] = False
+                classes[inside] = class_of[of]
+                owner, wide = np.repeat(np.arange(part.num_rows), words), max(1, len(hashes))
+                own, times = np.unique(owner * wide + of, return_counts=True)
+                distinct = np.bincount(own // wide, minlength=part.num_rows)
                 held = np.array(part.column(2).to_pylist(), np.bool_)
-                lengths = np.array([len(s) + 1 for s in sequences], np.int64)
-                trained = np.bincount(
-                    np.concatenate([s for s, h in zip(sequences, held) if not h] or [np.zeros(0, np.int64)]), minlength=len(vocabulary)
-                )
-                raw = [held, lengths, classes, class_of, np.concatenate(ids), np.concatenate(times), np.array(distinct, np.int64)]
+                trained = np.bincount(of[~held[owner]], minlength=len(hashes))
+                raw = [held, lengths, classes, class_of, (own % wide).astype(np.uint32), times.astype(np.uint32), distinct.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number], pa.int64()),
@@ -204,7 +198,7 @@ def train(chunks: DataFrame, shares: np.ndarray, states: int, rounds: int) -> Mo
     return model
 
 
-def score_texts(docs: DataFrame, states: int = 6, rounds: int = 5, chunk: int = 2000) -> DataFrame:
+def score_texts(docs: DataFrame, states: int = 6, rounds: int = 5, chunk: int = 6 << 20) -> DataFrame:
     """Train on the rows whose id's crc32 is not 2 modulo 7, and score every row."""
     marked = docs.select("doc_id", "text").withColumn("held_out", id_remainder("doc_id", 7) == 2)
     chunks = save(_chunks(marked, chunk), "chunks")

@@ -75,8 +75,9 @@ class WordHasher:
         self.power, self.inverse = _powers(MULTIPLIER), _powers(pow(MULTIPLIER, -1, 1 << 64))
         self.lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-    def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of a piece's words, and where they start; ``cuts`` are starts of texts."""
+    def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of a piece's words, where they start, and their last three bytes as a
+        number; ``cuts`` are starts of texts."""
         import xxhash
 
         value = np.take(self.letter, data, mode="clip")
@@ -93,7 +94,7 @@ class WordHasher:
         if len(inner):
             starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
         if not len(starts):
-            return np.zeros(0, np.uint64), starts
+            return np.zeros(0, np.uint64), starts, starts
         sums = np.zeros(len(data) + 1, np.uint64)
         wide = ends - starts
         with np.errstate(over="ignore"):
@@ -105,21 +106,30 @@ class WordHasher:
             hashes = mixed(hashes + wide.astype(np.uint64))
         for i in np.nonzero(wide > self.LONG)[0]:
             hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().translate(self.lower))
-        return hashes, starts
+        small = np.frombuffer(self.lower, np.uint8)
+        tails = small[data[ends - 1]].astype(np.int64)
+        for k in (2, 3):
+            tails += np.where(wide >= k, small[data[np.maximum(ends - k, 0)]].astype(np.int64) << 8 * (k - 1), 0)
+        return hashes, starts, tails
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words, text by text, and each text's first word in them; one
         more number stands at the end. Null texts have no words."""
+        return self.with_tails(texts)[:2]
+
+    def with_tails(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and every word's last three bytes as a number."""
         data, offsets = text_bytes(texts)
-        found, places = [], []
+        found, places, tails = [], [], []
         for a, b in _pieces(data, offsets, self.letter):
             first, last = np.searchsorted(offsets, [a, b])
-            h, s = self._piece(data[a:b], offsets[first:last] - a)
+            h, s, t = self._piece(data[a:b], offsets[first:last] - a)
             found.append(h)
             places.append(s + a)
+            tails.append(t)
         if not found:
-            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-        return np.concatenate(found), np.searchsorted(np.concatenate(places), offsets)
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found), np.searchsorted(np.concatenate(places), offsets), np.concatenate(tails)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
