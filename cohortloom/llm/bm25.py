@@ -1,14 +1,15 @@
 """Exact top-k search by BM25 over inverted indexes with block-max WAND pruning.
 
 Documents are cut into shards of a bounded number of bytes where they lie, without a
-shuffle. A shard's index has, for every term, its postings in document order and, for every
-block of neighbouring documents, the greatest impact that the term has there. A query's
-pivot is the point up to which its terms, the weakest first, can't reach the k-th best score
-so far: blocks whose maxima add up to less are never opened, and in an opened block only
-documents with a posting of a term at or beyond the block's pivot are scored. The k-th best
-score goes along from shard to shard, first from a few shards to all others. Collection
-size, average length and document frequencies are those of all documents, so the shards'
-scores merge exactly.
+shuffle. A shard's index has, for every term, its postings in document order. A query's
+pivot parts its terms: those that many documents of the shard have, which rarely decide, and
+the rest. For the former every block of neighbouring documents has the greatest impact of
+each term, so one product of matrices bounds what a block can owe them, for all queries at
+once. The postings of the rest are added up. Only documents whose sum and block bound
+together pass the k-th best score so far are opened and scored in full; the rest of a block
+is skipped. The k-th best score goes along from shard to shard, first from a few shards to
+all others. Collection size, average length and document frequencies are those of all
+documents, so the shards' scores merge exactly.
 
 Queries go to the shards in blocks of a bounded number of terms. Scores are compared after
 rounding to six decimals, ties by the smaller id. Null and empty texts match nothing and, as
@@ -31,7 +32,11 @@ from .idcache import ranges
 from .words import WordHasher, slices
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+#: Long queries bound a block loosely, the more so the more documents it has.
+BLOCK = 2
+#: A term is frequent in a shard if one in so many documents has it; at most so many terms
+#: are, and so many impacts are laid out. Both change only the work.
+COMMON, DENSE, CELLS = 24, 1024, 6_000_000
 #: Terms of the queries that go out together, and one in how many shards is searched first.
 BLOCK_TERMS, AHEAD = 1 << 20, 12
 RAW = {"lengths": np.int64, "terms": np.int64, "starts": np.int64, "docs": np.int32, "times": np.int32}
@@ -46,72 +51,79 @@ def counted(h: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray,
     return terms.view(np.int64), starts, (key - term_of * max(1, owners)).astype(np.int32), times.astype(np.int32)
 
 
+class Queries:
+    """Queries laid out for one shard after another: distinct terms, and weights by query."""
+
+    def __init__(self, offsets: np.ndarray, h: np.ndarray, w: np.ndarray):
+        self.terms, self.of = np.unique(h.view(np.uint64), return_inverse=True)
+        self.offsets, self.weight = offsets, w
+        self.query = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
 class Index:
     """Postings of one shard, with the impacts that global statistics give them."""
 
     def __init__(self, ids: list, lengths: np.ndarray, terms: np.ndarray, starts: np.ndarray, docs: np.ndarray, times: np.ndarray, mean_length: float):
-        self.ids, self.terms, self.docs = ids, terms.view(np.uint64), docs
+        self.ids, self.terms, self.starts, self.docs, n = ids, terms.view(np.uint64), starts, docs, len(ids)
         self.impact = times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[docs] / mean_length))
-        self.blocks = len(ids) // BLOCK + 1
-        edge = np.ones(len(docs), np.bool_)
-        edge[1:] = docs[1:] // BLOCK != docs[:-1] // BLOCK
-        edge[starts[:-1]] = True
-        self.block_at = np.append(np.nonzero(edge)[0], len(docs))
-        first = self.block_at[:-1]
-        self.block = docs[first] // BLOCK
-        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.block_starts = np.searchsorted(first, starts)
-        self.opened = self.scored = 0
-
-    def search(self, query: np.ndarray, weight: np.ndarray, k: int, limit: float = 0.0) -> list[tuple[int, float]]:
-        """(document, score) of the k best that can reach ``limit``, in order."""
-        at = np.searchsorted(self.terms, query.view(np.uint64))
-        inside = at < len(self.terms)
-        inside[inside] = self.terms[at[inside]] == query.view(np.uint64)[inside]
-        at, weight = at[inside], weight[inside]
-        if not len(at):
-            return []
-        a, b = self.block_starts[at], self.block_starts[at + 1]
-        entries, wide = ranges(a, b - a), b - a
-        bound = np.repeat(weight, wide) * self.block_max[entries]
-        block = self.block[entries]
-        total = np.bincount(block, bound, self.blocks)
-        may = np.nonzero(total > limit)[0]
-        order = may[np.argsort(-total[may], kind="stable")]
-        best_docs, best_scores, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, max(2, k // 4)
-        while opened < len(order) and total[order[opened]] > limit:
-            take = order[opened : opened + step]
-            take = take[total[take] > limit]
-            opened, step = opened + step, step * 2
-            self.opened += len(take)
-            mask = np.zeros(self.blocks, np.bool_)
-            mask[take] = True
-            pick = np.nonzero(mask[block])[0]
-            low, n = self.block_at[entries[pick]], self.block_at[entries[pick] + 1] - self.block_at[entries[pick]]
-            postings = ranges(low, n)
-            docs = self.docs[postings]
-            score = np.bincount(docs, np.repeat(np.repeat(weight, wide)[pick], n) * self.impact[postings], len(self.ids))
-            if limit > 0:
-                # The weakest terms of a block that together stay below the limit have no candidates.
-                by = np.lexsort((bound[pick], block[pick]))
-                summed = np.cumsum(bound[pick][by])
-                opens = np.nonzero(np.diff(block[pick][by], prepend=-1))[0]
-                before = np.repeat(summed[opens] - bound[pick][by][opens], np.diff(np.append(opens, len(by))))
-                strong = np.empty(len(by), np.bool_)
-                strong[by] = summed - before > limit
-                candidate = np.zeros(len(self.ids), np.bool_)
-                candidate[docs[np.repeat(strong, n)]] = True
-                score[~candidate] = 0
-            found = np.nonzero(score > max(0.0, limit))[0]
-            self.scored += len(found)
-            docs, scores = np.concatenate([best_docs, found]), np.concatenate([best_scores, np.round(score[found], 6)])
+        df = np.diff(starts)
+        often = np.nonzero(df * COMMON >= n)[0]
+        often = often[np.argsort(-df[often], kind="stable")[: min(DENSE, CELLS // max(1, n))]]
+        self.column = np.full(len(terms), -1)
+        self.column[often] = np.arange(len(often))
+        self.blocks = -(-n // BLOCK)
+        self.laid_out = np.zeros((self.blocks * BLOCK, len(often)))  # impacts of frequent terms
+        at = ranges(starts[often], df[often])
+        self.laid_out[docs[at], np.repeat(np.arange(len(often)), df[often])] = self.impact[at]
+        self.block_max = self.laid_out.reshape(self.blocks, BLOCK, -1).max(1)
+        self.scored = 0
+
+    def search(self, asked: Queries, k: int, limits: np.ndarray) -> Iterator[tuple[int, list[tuple[float, object]]]]:
+        """(query, its k best as (score, id) in order), for queries for which there is any
+        that can pass its limit."""
+        if not len(self.terms) or not len(asked.terms):
+            return
+        at = np.minimum(np.searchsorted(self.terms, asked.terms), len(self.terms) - 1)
+        here = np.where(self.terms[at] == asked.terms, at, -1)[asked.of]
+        column = np.where(here >= 0, self.column[here], -1)
+        rare = (here >= 0) & (column < 0)
+        df, n = np.diff(self.starts), len(self.ids)
+        for low in range(0, len(limits), 512):
+            high = min(len(limits), low + 512)
+            a, b = asked.offsets[low], asked.offsets[high]
+            wide = np.nonzero(column[a:b] >= 0)[0] + a
+            cells = (asked.query[wide] - low) * self.laid_out.shape[1] + column[wide]
+            weight = np.bincount(cells, asked.weight[wide], (high - low) * self.laid_out.shape[1]).reshape(high - low, -1)
+            bounds = weight @ self.block_max.T
+            for q in range(low, high):
+                a, b = asked.offsets[q], asked.offsets[q + 1]
+                own = np.nonzero(rare[a:b])[0] + a
+                term = here[own]
+                postings = ranges(self.starts[term], df[term])
+                score = np.bincount(self.docs[postings], np.repeat(asked.weight[own], df[term]) * self.impact[postings], n)
+                # Sums of another order may differ in the last digits.
+                most = score + np.repeat(bounds[q - low], BLOCK)[:n]
+                found = self._best(np.nonzero(most > max(0.0, limits[q] - 1e-6))[0], score, most, weight[q - low], k, limits[q])
+                if found:
+                    yield q, found
+
+    def _best(self, open_: np.ndarray, score: np.ndarray, most: np.ndarray, weight: np.ndarray, k: int, limit: float) -> list[tuple[float, object]]:
+        """Scores the open documents, those with the highest bounds first."""
+        used = np.nonzero(weight)[0]
+        docs, scores, step = np.zeros(0, np.int64), np.zeros(0), 4 * k
+        if len(open_) > step:
+            open_ = open_[np.argsort(-most[open_], kind="stable")]
+        while len(open_) and most[open_[: step]].max() > limit - 1e-6:
+            part, open_, step = open_[:step], open_[step:], 2 * step
+            full = np.round(score[part] + self.laid_out[part][:, used] @ weight[used], 6)
+            self.scored += len(part)
+            keep = full > max(0.0, limit)
+            docs, scores = np.concatenate([docs, part[keep]]), np.concatenate([scores, full[keep]])
             if len(docs) > k:
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= kth
-                docs, scores, limit = docs[keep], scores[keep], max(limit, kth - 1e-5)
-            best_docs, best_scores = docs, scores
-        ranked = sorted(zip(best_docs.tolist(), best_scores.tolist()), key=lambda x: (-x[1], self.ids[x[0]] is not None, self.ids[x[0]]))
-        return ranked[:k]
+                docs, scores, limit = docs[scores >= kth], scores[scores >= kth], max(limit, kth - 1e-5)
+        ranked = sorted(zip(scores.tolist(), docs.tolist()), key=lambda x: (-x[0], self.ids[x[1]] is not None, self.ids[x[1]]))
+        return [(s, self.ids[d]) for s, d in ranked[:k]]
 
 
 def build_indexes(docs: DataFrame, shard_bytes: int) -> DataFrame:
@@ -215,7 +227,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 1
 
     def found_by(shards: DataFrame, block, limits) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (offsets, h, w), limit = block.value, limits.value.copy()
+            asked, limit = Queries(*block.value), limits.value.copy()
             best: list[list] = [[] for _ in limit]
             doc_type = pa.null()
             for batch in batches:
@@ -223,14 +235,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 1
                 for at in range(batch.num_rows):
                     raw = [np.frombuffer(batch.column(i + 1)[at].as_py(), t) for i, t in enumerate(RAW.values())]
                     made = Index(batch.column(0)[at].as_py(), *raw, mean_length)
-                    for q in range(len(limit)):
-                        got = made.search(h[offsets[q] : offsets[q + 1]], w[offsets[q] : offsets[q + 1]], k, limit[q])
-                        if got:
-                            both = best[q] + [(s, made.ids[d]) for d, s in got]
-                            both.sort(key=lambda x: (-x[0], x[1] is not None, x[1]))
-                            best[q] = both[:k]
-                            if len(both) >= k:
-                                limit[q] = max(limit[q], best[q][-1][0] - 1e-5)
+                    for q, got in made.search(asked, k, limit):
+                        both = best[q] + got
+                        both.sort(key=lambda x: (-x[0], x[1] is not None, x[1]))
+                        best[q] = both[:k]
+                        if len(both) >= k:
+                            limit[q] = max(limit[q], best[q][-1][0] - 1e-5)
             rows = [(q, i, s) for q, found in enumerate(best) for s, i in found]
             if not rows:
                 return
