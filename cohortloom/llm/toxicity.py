@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words of a clause become classes: insult, threat, target, negation, report, other. Five
-small transducers read the classes and are composed into one: it emits every insult and
-threat together with what the clause has said about it so far: aimed at somebody, negated,
-or only reported. A document's score comes from its matched clauses, by a logistic model.
+A first transducer turns the words of a clause into classes: insult (weighted by its stem),
+threat, target, negation, report, other. The machines for targets, negations and reports
+are composed: each reads what the one before has written, and marks insults and threats as
+aimed, negated or reported. One composition reads a clause from its start, another, of
+targets and reports that follow, reads the result from its end. A document's score comes
+from the marked insults and threats of all its clauses, by a logistic model over the
+logarithms of their weights' sums.
 
 Insult stems are learned: word beginnings that mark labelled toxic texts and hardly ever
 stand in labelled clean ones as often, chosen greedily so that each adds texts that the others miss.
@@ -12,6 +15,9 @@ Targets, negations, reports and threats are closed classes and listed below.
 Null and empty texts have no clause and get the model's base score. A row without a label
 is only scored; repeated rows get equal scores. Where no toxic or no clean label is known,
 every score is the labels' mean (0 without labels). Whole texts are read, of any length.
+Empty tables give empty results; ties between stems go to the longest, then the last in
+order. Extra columns are ignored by ``toxicity`` and kept by ``score``, whose result column
+must not be one of them.
 """
 
 from __future__ import annotations
@@ -68,56 +74,74 @@ def clear(text: str) -> str:
 
 
 class Transducer:
-    """Reads a class, moves to a state, and may emit a mark; ``step[state][class]``."""
+    """Reads a symbol, moves to a state and writes a symbol: ``step[state][symbol]``.
+
+    A symbol is a word's class with the marks that machines before have put on it, as in
+    ``insult+aimed``. What a state has no step for, it passes on as it would the bare class.
+    """
 
     def __init__(self, step: list[dict[str, tuple[int, str]]]):
         self.step = step
 
-    def __mul__(self, other: Transducer) -> Transducer:
-        """Both at once on the same input: states are pairs, marks are joined."""
+    def read(self, state: int, symbol: str) -> tuple[int, str]:
+        row = self.step[state]
+        if symbol in row:
+            return row[symbol]
+        word_class, _, marks = symbol.partition("+")
+        after, out = row[word_class]
+        return after, out + "+" + marks if marks else out
+
+    def __matmul__(self, after: Transducer) -> Transducer:
+        """The composition: ``after`` reads what this machine writes. States are pairs."""
         index, todo, step = {(0, 0): 0}, [(0, 0)], []
         while len(step) < len(todo):
             a, b = todo[len(step)]
             row = {}
-            for c in CLASSES:
-                (x, m), (y, n) = self.step[a][c], other.step[b][c]
+            for symbol in self.step[a]:
+                x, between = self.step[a][symbol]
+                y, out = after.read(b, between)
                 if (x, y) not in index:
                     index[x, y] = len(todo)
                     todo.append((x, y))
-                row[c] = index[x, y], m + n
+                row[symbol] = index[x, y], out
             step.append(row)
         return Transducer(step)
 
 
-def emitter(word_class: str, mark: str) -> Transducer:
-    """Emits ``mark`` at each word of the class."""
-    return Transducer([{c: (0, mark if c == word_class else "") for c in CLASSES}])
-
-
 def context(word_class: str, mark: str, reach: int) -> Transducer:
-    """At insults and threats, emits ``mark`` if the class stood within ``reach`` words."""
+    """Marks insults and threats if a word of the class stood within ``reach`` words."""
     rows = []
     for left in range(reach + 1):
         after = max(0, left - 1)
         rows.append(
-            {
-                c: (reach if c == word_class else after, mark if left and c in ("insult", "threat") else "")
-                for c in CLASSES
-            }
+            {c: (reach if c == word_class else after, f"{c}+{mark}" if left and c in (INSULT, "threat") else c) for c in CLASSES}
         )
     return Transducer(rows)
 
 
-def grammar() -> Transducer:
-    return (
-        emitter("insult", "I") * emitter("threat", "H") * context("target", "t", REACH)
-        * context("negation", "n", REACH) * context("report", "r", REACH)
-    )
+def grammar() -> tuple[Transducer, Transducer]:
+    """What reads a clause from its start, and what then reads the result from its end."""
+    forth = context("target", "aimed", REACH) @ context("negation", "negated", REACH) @ context("report", "reported", REACH)
+    back = context("target", "aimed", REACH) @ context("report", "reported", REACH)
+    return forth, back
+
 
+def context_of(symbol: str) -> str:
+    """What a clause says about an insult or a threat."""
+    return next((m for m in ("negated", "reported", "aimed") if m in symbol), "plain")
 
-def context_of(mark: str) -> str:
-    """What a clause has said about an insult or a threat before it."""
-    return "negated" if "n" in mark else "reported" if "r" in mark else "aimed" if "t" in mark else "plain"
+
+def marked(machine: tuple[Transducer, Transducer], classes: list[str]) -> list[str]:
+    """The symbols of a clause after both readings."""
+    forth, back = machine
+    out, state = [], 0
+    for c in classes:
+        state, symbol = forth.step[state][c]
+        out.append(symbol)
+    state = 0
+    for i in range(len(out) - 1, -1, -1):
+        state, out[i] = back.read(state, out[i])
+    return out
 
 
 class Scorer:
@@ -141,34 +165,30 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         out = dict.fromkeys(self.NAMES, 0.0)
         text = clear(text)
-        step, seen = self.machine.step, {}
+        seen: dict[str, float] = {}
         at = 0
         while hit := self.find.search(text, at):
             start = max(text.rfind(c, 0, hit.start()) for c in ".!?;\n") + 1
             end = CLAUSE.match(text, hit.start()).end()
-            at, state, insults = end, 0, False
-            for word in WORD.findall(text, start, end):
-                weight = self.weight(word)
-                threat = CLASS_OF.get(word) == "threat"
-                before = state
+            at, insults = end, False
+            words = WORD.findall(text, start, end)
+            weights = [self.weight(w) for w in words]
+            classes = [INSULT if x else CLASS_OF.get(w, OTHER) for w, x in zip(words, weights)]
+            for word, weight, symbol in zip(words, weights, marked(self.machine, classes)):
                 if weight:
-                    state, mark = step[state][INSULT]
-                    name = context_of(mark)
-                    out[name] += weight
+                    out[context_of(symbol)] += weight
                     out["most"] = max(out["most"], weight)
                     seen[word] = weight
                     insults = True
-                if threat or not weight:  # a word may be an insult and a threat
-                    state, mark = step[before][CLASS_OF.get(word, OTHER)]
-                if "H" in mark:
-                    out[context_of(mark) + "_threat"] += 1
+                if CLASS_OF.get(word) == "threat":  # a word may be an insult and a threat
+                    out[context_of(symbol) + "_threat"] += 1
             out["clauses"] += insults
         out["distinct"] = sum(seen.values())
         out["density"] = 600 * out["distinct"] / max(300, len(text))  # over a hundred words or so
-        return [min(v, 40.0) for v in out.values()]
+        return [math.log1p(v) for v in out.values()]
 
 
-def choose_stems(found: list[tuple[str, int, list[int]]], toxic: int, clean: int) -> dict[str, float]:
+def choose_stems(found: list[tuple[str, int, list[int]]], toxic: int, clean: int, most: int = 400) -> dict[str, float]:
     """Stems and weights from (beginning, clean texts with it, toxic texts with it).
 
     Each round takes the beginning whose toxic texts are least covered, a text's share
@@ -179,7 +199,7 @@ def choose_stems(found: list[tuple[str, int, list[int]]], toxic: int, clean: int
     against = 3 * toxic / clean
     share = dict.fromkeys({d for *_, docs in found for d in docs}, 1.0)
     left, out = {s: (c, docs) for s, c, docs in found}, {}
-    while left and len(out) < 400:
+    while left and len(out) < most:
         gain = {s: sum(share[d] for d in docs) - against * c for s, (c, docs) in left.items()}
         best = max(gain, key=lambda s: (round(gain[s], 6), len(s), s))
         if gain[best] < least:
@@ -213,12 +233,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dict[str, float], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_stems: int = 400) -> tuple[dict[str, float], np.ndarray]:
     """Stems and model from labelled rows.
 
     ``sample`` bounds the labelled texts that are learned from: those whose ids have the
     lowest hashes. Word beginnings are counted over them by Spark; what reaches the driver
-    is bounded by the sample.
+    is bounded by the sample. ``most_stems`` bounds the model's size, not what is scored.
     """
     known = (
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -260,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dic
     if not toxic or not clean:
         base = 30.0 if toxic else -30.0
         return {}, np.array([0.0] * len(Scorer.NAMES) + [base])
-    stems = choose_stems([(r[0], r[1], r[2]) for r in found], toxic, clean)
+    stems = choose_stems([(r[0], r[1], r[2]) for r in found], toxic, clean, most_stems)
     scorer = Scorer(stems)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +293,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[dic
     return stems, fit_logistic(x, y)
 
 
-def score(docs: DataFrame, stems: dict[str, float], weights: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``score``, from 0 to 1."""
+def score(docs: DataFrame, stems: dict[str, float], weights: np.ndarray, out_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out_col``, from 0 to 1."""
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import DoubleType
 
@@ -288,7 +308,7 @@ def score(docs: DataFrame, stems: dict[str, float], weights: np.ndarray) -> Data
         z = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
         return pd.Series(1 / (1 + np.exp(-z)))
 
-    return docs.withColumn("score", of_text(F.col("text")))
+    return docs.withColumn(out_col, of_text(F.col("text")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
