@@ -23,13 +23,24 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new
-    local one only where the session names none, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the
+    session names none and all runs in one process, as in tests, a new local one."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

@@ -15,7 +15,9 @@ that half have in common, until groups are small. At the last halving a group is
 window. No task ever holds more than ``group`` segments, and nothing is left out.
 
 Null texts count as empty. Repeated rows are copies of each other, so all that is long
-enough in them goes. Texts of any length are read whole; matches never cross rows.
+enough in them goes; of copies none is kept before the others, so there are no ties. Texts
+of any length are read whole; matches never cross rows. An empty table gives an empty
+result. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_rows, save
+from .common import discard, free_name, has_rows, save
 
 GRAM = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -303,15 +305,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """All columns of ``docs``, and ``kept``, ``n_bytes``, ``n_removed``, ``n_spans``.
+COUNTS = ("kept", "n_bytes", "n_removed", "n_spans")
 
-    ``kept`` is binary, or with ``as_text`` a string without characters cut in two.
+
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False, out: tuple[str, ...] = COUNTS) -> DataFrame:
+    """All columns of ``docs``, and what is kept of the text, its bytes, those removed and
+    the removed spans, in columns named ``out``, which ``docs`` must not have.
+
+    What is kept is binary, or with ``as_text`` a string without characters cut in two.
     """
-    hashed = docs.withColumn("_t", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    spans = repeated_spans(hashed.select(F.col("_t").alias("t"), F.col(text_col).alias("text")), length)
-    listed = spans.distinct().groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    joined = hashed.join(listed.withColumnRenamed("t", "_t"), "_t", "left")
+    hash_col, spans_col = free_name(docs, "_t"), free_name(docs, "_spans")
+    hashed = docs.withColumn(hash_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    spans = repeated_spans(hashed.select(F.col(hash_col).alias("t"), F.col(text_col).alias("text")), length)
+    listed = spans.distinct().groupBy(F.col("t").alias(hash_col)).agg(F.collect_list(F.struct("start", "stop")).alias(spans_col))
+    joined = hashed.join(listed, hash_col, "left")
     schema = docs.schema
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
     where = schema.names.index(text_col)
@@ -335,7 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", a
                 rows.append((rest.decode(errors="ignore") if as_text else rest, len(data), len(data) - len(rest), len(merged)))
             a, b, c, d = zip(*rows) if rows else ((), (), (), ())
             new = [pa.array(a, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (b, c, d))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(schema)], *new], names=[*schema.names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(schema)], *new], names=[*schema.names, *out])
 
-    ordered = joined.select(*schema.names, "_spans")
-    return ordered.mapInArrow(cut, f"{', '.join(names)}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    kinds = ("string" if as_text else "binary", "long", "long", "long")
+    added = [f"`{c}` {k}" for c, k in zip(out, kinds)]
+    return joined.select(*schema.names, spans_col).mapInArrow(cut, ", ".join(names + added))

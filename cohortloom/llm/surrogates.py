@@ -4,11 +4,18 @@ Entities are found by pattern. The free characters of one (digits, letters, addr
 parts) are read as a number and sent through a keyed permutation of all numbers of that
 format, so one entity always gets the same surrogate and two never share one, in any
 document, without a table of what has been given out. Country codes, issuer digits, top
-level domains, separators, letter case, script and a card's right check digit all stay. Names after a title come from lists by gender; there, and wherever a surrogate
-equals some real entity, a check over all entities gives those concerned another try.
+level domains, separators, letter case, script and a card's right check digit all stay.
+
+A person is known by a title. Given names (by gender) and family names have surrogates of
+their own, made of syllables of their script, so "Mrs Anna Smith", "Mrs Smith" and a later
+"Anna" still tell of one person; a name that a title has shown is replaced wherever it
+stands in the text. Where a hashed name meets another's, or a surrogate equals some real
+entity, a check over all entities gives those concerned another try until none is left.
 
 Null texts stay null and have no entities. Repeated rows get equal results. Texts of any
-length are read whole; empty tables give empty results; extra columns are ignored.
+length are read whole; empty tables give empty results. Which of several entities keeps a
+surrogate that they share is settled by the smaller value. Extra columns stay as they are;
+``out_col`` must not be one of them.
 """
 
 from __future__ import annotations
@@ -22,18 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, has_rows, save
-
-# Titles by gender, and names to draw from.
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta")
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
-FEMALE = "Ada Clara Edith Emma Flora Grace Helen Ines Irma Julia Karin Laura Lena Marta Nora Olga Paula Rosa Silvia Vera".split()
-MALE = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Pablo Robert Simon Theo Viktor".split()
-FAMILY = (
-    "Abbott Albers Barnes Becker Bennett Blanc Castro Colin Dalton Duarte Ebert Ellis Farrow Faure Garner Gomez Haas "
-    "Hewitt Ibarra Jensen Keller Lambert Lopez Marsh Meyer Moreau Norris Ortega Palmer Perrin Quist Ramos Roth Sanders "
-    "Serra Tanner Torres Ulrich Vidal Weber"
-).split()
+from .common import discard, free_name, has_rows, save
+
+# Titles by gender, in Latin and Cyrillic letters.
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "госпожа", "Г-жа", "г-жа")
+MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "Г-н", "г-н")
+# What surrogate names are made of, by script: beginnings, vowels and ends of
+# syllables, and how names of each kind end.
+SYLLABLES = {
+    "latin": ("b br c d dr f g gr h j k l m n p r s st t v".split(), "a e i o u".split(), ["", "l", "n", "r", "s"]),
+    "cyrillic": ("б бр в г гр д др ж з к л м н п р с ст т ф х".split(), "а е и о у".split(), ["", "л", "н", "р", "с"]),
+}
+ENDINGS = {
+    "latin": {
+        "female": "a ia ina ela isa ona ette elle ea ira ava ine".split(),
+        "male": "o us an er on ic ard ert in or ek im".split(),
+        "family": "son man ell er es ini ov ard ley ton berg ez".split(),
+    },
+    "cyrillic": {
+        "female": "а ия ина ела иса она ета ея ира ава яна ида".split(),
+        "male": "ан ей ий ор ил им он ар ит ур ен ад".split(),
+        "family": "ко ук ян дзе ич их ман ер оль ас ей инь".split(),
+    },
+}
 
 LATIN = "àáâäãåèéêëìíîïòóôöõùúûüñçýÿ"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LATIN, LATIN[:-1].upper())
@@ -41,7 +59,7 @@ HEX = ("0123456789abcdef", "0123456789ABCDEF")
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 
 TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
-UPPER = r"[A-ZÀ-ÖØ-Þ][\w'-]+"
+UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'-]+"
 SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 PHONE = r"(?P<phone>(?<![\w.])(?:\+|00)\d{2}[ .-]\d{1,2}(?:[ .-]\d{2}){4}(?![\w]|\.\d)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|\.\d)|(?<!\w)\+\d{8,15}\b)"
 PATTERNS = re.compile(
@@ -86,12 +104,16 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
     A run of 13 to 19 digits is a card only if its check digit is right. Numbers beside an
     entity may stand in one run with it: see ``card_in`` and ``is_part``.
     """
-    out = []
+    out, named = [], []
     for line_start, line_end in hinted_lines(text):
         at, run_end = line_start, line_start
         while m := PATTERNS.search(text, at, line_end):
             kind = m.lastgroup
-            part = "name" if m["name"] else "value" if m["value"] else 0
+            if m["name"]:
+                named.append(m)
+                at = m.end()
+                continue
+            part = "value" if m["value"] else 0
             start, end, found = m.start(part), m.end(part), m[part]
             at = m.end()
             if kind == "card":
@@ -120,12 +142,41 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
                 key = (code[0] if code else "") + "/" + re.sub(r"\D", "", found[code.end() if code else 0 :])
             elif kind in ("card", "iban", "ssn"):
                 key = re.sub(r"[ -]", "", found)
-            elif m["name"]:
-                kind = "female" if m["title"] in FEMALE_TITLES else "male"
             elif kind == "value":
                 kind = "secret"
             out.append((kind, start, end, key))
-    return out
+    return sorted(out + mentions_of(text, named, out), key=lambda e: e[1]) if named else out
+
+
+def mentions_of(text: str, named: list[re.Match], others: list[tuple]) -> list[tuple[str, int, int, str]]:
+    """The names of persons, part by part: given names by gender, and family names.
+
+    ``named`` are mentions with a title. What they call a given or a family name is found
+    wherever else it stands in the text, with another title, alone or in part.
+    """
+    role: dict[str, str] = {}
+    for m in named:
+        words = m["name"].split(" ")
+        gender = "female" if m["title"] in FEMALE_TITLES else "male"
+        for kind, word in zip([gender, "family"][-len(words) :], words):
+            if kind != "family" or word.lower() not in role:
+                role[word.lower()] = kind
+    own = {}
+    for m in named:
+        gender, at = "female" if m["title"] in FEMALE_TITLES else "male", m.start("name")
+        for word in m["name"].split(" "):
+            kind = role[word.lower()]
+            own[at] = (gender if kind != "family" else kind, at, at + len(word), word.lower())
+            at += len(word) + 1
+    taken = [(a, b) for _, a, b, _ in others]
+    every = re.compile("|".join(sorted({re.escape(m_) for m in named for m_ in m["name"].split(" ")}, key=len, reverse=True)), re.IGNORECASE)
+    for m in every.finditer(text):
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        if before.isalnum() or after.isalnum() or not m[0][0].isupper() or m.start() in own:
+            continue
+        if not any(a < m.end() and m.start() < b for a, b in taken):
+            own[m.start()] = (role[m[0].lower()], m.start(), m.end(), m[0].lower())
+    return list(own.values())
 
 
 def entities_before(text: str, start: int, end: int) -> list[tuple[str, int, int, str]]:
@@ -225,13 +276,25 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def made_name(kind: str, value: str, key: bytes, tweak: str) -> str:
+    """A name of three syllables and an ending that suits the kind, in the value's script:
+    one of 1.5 billion, by a keyed hash."""
+    script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in value) else "latin"
+    draw = int.from_bytes(hashlib.blake2b((tweak + value).encode(), digest_size=16, key=key).digest(), "big")
+    (starts, vowels, ends), out = SYLLABLES[script], ""
+    for _ in range(3):
+        for letters in (starts, vowels, ends):
+            draw, i = divmod(draw, len(letters))
+            out += letters[i]
+    return out + ENDINGS[script][kind][draw % 12]
+
+
 @functools.lru_cache(maxsize=50_000)
 def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
     """The canonical surrogate of a canonical value; ``laid_out`` gives it its format."""
     tweak = f"{kind}|{attempt}|"
-    if attempt >= OWN_TRIES and kind in ("email", "female", "male"):
-        more = "a" * (1 + (attempt - OWN_TRIES) // 4)  # its own format is full
-        value = more + value if kind == "email" else value + more
+    if attempt >= OWN_TRIES and kind == "email":
+        value = "a" * (1 + (attempt - OWN_TRIES) // 4) + value  # its own format is full
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -250,11 +313,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
     if kind == "secret" and any(set(value) <= set(h) for h in HEX):
         letters = next(h for h in HEX if set(value) <= set(h))
         return spelled(value, key, tweak, dict.fromkeys(letters, letters))
-    if kind in ("female", "male") and attempt < 3:
-        draw = int.from_bytes(hashlib.blake2b((tweak + value).encode(), digest_size=8, key=key).digest(), "big")
-        first, words = (FEMALE if kind == "female" else MALE), value.split(" ")
-        family = FAMILY[draw // len(first) % len(FAMILY)]
-        return family if len(words) == 1 else first[draw % len(first)] + " " + family
+    if kind in ("female", "male", "family"):
+        return made_name(kind, value, key, tweak)
     return spelled(value, key, tweak)
 
 
@@ -268,6 +328,8 @@ def laid_out(kind: str, found: str, made: str) -> str:
             head, made = "", made.replace("-", "").replace(" ", "")
         letters = iter(made)
         return head + "".join(next(letters) if c.isalnum() else c for c in found)
+    if kind in ("female", "male", "family"):
+        return made.upper() if len(found) > 1 and found.isupper() else made[:1].upper() + made[1:]
     if kind == "email" and len(made) == len(found):
         return "".join(m.upper() if c.isupper() else m for c, m in zip(found, made))
     return made
@@ -331,8 +393,9 @@ def second_tries(docs: DataFrame, key: bytes, text_col: str, rounds: int = TRIES
     return tries if has_rows(tries) else None
 
 
-def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text_col`` rewritten, and ``entities``."""
+def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", out_col: str = "entities") -> DataFrame:
+    """All columns of ``docs`` with ``text_col`` rewritten, and ``out_col``."""
+    hash_col, again_col = free_name(docs, "_h"), free_name(docs, "_again")
     tries = second_tries(docs, key, text_col)
     retried = tries is not None
     schema = docs.schema
@@ -350,9 +413,9 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             ]
             columns = list(batch.columns[: len(schema)])
             columns[where] = pa.array([d[0] for d in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], names=[*schema.names, "entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], kind)], names=[*schema.names, out_col])
 
-    out = f"{', '.join(names)}, entities {FIELDS}"
+    out = f"{', '.join(names)}, `{out_col}` {FIELDS}"
     if not retried:
         return docs.mapInArrow(rewrite, out)
 
@@ -365,10 +428,10 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(zip(*rows)) or [[], [], []])], names=["_h", "type", "value"])
 
-    hashed = docs.withColumn("_h", F.md5(text_col))
+    hashed = docs.withColumn(hash_col, F.md5(text_col))
     tried = (
-        hashed.select(text_col, "_h").mapInArrow(mentions, "_h string, type string, value string").distinct()
+        hashed.select(text_col, hash_col).mapInArrow(mentions, "_h string, type string, value string").distinct()
         .join(tries, ["type", "value"])
-        .groupBy("_h").agg(F.collect_list(F.struct("type", "value", "attempt")).alias("_again"))
+        .groupBy(F.col("_h").alias(hash_col)).agg(F.collect_list(F.struct("type", "value", "attempt")).alias(again_col))
     )
-    return hashed.join(tried, "_h", "left").drop("_h").mapInArrow(rewrite, out)
+    return hashed.join(tried, hash_col, "left").select(*schema.names, again_col).mapInArrow(rewrite, out)

@@ -5,44 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import has_rows, read, save, tokenizer_file
+from cohortloom.llm.common import free_name, has_rows, read, save, tokenizer_file
 from cohortloom.llm.jaccard import near_duplicates
 from cohortloom.llm.packing import pack
-from cohortloom.llm.queries import SURROGATE_KEY
-from cohortloom.llm.suffix_dedup import remove_repeats
+from cohortloom.llm.queries import surrogate_key
+from cohortloom.llm.suffix_dedup import COUNTS, remove_repeats
 from cohortloom.llm.surrogates import replace_entities
 from cohortloom.llm.toxicity import score, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar scores below 0.7."""
+    """Documents that the clause grammar scores below 0.7. Null and empty texts stay."""
     stems, weights = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, stems, weights).where("score < 0.7").select(*docs.columns)
+    mark = free_name(docs, "score")
+    return score(docs, stems, weights, mark).where(F.col(mark) < 0.7).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of linked ones; repeated rows once."""
+    """The document of smallest id of each group of linked ones; repeated rows once. Null
+    and empty texts are linked with nothing and stay; rows with a null id stay unless they
+    are linked with one that has an id."""
     found = near_duplicates(docs).where("doc_id <=> component_id")
-    leaders = save(found.groupBy(F.col("doc_id").alias("leader")).count(), "leaders")
-    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
+    leader = free_name(docs, "leader")
+    leaders = save(found.groupBy(F.col("doc_id").alias(leader)).count(), "leaders")
+    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders[leader]), "left_semi")
     if has_rows(leaders.where("count > 1")):  # only then are the texts dealt out once more
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; a character cut in two goes with them."""
-    done = remove_repeats(docs, as_text=True)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
+    """Texts without their repeated passages; a character cut in two goes with them. Null
+    texts stay null, and n_chars follows the text."""
+    out = tuple(free_name(docs, c) for c in COUNTS)
+    done = remove_repeats(docs, as_text=True, out=out)
+    text = F.when(F.col(out[2]) == 0, F.col("text")).otherwise(F.col(out[0]))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def hide_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = replace_entities(docs, SURROGATE_KEY)
+    """Texts with keyed surrogates in place of personal data; null texts stay null, and
+    n_chars follows the text."""
+    done = replace_entities(docs, surrogate_key(spark), out_col=free_name(docs, "entities"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; a null text is the end id alone."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
