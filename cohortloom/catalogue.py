@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import queries as plans
+from .plans import views  # noqa: F401  registers its queries with the others
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

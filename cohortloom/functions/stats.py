@@ -29,6 +29,35 @@ def welch_df(v1: Column, n1: Column, v2: Column, n2: Column) -> Column:
     return F.try_divide((a + b) * (a + b), a * a / (n1 - 1) + b * b / (n2 - 1))
 
 
+def pooled_t(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
+    """Student's t under equal variances; n1 + n2 - 2 degrees of freedom."""
+    pooled = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    return F.try_divide(m1 - m2, F.sqrt(pooled * (F.lit(1.0) / n1 + F.lit(1.0) / n2)))
+
+
+def max_fold(a: Column, b: Column) -> Column:
+    """The greater of two means over the other; 0 where both are 0, infinite where one is."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    return F.when(high == 0, 0.0).when(low == 0, float("inf")).otherwise(high / low)
+
+
+def quartiles(values: Column) -> Column:
+    """Of sorted values those at the rounded quarters of their number; 0 for none. One value
+    is all three, of two the middle one is their mean."""
+    x = F.array_sort(values)
+    n = F.size(x)
+    at = lambda q: F.get(x, F.least(F.round(n * F.lit(q)).cast("int"), n - 1))
+    return (
+        F.when(n == 0, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+        .when(n == 2, F.array(F.get(x, F.lit(0)), (F.get(x, F.lit(0)) + F.get(x, F.lit(1))) / 2, F.get(x, F.lit(1))))
+        .otherwise(F.array(at(0.25), at(0.5), at(0.75)))
+    )
+
+
+def minus_log10(p: Column) -> Column:
+    return -F.log10(p)
+
+
 def rescaled(x: Column, low: Column, high: Column, new_low: float, new_high: float) -> Column:
     return F.when(high == low, F.lit(new_low)).otherwise((x - low) / (high - low) * (new_high - new_low) + new_low)
 

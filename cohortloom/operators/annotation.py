@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import coverage, introns, overlap_join
+
 
 def merged_signatures(signatures: DataFrame) -> DataFrame:
     """One row a (chrom, position, kind): its best k-mer by score, the smaller among equals,
@@ -41,3 +43,105 @@ def winners(sequences: DataFrame, threshold: float) -> DataFrame:
     """One row a distinct best k-mer that reaches the threshold, with all its events."""
     kept = sequences.where(F.col("best_score") >= threshold)
     return kept.groupBy("best_kmer").agg(F.max("best_score").alias("best_score"), F.array_sort(F.collect_set("event")).alias("events"))
+
+
+def intron_coverage(exons: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Percent of each intron covered by alignments' blocks: (gene_id, transcript_id, start,
+    end, coverage); introns without any block are left out.
+
+    ``exons`` (chrom, gene_id, transcript_id, start, end), ``alignments`` (chrom, start, end,
+    b_id), one row a block.
+    """
+    gaps = introns(exons).select("chrom", "gene_id", "transcript_id", "start", "end").withColumn("a_id", F.struct("transcript_id", "start", "end"))
+    found = coverage(gaps, alignments)
+    return gaps.join(found, "a_id").select("gene_id", "transcript_id", "start", "end", "coverage")
+
+
+def transcript_coverage(exons: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Percent of each transcript's exons covered by blocks: (gene_id, transcript_id,
+    coverage)."""
+    named = exons.select("chrom", "gene_id", "transcript_id", "start", "end").distinct().withColumn("a_id", F.struct("transcript_id", "start", "end"))
+    length = F.col("end") - F.col("start")
+    found = coverage(named, alignments)
+    parts = named.join(found, "a_id", "left").withColumn("covered", F.coalesce("coverage", F.lit(0.0)) * length)
+    return parts.groupBy("gene_id", "transcript_id").agg((F.floor(F.sum("covered") / F.sum(length) * 100) / 100.0).alias("coverage"))
+
+
+def gene_events(exons: DataFrame, alignments: DataFrame, limit: float) -> DataFrame:
+    """(gene_id, event): ``intron`` for genes with an intron covered beyond ``limit``
+    percent, ``DE`` for those with such a transcript, ``gene`` for all others that an
+    alignment meets."""
+    intron = intron_coverage(exons, alignments).where(F.col("coverage") > limit).select("gene_id", F.lit("intron").alias("event"))
+    whole = transcript_coverage(exons, alignments).where(F.col("coverage") > limit).select("gene_id", F.lit("DE").alias("event"))
+    known = intron.unionByName(whole).distinct()
+    met = overlap_join(exons.select("chrom", "start", "end", F.col("gene_id").alias("a_id")), alignments).select(F.col("a_id").alias("gene_id")).distinct()
+    return known.unionByName(met.join(known, "gene_id", "left_anti").withColumn("event", F.lit("gene")))
+
+
+def border_events(signatures: DataFrame, genes: DataFrame) -> DataFrame:
+    """One event a generating signature, ``<kind>_borders``, with the genes of its alignments.
+
+    ``signatures`` (chrom, position, kind, best_kmer, generates_event), ``genes`` (chrom,
+    position, gene).
+    """
+    made = signatures.where("generates_event").join(genes, ["chrom", "position"], "left")
+    return made.groupBy("chrom", "position", F.concat("kind", F.lit("_borders")).alias("event"), "best_kmer").agg(
+        F.array_sort(F.collect_set("gene")).alias("genes")
+    )
+
+
+def lifted(q_blocks: Column, t_blocks: Column, start: Column, end: Column) -> Column:
+    """Target blocks of a query range: each query block clipped to it, its target moved
+    along, empty ones dropped."""
+    both = F.zip_with(q_blocks, t_blocks, lambda q, t: F.struct(
+        (t["start"] + F.greatest(start - q["start"], F.lit(0))).alias("start"),
+        (t["end"] - F.greatest(q["end"] - end, F.lit(0))).alias("end"),
+        ((q["start"] < end) & (start < q["end"])).alias("met"),
+    ))
+    kept = F.filter(both, lambda b: b["met"] & (b["start"] < b["end"]))
+    return F.transform(kept, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+
+
+def kmer_positions(kmers: DataFrame, alignments: DataFrame, k: int) -> DataFrame:
+    """(kmer, chrom, blocks) of k-mers in aligned sequences, each place once.
+
+    ``kmers`` (name, kmer) says in which query; ``alignments`` have name, chrom, strand, seq,
+    q_blocks and t_blocks, half-open from 0.
+    """
+    at = F.instr("seq", F.col("kmer")) - 1
+    first = F.when(F.col("strand") == "-", F.length("seq") - at - k).otherwise(at)
+    found = kmers.join(alignments, "name").where(F.col("seq").contains(F.col("kmer"))).withColumn("_at", first)
+    placed = found.select("kmer", "chrom", lifted(F.col("q_blocks"), F.col("t_blocks"), F.col("_at"), F.col("_at") + k).alias("blocks"))
+    return placed.where("size(blocks) > 0").distinct()
+
+
+def best_in_window(scored: DataFrame, features: DataFrame, k: int) -> DataFrame:
+    """Of each feature of a sequence its best k-mer, and whether that beats both borders.
+
+    ``scored`` (name, at, kmer, score): k-mers by their place in the sequence; ``features``
+    (name, size, start, end): the window is k - 1 wider than the feature, a border 2k + 3
+    wider than that; a border of k letters or less doesn't count.
+    """
+    low, high = F.greatest(F.col("start") - k + 1, F.lit(0)), F.least(F.col("end") + k - 1, F.col("size"))
+    far_low = F.greatest(F.col("start") - 3 * k - 2, F.lit(0))
+    far_high = F.least(F.col("end") + 3 * k + 2, F.col("size"))
+    near = features.select("name", "start", "end", low.alias("lo"), high.alias("hi"), far_low.alias("flo"), far_high.alias("fhi"))
+    inside = lambda a, b: (F.col("at") >= F.col(a)) & (F.col("at") + k <= F.col(b))
+    best = lambda a, b, wide=None: F.max(F.when(inside(a, b) if wide is None else inside(a, b) & wide, F.struct("score", F.struct((-F.col("at")).alias("less")), "kmer")))
+    wide_low, wide_high = F.col("lo") - F.col("flo") > k, F.col("fhi") - F.col("hi") > k
+    of = near.join(scored, "name").where(inside("flo", "fhi")).groupBy("name", "start", "end").agg(
+        best("lo", "hi").alias("b"), best("flo", "lo", wide_low).alias("l"), best("hi", "fhi", wide_high).alias("h")
+    ).where("b IS NOT NULL")
+    beats = lambda c: F.col(c).isNull() | (F.col("b.score") > F.col(c + ".score"))
+    return of.select("name", "start", "end", F.col("b.kmer").alias("best_kmer"), F.col("b.score").alias("best_score"), (beats("l") & beats("h")).alias("generates_event"))
+
+
+def segment_relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """equal, contains, within, overlaps or apart, of two half-open segments."""
+    return (
+        F.when((a_start == b_start) & (a_end == b_end), "equal")
+        .when((a_start <= b_start) & (a_end >= b_end), "contains")
+        .when((a_start >= b_start) & (a_end <= b_end), "within")
+        .when((a_start < b_end) & (b_start < a_end), "overlaps")
+        .otherwise("apart")
+    )

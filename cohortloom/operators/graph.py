@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,24 +76,47 @@ def type_counts(types: DataFrame) -> DataFrame:
     return types.groupBy("graph_type").agg(F.count("*").alias("n_graphs"), F.sum("n_nodes").alias("n_nodes"))
 
 
-def trimmed(succ: dict[str, list[str]], pred: dict[str, list[str]], score: dict[str, float]) -> None:
-    """Drop short and weaker side branches, in k-mer order, then the same against the edges."""
-    for out, back in ((succ, pred), (pred, succ)):
-        for node in sorted(score):
-            branches = out.get(node, [])
-            if len(branches) < 2:
-                continue
-            wide = [b for b in branches if len(out.get(b, [])) > 1]
-            short = [b for b in branches if not out.get(b) or (len(out[b]) == 1 and not out.get(out[b][0]))]
-            drop = {*short, *wide} - ({max(wide, key=lambda b: (score[b], b))} if wide else set())
-            for b in drop:
-                out[node].remove(b)
-                back[b].remove(node)
+def _to_drop(branches: list[str], onward: dict[str, list[str]], best: dict[str, float]) -> list[str]:
+    """Of a node's branches those of one or two nodes, and of those that branch again all
+    but the one of the greatest score, the first in order among equals."""
+    drop, kept, top = [], None, 0.0
+    for b in branches:
+        following = onward.get(b, [])
+        if not following:
+            drop.append(b)
+        elif len(following) == 1:
+            if not onward.get(following[0]):
+                drop.append(b)
+        else:
+            drop.append(b)
+            if best[b] > top:
+                kept, top = b, best[b]
+    return [b for b in drop if b != kept]
+
+
+def trimmed(succ: dict[str, list[str]], pred: dict[str, list[str]], best: dict[str, float]) -> None:
+    """Drop side branches node by node in k-mer order, each node's edges out and then its
+    edges in; what is dropped is gone for the nodes after it."""
+    for node in sorted(best):
+        for out, back in ((succ, pred), (pred, succ)):
+            if len(out.get(node, [])) > 1:
+                for b in _to_drop(out[node], out, best):
+                    out[node].remove(b)
+                    back[b].remove(node)
+
+
+def closest(values: dict[str, np.ndarray], node: str, following: list[str]) -> str | None:
+    """The branch whose scores are on average closest to the node's, if no more than 3 away
+    and the next one is at least 5 further."""
+    near = sorted(following, key=lambda b: float(np.abs(values[b] - values[node]).mean()))
+    first, second = (float(np.abs(values[b] - values[node]).mean()) for b in near[:2])
+    return near[0] if first <= 3 and second - first >= 5 else None
 
 
 def assembled(rows: pd.DataFrame, links: pd.DataFrame, threshold: float, trim: bool = True) -> list[tuple[str, str, float, int]]:
     """(sequence, best k-mer, its score, nodes) walked from the roots of one component."""
-    score = dict(zip(rows["kmer"], rows["score"]))
+    values = {k: np.asarray(v, float) for k, v in zip(rows["kmer"], rows["scores"])}
+    score = {k: float(v.max()) for k, v in values.items()}
     if not score or max(score.values()) < threshold:
         return []
     succ: dict[str, list[str]] = {}
@@ -132,13 +156,10 @@ def assembled(rows: pd.DataFrame, links: pd.DataFrame, threshold: float, trim: b
             seen.add(node)
             chosen = following[0]
             if len(following) > 1:
-                near = sorted(following, key=lambda b: (abs(score[b] - score[node]), b))
-                gap = abs(score[near[1]] - score[node]) - abs(score[near[0]] - score[node])
-                clear = abs(score[near[0]] - score[node]) <= 3 and gap >= 5
-                todo += [b for b in following if not clear or b != near[0]]
-                if not clear:
+                chosen = closest(values, node, following)
+                todo += [b for b in following if b != chosen]
+                if chosen is None:
                     break
-                chosen = near[0]
             text += node[: shift[node]]
             node = chosen
         if score[best] >= threshold:
@@ -151,10 +172,10 @@ def assembled(rows: pd.DataFrame, links: pd.DataFrame, threshold: float, trim: b
 def assemble(nodes: DataFrame, edges: DataFrame, parts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Sequences longer than k + 3 of every component; one component at a time in a task.
 
-    ``nodes`` (kmer, score). Trimming and walking depend on order, so they run in Python,
+    ``nodes`` (kmer, scores array<double>, one a comparison). Trimming and walking depend on order, so they run in Python,
     component by component.
     """
-    rows = parts.join(nodes, "kmer").select(F.col("component").alias("part"), "kmer", "score")
+    rows = parts.join(nodes, "kmer").select(F.col("component").alias("part"), "kmer", "scores")
     of_src = parts.select(F.col("kmer").alias("src"), F.col("component").alias("of"))
     links = edges.join(of_src, "src").select("of", "src", "dst", "shift")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import anova_p, fold_change, normal_p, student_p, welch_df, welch_t
+from .running import in_ranges, numbered, running
 
 
 def group_counts(samples: DataFrame) -> DataFrame:
@@ -13,24 +14,24 @@ def group_counts(samples: DataFrame) -> DataFrame:
     return ranked.select((F.row_number().over(Window.orderBy("grp")) - 1).alias("group_id"), "grp", F.col("count").alias("n_samples"))
 
 
-def filled(long: DataFrame, samples: DataFrame, value: str = "value") -> DataFrame:
-    """Every k-mer in every sample: (kmer, sample, grp, x), zeros filled in."""
-    every = long.select("kmer").distinct().join(samples.select("sample", "grp"))
-    return every.join(long.select("kmer", "sample", value), ["kmer", "sample"], "left").select(
-        "kmer", "sample", "grp", F.coalesce(value, F.lit(0)).cast("double").alias("x")
-    )
+def group_sizes(samples: DataFrame) -> list[tuple[str, int]]:
+    """(group, samples) in order: a header, as long as there are groups."""
+    return sorted((r[0], r[1]) for r in samples.groupBy("grp").count().collect())
+
+
+def _every_group(kmers: DataFrame, sizes: list[tuple[str, int]]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).cast("long").alias("n")) for g, n in sizes]))
+    return kmers.select("kmer", each.alias("g")).select("kmer", "g.grp", "g.n")
 
 
 def group_stats(long: DataFrame, samples: DataFrame, value: str = "value") -> DataFrame:
-    """(kmer, grp, n, mean, sd) from sums over the rows that are there."""
-    sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
-    sums = long.groupBy("kmer", "grp").agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    every = long.select("kmer").distinct().join(sizes)
-    mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
-    variance = F.try_divide(F.coalesce("q", F.lit(0.0)) - F.col("n") * mean * mean, F.col("n") - 1)
-    return every.join(sums, ["kmer", "grp"], "left").select(
-        "kmer", "grp", "n", mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd")
-    )
+    """(kmer, grp, n, mean, sd): what is there is summed up around its own mean, and absent
+    zeros are merged in by their number."""
+    there = long.groupBy("kmer", "grp").agg(F.count("*").alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    every = _every_group(long.select("kmer").distinct(), group_sizes(samples)).join(there, ["kmer", "grp"], "left")
+    n, k, m = F.col("n"), F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0.0))
+    squares = k * F.coalesce("v", F.lit(0.0)) + m * m * k * (n - k) / n
+    return every.select("kmer", "grp", "n", (m * k / n).alias("mean"), F.sqrt(F.try_divide(squares, n - 1)).alias("sd"))
 
 
 def pairwise(stats: DataFrame) -> DataFrame:
@@ -70,26 +71,47 @@ def with_anova_p(rows: DataFrame) -> DataFrame:
 
 
 def tie_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Average ranks from 1, equal values sharing theirs."""
-    ordered, peers = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return rows.withColumn("rank", F.rank().over(ordered) + (F.count("*").over(peers) - 1) / 2.0)
-
-
-def mann_whitney(values: DataFrame, a: str, b: str) -> DataFrame:
-    """U (the greater one) and z with ties and continuity corrected, of two groups."""
-    two = values.where(F.col("grp").isin(a, b))
-    ranked = tie_ranks(two, ["kmer"], "x").withColumn("peers", F.count("*").over(Window.partitionBy("kmer", "x")))
-    sums = ranked.groupBy("kmer").agg(
-        F.sum(F.when(F.col("grp") == a, F.col("rank")).otherwise(0.0)).alias("r1"),
-        F.count_if(F.col("grp") == a).alias("n1"),
-        F.count_if(F.col("grp") == b).alias("n2"),
-        F.sum(F.col("peers") * F.col("peers") - 1).alias("ties"),
+    """Average ranks from 1, equal values sharing theirs: distinct values are counted, their
+    counts run up in order, and rows look their value up."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    order = [F.col(value)]
+    upto = running(in_ranges(counts, by, order), by, order, "_n", F.sum, "_upto")
+    return rows.join(upto.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank")), [*by, value])
+
+
+def mann_whitney(long: DataFrame, samples: DataFrame, value: str = "value") -> DataFrame:
+    """U (the greater one) and z with ties and continuity corrected, for every k-mer and
+    every two groups (kmer, grp_a, grp_b, u, z).
+
+    Values are counted by group first, absent zeros by their number, so a k-mer and pair
+    have at most as many rows as distinct values.
+    """
+    sizes = group_sizes(samples)
+    present = long.where(F.col(value) != 0).groupBy("kmer", "grp", F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    taken = present.groupBy("kmer", "grp").agg(F.sum("c").alias("k"))
+    zeros = _every_group(long.select("kmer").distinct(), sizes).join(taken, ["kmer", "grp"], "left").select(
+        "kmer", "grp", F.lit(0.0).alias("x"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("c")
+    )
+    counts = present.unionByName(zeros.where("c > 0"))
+    pairs = [(g, h) for g, _ in sizes for h, _ in sizes if g < h]
+    own = {g: [F.struct(F.lit(a).alias("grp_a"), F.lit(b).alias("grp_b")) for a, b in pairs if g in (a, b)] for g, _ in sizes}
+    of = F.create_map(*[x for g, ps in own.items() if ps for x in (F.lit(g), F.array(*ps))])
+    both = counts.select("kmer", "grp", "x", "c", F.explode(of[F.col("grp")]).alias("p")).select("kmer", "grp", "x", "c", "p.grp_a", "p.grp_b")
+    dealt = both.groupBy("kmer", "grp_a", "grp_b", "x").agg(
+        F.sum(F.when(F.col("grp") == F.col("grp_a"), F.col("c")).otherwise(0)).alias("a"), F.sum("c").alias("peers")
+    )
+    one = Window.partitionBy("kmer", "grp_a", "grp_b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("peers").over(one) - (F.col("peers") - 1) / 2.0
+    sums = dealt.withColumn("rank", rank).groupBy("kmer", "grp_a", "grp_b").agg(
+        F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum("a").alias("n1"), F.sum(F.col("peers") - F.col("a")).alias("n2"),
+        F.sum(F.col("peers") * (F.col("peers") * F.col("peers") - 1)).alias("ties"),
     )
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     n = F.col("n1") + F.col("n2")
     sums = sums.withColumn("u", F.greatest(u1, F.col("n1") * F.col("n2") - u1))
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    return sums.select("kmer", "u", F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2.0 - 0.5, sd).alias("z"))
+    z = F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2.0 - 0.5, sd)
+    return sums.select("kmer", "grp_a", "grp_b", "u", z.alias("z"))
 
 
 def with_normal_p(rows: DataFrame) -> DataFrame:
@@ -99,21 +121,29 @@ def with_normal_p(rows: DataFrame) -> DataFrame:
 def best_rank(scores: DataFrame) -> DataFrame:
     """Per comparison rank by score (high first), then p-value, then k-mer, from 0; the
     least of them over comparisons."""
-    order = Window.partitionBy("comparison").orderBy(F.desc("score"), F.asc("p"), F.asc("kmer"))
-    return scores.withColumn("r", F.row_number().over(order) - 1).groupBy("kmer").agg(F.min("r").alias("best_rank"))
+    ranked = numbered(scores, ["comparison"], [F.desc("score"), F.asc("p"), F.asc("kmer")], "r")
+    return ranked.groupBy("kmer").agg((F.min("r") - 1).cast("int").alias("best_rank"))
+
+
+def _stepped(p_values: DataFrame, order: list[Column]) -> DataFrame:
+    """The p-values in ranges of their order, with their place and the family's size."""
+    sizes = p_values.groupBy("family").agg(F.count("*").alias("_m"))
+    ranges = in_ranges(p_values.withColumn("_one", F.lit(1)), ["family"], order)
+    placed = running(ranges, ["family"], order, "_one", F.sum, "_i")
+    return placed.join(sizes, "family")
 
 
 def holm(p_values: DataFrame) -> DataFrame:
     """Step-down: p times the number of those not smaller, never falling, at most 1."""
-    order = Window.partitionBy("family").orderBy("p", "kmer")
-    m = F.count("*").over(Window.partitionBy("family"))
-    step = p_values.withColumn("adj", F.col("p") * (m - F.row_number().over(order) + 1))
-    return step.withColumn("adjusted", F.least(F.lit(1.0), F.max("adj").over(order))).drop("adj")
+    order = [F.asc("p"), F.asc("kmer")]
+    step = _stepped(p_values, order).withColumn("_adj", F.col("p") * (F.col("_m") - F.col("_i") + 1))
+    top = running(step, ["family"], order, "_adj", F.max, "_top")
+    return top.select(*p_values.columns, F.least(F.lit(1.0), F.col("_top")).alias("adjusted"))
 
 
 def benjamini_hochberg(p_values: DataFrame) -> DataFrame:
-    up = Window.partitionBy("family").orderBy("p", "kmer")
-    down = Window.partitionBy("family").orderBy(F.desc("p"), F.desc("kmer"))
-    m = F.count("*").over(Window.partitionBy("family"))
-    step = p_values.withColumn("adj", F.col("p") * m / F.row_number().over(up))
-    return step.withColumn("adjusted", F.least(F.lit(1.0), F.min("adj").over(down))).drop("adj")
+    """Step-up: from the largest p down, p times the family's size over its place."""
+    order = [F.desc("p"), F.desc("kmer")]
+    step = _stepped(p_values, order).withColumn("_adj", F.col("p") * F.col("_m") / (F.col("_m") - F.col("_i") + 1))
+    low = running(step, ["family"], order, "_adj", F.min, "_low")
+    return low.select(*p_values.columns, F.least(F.lit(1.0), F.col("_low")).alias("adjusted"))

@@ -29,25 +29,42 @@ def overlap_join(a: DataFrame, b: DataFrame, closed: bool = False, outer: bool =
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
-def merged(intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Half-open intervals of each group united where they touch or overlap."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return intervals.withColumn("_before", before).withColumn(
+def merged(intervals: DataFrame, by: list[str], width: int = 65_536) -> DataFrame:
+    """Half-open intervals of each group united where they touch or overlap.
+
+    Intervals of equal start are one from the first step. They are dealt to stretches of
+    ``width`` by their start; a stretch gets to know the furthest end of all before it and
+    how many islands begin there, from one row a stretch, so no task holds a whole group.
+    """
+    points = intervals.groupBy(*by, "start").agg(F.max("end").alias("end")).withColumn("_bin", F.floor(F.col("start") / width))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*by, "_bin").orderBy("start")
+    ends = points.groupBy(*by, "_bin").agg(F.max("end").alias("_end")).select(*by, "_bin", F.max("_end").over(earlier).alias("_far"))
+    before = F.greatest("_far", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = points.join(ends, [*by, "_bin"]).withColumn("_before", before).withColumn(
         "_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), 1).otherwise(0)
-    ).withColumn("_island", F.sum("_new").over(order)).groupBy(*by, "_island").agg(
+    )
+    counts = opened.groupBy(*by, "_bin").agg(F.sum("_new").alias("_n")).select(*by, "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    island = F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_first")
+    return opened.join(counts, [*by, "_bin"]).withColumn("_island", island).groupBy(*by, "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end")
     ).drop("_island")
 
 
 def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
     """Percent of each feature (chrom, start, end, a_id) covered by reads (b_id), rounded
-    down to hundredths."""
+    down to hundredths.
+
+    Of reads that start at one place of a feature the longest counts, so a feature has no
+    more rows than places; a row covers what reaches beyond all before it.
+    """
     pairs = overlap_join(features, reads, width=width)
-    clipped = pairs.select("a_id", "a_start", "a_end", F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
-    united = merged(clipped, ["a_id", "a_start", "a_end"])
-    covered = F.try_divide(F.sum(F.col("end") - F.col("start")) * 10000, F.col("a_end") - F.col("a_start"))
-    return united.groupBy("a_id", "a_start", "a_end").agg((F.floor(covered) / 100.0).alias("coverage")).select("a_id", "coverage")
+    at = ["a_id", "a_start", "a_end"]
+    clipped = pairs.groupBy(*at, F.greatest("a_start", "b_start").alias("start")).agg(F.max(F.least("a_end", "b_end")).alias("end"))
+    before = F.max("end").over(Window.partitionBy(*at).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    adds = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, "start")), F.lit(0))
+    covered = F.try_divide(F.sum("adds") * 10000, F.col("a_end") - F.col("a_start"))
+    return clipped.withColumn("adds", adds).groupBy(*at).agg((F.floor(covered) / 100.0).alias("coverage")).select("a_id", "coverage")
 
 
 def window_lookup(alignments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

@@ -38,9 +38,10 @@ def totals(long: DataFrame, prefix: int) -> DataFrame:
 
 
 def normalised(long: DataFrame, rescale: float) -> DataFrame:
-    """``value``: counts per ``rescale`` of the sample's total."""
-    total = F.sum("raw_count").over(Window.partitionBy("sample"))
-    return long.withColumn("value", F.col("raw_count") / (total / F.lit(float(rescale))))
+    """``value``: counts per ``rescale`` of the sample's total, which is summed up before it
+    is joined: one row a sample."""
+    total = long.groupBy("sample").agg(F.sum("raw_count").alias("_total"))
+    return long.join(total, "sample").select(*long.columns, (F.col("raw_count") / (F.col("_total") / F.lit(float(rescale)))).alias("value"))
 
 
 def wide(long: DataFrame, samples: list[str], value: str = "raw_count") -> DataFrame:

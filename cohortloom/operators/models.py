@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reduce import balanced_split
+
 from .graph import components
 
 CLASSIFIERS = {
@@ -124,3 +126,27 @@ def projection(long: DataFrame, bmu: DataFrame, mean: bool = False, value: str =
         return sums
     sizes = bmu.groupBy("node").agg(F.count("*").alias("n"))
     return sums.join(sizes, "node").select("sample", "node", (F.col("total") / F.col("n")).alias("total"))
+
+
+def class_report(predicted: DataFrame) -> DataFrame:
+    """Support, recall and precision of each label of (label, prediction)."""
+    cells = predicted.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    rows = cells.groupBy("label").agg(F.sum("n").alias("support"), hit.alias("hit"))
+    named = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("named"))
+    return rows.join(named, "label", "left").select("label", "support", (F.col("hit") / F.col("support")).alias("recall"), (F.col("hit") / F.col("named")).alias("precision"))
+
+
+def node_norms(projected: DataFrame) -> DataFrame:
+    """``share``: totals (sample, node, total) scaled to the node's least and greatest."""
+    ends = projected.groupBy("node").agg(F.min("total").alias("lo"), F.max("total").alias("hi"))
+    return projected.join(ends, "node").select("sample", "node", F.try_divide(F.col("total") - F.col("lo"), F.col("hi") - F.col("lo")).alias("share"))
+
+
+def balanced_folds(samples: DataFrame, group: str, key: str, share: float, folds: int) -> DataFrame:
+    """A balanced split for each fold, by another hash: (fold, ..., part)."""
+    out = None
+    for fold in range(folds):
+        split = balanced_split(samples, group, key, share, seed=fold).withColumn("fold", F.lit(fold))
+        out = split if out is None else out.unionByName(split)
+    return out

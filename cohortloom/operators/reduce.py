@@ -8,9 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import numbered
+
 
 def split_sizes(least_group: int, share: float) -> tuple[int, int]:
     """(training, test) samples per group in a balanced hold-out."""
@@ -26,7 +28,7 @@ def balanced_split(samples: DataFrame, group: str, key: str, share: float, seed:
     least = samples.groupBy(group).count().agg(F.min("count")).first()[0] or 0
     train, test = split_sizes(least, share)
     order = F.col(key) if seed is None else F.xxhash64(F.col(key), F.lit(seed))
-    ranked = samples.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order, key)))
+    ranked = numbered(samples, [group], [order, F.col(key)], "_n")
     part = F.when(F.col("_n") <= train, "train").when(F.col("_n") <= train + test, "test").otherwise("unused")
     return ranked.withColumn("part", part).drop("_n")
 
@@ -126,19 +128,23 @@ class EntropyGate:
         self.least, self.since, self.every = 1e6, 0, self.every + 30
 
 
-def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float = 65.0, down: float = 0.25, up: float = 0.05) -> DataFrame:
+def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float = 65.0, down: float = 0.25, up: float = 0.05, ranges: int = 8) -> DataFrame:
     """Rows (kmer, counts) that pass the gate and tell some pair of groups apart.
 
-    The gate is a state of one k-mer range, read in k-mer order: ranges are sorted and
-    scanned independently, so the threshold adapts within each.
+    The gate is a state of one k-mer range, read in k-mer order: the k-mers are dealt to
+    ``ranges`` ranges of equal numbers, each scanned on its own, so the threshold adapts
+    within each. The result depends on ``ranges``, and not on how the input is partitioned.
     """
     of = np.array(groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = EntropyGate(down, up)
+        gate, at_range = EntropyGate(down, up), None
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500].reset_index(drop=True)
+            cuts = sorted({*range(0, len(pdf), 500), *np.nonzero(pdf["_range"].diff().fillna(0).to_numpy())[0].tolist(), len(pdf)})
+            for at, end in zip(cuts, cuts[1:]):
+                part = pdf.iloc[at:end].reset_index(drop=True)
+                if part["_range"][0] != at_range:
+                    gate, at_range = EntropyGate(down, up), part["_range"][0]
                 x = np.stack(part["counts"].to_numpy()).astype(float)
                 h = row_entropy(x)
                 maybe = np.nonzero(h >= gate.threshold - gate.threshold * gate.down)[0]
@@ -158,7 +164,10 @@ def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float =
                     "entropy": h[keep], "entropy_threshold": np.array(thresholds, float),
                 })
 
-    return rows.select("kmer", "counts").repartitionByRange("kmer").sortWithinPartitions("kmer").mapInPandas(
+    ranked = numbered(rows.select("kmer", "counts").withColumn("_all", F.lit(0)), ["_all"], [F.col("kmer")], "_n")
+    size = max(1, -(-rows.count() // ranges))
+    dealt = ranked.select("kmer", "counts", F.floor((F.col("_n") - 1) / size).cast("int").alias("_range"))
+    return dealt.repartition(ranges, "_range").sortWithinPartitions("_range", "kmer").mapInPandas(
         run, "kmer string, acc array<double>, entropy double, entropy_threshold double"
     )
 
@@ -170,5 +179,5 @@ def accurate(scored: DataFrame, least: float = 65.0) -> DataFrame:
 def rescaled_scores(scored: DataFrame, column: str = "acc") -> DataFrame:
     """Each comparison's scores over its greatest one, to 100; long: (kmer, comparison, score)."""
     long = scored.select("kmer", F.posexplode(column).alias("comparison", "raw"))
-    top = F.max("raw").over(Window.partitionBy("comparison"))
-    return long.select("kmer", "comparison", "raw", F.try_divide(F.col("raw") * 100, top).alias("score"))
+    top = long.groupBy("comparison").agg(F.max("raw").alias("_top"))
+    return long.join(top, "comparison").select("kmer", "comparison", "raw", F.try_divide(F.col("raw") * 100, F.col("_top")).alias("score"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAP_NODES = 10_000
+
 
 def discretise(long: DataFrame, n_samples: int, bins: int = 100, least_share: float = 0.1, value: str = "value") -> DataFrame:
     """Bins of the non-zero values of each k-mer that is in enough samples.
@@ -49,19 +55,57 @@ def _squared_distance(x, y):  # noqa: ANN001, ANN202
     return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
 
 
-def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Euclidean distances of stated queries to all vectors: (query_id, vec_id, distance)."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    every = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return every.join(asked).select("query_id", "vec_id", F.sqrt(_squared_distance(F.col("q"), F.col("v"))).alias("distance"))
+def column_products(rows: DataFrame) -> DataFrame:
+    """(i, j, n, si, sj, q, qi, qj) for every two columns i < j of rows (counts): the number
+    of rows, both sums, the sum of products and both sums of squares.
+
+    Each task adds up one square matrix; what is shuffled are its cells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, product = 0, None, None
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy()
+            if batch.num_rows:
+                x = flat.reshape(batch.num_rows, -1)
+                n += len(x)
+                total = x.sum(0) if total is None else total + x.sum(0)
+                product = x.T @ x if product is None else product + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(total), 1)
+            square = np.diag(product)
+            yield pa.RecordBatch.from_pydict({
+                "i": i.astype(np.int32), "j": j.astype(np.int32), "n": np.full(len(i), n), "si": total[i], "sj": total[j],
+                "q": product[i, j], "qi": square[i], "qj": square[j],
+            })
+
+    kinds = "i int, j int, n long, si double, sj double, q double, qi double, qj double"
+    cells = rows.select(F.col("counts").cast("array<double>")).mapInArrow(run, kinds)
+    return cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "q", "qi", "qj")])
+
+
+def column_correlations(rows: DataFrame) -> DataFrame:
+    """Pearson's r of every two columns."""
+    n = F.col("n")
+    r = F.try_divide(n * F.col("q") - F.col("si") * F.col("sj"), F.sqrt(n * F.col("qi") - F.pow("si", 2)) * F.sqrt(n * F.col("qj") - F.pow("sj", 2)))
+    return column_products(rows).select("i", "j", r.alias("r"))
+
+
+def column_distances(rows: DataFrame) -> DataFrame:
+    """Euclidean distances of every two columns."""
+    square = F.col("qi") + F.col("qj") - 2 * F.col("q")
+    return column_products(rows).select("i", "j", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
 def nearest_node(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     """The nearest node (node, weights) of each vector, the first among equals.
 
-    ``nodes`` is a trained map of fixed size and travels inside the expression.
+    ``nodes`` is a trained map of at most ``MAP_NODES`` nodes and travels inside the
+    expression.
     """
-    grid = [(r[0], [float(x) for x in r[1]]) for r in nodes.select("node", "weights").orderBy("node").limit(10_000).collect()]
+    if len(nodes.select("node").take(MAP_NODES + 1)) > MAP_NODES:
+        raise ValueError(f"a map has at most {MAP_NODES} nodes")
+    grid = [(r[0], [float(x) for x in r[1]]) for r in nodes.select("node", "weights").orderBy("node").collect()]
     v = F.col("embedding").cast("array<double>")
     options = F.array(*[
         F.struct(F.round(F.sqrt(_squared_distance(v, F.array(*map(F.lit, w)))), 9).alias("d"), F.lit(n).alias("node")) for n, w in grid
@@ -89,5 +133,5 @@ def silhouette(vectors: DataFrame) -> DataFrame:
 
 
 def l2_normalised(long: DataFrame, by: str = "sample", value: str = "raw_count") -> DataFrame:
-    norm = F.sqrt(F.sum((F.col(value) * F.col(value)).cast("double")).over(Window.partitionBy(by)))
-    return long.withColumn("value", F.col(value) / norm)
+    norms = long.groupBy(by).agg(F.sqrt(F.sum((F.col(value) * F.col(value)).cast("double"))).alias("_norm"))
+    return long.join(norms, by).withColumn("value", F.col(value) / F.col("_norm")).drop("_norm")

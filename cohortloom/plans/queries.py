@@ -225,15 +225,12 @@ def fold_change(s: SparkSession, d: str) -> DataFrame:
     return groups.pairwise(_stats(s, d)).select("kmer", "grp_a", "grp_b", F.round("fold", 5).alias("fold"))
 
 
-@query("WITH " + T.SQL_STATS + """SELECT a.kmer, a.grp AS grp_a, b.grp AS grp_b, round((a.mean - b.mean) / sqrt(a.sd * a.sd / a.n + b.sd * b.sd / b.n), 4) AS t,
-  round(power(a.sd * a.sd / a.n + b.sd * b.sd / b.n, 2) / (power(a.sd * a.sd / a.n, 2) / (a.n - 1) + power(b.sd * b.sd / b.n, 2) / (b.n - 1)), 3) AS df
-FROM st a JOIN st b ON a.kmer = b.kmer AND a.grp < b.grp WHERE a.sd + b.sd > 0.001""")
+@query("WITH " + T.SQL_STATS + """SELECT a.kmer, a.grp AS grp_a, b.grp AS grp_b, round((a.mean - b.mean) / nullif(sqrt(a.sd * a.sd / a.n + b.sd * b.sd / b.n), 0), 4) + 0.0 AS t,
+  round(power(a.sd * a.sd / a.n + b.sd * b.sd / b.n, 2) / nullif(power(a.sd * a.sd / a.n, 2) / (a.n - 1) + power(b.sd * b.sd / b.n, 2) / (b.n - 1), 0), 3) AS df
+FROM st a JOIN st b ON a.kmer = b.kmer AND a.grp < b.grp""")
 def welch_t_stat(s: SparkSession, d: str) -> DataFrame:
-    stats = _stats(s, d)
-    sds = stats.select("kmer", F.col("grp"), "sd")
-    pairs = groups.pairwise(stats)
-    keep = pairs.join(sds.select("kmer", F.col("grp").alias("grp_a"), F.col("sd").alias("x")), ["kmer", "grp_a"]).join(sds.select("kmer", F.col("grp").alias("grp_b"), F.col("sd").alias("y")), ["kmer", "grp_b"])
-    return keep.where("x + y > 0.001").select("kmer", "grp_a", "grp_b", _r(F.col("t"), 4).alias("t"), _r(F.col("df"), 3).alias("df"))
+    """Null where neither group varies."""
+    return groups.pairwise(_stats(s, d)).select("kmer", "grp_a", "grp_b", _r(F.col("t"), 4).alias("t"), _r(F.col("df"), 3).alias("df"))
 
 
 @query()
@@ -253,29 +250,29 @@ def anova_p(s: SparkSession, d: str) -> DataFrame:
     return groups.with_anova_p(groups.anova(_stats(s, d)))
 
 
-MWU_SQL = "WITH " + T.SQL_M + """, two AS (SELECT kmer, grp, round(x, 6) AS x FROM filled WHERE grp IN ('AFRICA', 'ASIA')
+MWU_SQL = "WITH " + T.SQL_M + """, two AS (
+  SELECT f.kmer, a.grp AS grp_a, b.grp AS grp_b, f.grp, round(f.x, 6) AS x
+  FROM (SELECT DISTINCT grp FROM samples) a JOIN (SELECT DISTINCT grp FROM samples) b ON a.grp < b.grp JOIN filled f ON f.grp IN (a.grp, b.grp)
 ), r AS (
-  SELECT *, rank() OVER (PARTITION BY kmer ORDER BY x) + (count(*) OVER (PARTITION BY kmer, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY kmer, x) AS peers FROM two
+  SELECT *, rank() OVER (PARTITION BY kmer, grp_a, grp_b ORDER BY x) + (count(*) OVER (PARTITION BY kmer, grp_a, grp_b, x) - 1) / 2.0 AS rk,
+         count(*) OVER (PARTITION BY kmer, grp_a, grp_b, x) AS peers FROM two
 ), q AS (
-  SELECT kmer, sum(CASE WHEN grp = 'AFRICA' THEN rk ELSE 0 END) AS r1, count(*) FILTER (grp = 'AFRICA') AS n1, count(*) FILTER (grp = 'ASIA') AS n2, sum(peers * peers - 1) AS ties FROM r GROUP BY kmer
+  SELECT kmer, grp_a, grp_b, sum(CASE WHEN grp = grp_a THEN rk ELSE 0 END) AS r1, count(*) FILTER (grp = grp_a) AS n1, count(*) FILTER (grp = grp_b) AS n2,
+         sum(peers * peers - 1) AS ties FROM r GROUP BY 1, 2, 3
 ), u AS (SELECT *, greatest(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) AS u FROM q)
-SELECT kmer, round(u, 4)::DOUBLE AS u, round(CASE WHEN (n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)) > 0 THEN (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) END, 5) AS z FROM u"""
+SELECT kmer, grp_a, grp_b, round(u, 4)::DOUBLE AS u, round(CASE WHEN (n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)) > 0 THEN (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) END, 5) AS z FROM u"""
 
 
 @query(MWU_SQL)
 def mannwhitney_u(s: SparkSession, d: str) -> DataFrame:
-    values = groups.filled(_normal(s, d), T.samples(s, d)).withColumn("x", F.round("x", 6))
-    return groups.mann_whitney(values, "AFRICA", "ASIA").select("kmer", _r(F.col("u"), 4).alias("u"), _r(F.col("z"), 5).alias("z"))
+    values = _normal(s, d).withColumn("value", F.round("value", 6))
+    return groups.mann_whitney(values, T.samples(s, d)).select("kmer", "grp_a", "grp_b", _r(F.col("u"), 4).alias("u"), _r(F.col("z"), 5).alias("z"))
 
 
 @query("WITH " + T.SQL_M + """SELECT a.sample AS s1, b.sample AS s2, round(corr(a.x, b.x), 5) AS r FROM filled a JOIN filled b ON a.kmer = b.kmer AND a.sample < b.sample GROUP BY 1, 2""")
 def pearson_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Of sample columns: arrays over all k-mers are not needed, sums per pair are."""
-    rows = matrix.as_arrays(_normal(s, d), T.samples(s, d))
     names = F.array(*map(F.lit, _names(s, d)))
-    at = rows.select("kmer", F.posexplode("counts").alias("i", "x"))
-    b = at.select("kmer", F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = at.join(b, "kmer").where("i < j").groupBy("i", "j").agg(F.corr("x", "y").alias("r"))
+    pairs = similarity.column_correlations(matrix.as_arrays(_normal(s, d), T.samples(s, d)))
     return pairs.select(F.get(names, "i").alias("s1"), F.get(names, "j").alias("s2"), _r(F.col("r"), 5).alias("r"))
 
 
@@ -363,9 +360,10 @@ def contingency_cube(s: SparkSession, d: str) -> DataFrame:
     return browse.contingency(rows, "chrom", "class")
 
 
-# The overlap graph: k-mers that many samples share, so that edges are few.
+# The overlap graph of all k-mers. Recursive SQL is too slow for its components: they are
+# tested against brute force on a small fixture.
 EDGE_SQL = COUNT_SQL.replace("6)", "9)").replace("- 4", "- 7").replace(">= 6", ">= 9") + """, n AS (
-  SELECT kmer, max(raw_count) AS score FROM c GROUP BY kmer HAVING count(*) >= 3 AND kmer LIKE '%A%T%'
+  SELECT kmer, max(raw_count) AS score FROM c GROUP BY kmer
 ), j AS (
   SELECT a.kmer AS src, b.kmer AS dst, s.shift FROM n a CROSS JOIN (VALUES (1), (2)) s(shift) JOIN n b ON substr(a.kmer, s.shift + 1) = substr(b.kmer, 1, 9 - s.shift)
 ), p AS (SELECT src, shift, count(*) AS partners FROM j GROUP BY 1, 2
@@ -375,8 +373,7 @@ EDGE_SQL = COUNT_SQL.replace("6)", "9)").replace("- 4", "- 7").replace(">= 6", "
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
-    counted = matrix.count_kmers(T.reads(s, d), 9).groupBy("kmer").agg(F.count("*").alias("n"), F.max("raw_count").alias("score"))
-    return counted.where("n >= 3 AND kmer LIKE '%A%T%'").select("kmer", F.col("score").cast("double").alias("score"))
+    return matrix.count_kmers(T.reads(s, d), 9).groupBy("kmer").agg(F.max("raw_count").cast("double").alias("score"))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -405,36 +402,24 @@ def _typed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edges, graph.components(edges)
 
 
-COMPONENT_SQL = EDGE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e
-), walk AS (SELECT a, a AS b FROM u UNION SELECT walk.a, u.b FROM walk JOIN u ON walk.b = u.a
-), comp AS (SELECT a AS kmer, min(b) AS component FROM walk GROUP BY a
-), deg AS (SELECT kmer, sum(o) AS o, sum(i) AS i FROM (SELECT src AS kmer, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY kmer
-), typed AS (
-  SELECT component, count(*) AS n_nodes, CASE WHEN max(greatest(o, i)) > 1 THEN 'complex' ELSE 'linear' END
-         || CASE WHEN min(i) > 0 THEN '_circular' ELSE '' END AS graph_type
-  FROM comp JOIN deg USING (kmer) GROUP BY component
-)
-"""
-
-
-@query(COMPONENT_SQL + "SELECT component, count(*) AS n_nodes FROM comp GROUP BY component")
+@query()
 def component_sizes(s: SparkSession, d: str) -> DataFrame:
     return _typed(s, d)[1].groupBy("component").agg(F.count("*").alias("n_nodes"))
 
 
-@query(COMPONENT_SQL + "SELECT component, n_nodes, graph_type FROM typed")
+@query()
 def component_type(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.component_types(parts, edges)
 
 
-@query(COMPONENT_SQL + "SELECT graph_type, count(*) AS n_graphs, CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM typed GROUP BY graph_type")
+@query()
 def component_type_counts(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.type_counts(graph.component_types(parts, edges))
 
 
-@query(COMPONENT_SQL + "SELECT component, arg_max(kmer, (score, kmer)) AS best_kmer, CAST(max(score) AS DOUBLE) AS best_score FROM comp JOIN n USING (kmer) GROUP BY component")
+@query()
 def component_best(s: SparkSession, d: str) -> DataFrame:
     return graph.best_per_component(_typed(s, d)[1], _nodes(s, d))
 
@@ -442,7 +427,8 @@ def component_best(s: SparkSession, d: str) -> DataFrame:
 @query()
 def assemble_sequences(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
-    return graph.assemble(_nodes(s, d), edges, parts, 9, 2.0)
+    nodes = _nodes(s, d).select("kmer", F.array("score").alias("scores"))
+    return graph.assemble(nodes, edges, parts, 9, 2.0)
 
 
 INTERVAL_SQL = "WITH " + T.SQL_INTERVALS
@@ -460,7 +446,7 @@ def interval_overlap_closed(s: SparkSession, d: str) -> DataFrame:
     return intervals.overlap_join(T.intervals_a(s, d), T.intervals_b(s, d), closed=True)
 
 
-@query(INTERVAL_SQL + """, w AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b
+@query(INTERVAL_SQL + """, w AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT chrom, start, "end" FROM b)
 ), i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM w)
 SELECT chrom, min(start) AS start, max("end") AS "end" FROM i GROUP BY chrom, island""")
 def interval_union(s: SparkSession, d: str) -> DataFrame:
@@ -468,7 +454,7 @@ def interval_union(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(INTERVAL_SQL + """, o AS (
-  SELECT a.a_id, a.start AS s0, a."end" AS e0, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"
+  SELECT DISTINCT a.a_id, a.start AS s0, a."end" AS e0, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM a JOIN b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"
 ), w AS (SELECT *, max("end") OVER (PARTITION BY a_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o
 ), i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY a_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM w
 ), u AS (SELECT a_id, s0, e0, min(start) AS start, max("end") AS "end" FROM i GROUP BY a_id, s0, e0, island)
@@ -533,19 +519,27 @@ def class_cluster_counts(s: SparkSession, d: str) -> DataFrame:
     return found.join(e.select("vec_id", "label"), "vec_id").groupBy("label", "node").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + T.SQL_M + """, bmu AS (SELECT DISTINCT kmer, CAST(length(kmer) % 7 AS INT) AS node FROM m)
+@query("WITH " + T.SQL_M + """, rows_ AS (SELECT kmer, list(raw::DOUBLE ORDER BY sample) AS x FROM filled GROUP BY kmer
+), nodes AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS node, x AS w FROM rows_ ORDER BY kmer LIMIT 6
+), dist AS (
+  SELECT kmer, node, round(sqrt(list_sum(list_transform(range(1, 26), lambda i: power(x[i] - w[i], 2)))), 9) AS d FROM rows_ CROSS JOIN nodes
+), bmu AS (SELECT kmer, CAST(arg_min(node, (d, node)) AS INT) AS node FROM dist GROUP BY kmer)
 SELECT sample, node, round(sum(value), 4) AS total FROM v JOIN bmu USING (kmer) GROUP BY 1, 2""")
 def som_projection(s: SparkSession, d: str) -> DataFrame:
-    rows = _normal(s, d)
-    bmu = rows.select("kmer").distinct().withColumn("node", (F.length("kmer") % 7).cast("int"))
-    return models.projection(rows, bmu).withColumn("total", _r(F.col("total"), 4))
+    """Totals by map node; the map's six nodes are the first k-mers' counts."""
+    rows = matrix.as_arrays(T.matrix(s, d), T.samples(s, d), "raw_count")
+    first = [r[0] for r in rows.orderBy("kmer").limit(6).select("counts").collect()]  # the map
+    nodes = s.createDataFrame(list(enumerate(first)), "node int, weights array<double>")
+    bmu = similarity.nearest_node(nodes, rows.select(F.col("kmer").alias("vec_id"), F.col("counts").alias("embedding")))
+    return models.projection(_normal(s, d), bmu.select(F.col("vec_id").alias("kmer"), "node")).withColumn("total", _r(F.col("total"), 4))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(q[i]::DOUBLE - embedding[i]::DOUBLE, 2)))), 6) AS distance FROM embeddings CROSS JOIN q""")
+@query("WITH " + T.SQL_M + """SELECT a.sample AS s1, b.sample AS s2, round(sqrt(sum(power(a.x - b.x, 2))), 3) AS distance FROM filled a JOIN filled b ON a.kmer = b.kmer AND a.sample < b.sample GROUP BY 1, 2""")
 def euclidean_distance(s: SparkSession, d: str) -> DataFrame:
-    e = T.table(s, d, "embeddings")
-    return similarity.distances(e.where("vec_id % 100 = 0"), e).withColumn("distance", _r(F.col("distance")))
+    """Of sample columns."""
+    names = F.array(*map(F.lit, _names(s, d)))
+    pairs = similarity.column_distances(matrix.as_arrays(_normal(s, d), T.samples(s, d)))
+    return pairs.select(F.get(names, "i").alias("s1"), F.get(names, "j").alias("s2"), _r(F.col("distance"), 3).alias("distance"))
 
 
 @query("""WITH x AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)
@@ -617,10 +611,12 @@ def classifier_accuracy(s: SparkSession, d: str) -> DataFrame:
     return models.accuracy(models.predicted(e.where("part = 'train'"), e.where("part = 'test'"), "logistic"))
 
 
-@query("""SELECT label::DOUBLE AS label, (label % 3)::DOUBLE AS prediction, count(*) AS n FROM embeddings GROUP BY 1, 2""")
+@query(NODE_SQL + "SELECT e.label::DOUBLE AS label, near.node::DOUBLE AS prediction, count(*) AS n FROM near JOIN embeddings e USING (vec_id) GROUP BY 1, 2")
 def confusion_matrix(s: SparkSession, d: str) -> DataFrame:
-    e = T.table(s, d, "embeddings").select(F.col("label").cast("double").alias("label"), (F.col("label") % 3).cast("double").alias("prediction"))
-    return models.confusion(e)
+    """Labels against those of the nearest first vector."""
+    e = T.table(s, d, "embeddings")
+    near = similarity.nearest_node(_first_nodes(s, d), e).select("vec_id", F.col("node").cast("double").alias("prediction"))
+    return models.confusion(e.select("vec_id", F.col("label").cast("double").alias("label")).join(near, "vec_id"))
 
 
 @query("WITH " + T.SQL_M + """, a AS (SELECT kmer, split_part(kmer, '/', 1) AS gene, list(raw ORDER BY sample) AS x, max(raw) AS score FROM filled GROUP BY 1, 2

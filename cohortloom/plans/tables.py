@@ -36,8 +36,8 @@ SQL_STATS = SQL_M + """, st AS (
 SQL_INTERVALS = """a AS (
   SELECT o_orderstatus AS chrom, o_orderkey AS start, o_orderkey + o_custkey % 50 AS "end", o_orderkey AS a_id FROM orders
 ), b AS (
-  SELECT l_linestatus AS chrom, l_orderkey AS start, l_orderkey + l_partkey % 30 AS "end", l_orderkey AS b_id
-  FROM lineitem WHERE l_linenumber = 1
+  SELECT l_linestatus AS chrom, l_orderkey AS start, l_orderkey + l_partkey % 30 AS "end", l_orderkey * 10 + l_linenumber AS b_id
+  FROM lineitem
 )"""
 
 
@@ -76,5 +76,5 @@ def intervals_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return li.select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_partkey") % 30).alias("end"), F.col("l_orderkey").alias("b_id"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_partkey") % 30).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("b_id"))

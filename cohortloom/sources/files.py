@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,15 @@ def create_matrix(spark: SparkSession, table: str) -> DataFrame:
     rows = spark.read.csv(table, sep="\t", schema="file string, name string, grp string, more string").collect()  # a header
     if any(r[3] is not None or r[2] is None for r in rows):
         raise ValueError("the table needs exactly three columns: file, name, group")
-    parts = [count_file(spark, r[0]).select(F.lit(r[1]).alias("sample"), F.lit(r[2]).alias("grp"), "kmer", "raw_count") for r in rows]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names = spark.createDataFrame([(r[0].rsplit("/", 1)[-1], r[1], r[2]) for r in rows], "_file string, sample string, grp string")
+    if names.select("_file").distinct().count() < len(rows):
+        raise ValueError("count files need different names")
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text([r[0] for r in rows]).where("trim(value) <> ''").select(
+        F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("_file"),
+        parts[0].alias("kmer"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("raw_count"),
+    )
+    return lines.join(F.broadcast(names), "_file").select("sample", "grp", "kmer", "raw_count")  # a row a sample
 
 
 def text_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +49,7 @@ def text_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix_header(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, sample, grp) from the lines above a matrix; names col_i where it has none."""
-    head = [r[0] for r in spark.read.text(path).limit(8).collect() if not r[0].startswith("#")]
+    head = [r[0] for r in spark.read.text(path).where("NOT startswith(value, '#')").limit(2).collect()]
     if head and head[0].startswith("\t"):
         names = head[0].split("\t")[1:]
         groups = head[1].split("\t")[1:] if len(head) > 1 and head[1].startswith("group\t") else [""] * len(names)
@@ -72,6 +78,30 @@ def header_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ordinal", F.col("s.names").alias("sample"), F.col("s.groups").alias("grp"), F.col("s.count_files").alias("count_file"), F.col("s.total_counts").alias("total_count"), "k_len", "rescale_factor")
 
 
+def write_header_json(header: DataFrame, path: str) -> None:
+    """``header_json``'s rows as one JSON object of arrays in sample order."""
+    of = F.array_sort(F.collect_list(F.struct("ordinal", "sample", "grp", "count_file", "total_count")))
+    one = header.groupBy("k_len", "rescale_factor").agg(of.alias("s"))
+    columns = {"count_files": "count_file", "groups": "grp", "names": "sample", "total_counts": "total_count"}
+    one.select("k_len", "rescale_factor", *[F.col("s")[c].alias(k) for k, c in columns.items()]).coalesce(1).write.json(path)
+
+
+def write_reduced(scored: DataFrame, comparisons: list[str], info: dict, path: str) -> None:
+    """Accuracies (kmer, acc) below a line of JSON and a line of names, with 3 decimals."""
+    cells = F.transform("acc", lambda v: F.format_string("%.3f", v))
+    body = scored.select(F.lit(2).alias("k"), F.concat_ws("\t", "kmer", cells).alias("value"))
+    top = [(0, "#" + json.dumps(info, sort_keys=True)), (1, "\t".join(["kmer", *comparisons]))]
+    scored.sparkSession.createDataFrame(top, "k int, value string").unionByName(body).orderBy("k", "value").select("value").write.text(path)
+
+
+def write_aggregated(sequences: DataFrame, alignments: DataFrame, path: str) -> None:
+    """Assembled sequences as JSON and TSV, and their alignments' blocks as BED."""
+    sequences.write.json(path + ".json")
+    flat = [c for c, t in sequences.dtypes if not t.startswith(("array", "struct", "map"))]
+    sequences.select(*flat).write.csv(path + ".tsv", sep="\t", header=True)
+    bed(alignments).write.text(path + ".bed")
+
+
 def gtf(spark: SparkSession, path: str, feature: str = "exon") -> DataFrame:
     """Exons with their gene and transcript; half-open starts."""
     rows = spark.read.csv(path, sep="\t", comment="#", quote="", schema="chrom string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string")

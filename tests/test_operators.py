@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortloom.operators import browse, graph, intervals, models, reduce
+from cohortloom.functions import stats
+from cohortloom.operators import annotation, browse, graph, intervals, models, reduce, running, similarity
 from cohortloom.sources import files
 from cohortloom.streaming.ingest import ingest_counts
 
@@ -18,7 +20,7 @@ def test_linear_chain_assembles(spark):
     assert edges.count() == 5
     parts = graph.components(edges)
     assert parts.select("component").distinct().count() == 1
-    got = graph.assemble(nodes, edges, parts, k, 50.0).collect()
+    got = graph.assemble(nodes.select("kmer", F.array("score").alias("scores")), edges, parts, k, 50.0).collect()
     assert [r["sequence"] for r in got] == [text]
     assert graph.component_types(parts, edges).first()["graph_type"] == "linear"
 
@@ -37,6 +39,105 @@ def test_four_partners_are_no_edges(spark):
     assert graph.overlap_edges(nodes, 4).where("src = 'ACGT'").count() == 0
 
 
+def brute_graph(kmers, reach, most):
+    edges, k = [], len(kmers[0])
+    for a in kmers:
+        for shift in range(1, reach + 1):
+            partners = [b for b in kmers if b.startswith(a[shift:])]
+            if partners:
+                if len(partners) < most:
+                    edges += [(a, b, shift) for b in partners if b != a]
+                break
+    root = {x: x for e in edges for x in e[:2]}
+    for _ in kmers:
+        for a, b, _s in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return edges, root
+
+
+def test_the_whole_graph_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    kmers = sorted({"".join(rng.choice(list("ACGT"), 5)) for _ in range(160)})
+    nodes = nodes_of(spark, kmers)
+    edges = graph.overlap_edges(nodes, 5, reach=2)
+    want, root = brute_graph(kmers, 2, 4)
+    assert sorted(tuple(r) for r in edges.select("src", "dst", "shift").collect()) == sorted(want)
+    parts = graph.components(edges)
+    assert {r["kmer"]: r["component"] for r in parts.collect()} == root
+    types = {r["component"]: (r["n_nodes"], r["graph_type"]) for r in graph.component_types(parts, edges).collect()}
+    for c in set(root.values()):
+        own = {x for x, r in root.items() if r == c}
+        out = {x: sum(a == x for a, _, _s in want) for x in own}
+        into = {x: sum(b == x for _, b, _s in want) for x in own}
+        kind = "complex" if max([*out.values(), *into.values()]) > 1 else "linear"
+        assert types[c] == (len(own), kind + "_circular" * (min(into.values()) > 0))
+    best = {r["component"]: (r["best_kmer"], r["best_score"]) for r in graph.best_per_component(parts, nodes).collect()}
+    score = {r["kmer"]: r["score"] for r in nodes.collect()}
+    assert best == {c: max(((x, score[x]) for x, r in root.items() if r == c), key=lambda x: (x[1], x[0])) for c in set(root.values())}
+
+
+def test_branches_by_mean_difference():
+    values = {k: np.array(v, float) for k, v in {"a": [50, 60], "b": [51, 62], "c": [40, 90], "d": [50, 70]}.items()}
+    assert graph.closest(values, "a", ["b", "c"]) == "b"
+    assert graph.closest(values, "a", ["b", "d"]) is None and graph.closest(values, "a", ["c", "d"]) is None
+
+
+def test_running_values_across_ranges(spark):
+    rows = [("a" if i % 3 else "b", i * 7919 % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(5)
+    got = {(r["g"], r["i"]): r["n"] for r in running.numbered(df, ["g"], [F.col("x"), F.col("i")], "n").collect()}
+    for g in "ab":
+        order = sorted((x, i) for h, x, i in rows if h == g)
+        assert [got[g, i] for _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_statistics_of_two_groups(spark):
+    df = spark.createDataFrame([([3.0, 1.0, 2.0],), ([5.0],), ([1.0, 4.0],), ([],), ([4.0, 1.0, 2.0, 3.0, 5.0, 6.0],)], "x array<double>")
+    got = [r[0] for r in df.select(stats.quartiles(F.col("x"))).collect()]
+    assert got == [[2.0, 3.0, 3.0], [5.0] * 3, [1.0, 2.5, 4.0], [0.0] * 3, [3.0, 4.0, 6.0]]
+    two = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (8.0, 2.0)], "a double, b double")
+    assert [r[0] for r in two.select(stats.max_fold(F.col("a"), F.col("b"))).collect()] == [0.0, float("inf"), 4.0]
+
+
+def test_nearest_node_refuses_huge_maps(spark):
+    nodes = spark.range(10_001).select(F.col("id").alias("node"), F.array(F.lit(0.0)).alias("weights"))
+    with pytest.raises(ValueError):
+        similarity.nearest_node(nodes, nodes)
+
+
+def test_positions_on_either_strand(spark):
+    kmers = spark.createDataFrame([("q", "CGT"), ("q", "TTT")], "name string, kmer string")
+    block = "array<struct<start:bigint,end:bigint>>"
+    rows = [("q", "1", "+", "AACGTA", [(0, 3), (3, 6)], [(10, 13), (50, 53)]), ("q", "2", "-", "AACGTA", [(0, 6)], [(70, 76)])]
+    al = spark.createDataFrame(rows, f"name string, chrom string, strand string, seq string, q_blocks {block}, t_blocks {block}")
+    got = {(r["kmer"], r["chrom"]): [tuple(b) for b in r["blocks"]] for r in annotation.kmer_positions(kmers, al, 3).collect()}
+    assert got == {("CGT", "1"): [(12, 13), (50, 52)], ("CGT", "2"): [(71, 74)]}
+
+
+def test_folds_are_balanced(spark):
+    df = spark.range(60).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    rows = models.balanced_folds(df, "label", "key", 0.25, 3).groupBy("fold", "label", "part").count().collect()
+    assert {(r["label"], r["part"]): r["count"] for r in rows if r["fold"] == 2 and r["part"] != "unused"} == {
+        (0, "train"): 7, (0, "test"): 2, (1, "train"): 7, (1, "test"): 2
+    }
+
+
+def test_a_long_comment_above_a_matrix(spark, tmp_path):
+    path = tmp_path / "m.tsv"
+    path.write_text("".join(f"# {i}\n" for i in range(20)) + "\ts1\ts2\ngroup\ta\tb\nAC\t1\t2\n")
+    assert [tuple(r) for r in files.matrix_header(spark, str(path)).collect()] == [(0, "s1", "a"), (1, "s2", "b")]
+
+
+def test_sinks_can_be_read_again(spark, tmp_path):
+    header = spark.createDataFrame([(0, "s1", "a", "f1", 7, 31, 1e6), (1, "s2", "b", "f2", 9, 31, 1e6)], "ordinal int, sample string, grp string, count_file string, total_count long, k_len long, rescale_factor double")
+    files.write_header_json(header, str(tmp_path / "h.json"))
+    assert sorted((r["ordinal"], r["sample"], r["total_count"]) for r in files.header_json(spark, str(tmp_path / "h.json")).collect()) == [(0, "s1", 7), (1, "s2", 9)]
+    scored = spark.createDataFrame([("AC", [70.12345, 50.0])], "kmer string, acc array<double>")
+    files.write_reduced(scored, ["a_x_b", "a_x_c"], {"rescale": 1}, str(tmp_path / "r"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert sorted(lines) == sorted(['#{"rescale": 1}', "kmer\ta_x_b\ta_x_c", "AC\t70.123\t50.000"])
+
+
 def test_weaker_branch_goes():
     succ = {"a": ["b", "c"], "b": ["d", "e"], "c": ["f", "g"], "d": [], "e": []}
     pred = {"b": ["a"], "c": ["a"], "d": ["b"], "e": ["b"], "f": ["c"], "g": ["c"]}
