@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_name, has_rows, save
@@ -201,6 +201,14 @@ def _halves(units: DataFrame, length: int) -> DataFrame:
     return units.mapInArrow(run, UNIT)
 
 
+def _with_sizes(segments: DataFrame) -> DataFrame:
+    """Segments (key, n, ...) of keys that occur more than once, with the number of
+    different ones (``k``) and whether any occurs once (``single``). A key with very many
+    is summed up in parts and joined, which Spark can split, unlike a window."""
+    keys = segments.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), (F.min("n") == 1).alias("single"))
+    return segments.join(keys.where("all > 1").select("key", "k", "single"), "key")
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> DataFrame:
     """(t, start, stop): the byte ranges that go, by md5 of the text; they may overlap.
 
@@ -232,15 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
     one = found.groupBy("key", "seg").agg(
         F.sum("n").alias("n"), F.min(F.struct("t", "s0", "dlo", "dhi")).alias("r")
     )
-    per_key = Window.partitionBy("key")
-    alive = save(
-        one.withColumn("k", F.count("*").over(per_key))
-        .withColumn("all", F.sum("n").over(per_key))
-        .withColumn("single", F.min("n").over(per_key) == 1)
-        .where("all > 1")
-        .select("key", "seg", "n", "k", "single", "r.*"),
-        "alive",
-    )
+    alive = save(_with_sizes(one).select("key", "seg", "n", "k", "single", "r.*"), "alive")
     whole = found.join(alive.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select(
         "t", F.col("s0").alias("start"), (F.col("s0") + F.col("dhi") - F.col("dlo") + length).alias("stop")
     )
@@ -283,14 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
         parts = save(_halves(hot, length), "halves")
         named = [F.col(c) for c in ("lo", "hi", "dlo", "dhi", "t", "s0", "body")]
         same = parts.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct(*named)).alias("r"))
-        counted = (
-            same.withColumn("k", F.count("*").over(per_key))
-            .withColumn("all", F.sum("n").over(per_key))
-            .withColumn("single", F.min("n").over(per_key) == 1)
-            .where("all > 1")
-            .select("key", "seg", "n", "r.*", "k", "single")
-        )
-        counted = save(counted, "counted")
+        counted = save(_with_sizes(same).select("key", "seg", "n", "r.*", "k", "single"), "counted")
         # Parts found twice or more go whole, wherever they occur once as units.
         twice = parts.join(counted.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi")
         spans.append(

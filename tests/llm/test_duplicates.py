@@ -1,9 +1,9 @@
-import hashlib
 import random
-from collections import Counter
 
 import pytest
 
+from tests_brute import brute_components, brute_removed
+
 from cohortloom.llm import jaccard, suffix_dedup
 from cohortloom.llm.jaccard import near_duplicates
 from cohortloom.llm.suffix_dedup import remove_repeats, repeated_windows, two_stage_sort
@@ -13,27 +13,6 @@ def words(rng, n, v=400):
     return [f"w{rng.randint(0, v)}" for _ in range(n)]
 
 
-def brute_components(rows, percent=80):
-    sets = []
-    for i, t in rows:
-        w = [x.decode() for x in (t or "").encode().lower().split()]
-        n = min(5, len(w))
-        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()))
-    root = {i: i for i, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-    return {i: (len(s), find(i)) for i, s in sets}
-
-
 @pytest.mark.parametrize(("seed", "frequent"), [(4, 1 << 20), (5, 100), (6, 20)])
 def test_components_against_brute_force(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -84,21 +63,6 @@ def test_a_row_without_an_id_links_others(spark):
         assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == want
 
 
-def brute_removed(texts, length):
-    data = [(t or "").encode() for t in texts]
-    count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
-    out = []
-    for b in data:
-        gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if count[b[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        kept = bytes(c for c, g in zip(b, gone) if not g)
-        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        out.append((len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    return out
-
-
 @pytest.mark.parametrize("group", [300, 3])
 def test_repeats_against_brute_force(spark, monkeypatch, group):
     rng = random.Random(3)
