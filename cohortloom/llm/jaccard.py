@@ -14,7 +14,8 @@ What is asked for are components, so a pair inside one component need not be loo
 first round links every class to one centre per n-gram, the class with the fewest rarer
 n-grams, which joins a large group of near copies in as many pairs as it has members. An
 exact round then takes all pairs of different components; in each group, only classes
-outside its largest component are paired with others. No link between components is lost.
+outside its largest component are paired with others, and not those that have their last
+common n-gram before it in common too. No link between components is lost.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated
 rows share their class. Rows with a null id are linked like others, and have the component
@@ -56,10 +57,17 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def parts(items: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall into each of a power of two of equal ranges."""
-    bits = min(12, max(4, len(items).bit_length() - 3))
-    return np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+def parts(items: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of a power of two of equal ranges, in
+    numbers as wide as they need to be; the width comes first."""
+    bits = min(14, max(4, len(items).bit_length() - 1))
+    counts = np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    wide = 1 if counts.max() < 256 else 4
+    return bytes([wide]) + counts.astype(f"<u{wide}").tobytes()
+
+
+def part_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def most_common(x: np.ndarray, y: np.ndarray) -> int:
@@ -108,7 +116,7 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
                         rows.append((0, None, None, None))
                         continue
                     c = class_of(s)
-                    rows.append((len(s), *c, None if c in seen else parts(s).tobytes()))
+                    rows.append((len(s), *c, None if c in seen else parts(s)))
                     if c not in seen:
                         seen.add(c)
                         kept.append(s)
@@ -258,7 +266,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perce
     """Which of ``pairs`` (a, b) are similar enough: the suffix filter, then the sets."""
 
     def may(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        x, y = part_counts(x), part_counts(y)
         return most_common(x, y) >= least_overlap(int(x.sum()), int(y.sum()), percent)
 
     def similar(x: bytes, y: bytes) -> bool:
@@ -290,8 +298,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     frequent = grams.view(np.uint64)[order], times[order]
     found = members.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("parts").alias("parts"))
     classes = save(found.withColumn("node", F.monotonically_increasing_id()), "classes")
-    rows = save(_met(_prefixes(docs, n, percent, frequent), classes, percent), "met")
+    met = save(_met(_prefixes(docs, n, percent, frequent), classes, percent), "met")
     release(docs.sparkSession)
+    before = F.lag("gram").over(Window.partitionBy("node").orderBy("pos"))
+    rows = save(met.withColumn("before", before), "met")
+    discard(met)
 
     centre = rows.groupBy("gram").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
     centre = centre.select("gram", *[F.col("c")[k].alias(f"c_{k}") for k in ("node", "n", "pos")])
@@ -301,14 +312,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     roots = save(components(checked.where("good").select("a", "b")), "roots")
 
     # All pairs that still lie apart. In each group the classes of its largest component
-    # are only ever the other end.
-    now = save(rows.join(roots, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "rooted")
+    # are only ever the other end; a pair that has met at the n-gram before is left out.
+    now = save(rows.join(roots, "node", "left").select("gram", "node", "n", "pos", "before", F.coalesce("root", "node").alias("root")), "rooted")
     cells = now.groupBy("gram", "root").agg(F.count("*").alias("k"))
     groups = cells.groupBy("gram").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     apart = now.join(groups.select("gram", F.col("top.root").alias("top")), "gram")
-    others = apart.where("root <> top").select("gram", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "root")])
+    others = apart.where("root <> top").select("gram", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "pos", "before", "root")])
     once = (F.col("root") == F.col("top")) | (F.col("node") < F.col("c_node"))
-    last = apart.join(others, "gram").where((F.col("root") != F.col("c_root")) & once & _fits(percent)).select(*pair).distinct()
+    again = F.coalesce(F.col("before") == F.col("c_before"), F.lit(False))
+    last = apart.join(others, "gram").where((F.col("root") != F.col("c_root")) & once & ~again & _fits(percent)).select(*pair).distinct()
     last = save(last.join(star, ["a", "b"], "left_anti"), "pairs")
     discard(star, rows, now)
     if has_rows(last):
