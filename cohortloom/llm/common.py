@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that go to a Python task at once, on either side of the pipe.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of documents or the like. Texts may be long, so batches for Python tasks are
+    bounded in bytes for this session."""
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
