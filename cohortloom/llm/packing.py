@@ -229,6 +229,19 @@ def solve(
     return out
 
 
+def best_plan(histogram: np.ndarray, capacity: int, gaps: tuple[float, ...] = (0.005, 0.0005)) -> list[tuple[dict[int, int], int]]:
+    """The plan of fewest sequences: pricing is first done to the wider gap, and closer only
+    where the plan needs more sequences than all tokens together would fill."""
+    bound, best = -(-int(histogram @ np.arange(len(histogram))) // capacity), None
+    for gap in gaps:
+        plan = solve(histogram, capacity, gap=gap)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) == bound:
+            break
+    return best
+
+
 def _places(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """For each length, which of its ranks go where: first rank, one past the last,
     first sequence, how many lie in each sequence, offset of the first of them."""
@@ -267,7 +280,7 @@ def pack(
     for row in counted:
         histogram[row[0]] = row[1]
     total = int(histogram.sum())
-    plan = solve(histogram, capacity)
+    plan = best_plan(histogram, capacity)
     places = spark.createDataFrame(
         _places(plan), "_length long, _from long, _to long, _sequence long, _each long, _offset long"
     )

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortloom.llm import packing
 from cohortloom.llm.byte_bpe import ByteBpe, encode_decode
 from cohortloom.llm.common import tokenizer_file
-from cohortloom.llm.packing import best_configuration, pack, solve
+from cohortloom.llm.packing import WordEncoder, best_configuration, best_plan, pack, solve
 
 tokenizers = pytest.importorskip("tokenizers")
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -116,3 +117,39 @@ def test_program_places_every_piece(monkeypatch):
             left[n] -= k * times
     assert not left.any() and len(priced) <= np.count_nonzero(histogram)
     assert sum(times for _, times in plan) <= 1.003 * (histogram @ np.arange(2049)) / 2048 + 1
+
+
+def best_fit(lengths, capacity):
+    """Sequences that best fit decreasing needs."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_need_no_more_sequences_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(256, 1 + (rng.exponential(60, 900) if seed % 2 else rng.uniform(60, 140, 900)).astype(int))
+    histogram = np.bincount(lengths, minlength=257)
+    plan = best_plan(histogram, 256)
+    used = np.zeros(257, np.int64)
+    for pattern, times in plan:
+        assert sum(n * k for n, k in pattern.items()) <= 256
+        for n, k in pattern.items():
+            used[n] += k * times
+    assert (used == histogram).all() and sum(n for _, n in plan) <= best_fit(lengths.tolist(), 256)
+
+
+def test_words_are_encoded_as_the_library_does():
+    mine, theirs = WordEncoder(WORD), tokenizers.Tokenizer.from_file(WORD)
+    many = texts()
+    for _ in range(2):  # the second time from memory
+        ids, bounds = mine.encode(pa.array(many))
+        for i, text in enumerate(many):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == theirs.encode(text, add_special_tokens=False).ids
