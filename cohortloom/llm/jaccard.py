@@ -330,8 +330,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         discard(before, more)
     discard(checked, last)
 
-    labelled = classes.join(roots, "node", "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labelled = save(classes.join(roots, "node", "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root")), "labelled")
+    # Saved, so that Spark can split the join of a component with very many classes.
+    smallest = save(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     of_class = labelled.join(smallest, "root").select("c1", "c2", "component_id")
     return members.join(of_class, ["c1", "c2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -8,8 +8,9 @@ its quota. Unlinked documents fill what is left, so that in the end the shards'
 differ by one at most.
 
 Null texts have size 16, crc 0 and are linked with nothing, as are documents with a null
-hub. Repeated rows are rows of their own, linked by their text. An empty table gives an
-empty result; extra columns are ignored.
+hub. Repeated rows are rows of their own, linked by their text. Texts of any length count
+with all their bytes. Ties between shards go to the lower one, between rows to the order in
+which they lie. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def _shard_of(rank: Column, starts: list[int]) -> Column:
 
 
 def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """``linked`` (row, hub) with a shard for each row; about ``quota`` rows a shard at most."""
-    sizes = linked.groupBy("hub").agg(F.count("*").alias("_size"))
+    """``linked`` (row, hub, size of the hub) with a shard for each row; about ``quota`` rows
+    a shard at most."""
     state = save(
-        linked.join(sizes, "hub").select(
+        linked.select(
             "row", "hub",
             spread(shards, "row").alias("shard"),
             F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), F.ceil(F.col("_size") / HUB_ROWS)).cast("long")).alias("salt"),
@@ -82,8 +83,8 @@ def shard_documents(docs: DataFrame, hub: Column, shards: int = 40, rounds: int
     )
     total = slim.count()
     wide = max(1, total // 5_000)
-    common = slim.where("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub")
-    linked = slim.select("row", "hub").join(common, "hub", "left_semi")
+    common = slim.where("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("_size")).where("_size > 1")
+    linked = slim.select("row", "hub").join(common, "hub")
     state = propagate(linked, shards, max(1, total // shards), rounds)
     quota = [total * (s + 1) // shards - total * s // shards for s in range(shards)]
 
