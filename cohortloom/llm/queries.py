@@ -13,6 +13,7 @@ from .common import read, tokenizer_file
 from .hidden_markov import score_texts
 from .jaccard import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs, planted, run_report
 from .quality_rules import host_quality
 from .sharding import shard_documents, text_hub
 from .suffix_dedup import remove_repeats
@@ -77,6 +78,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -212,3 +212,66 @@ class Shingles:
             else:
                 out.append(self._grams(h[a:b], b - a) if b > a else h[:0])
         return out
+
+
+class Found:
+    """The words of some texts: number ``numbers`` (equal words, equal numbers), hash, and
+    bytes ``starts`` to ``ends`` of ``data``; ``first`` is each text's first word, and a last
+    number their count."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hashes: np.ndarray):
+        self.data, self.starts, self.ends, self.first, self.hashes = data, starts, ends, first, hashes
+
+    @property
+    def numbers(self) -> np.ndarray:
+        order = np.argsort(self.hashes)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(first_of_runs(self.hashes[order])) - 1
+        return out
+
+    def joined(self, words: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of these words with one space between: text k has words bounds[k] to
+        bounds[k + 1]."""
+        sizes = self.ends[words] - self.starts[words]
+        last = np.zeros(len(words), np.bool_)
+        last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+        wide = sizes + ~last
+        ends = np.cumsum(wide)
+        # Each word with the byte behind it, which becomes the space.
+        step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+        if len(words):
+            step[0] = self.starts[words[0]]
+            step[ends[:-1]] = self.starts[words[1:]] - (self.starts[words[:-1]] + wide[:-1] - 1)
+        out = self.data.take(np.cumsum(step), mode="clip")
+        out[(ends - 1)[~last]] = 32
+        offsets = np.append(0, ends)[bounds].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+class PlainWords:
+    """Words of many texts, unchanged: runs of bytes other than white space, hashed in 64 bits."""
+
+    LONG = 256
+
+    def __init__(self, seed: int = 11):
+        self.hasher = RangeHasher(byte_numbers(seed))
+
+    def of(self, texts: pa.Array) -> Found:
+        import xxhash
+
+        data, offsets = text_bytes(texts)
+        word = (data != 32) & ((data < 9) | (data > 13))
+        edge = word.copy()
+        edge[1:] ^= word[:-1]
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        inner = np.unique(inner[word[inner] & word[inner - 1]])
+        at = np.nonzero(edge)[0]
+        if len(at) % 2:
+            at = np.append(at, len(data))
+        starts, ends = at[::2], at[1::2]
+        if len(inner):
+            starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
+        hashes = self.hasher.hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        for i in np.nonzero(ends - starts > self.LONG)[0].tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), len(self.hasher.letter))
+        return Found(data, starts, ends, np.searchsorted(starts, offsets), hashes)
