@@ -32,9 +32,10 @@ SPACE = "\t-\r \x85\xa0  -     　"
 
 
 class ByteBpe:
-    """Merges and certain cuts of one vocabulary file."""
+    """Merges and certain cuts of one vocabulary file; without ``special``, the strings of
+    special tokens are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -51,6 +52,8 @@ class ByteBpe:
         self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
         for text, i in self.added.items():
             self.token[i] = text.encode()
+        if not special:
+            self.added = {}
         self.words = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         )
@@ -147,28 +150,33 @@ class ByteBpe:
         mark[word[data[last] != 32]] = True
         return np.nonzero(mark)[0]
 
-    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """Number of ids, the ids as text, and the decoded text, of every text."""
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids start and the last one's end."""
         data, offsets = text_bytes(texts)
         if not len(data):
-            return np.zeros(len(texts), np.int64), pa.array([""] * len(texts)), pa.array([""] * len(texts))
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         starts = self.chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = self.hasher.hashes(data, starts, ends)
         ids, counts = self.cache.sequence(hashes, lambda at: self.encode_chunks([data[starts[i] : ends[i]].tobytes() for i in at.tolist()]))
-        total = np.append(0, np.cumsum(counts))
-        bounds = total[np.searchsorted(starts, offsets)]  # of each text's ids
+        return ids, np.append(0, np.cumsum(counts))[np.searchsorted(starts, offsets)]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of ids, the ids as text, and the decoded text, of every text."""
+        ids, bounds = self.ids(texts)
+        if not len(ids):
+            return np.zeros(len(texts), np.int64), pa.array([""] * len(texts)), pa.array([""] * len(texts))
         opens = np.zeros(len(ids) + 1, np.bool_)
         opens[bounds] = True
         named = self.names.take(pa.array(np.where(opens[:-1], ids, ids + len(self.names) // 2)))
-        return np.diff(bounds), _regrouped(named, bounds), _regrouped(self.raw.take(pa.array(ids)), bounds)
+        return np.diff(bounds), regrouped(named, bounds), regrouped(self.raw.take(pa.array(ids)), bounds)
 
     def encode(self, text: str) -> tuple[int, str, str]:
         n, ids, decoded = self.encode_texts(pa.array([text], pa.string()))
         return int(n[0]), ids[0].as_py(), decoded[0].as_py()
 
 
-def _regrouped(strings: pa.Array, bounds: np.ndarray) -> pa.Array:
+def regrouped(strings: pa.Array, bounds: np.ndarray) -> pa.Array:
     """The strings between neighbouring bounds put together; bytes that are no UTF-8 are
     replaced as Python does it."""
     _, offsets, data = strings.buffers()

@@ -53,12 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and
-    a lost executor costs no more than a reread."""
+    a lost executor costs no more than a reread. Long rows are read with less memory
+    when ``row_group``, in bytes, is small."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_corpus
 from .bm25 import top_k
 from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
@@ -82,6 +83,11 @@ def op11_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted))
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return align_corpus(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
