@@ -87,4 +87,24 @@ WITH w AS (
 SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
 """
 
-SQL = {"op2_block_max_wand": _OP2, "op10_jaccard_join": _OP10, "op3_host_quality": _OP3}
+_OP13 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS place FROM g) WHERE place > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM later, range(20) AS t(k)
+), marked AS (
+  SELECT x.doc_id, x.p, x.word, gone.p IS NOT NULL AS goes
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w) AS x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p
+)
+SELECT w.doc_id, len(any_value(w.ws))::BIGINT AS n_words, count(*) FILTER (WHERE goes)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT goes), '')) AS kept_sha256
+FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+SQL = {"op13_debruijn_dedup": _OP13, "op2_block_max_wand": _OP2, "op10_jaccard_join": _OP10, "op3_host_quality": _OP3}

@@ -11,6 +11,7 @@ from .alignment import align_corpus
 from .bm25 import top_k
 from .byte_bpe import encode_decode
 from .common import read, tokenizer_file
+from .debruijn import remove_repeated_words
 from .hidden_markov import score_texts
 from .jaccard import near_duplicates
 from .packing import pack
@@ -88,6 +89,11 @@ def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_corpus(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_words(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
