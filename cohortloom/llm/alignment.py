@@ -36,7 +36,7 @@ from .idcache import IdCache, ranges
 from .words import RangeHasher, byte_numbers, slices, text_bytes
 
 #: A tokens after which a text's next lane is opened at a cut, and bytes of text in a block.
-LANE, BLOCK = 256, 1 << 21
+LANE, BLOCK = 256, 1 << 19
 
 
 class Pieces:
