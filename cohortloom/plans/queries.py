@@ -428,7 +428,14 @@ def component_best(s: SparkSession, d: str) -> DataFrame:
 def assemble_sequences(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     nodes = _nodes(s, d).select("kmer", F.array("score").alias("scores"))
-    return graph.assemble(nodes, edges, parts, 9, 2.0)
+    chosen = graph.seeds(nodes, parts, 2.0)
+    return graph.assemble(nodes, graph.cut_circles(edges, parts, chosen), parts.join(chosen, "component", "left_semi"), 9, 2.0)
+
+
+@query()
+def component_seeds(s: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(s, d).select("kmer", F.array("score").alias("scores"))
+    return graph.seeds(nodes, _typed(s, d)[1], 20.0)
 
 
 INTERVAL_SQL = "WITH " + T.SQL_INTERVALS

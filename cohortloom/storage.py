@@ -26,4 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

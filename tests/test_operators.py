@@ -39,6 +39,76 @@ def test_four_partners_are_no_edges(spark):
     assert graph.overlap_edges(nodes, 4).where("src = 'ACGT'").count() == 0
 
 
+def walked(spark, nodes, reach, most, threshold, whole):
+    """Sequences of a graph: the walk over all its k-mers, or that over contracted chains."""
+    k = len(nodes[0][0])
+    rows = spark.createDataFrame(nodes, "kmer string, scores array<double>")
+    edges = graph.overlap_edges(rows, k, reach=reach, most=most)
+    parts = graph.components(edges)
+    chosen = graph.seeds(rows, parts, threshold)
+    edges = graph.cut_circles(edges, parts, chosen)
+    parts = parts.join(chosen, "component", "left_semi")
+    if not whole:
+        return sorted(map(tuple, graph.assemble(rows, edges, parts, k, threshold).collect()))
+    own, between = rows.join(parts, "kmer").toPandas(), edges.toPandas()
+    out = []
+    for c, group in own.groupby("component"):
+        links = between[between["src"].isin(set(group["kmer"]))]
+        out += [(c, *x) for x in graph.assembled(group, links, threshold) if len(x[0]) > k + 3]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contracted_chains_give_the_walk_of_all_kmers(spark, seed):
+    rng = np.random.default_rng(seed)
+    letters = lambda n: "".join(rng.choice(list("ACGT"), n))
+    k, trunk = 10, letters(400)
+    texts = [trunk, trunk[:100] + letters(60), letters(40) + trunk[200:240] + letters(50), trunk[300:330] + letters(2), letters(90)]
+    circle = letters(60)
+    texts += [circle + circle[: k - 1], trunk[350:] + trunk[:20], letters(25) + trunk[150:170]]
+    kmers = sorted({t[i : i + k] for t in texts for i in range(len(t) - k + 1)})
+    nodes = [(x, [float(v) for v in rng.integers(40, 99, 2)]) for x in kmers]
+    got = walked(spark, nodes, 1, 4, 60.0, False)
+    assert got == walked(spark, nodes, 1, 4, 60.0, True)
+    assert max(len(r[1]) for r in got) > 60
+
+
+def test_a_long_chain_is_put_together_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    text, k = "".join(rng.choice(list("ACGT"), 20_000)), 17
+    nodes = [(text[i : i + k], [float(i % 97)]) for i in range(len(text) - k + 1)]
+    rows = spark.createDataFrame(nodes, "kmer string, scores array<double>")
+    edges = graph.overlap_edges(rows, k)
+    parts = graph.components(edges)
+    few, links = graph.contracted(rows, edges, parts)
+    assert few.count() == 7 and links.count() == 6
+    got = graph.assemble(rows, edges, parts, k, 50.0).collect()
+    assert [(r["sequence"], r["best_kmer"], r["best_score"], r["n_nodes"]) for r in got] == [(text, text[96 : 96 + k], 96.0, len(nodes))]
+
+
+def brute_seeds(nodes, part, threshold):
+    seen, out = set(), []
+    for c in range(len(nodes[0][1])):
+        for i, (kmer, scores) in enumerate(sorted(nodes, key=lambda x: (-x[1][c], x[0]))):
+            if kmer in part and part[kmer] not in seen:
+                if i > 10 and scores[c] < threshold:
+                    break
+                seen.add(part[kmer])
+                out.append((part[kmer], kmer, c, scores[c]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [40.0, 70.0, 97.0])
+def test_seeds_against_the_greedy_loop(spark, threshold):
+    rng = np.random.default_rng(6)
+    kmers = sorted({"".join(rng.choice(list("ACGT"), 6)) for _ in range(400)})
+    nodes = [(x, [float(v) for v in rng.integers(0, 99, 3)]) for x in kmers]
+    rows = spark.createDataFrame(nodes, "kmer string, scores array<double>")
+    parts = graph.components(graph.overlap_edges(rows, 6))
+    want = brute_seeds(nodes, {r["kmer"]: r["component"] for r in parts.collect()}, threshold)
+    assert sorted(map(tuple, graph.seeds(rows, parts, threshold).collect())) == want
+
+
 def brute_graph(kmers, reach, most):
     edges, k = [], len(kmers[0])
     for a in kmers:
