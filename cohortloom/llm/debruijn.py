@@ -24,6 +24,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, has_rows, save
+from .common import discard, has_rows, release, save, shared_folder
 from .idcache import ranges
 from .words import PlainWords, slices
 
 #: Words of a window, and of the n-grams by which windows meet.
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 10
 
 
 def _combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -86,12 +87,20 @@ def pieces(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[opens], windows[opens], np.diff(np.append(opens, len(windows))), gram[at[opens]].view(np.int64), nodes.view(np.int64)
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d``, by which texts are told apart and ordered, and the text. A hash of the text is
-    part of it only where ids repeat."""
-    twice = has_rows(docs.groupBy(F.col(id_col)).count().where("count > 1"))
-    t = F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long")
-    return docs.select(F.struct(F.col(id_col).alias("id"), t.alias("t")).alias("d"), F.col(text_col).alias("text"))
+def _places(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``d``, by which texts are told apart and ordered, and the text. It is the id where ids
+    are unique and none is missing, else the id and a hash of the text (True)."""
+    counts = docs.groupBy(F.col(id_col).alias("id")).count()
+    shared = has_rows(counts.where("count > 1 OR id IS NULL"))
+    d = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t")) if shared else F.col(id_col)
+    return docs.select(d.alias("d"), F.col(text_col).alias("text")), shared
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(d) of texts that are the same, byte for byte, as one that comes before."""
+    hashed = docs.where("text IS NOT NULL").select("d", F.unhex(F.md5("text")).alias("h"))
+    first = hashed.groupBy("h").agg(F.min("d").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return hashed.join(first, "h").where("d <> first").select("d").distinct()
 
 
 def _all_grams(docs: DataFrame, seed: int) -> DataFrame:
@@ -116,8 +125,9 @@ PIECE = "array<struct<gram: long, a: long, b: long, start: long, n: long, betwee
 
 
 def _cut_texts(docs: DataFrame, hits: DataFrame, seed: int) -> DataFrame:
-    """(d, n_words, words, parts): each text's words joined by one space, and those of its
-    pieces whose n-gram is among its ``hits``, with the nodes between their ends."""
+    """(d, n_words, words, copy, parts): each text's words joined by one space, and those of its
+    pieces whose n-gram is among its ``hits`` (d, grams, copy), with the nodes between their
+    ends. A copy has no pieces: all its windows stand in the text before it."""
     kind = pa.struct([("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("between", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +144,7 @@ def _cut_texts(docs: DataFrame, hits: DataFrame, seed: int) -> DataFrame:
                     every, of = np.unique(np.append(wanted, gram), return_inverse=True)
                     keys = np.append(owner, text) * len(every) + of
                     hit = np.isin(keys[len(owner) :], keys[: len(owner)])
+                    hit &= ~part.column(3).to_numpy(zero_copy_only=False)[text]
                 else:
                     hit = np.zeros(len(text), np.bool_)
                 text, start, n, gram = text[hit], start[hit], n[hit], gram[hit]
@@ -142,35 +153,56 @@ def _cut_texts(docs: DataFrame, hits: DataFrame, seed: int) -> DataFrame:
                 rows = pa.StructArray.from_arrays(fields, fields=list(kind))
                 parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)), pa.int32()), rows)
                 plain = found.joined(np.arange(len(found.starts)), found.first)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(found.first)), plain, parts], names=["d", "n_words", "words", "parts"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(found.first)), plain, part.column(3), parts], names=["d", "n_words", "words", "copy", "parts"]
+                )
 
     none = F.array().cast("array<long>")
-    joined = docs.join(hits, "d", "left").select("d", "text", F.coalesce("grams", none).alias("grams"))
-    return joined.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, n_words long, words string, parts {PIECE}")
+    joined = docs.join(hits, "d", "left").select("d", "text", F.coalesce("grams", none).alias("grams"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    return joined.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, n_words long, words string, copy boolean, parts {PIECE}")
+
+
+def _kept_by_place(texts: DataFrame, shared: bool) -> DataFrame:
+    """``texts`` saved; where ``d`` is a plain id, in buckets of it, as the join that made them
+    has dealt them, so that the join to come needn't move them again."""
+    if shared:
+        return save(texts, "texts")
+    spark, name = texts.sparkSession, f"texts_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.write.bucketBy(buckets, "d").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.table(name)
+    out.saved_at = path
+    return out
 
 
 def _edges(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n, source) of the edges that occur twice or more, and the places (a, b, n, d,
-    start) of single windows in pieces of which another has the same n-gram. ``found`` has a
-    row for each place of a piece."""
-    place = F.struct("d", "start")
-    same = found.groupBy("gram", "a", "b", "n").agg(F.count("*").alias("m"), F.min(place).alias("source"), F.first("between").alias("between"))
-    one = save(same, "pieces")
+    """(a, b, n, sd, ss) of the edges that occur twice or more, with the text and word of their
+    source, and the places (a, b, n, d, start) of single windows in pieces of which another
+    has the same n-gram. ``found`` has a row for each place of a piece."""
+    place = F.min(F.struct("d", "start")).alias("s")
+    source = [F.col("s.d").alias("sd"), F.col("s.start").alias("ss")]
+    same = found.groupBy("gram", "a", "b", "n").agg(F.count("*").alias("m"), place, F.first("between").alias("between"))
+    one = save(same.select("gram", "a", "b", "n", "m", *source, "between"), "pieces")
     kinds = one.groupBy("gram").agg(F.count("*").alias("kinds"))
-    shared = kinds.where("kinds > 1").select("gram")
-    alone = one.where("m > 1").join(shared, "gram", "left_anti").select("a", "b", "n", "source")
-    mixed = save(one.join(shared, "gram", "left_semi"), "mixed")
+    counted = save(one.where("m > 1").join(kinds.where("kinds = 1").select("gram"), "gram", "left_semi").select("a", "b", "n", "sd", "ss"), "alone")
+    mixed = save(one.join(kinds.where("kinds > 1").select("gram"), "gram", "left_semi").drop("gram"), "mixed")
+    discard(one)
+    release(found.sparkSession)
     lead = F.concat(F.array("a"), F.col("between"))
-    windows = mixed.select(F.concat(lead, F.array("b")).alias("nodes"), "m", "source", F.posexplode(lead).alias("i", "a")).select(
+    windows = mixed.select(F.concat(lead, F.array("b")).alias("nodes"), "m", "sd", "ss", F.posexplode(lead).alias("i", "a")).select(
         "a", F.element_at("nodes", F.col("i") + 2).alias("b"), F.lit(1).cast("long").alias("n"),
-        F.col("source.d").alias("d"), (F.col("source.start") + F.col("i")).alias("start"), "m",
+        F.col("sd").alias("d"), (F.col("ss") + F.col("i")).alias("start"), "m",
     )
-    windows = save(windows, "windows")
-    single = windows.groupBy("a", "b", "n").agg(F.sum("m").alias("m"), F.min(place).alias("source")).where("m > 1")
-    whole = mixed.where("m > 1 AND n > 1")
-    edges = alone.unionByName(single.drop("m")).unionByName(whole.select("a", "b", "n", "source"))
-    edges = save(edges, "edges")
-    discard(one, mixed)
+    single = windows.groupBy("a", "b", "n").agg(F.sum("m").alias("m"), place).where("m > 1").select("a", "b", "n", *source)
+    whole = mixed.where("m > 1 AND n > 1").select("a", "b", "n", "sd", "ss")
+    edges = save(counted.unionByName(single).unionByName(whole), "edges")
+    discard(counted)
+    release(found.sparkSession)
+    windows = windows.drop("m")
+    windows.saved_at = mixed.saved_at
     return edges, windows
 
 
@@ -182,27 +214,26 @@ def _paths(edges: DataFrame) -> DataFrame:
     # Along each source text, an edge goes on a path if its first node is plain and the
     # edge before it in the text is the one that comes in there.
     here = edges.join(plain, "a", "left")
-    along = Window.partitionBy("source.d").orderBy("source.start", F.desc("n"))
-    before = F.lag(F.struct("b", (F.col("source.start") + F.col("n")).alias("stop"))).over(along)
-    goes_on = F.col("plain").isNotNull() & (before["b"] == F.col("a")) & (before["stop"] == F.col("source.start"))
-    opens = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("source.start"))
+    along = Window.partitionBy("sd").orderBy("ss", F.desc("n"))
+    goes_on = F.col("plain").isNotNull() & (F.lag("b").over(along) == F.col("a")) & (F.lag(F.col("ss") + F.col("n")).over(along) == F.col("ss"))
+    opens = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("ss"))
     return here.withColumn("path", F.last(opens, True).over(along)).drop("plain")
 
 
 def _spans(places: DataFrame, paths: DataFrame) -> DataFrame:
-    """(d, start, stop, source_d, source_start): stretches of words that also stand in the
-    source. ``places`` are of edges and windows; those that are an edge's first are left out."""
-    met = places.join(paths, ["a", "b", "n"]).where((F.col("source.d") != F.col("d")) | (F.col("source.start") != F.col("start")))
-    met = met.select(
-        "d", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("stop"), F.col("source.d").alias("source_d"), "path",
-        (F.col("source.start") - F.col("start")).alias("shift"),
+    """(d, start, stop, sd, ss): stretches of words that also stand in the source. ``places`` are
+    of edges and windows; those that are an edge's first are left out."""
+    met = places.join(paths, ["a", "b", "n"]).where("sd <> d OR ss <> start").select(
+        "d", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("stop"), "sd", "path", (F.col("ss") - F.col("start")).alias("shift")
     )
-    same = Window.partitionBy("d", "source_d", "path", "shift").orderBy("start")
-    reach = F.max("stop").over(same.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(reach.isNull() | (F.col("start") + WINDOW - 1 > reach), F.col("start"))
-    islands = met.withColumn("island", F.last(apart, True).over(same))
-    return islands.groupBy("d", "source_d", "shift", "island").agg(F.max("stop").alias("stop")).select(
-        "d", F.col("island").alias("start"), "stop", "source_d", (F.col("island") + F.col("shift")).alias("source_start")
+    same = Window.partitionBy("d").orderBy("sd", "path", "shift", "start")
+    fresh = lambda c: ~F.lag(c).over(same).eqNullSafe(F.col(c))
+    # A row joins the one before it on the same path, unless a window between is missing.
+    apart = F.lag("stop").over(same) < F.col("start") + WINDOW - 1
+    opens = fresh("sd") | fresh("path") | fresh("shift") | apart
+    islands = met.withColumn("island", F.sum(opens.cast("long")).over(same))
+    return islands.groupBy("d", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("sd").alias("sd"), F.min("shift").alias("shift")).select(
+        "d", "start", "stop", "sd", (F.col("start") + F.col("shift")).alias("ss")
     )
 
 
@@ -211,7 +242,7 @@ MARKED = "n_removed long, kept string, checks array<struct<source: struct<d: {d}
 
 def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """The texts without their spans, and digests of the words of spans and their sources."""
-    source = F.struct(F.col("source_d").alias("d"), F.col("source_start").alias("start"), (F.col("stop") - F.col("start")).alias("size"))
+    source = F.struct(F.col("sd").alias("d"), F.col("ss").alias("start"), (F.col("stop") - F.col("start")).alias("size"))
     ours = spans.select("d", F.struct(F.lit(True).alias("goes"), "start", source.alias("source")).alias("x"))
     asked = spans.select(source.alias("source")).distinct().select(
         F.col("source.d").alias("d"), F.struct(F.lit(False).alias("goes"), F.col("source.start").alias("start"), "source").alias("x")
@@ -254,26 +285,36 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 21) -> DataFrame:
     """The id column, ``n_words``, ``n_removed`` and ``kept``, the words that stay joined by
-    one space. ``docs`` is read twice and must give the same rows each time."""
-    placed = _places(docs, id_col, text_col)
+    one space. ``docs`` is read more than once and must give the same rows each time."""
+    placed, shared = _places(docs, id_col, text_col)
+    copies = _copies(placed).select("d", F.lit(None).cast("long").alias("gram"), F.lit(True).alias("copy"))
     for attempt in itertools.count(seed):
         grams = save(_all_grams(placed, attempt), "grams")
         twice = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-        hits = grams.join(twice, "gram", "left_semi").groupBy("d").agg(F.collect_list("gram").alias("grams"))
-        texts = save(_cut_texts(placed, hits, attempt), "texts")
+        hits = grams.join(twice, "gram", "left_semi").select("d", "gram", F.lit(False).alias("copy")).unionByName(copies)
+        hits = hits.groupBy("d").agg(F.collect_list("gram").alias("grams"), F.max("copy").alias("copy"))
+        texts = _kept_by_place(_cut_texts(placed, hits, attempt), shared)
         discard(grams)
+        release(docs.sparkSession)
         met = texts.where(F.size("parts") > 0)
         found = met.select("d", F.explode("parts").alias("p")).select("d", "p.*")
         edges, windows = _edges(found)
-        places = found.select("a", "b", "n", "d", "start").unionByName(windows.drop("m"))
+        places = found.select("a", "b", "n", "d", "start").unionByName(windows)
         paths = save(_paths(edges), "paths")
         spans = save(_spans(places, paths), "spans")
-        done = save(_cut(met, spans), "cut")
+        discard(edges, windows, paths)
+        release(docs.sparkSession)
+        done = save(_cut(met.select("d", "n_words", "words"), spans), "cut")
         checks = done.select(F.explode("checks").alias("c")).groupBy("c.source").agg((F.min("c.digest") != F.max("c.digest")).alias("differ"))
         wrong = has_rows(checks.where("differ"))
-        discard(edges, windows, paths, spans)
+        discard(spans)
+        release(docs.sparkSession)
         if not wrong:
             break
         discard(texts, done)
-    whole = texts.where(F.size("parts") == 0).select("d", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept"))
-    return whole.unionByName(done.drop("checks")).select(F.col("d.id").alias(id_col), "n_words", "n_removed", "kept")
+    goes = F.col("copy") & (F.col("n_words") >= WINDOW)
+    whole = texts.where(F.size("parts") == 0).select(
+        "d", "n_words", F.when(goes, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(goes, "").otherwise(F.col("words")).alias("kept")
+    )
+    out = whole.unionByName(done.drop("checks"))
+    return out.select((F.col("d.id") if shared else F.col("d")).alias(id_col), "n_words", "n_removed", "kept")
