@@ -76,13 +76,14 @@ def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: boo
     right = dealt.select(F.col("cell").alias("other"), F.col("block").alias("meets"), "id", "x").join(pairs, "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = right.where("cell <> other OR block < meets").select("cell", "other", "block", "meets", F.lit(False).alias("first"), "id", "x")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first = table.column("first").to_numpy()
         x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         ids = table.column("id").combine_chunks()
         a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
-        same = not len(b)
-        if same:  # a block of one cell with itself
+        cell, other, of, meets = (k.as_py() for k in key)
+        same = cell == other and of == meets
+        if same:  # a block with itself
             b = a
         product = x[a] @ x[b].T
         square = (x[a] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None]

@@ -266,14 +266,6 @@ def test_browse_filters_and_pages(spark):
     assert tuple(browse.page_totals(rows, request).first()) == (20, 10)
 
 
-def test_dbscan(spark):
-    xs = [0, 1, 2, 10, 11, 12, 50]
-    pairs = [(i, j) for i, a in enumerate(xs) for j, b in enumerate(xs) if i != j and abs(a - b) <= 1]
-    got = models.dbscan(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i,) for i in range(7)], "id long"), 3).collect()
-    of = {r["id"]: r["cluster"] for r in got}
-    assert of[0] == of[1] == of[2] != of[3] == of[4] and of[6] is None
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("AAAA\t3\nAAAC 5\n")
     (tmp_path / "create.tsv").write_text(f"{tmp_path}/c.tsv\ts1\tg1\n")
