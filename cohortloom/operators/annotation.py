@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import coverage, introns, overlap_join
+from .intervals import coverage, covered, introns, overlap_join
 
 
 def merged_signatures(signatures: DataFrame) -> DataFrame:
@@ -19,16 +19,19 @@ def merged_signatures(signatures: DataFrame) -> DataFrame:
 
 
 def shared_splice_ends(splices: DataFrame) -> DataFrame:
-    """Pairs of splices (id, gene, start, end) of a gene that share exactly one end.
+    """Pairs of splices (id, gene, start, end, ...) of a gene that share exactly one end; other
+    columns come along for both.
 
     Two equi-joins, on a start and on an end, meet fewer pairs than all of a gene's.
     """
-    a = splices.select("gene", *[F.col(c).alias(c + "_a") for c in ("id", "start", "end")])
-    b = splices.select(F.col("gene").alias("g"), *[F.col(c).alias(c + "_b") for c in ("id", "start", "end")])
+    own_columns = [c for c in splices.columns if c != "gene"]
+    a = splices.select("gene", *[F.col(c).alias(c + "_a") for c in own_columns])
+    b = splices.select(F.col("gene").alias("g"), *[F.col(c).alias(c + "_b") for c in own_columns])
     own = (F.col("gene") == F.col("g")) & (F.col("id_a") < F.col("id_b"))
     left = a.join(b, own & (F.col("start_a") == F.col("start_b")) & (F.col("end_a") != F.col("end_b")))
     right = a.join(b, own & (F.col("end_a") == F.col("end_b")) & (F.col("start_a") != F.col("start_b")))
-    return left.unionByName(right).select("gene", "id_a", "id_b")
+    more = [c + x for c in own_columns if c not in ("id", "start", "end") for x in ("_a", "_b")]
+    return left.unionByName(right).select("gene", "id_a", "id_b", *more)
 
 
 def ideogram(rows: DataFrame) -> DataFrame:
@@ -58,24 +61,64 @@ def intron_coverage(exons: DataFrame, alignments: DataFrame) -> DataFrame:
 
 
 def transcript_coverage(exons: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Percent of each transcript's exons covered by blocks: (gene_id, transcript_id,
-    coverage)."""
+    """Percent of each transcript's exons covered by blocks, rounded down to hundredths once:
+    (gene_id, transcript_id, coverage)."""
     named = exons.select("chrom", "gene_id", "transcript_id", "start", "end").distinct().withColumn("a_id", F.struct("transcript_id", "start", "end"))
-    length = F.col("end") - F.col("start")
-    found = coverage(named, alignments)
-    parts = named.join(found, "a_id", "left").withColumn("covered", F.coalesce("coverage", F.lit(0.0)) * length)
-    return parts.groupBy("gene_id", "transcript_id").agg((F.floor(F.sum("covered") / F.sum(length) * 100) / 100.0).alias("coverage"))
-
-
-def gene_events(exons: DataFrame, alignments: DataFrame, limit: float) -> DataFrame:
-    """(gene_id, event): ``intron`` for genes with an intron covered beyond ``limit``
-    percent, ``DE`` for those with such a transcript, ``gene`` for all others that an
-    alignment meets."""
-    intron = intron_coverage(exons, alignments).where(F.col("coverage") > limit).select("gene_id", F.lit("intron").alias("event"))
-    whole = transcript_coverage(exons, alignments).where(F.col("coverage") > limit).select("gene_id", F.lit("DE").alias("event"))
-    known = intron.unionByName(whole).distinct()
-    met = overlap_join(exons.select("chrom", "start", "end", F.col("gene_id").alias("a_id")), alignments).select(F.col("a_id").alias("gene_id")).distinct()
-    return known.unionByName(met.join(known, "gene_id", "left_anti").withColumn("event", F.lit("gene")))
+    found = covered(named, alignments).select("a_id", "covered")
+    parts = named.join(found, "a_id", "left")
+    share = F.sum(F.coalesce("covered", F.lit(0))) * 10000 / F.sum(F.col("end") - F.col("start"))
+    return parts.groupBy("gene_id", "transcript_id").agg((F.floor(share) / 100.0).alias("coverage"))
+
+
+def _best() -> Column:
+    """The k-mer of the greatest score, the smaller among equals."""
+    return F.min_by("kmer", F.struct((-F.col("score")).alias("less"), "kmer"))
+
+
+def _met(features: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(a_id, kmer, score) of the alignments that meet each feature."""
+    told = alignments.withColumn("b_id", F.struct("b_id", "kmer", "score"))
+    return overlap_join(features, told).select("a_id", "b_id.kmer", "b_id.score")
+
+
+def gene_best(exons: DataFrame, alignments: DataFrame) -> DataFrame:
+    """(gene_id, best_kmer, best_score) over the alignments that meet an exon of the gene."""
+    met = _met(exons.select("chrom", "start", "end", F.col("gene_id").alias("a_id")), alignments)
+    return met.groupBy(F.col("a_id").alias("gene_id")).agg(_best().alias("best_kmer"), F.max("score").alias("best_score"))
+
+
+def gated_signatures(signatures: DataFrame, best: DataFrame, below: float = 3.0) -> DataFrame:
+    """``signatures`` (gene_id, score, generates_event, ...) of which none generates an event
+    that scores less than its gene's best (see ``gene_best``) minus ``below``."""
+    joined = signatures.join(best.select("gene_id", "best_score"), "gene_id", "left")
+    strong = F.coalesce(F.col("score") >= F.col("best_score") - below, F.lit(True))
+    return joined.withColumn("generates_event", F.col("generates_event") & strong).drop("best_score")
+
+
+def gene_events(exons: DataFrame, alignments: DataFrame, splices: DataFrame, limit: float) -> DataFrame:
+    """(gene_id, event, best_kmer): ``intron`` for introns covered beyond ``limit`` percent,
+    once a best k-mer of the alignments in them; ``DE`` for genes with transcripts covered
+    so, with the best k-mer on these; ``multiple_splice_junctions`` for splices that share
+    exactly one end, with the better of their k-mers; and ``gene`` where the gene's best
+    k-mer is in none of these.
+
+    ``alignments`` (chrom, start, end, b_id, kmer, score), one row a block; ``splices`` (id,
+    gene, start, end, kmer, score).
+    """
+    gaps = introns(exons).select("chrom", "gene_id", "transcript_id", "start", "end").withColumn("a_id", F.struct("gene_id", "transcript_id", "start", "end"))
+    far = coverage(gaps, alignments).where(F.col("coverage") > limit).select("a_id")
+    intron = _met(gaps, alignments).join(far, "a_id", "left_semi").groupBy("a_id").agg(_best().alias("best_kmer"))
+    intron = intron.select("a_id.gene_id", F.lit("intron").alias("event"), "best_kmer").distinct()
+    high = transcript_coverage(exons, alignments).where(F.col("coverage") > limit).select("gene_id", "transcript_id")
+    told = exons.select("chrom", "start", "end", F.struct("gene_id", "transcript_id").alias("a_id"))
+    on = _met(told, alignments).select("a_id.*", "kmer", "score").join(high, ["gene_id", "transcript_id"], "left_semi")
+    whole = on.groupBy("gene_id").agg(_best().alias("best_kmer")).select("gene_id", F.lit("DE").alias("event"), "best_kmer")
+    shared = shared_splice_ends(splices.select("id", "gene", "start", "end", "kmer", "score"))
+    better = F.when(F.col("score_b") > F.col("score_a"), F.col("kmer_b")).otherwise(F.col("kmer_a"))
+    junctions = shared.select(F.col("gene").alias("gene_id"), F.lit("multiple_splice_junctions").alias("event"), better.alias("best_kmer")).distinct()
+    known = intron.unionByName(whole).unionByName(junctions)
+    rest = gene_best(exons, alignments).join(known.select("gene_id", "best_kmer"), ["gene_id", "best_kmer"], "left_anti")
+    return known.unionByName(rest.select("gene_id", F.lit("gene").alias("event"), "best_kmer"))
 
 
 def border_events(signatures: DataFrame, genes: DataFrame) -> DataFrame:

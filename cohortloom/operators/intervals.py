@@ -51,9 +51,9 @@ def merged(intervals: DataFrame, by: list[str], width: int = 65_536) -> DataFram
     ).drop("_island")
 
 
-def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
-    """Percent of each feature (chrom, start, end, a_id) covered by reads (b_id), rounded
-    down to hundredths.
+def covered(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
+    """(a_id, a_start, a_end, covered): how much of each feature (chrom, start, end, a_id) reads
+    (b_id) cover; features that no read meets are left out.
 
     Of reads that start at one place of a feature the longest counts, so a feature has no
     more rows than places; a row covers what reaches beyond all before it.
@@ -63,8 +63,13 @@ def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFr
     clipped = pairs.groupBy(*at, F.greatest("a_start", "b_start").alias("start")).agg(F.max(F.least("a_end", "b_end")).alias("end"))
     before = F.max("end").over(Window.partitionBy(*at).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     adds = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, "start")), F.lit(0))
-    covered = F.try_divide(F.sum("adds") * 10000, F.col("a_end") - F.col("a_start"))
-    return clipped.withColumn("adds", adds).groupBy(*at).agg((F.floor(covered) / 100.0).alias("coverage")).select("a_id", "coverage")
+    return clipped.withColumn("adds", adds).groupBy(*at).agg(F.sum("adds").alias("covered"))
+
+
+def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
+    """Percent of each feature covered by reads, rounded down to hundredths."""
+    share = F.try_divide(F.col("covered") * 10000, F.col("a_end") - F.col("a_start"))
+    return covered(features, reads, width).select("a_id", (F.floor(share) / 100.0).alias("coverage"))
 
 
 def window_lookup(alignments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

@@ -129,22 +129,22 @@ def segment_relations(s: SparkSession, d: str) -> DataFrame:
 GENE_SQL = """WITH ex AS (
   SELECT l_orderkey AS chrom, l_orderkey % 97 AS gene_id, l_orderkey AS transcript_id, l_linenumber * 200 + l_partkey % 50 AS start, l_linenumber * 200 + l_partkey % 50 + 40 + l_suppkey % 60 AS "end" FROM lineitem
 ), al AS (
-  SELECT l_orderkey AS chrom, l_suppkey * 7 % 1500 AS start, l_suppkey * 7 % 1500 + CAST(l_quantity AS BIGINT) * 3 AS "end", l_orderkey * 10 + l_linenumber AS b_id FROM lineitem
+  SELECT l_orderkey AS chrom, l_suppkey * 7 % 1500 AS start, l_suppkey * 7 % 1500 + CAST(l_quantity AS BIGINT) * 3 AS "end", l_orderkey * 10 + l_linenumber AS b_id, l_partkey AS kmer, l_extendedprice AS score FROM lineitem
 ), it AS (
   SELECT chrom, gene_id, transcript_id, before AS start, start AS "end" FROM (
     SELECT *, max("end") OVER (PARTITION BY transcript_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ex) WHERE before < start
 ), parts AS (
   SELECT 'i' AS kind, * FROM it UNION ALL SELECT DISTINCT 'e', * FROM ex
 ), o AS (
-  SELECT p.kind, p.gene_id, p.transcript_id, p.start AS s0, p."end" AS e0, greatest(p.start, al.start) AS start, least(p."end", al."end") AS "end", b_id
+  SELECT p.kind, p.gene_id, p.transcript_id, p.start AS s0, p."end" AS e0, greatest(p.start, al.start) AS start, least(p."end", al."end") AS "end", b_id, kmer, score
   FROM parts p JOIN al ON p.chrom = al.chrom AND p.start < al."end" AND al.start < p."end"
 ), w AS (
   SELECT *, max("end") OVER (PARTITION BY kind, gene_id, transcript_id, s0, e0 ORDER BY start, "end", b_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o
 ), cov AS (
-  SELECT kind, gene_id, transcript_id, s0, e0, floor(sum(greatest("end" - greatest(start, coalesce(before, start)), 0)) * 10000 / (e0 - s0)) / 100.0 AS coverage
+  SELECT kind, gene_id, transcript_id, s0, e0, sum(greatest("end" - greatest(start, coalesce(before, start)), 0)) AS covered, floor(covered * 10000 / (e0 - s0)) / 100.0 AS coverage
   FROM w GROUP BY 1, 2, 3, 4, 5
 ), tr AS (
-  SELECT e.gene_id, e.transcript_id, floor(sum(coalesce(c.coverage, 0.0) * (e."end" - e.start)) / sum(e."end" - e.start) * 100) / 100.0 AS coverage
+  SELECT e.gene_id, e.transcript_id, floor(sum(coalesce(c.covered, 0)) * 10000 / sum(e."end" - e.start)) / 100.0 AS coverage
   FROM (SELECT DISTINCT * FROM ex) e LEFT JOIN cov c ON c.kind = 'e' AND c.transcript_id = e.transcript_id AND c.s0 = e.start AND c.e0 = e."end" GROUP BY 1, 2
 )
 """
@@ -161,7 +161,8 @@ def _exons(s: SparkSession, d: str) -> DataFrame:
 def _blocks(s: SparkSession, d: str) -> DataFrame:
     start = F.col("l_suppkey") * 7 % 1500
     return T.table(s, d, "lineitem").select(
-        F.col("l_orderkey").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("b_id")
+        F.col("l_orderkey").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("b_id"),
+        F.col("l_partkey").alias("kmer"), F.col("l_extendedprice").alias("score"),
     )
 
 
@@ -175,10 +176,38 @@ def gene_coverage(s: SparkSession, d: str) -> DataFrame:
     return annotation.transcript_coverage(_exons(s, d), _blocks(s, d))
 
 
-@query(GENE_SQL + """, known AS (SELECT DISTINCT gene_id, 'intron' AS event FROM cov WHERE kind = 'i' AND coverage > 60 UNION SELECT DISTINCT gene_id, 'DE' FROM tr WHERE coverage > 60)
-SELECT * FROM known UNION ALL SELECT DISTINCT gene_id, 'gene' FROM cov WHERE kind = 'e' AND gene_id NOT IN (SELECT gene_id FROM known)""")
+SPLICE_SQL = """, sp AS (
+  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 97 AS gene, l_partkey AS start, 1000000 + l_suppkey * 7 + l_linenumber AS "end", l_partkey AS kmer, l_extendedprice AS score FROM lineitem
+), gb AS (SELECT gene_id, arg_min(kmer, (-score, kmer)) AS best_kmer, max(score) AS best_score FROM o WHERE kind = 'e' GROUP BY gene_id)
+"""
+
+
+def _splices(s: SparkSession, d: str) -> DataFrame:
+    return T.table(s, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 97).alias("gene"), F.col("l_partkey").alias("start"),
+        (1000000 + F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("end"), F.col("l_partkey").alias("kmer"), F.col("l_extendedprice").alias("score"),
+    )
+
+
+@query(GENE_SQL + SPLICE_SQL + """, known AS (
+  SELECT DISTINCT gene_id, 'intron' AS event, best_kmer FROM (
+    SELECT o.gene_id, o.transcript_id, o.s0, o.e0, arg_min(kmer, (-score, kmer)) AS best_kmer FROM o
+    JOIN cov ON cov.kind = 'i' AND o.kind = 'i' AND cov.transcript_id = o.transcript_id AND cov.s0 = o.s0 AND cov.e0 = o.e0 AND cov.gene_id = o.gene_id WHERE coverage > 60 GROUP BY 1, 2, 3, 4)
+  UNION ALL SELECT o.gene_id, 'DE', arg_min(kmer, (-score, kmer)) FROM o JOIN tr ON o.kind = 'e' AND tr.transcript_id = o.transcript_id AND tr.gene_id = o.gene_id WHERE coverage > 60 GROUP BY 1
+  UNION ALL SELECT DISTINCT a.gene, 'multiple_splice_junctions', CASE WHEN b.score > a.score THEN b.kmer ELSE a.kmer END
+  FROM sp a JOIN sp b ON a.gene = b.gene AND a.id < b.id AND (a.start = b.start) <> (a."end" = b."end")
+)
+SELECT * FROM known UNION ALL SELECT gene_id, 'gene', best_kmer FROM gb WHERE (gene_id, best_kmer) NOT IN (SELECT gene_id, best_kmer FROM known)""")
 def gene_events(s: SparkSession, d: str) -> DataFrame:
-    return annotation.gene_events(_exons(s, d), _blocks(s, d), 60.0)
+    return annotation.gene_events(_exons(s, d), _blocks(s, d), _splices(s, d), 60.0)
+
+
+@query(GENE_SQL + SPLICE_SQL + "SELECT sp.id, sp.gene AS gene_id, sp.score > 20000 AND coalesce(sp.score >= best_score - 3000, true) AS generates_event FROM sp LEFT JOIN gb ON gb.gene_id = sp.gene")
+def signature_gate(s: SparkSession, d: str) -> DataFrame:
+    """Signatures far below their gene's best k-mer generate no event; scores are prices."""
+    signatures = _splices(s, d).select("id", F.col("gene").alias("gene_id"), "score", (F.col("score") > 20000).alias("generates_event"))
+    best = annotation.gene_best(_exons(s, d), _blocks(s, d))
+    return annotation.gated_signatures(signatures, best, 3000.0).select("id", "gene_id", "generates_event")
 
 
 @query("""WITH sig AS (SELECT l_linestatus AS chrom, l_partkey AS position, l_returnflag AS kind, arg_min(l_orderkey, (-l_extendedprice, l_orderkey)) AS best_kmer, bool_and(l_discount > 0.02) AS g FROM lineitem GROUP BY 1, 2, 3
