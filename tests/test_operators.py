@@ -205,7 +205,7 @@ def test_sinks_can_be_read_again(spark, tmp_path):
     scored = spark.createDataFrame([("AC", [70.12345, 50.0])], "kmer string, acc array<double>")
     files.write_reduced(scored, ["a_x_b", "a_x_c"], {"rescale": 1}, str(tmp_path / "r"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()]
-    assert sorted(lines) == sorted(['#{"rescale": 1}', "kmer\ta_x_b\ta_x_c", "AC\t70.123\t50.000"])
+    assert sorted(lines) == sorted(['#{"kept": 1, "rescale": 1}', "kmer\ta_x_b\ta_x_c", "AC\t70.123\t50.000"])
 
 
 def test_weaker_branch_goes():
