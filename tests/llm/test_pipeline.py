@@ -43,9 +43,17 @@ def test_stages_with_clashing_names_and_no_rows(spark, tables, name):
     assert stage(spark, docs.where("false"), tables).count() == 0
 
 
-def test_toxic_documents_go(spark, tables):
+def test_toxic_documents_go(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     assert P.drop_toxic(spark, docs, tables).count() == docs.count()  # no label is toxic
+    rng = random.Random(5)
+    names = ["garden", "river", "market", "teacher", "window", "bread", "winter", "story", "music", "letter"]
+    clean = lambda: f"The {rng.choice(names)} was near the {rng.choice(names)} and we liked the {rng.choice(names)}."
+    rude = lambda: f"{clean()} You are a {rng.choice(['zorgle', 'blimpet'])} and a fool. {clean()}"
+    rows = [(i, rude() if i % 3 == 0 else " ".join(clean() for _ in range(3)), "en", "s", 1) for i in range(400)]
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in P.drop_toxic(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert kept == {i for i in range(400) if i % 3}
 
 
 def test_one_of_each_group_stays(spark, tables):
@@ -55,6 +63,21 @@ def test_one_of_each_group_stays(spark, tables):
     assert got == [-1, *sorted(i for i, c in leader.items() if i == c)]
 
 
+def test_rows_of_one_id_and_without_ids_stand_for_themselves(spark, tables):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    near, other, third = words(120), words(90), words(80)
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    stay = lambda rows: sorted(map(str, ((r["doc_id"], r["text"]) for r in P.one_of_near_copies(spark, docs(rows), tables).collect())))
+    want = lambda rows: sorted(map(str, rows))
+    # A row without an id goes when it is linked, whatever other such rows do.
+    assert stay([(1, near), (None, near + " tail"), (None, other)]) == want([(1, near), (None, other)])
+    # Of two texts of one id, one is a near copy and the other is not.
+    assert stay([(1, near), (5, near + " tail"), (5, other)]) == want([(1, near), (5, other)])
+    # Repeated rows stay once, linked rows without ids too, and so do null texts.
+    assert stay([(7, third), (7, third), (None, other), (None, other), (8, None), (8, None), (8, "")]) == want([(7, third), (None, other), (8, None), (8, "")])
+
+
 def test_repeated_passages_go(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = corpus()
