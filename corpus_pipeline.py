@@ -22,15 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of linked ones; repeated rows once. Null
-    and empty texts are linked with nothing and stay; rows with a null id stay unless they
-    are linked with one that has an id."""
-    found = near_duplicates(docs).where("doc_id <=> component_id")
-    leader = free_name(docs, "leader")
-    leaders = save(found.groupBy(F.col("doc_id").alias(leader)).count(), "leaders")
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders[leader]), "left_semi")
+    """The row of smallest id of each group of linked ones; repeated rows once. Rows are told
+    apart by id and text: those of the same id, and those without one, which come after all
+    others, are rows of their own. Null and empty texts are linked with nothing and stay."""
+    row = free_name(docs, "row")
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.col("text").isNull())
+    named = docs.withColumn(row, key)
+    found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text")).where("doc_id = component_id")
+    leaders = save(found.groupBy(F.col("doc_id").alias(row)).count(), "leaders")
+    kept = named.join(leaders, row, "left_semi")
     if has_rows(leaders.where("count > 1")):  # only then are the texts dealt out once more
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        kept = kept.dropDuplicates([row])
     return kept.select(*docs.columns)
 
 
