@@ -360,8 +360,7 @@ def contingency_cube(s: SparkSession, d: str) -> DataFrame:
     return browse.contingency(rows, "chrom", "class")
 
 
-# The overlap graph of all k-mers. Recursive SQL is too slow for its components: they are
-# tested against brute force on a small fixture.
+# The overlap graph of all k-mers.
 EDGE_SQL = COUNT_SQL.replace("6)", "9)").replace("- 4", "- 7").replace(">= 6", ">= 9") + """, n AS (
   SELECT kmer, max(raw_count) AS score FROM c GROUP BY kmer
 ), j AS (
@@ -395,6 +394,21 @@ def graph_roots(s: SparkSession, d: str) -> DataFrame:
     return graph.roots(_nodes(s, d), _edges(s, d))
 
 
+# Components keep one row a k-mer, whose label only ever falls.
+COMPONENT_SQL = EDGE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, bi AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e
+), cc(kmer, component) USING KEY (kmer) AS (
+  SELECT a AS kmer, min(least(a, b)) AS component FROM bi GROUP BY a
+  UNION
+  SELECT x.kmer, x.component FROM (SELECT bi.a AS kmer, min(cc.component) AS component FROM cc JOIN bi ON bi.b = cc.kmer GROUP BY bi.a) x
+  JOIN recurring.cc r ON r.kmer = x.kmer WHERE x.component < r.component
+), dg AS (SELECT kmer, sum(o)::BIGINT AS o, sum(i)::BIGINT AS i FROM (SELECT src AS kmer, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY kmer
+), ty AS (
+  SELECT component, count(*) AS n_nodes, CASE WHEN max(greatest(o, i)) > 1 THEN 'complex' ELSE 'linear' END || CASE WHEN min(i) > 0 THEN '_circular' ELSE '' END AS graph_type
+  FROM cc JOIN dg USING (kmer) GROUP BY component
+)
+"""
+
+
 def _typed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from ..storage import stored
 
@@ -402,24 +416,24 @@ def _typed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edges, graph.components(edges)
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT component, count(*) AS n_nodes FROM cc GROUP BY component")
 def component_sizes(s: SparkSession, d: str) -> DataFrame:
     return _typed(s, d)[1].groupBy("component").agg(F.count("*").alias("n_nodes"))
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT component, n_nodes, graph_type FROM ty")
 def component_type(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.component_types(parts, edges)
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT graph_type, count(*) AS n_graphs, sum(n_nodes)::BIGINT AS n_nodes FROM ty GROUP BY graph_type")
 def component_type_counts(s: SparkSession, d: str) -> DataFrame:
     edges, parts = _typed(s, d)
     return graph.type_counts(graph.component_types(parts, edges))
 
 
-@query()
+@query(COMPONENT_SQL + "SELECT component, arg_max(kmer, (score, kmer)) AS best_kmer, max(score)::DOUBLE AS best_score FROM cc JOIN n USING (kmer) GROUP BY component")
 def component_best(s: SparkSession, d: str) -> DataFrame:
     return graph.best_per_component(_typed(s, d)[1], _nodes(s, d))
 
@@ -432,10 +446,11 @@ def assemble_sequences(s: SparkSession, d: str) -> DataFrame:
     return graph.assemble(nodes, graph.cut_circles(edges, parts, chosen), parts.join(chosen, "component", "left_semi"), 9, 2.0)
 
 
-@query()
+@query(COMPONENT_SQL + """, met AS (SELECT kmer, score FROM n WHERE score >= 3 UNION SELECT kmer, score FROM (SELECT kmer, score FROM n ORDER BY score DESC, kmer LIMIT 11))
+SELECT component, arg_min(kmer, (-score, kmer)) AS seed, 0 AS comparison, max(score)::DOUBLE AS score FROM met JOIN cc USING (kmer) GROUP BY component""")
 def component_seeds(s: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(s, d).select("kmer", F.array("score").alias("scores"))
-    return graph.seeds(nodes, _typed(s, d)[1], 20.0)
+    return graph.seeds(nodes, _typed(s, d)[1], 3.0)
 
 
 INTERVAL_SQL = "WITH " + T.SQL_INTERVALS
