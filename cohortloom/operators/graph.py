@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import dropped, stored
+from .neighbours import correlated_pairs
 
 
 def overlap_edges(nodes: DataFrame, k: int, reach: int = 1, most: int = 4) -> DataFrame:
@@ -309,15 +310,16 @@ def best_per_component(parts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def correlated_losers(counts: DataFrame, ceiling: float) -> DataFrame:
-    """K-mers that a stronger one of the same gene is correlated with beyond ``ceiling``.
+    """K-mers that a stronger one of the same gene is correlated with beyond ``ceiling``; of
+    equal ones the first in order goes. K-mers without a gene are compared with each other.
 
-    ``counts`` (kmer, gene, score, x array<double>); pairs meet within a gene only.
+    ``counts`` (kmer, gene, score, x array<double>). Pairs come from a radius join within
+    genes, which splits a gene of any size.
     """
-    a = counts.select("gene", F.col("kmer").alias("i"), F.col("score").alias("si"), F.col("x").alias("xi"))
-    b = counts.select("gene", F.col("kmer").alias("j"), F.col("score").alias("sj"), F.col("x").alias("xj"))
-    pairs = a.join(b, a["gene"].eqNullSafe(b["gene"]) & (F.col("i") < F.col("j")))
-    r = pearson(F.col("xi"), F.col("xj"))
-    return pairs.where(r > ceiling).select(F.when(F.col("si") > F.col("sj"), F.col("j")).otherwise(F.col("i")).alias("kmer")).distinct()
+    pairs = correlated_pairs(counts.select(F.col("kmer").alias("id"), "gene", "x"), ceiling, signed=True, by="gene").where(F.col("r") > ceiling)
+    side = lambda n: counts.select(F.col("kmer").alias(n), F.col("score").alias("s" + n))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select(F.when(F.col("sa") > F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("kmer")).distinct()
 
 
 def pearson(x, y):  # noqa: ANN001, ANN201

@@ -6,22 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.floor(end / width))))
-
-
-def overlap_join(a: DataFrame, b: DataFrame, closed: bool = False, outer: bool = False, width: int = 1000) -> DataFrame:
+#: Bins that an interval may touch before it goes to a level of wider ones.
+SPAN = 64
+
+
+def _levels(a: DataFrame, b: DataFrame) -> list[int]:
+    """Widths of bins: twice the length that 95 of 100 intervals stay below, and as long as
+    the longest interval touches more than ``SPAN`` of them, ``SPAN`` times as wide."""
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    row = a.select(length.alias("n")).unionByName(b.select(length.alias("n"))).agg(F.percentile_approx("n", 0.95).alias("p"), F.max("n").alias("m")).first()
+    widths = [max(16, 2 * int(row["p"] or 1))]
+    while int(row["m"] or 1) > SPAN * widths[-1]:
+        widths.append(widths[-1] * SPAN)
+    return widths
+
+
+def _dealt(rows: DataFrame, start: str, end: str, widths: list[int], level: str, of: str, bin_: str) -> DataFrame:
+    """``rows`` once for each bin that they touch, on their own level (``of``) and those above."""
+    length = F.greatest(F.col(end) - F.col(start), F.lit(0))
+    own = F.lit(len(widths) - 1)
+    for i in reversed(range(len(widths) - 1)):
+        own = F.when(length <= SPAN * widths[i], i).otherwise(own)
+    width = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col(level) + 1)
+    first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
+    placed = rows.withColumn(of, own).withColumn(level, F.explode(F.sequence(F.col(of), F.lit(len(widths) - 1))))
+    return placed.withColumn(bin_, F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, closed: bool = False, outer: bool = False, width: int | None = None) -> DataFrame:
     """Pairs of a (chrom, start, end, a_id) and b (chrom, start, end, b_id) that overlap.
 
     An interval is dealt to the bins that it touches and pairs meet on equal bins; a pair
     that shares several counts in the bin where the later one starts, so nothing has to be
-    made distinct. ``outer`` keeps rows of a without a partner.
+    made distinct. Bins are as wide as the data ask for, or ``width``; much longer intervals
+    have levels of wider bins, and a pair meets on the level of the longer one. ``outer``
+    keeps rows of a without a partner.
     """
-    left = a.select("chrom", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "a_id").withColumn("bin", _bins(F.col("a_start"), F.col("a_end"), width))
-    right = b.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "b_id").withColumn("b_bin", _bins(F.col("b_start"), F.col("b_end"), width))
+    widths = [width] if width else _levels(a, b)
+    left = _dealt(a.select("chrom", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "a_id"), "a_start", "a_end", widths, "level", "a_of", "bin")
+    right = _dealt(b.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), "b_id"), "b_start", "b_end", widths, "b_level", "b_of", "b_bin")
     meet = (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) if closed else (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
-    once = F.floor(F.greatest("a_start", "b_start") / width) == F.col("bin")
-    pairs = left.join(right, (F.col("chrom") == F.col("b_chrom")) & (F.col("bin") == F.col("b_bin")) & meet & once)
+    wide = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("level") + 1)
+    once = (F.floor(F.greatest("a_start", "b_start") / wide) == F.col("bin")) & (F.col("level") == F.greatest("a_of", "b_of"))
+    same = (F.col("chrom") == F.col("b_chrom")) & (F.col("level") == F.col("b_level")) & (F.col("bin") == F.col("b_bin"))
+    pairs = left.join(right, same & meet & once)
     pairs = pairs.select("chrom", "a_id", "a_start", "a_end", "b_id", "b_start", "b_end")
     if not outer:
         return pairs
@@ -51,7 +79,7 @@ def merged(intervals: DataFrame, by: list[str], width: int = 65_536) -> DataFram
     ).drop("_island")
 
 
-def covered(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
+def covered(features: DataFrame, reads: DataFrame, width: int | None = None) -> DataFrame:
     """(a_id, a_start, a_end, covered): how much of each feature (chrom, start, end, a_id) reads
     (b_id) cover; features that no read meets are left out.
 
@@ -66,7 +94,7 @@ def covered(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFra
     return clipped.withColumn("adds", adds).groupBy(*at).agg(F.sum("adds").alias("covered"))
 
 
-def coverage(features: DataFrame, reads: DataFrame, width: int = 1000) -> DataFrame:
+def coverage(features: DataFrame, reads: DataFrame, width: int | None = None) -> DataFrame:
     """Percent of each feature covered by reads, rounded down to hundredths."""
     share = F.try_divide(F.col("covered") * 10000, F.col("a_end") - F.col("a_start"))
     return covered(features, reads, width).select("a_id", (F.floor(share) / 100.0).alias("coverage"))

@@ -62,8 +62,8 @@ def kmeans_merged(vectors: DataFrame, k: int, least: int) -> DataFrame:
     """K-means clusters; those with fewer than ``least`` members become one rest, -1."""
     model = KMeans(k=k, seed=1).fit(as_features(vectors))
     found = model.transform(as_features(vectors)).select("vec_id", F.col("prediction").alias("cluster"))
-    size = F.count("*").over(Window.partitionBy("cluster"))
-    return found.withColumn("size", size).select("vec_id", F.when(F.col("size") < least, -1).otherwise(F.col("cluster")).alias("cluster"))
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))  # a row a cluster
+    return found.join(F.broadcast(sizes), "cluster").select("vec_id", F.when(F.col("size") < least, -1).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:

@@ -42,9 +42,10 @@ def _pivots(points: DataFrame, count: int, mirrored: bool) -> list[list[float]]:
     return chosen
 
 
-def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool = False, block: int = BLOCK) -> DataFrame:
+def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """(a, b, distance) for all pairs of ``points`` (id, x array<double>) with a < b that are
-    at most ``radius`` apart. With ``mirrored``, x and -x count as the same point.
+    at most ``radius`` apart. With ``mirrored``, x and -x count as the same point; with ``by``,
+    only points that are equal in that column meet, nulls with nulls.
 
     By the triangle inequality such a pair's distances to any pivot differ by no more than
     the radius. So points meet only in equal or neighbouring cells of pivot distances, a
@@ -55,33 +56,34 @@ def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: boo
     """
     if radius <= 0:
         raise ValueError("the radius must be above 0")
-    points = stored(points.where("x IS NOT NULL").select("id", F.col("x").cast("array<double>").alias("x")), "points")
+    group = F.struct(F.col(by) if by else F.lit(0)).alias("by")
+    points = stored(points.where("x IS NOT NULL").select("id", F.col("x").cast("array<double>").alias("x"), group), "points")
     kind = points.schema["id"].dataType.simpleString()
     at = _pivots(points, pivots, mirrored)
     # A little wider than the radius, so that rounding can't part two cells.
     cells = [F.floor(_distance(F.col("x"), F.array(*map(F.lit, p)), mirrored) / (radius * (1 + 1e-9))) for p in at]
     cells = cells or [F.lit(0).cast("long")]
-    placed = stored(points.select("id", "x", F.array(*cells).alias("cell")), "cells")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = stored(points.select("by", "id", "x", F.array(*cells).alias("cell")), "cells")
+    sizes = placed.groupBy("by", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     near = F.array(F.array().cast("array<bigint>"))
     for i in range(len(cells)):
         steps = F.array(*[F.get("cell", F.lit(i)) + F.lit(k) for k in (-1, 0, 1)])
         near = _longer(near, steps)
     # A cell looks at neighbours that are not before it, so two cells meet once.
-    pairs = sizes.select("cell", "blocks", F.explode(F.filter(near, lambda c: c >= F.col("cell"))).alias("other"))
-    pairs = pairs.join(sizes.select(F.col("cell").alias("other"), F.col("blocks").alias("other_blocks")), "other")
-    dealt = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    left = dealt.select("cell", "block", "id", "x").join(pairs, "cell").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    left = left.where("cell <> other OR block <= meets").select("cell", "other", "block", "meets", F.lit(True).alias("first"), "id", "x")
-    right = dealt.select(F.col("cell").alias("other"), F.col("block").alias("meets"), "id", "x").join(pairs, "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.where("cell <> other OR block < meets").select("cell", "other", "block", "meets", F.lit(False).alias("first"), "id", "x")
+    pairs = sizes.select("by", "cell", "blocks", F.explode(F.filter(near, lambda c: c >= F.col("cell"))).alias("other"))
+    pairs = pairs.join(sizes.select("by", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks")), ["by", "other"])
+    dealt = placed.join(sizes, ["by", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    left = dealt.select("by", "cell", "block", "id", "x").join(pairs, ["by", "cell"]).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    left = left.where("cell <> other OR block <= meets").select("by", "cell", "other", "block", "meets", F.lit(True).alias("first"), "id", "x")
+    right = dealt.select("by", F.col("cell").alias("other"), F.col("block").alias("meets"), "id", "x").join(pairs, ["by", "other"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.where("cell <> other OR block < meets").select("by", "cell", "other", "block", "meets", F.lit(False).alias("first"), "id", "x")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first = table.column("first").to_numpy()
         x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         ids = table.column("id").combine_chunks()
         a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
-        cell, other, of, meets = (k.as_py() for k in key)
+        _, cell, other, of, meets = (k.as_py() for k in key)
         same = cell == other and of == meets
         if same:  # a block with itself
             b = a
@@ -98,24 +100,26 @@ def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: boo
         keep = d <= radius
         return pa.table({"a": ids.take(pa.array(i[keep])), "b": ids.take(pa.array(j[keep])), "distance": d[keep]})
 
-    keys = ["cell", "other", "block", "meets"]
+    keys = ["by", "cell", "other", "block", "meets"]
     met = left.unionByName(right).groupBy(*keys).applyInArrow(compare, f"a {kind}, b {kind}, distance double")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
-def correlated_pairs(rows: DataFrame, least: float) -> DataFrame:
+def correlated_pairs(rows: DataFrame, least: float, signed: bool = False, by: str | None = None) -> DataFrame:
     """(a, b, r) of rows (id, x) whose Pearson correlation is ``least`` (above 0) or more
-    either way; r is its absolute value. Constant rows correlate with nothing.
+    either way, r being its absolute value, or if ``signed``, that far above 0 only. Constant
+    rows correlate with nothing. With ``by``, rows meet within that column only.
 
-    Centred rows of length 1 are sqrt(2 - 2 |r|) apart, or so far from the mirrored one.
+    Centred rows of length 1 are sqrt(2 - 2 r) apart; mirrored ones have the other sign.
     """
     n = F.size("x")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     x = F.col("x").cast("array<double>")
-    centred = rows.select("id", F.transform(x, lambda v: v - total(x) / n).alias("x"))
+    own = ["id", *([by] if by else [])]
+    centred = rows.select(*own, F.transform(x, lambda v: v - total(x) / n).alias("x"))
     length = F.sqrt(total(F.transform("x", lambda v: v * v)))
-    unit = centred.withColumn("length", length).where("length > 0").select("id", F.transform("x", lambda v: v / F.col("length")).alias("x"))
-    found = radius_join(unit, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6, mirrored=True)
+    unit = centred.withColumn("length", length).where("length > 0").select(*own, F.transform("x", lambda v: v / F.col("length")).alias("x"))
+    found = radius_join(unit, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6, mirrored=not signed, by=by)
     return found.select("a", "b", (1 - F.col("distance") * F.col("distance") / 2).alias("r")).where(F.col("r") >= least - 1e-12)
 
 
@@ -127,7 +131,7 @@ def reduce_correlated(rows: DataFrame, target: Column, least: float) -> DataFram
     winner follows at that time, itself at first. Each defeat therefore points to the
     winner's last defeat before it, and the ends of these pointers are found by doubling.
     """
-    from .graph import pearson
+    from .graph import pearson  # here, as it imports this module
 
     own = F.coalesce(F.abs(pearson(F.col("x").cast("array<double>"), target)), F.lit(0.0))
     scored = stored(rows.select("id", own.alias("target_r")), "target")

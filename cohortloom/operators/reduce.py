@@ -178,12 +178,12 @@ class EntropyGate:
         self.least, self.since, self.every = 1e6, 0, self.every + 30
 
 
-def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float = 65.0, down: float = 0.25, up: float = 0.05, ranges: int = 8) -> DataFrame:
+def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float = 65.0, down: float = 0.25, up: float = 0.05, size: int = 1 << 18) -> DataFrame:
     """Rows (kmer, counts) that pass the gate and tell some pair of groups apart.
 
-    The gate is a state of one k-mer range, read in k-mer order: the k-mers are dealt to
-    ``ranges`` ranges of equal numbers, each scanned on its own, so the threshold adapts
-    within each. The result depends on ``ranges``, and not on how the input is partitioned.
+    The gate is a state of one k-mer range, read in k-mer order: ranges have ``size`` k-mers,
+    each scanned on its own, so the threshold adapts within each and as many tasks work as
+    there are ranges. The result depends on ``size``, and not on how the input is partitioned.
     """
     of = np.array(groups)
 
@@ -215,7 +215,7 @@ def reduce_adaptive(rows: DataFrame, groups: list[str], least_accuracy: float =
                 })
 
     ranked = numbered(rows.select("kmer", "counts").withColumn("_all", F.lit(0)), ["_all"], [F.col("kmer")], "_n")
-    size = max(1, -(-rows.count() // ranges))
+    ranges = max(1, -(-rows.count() // size))
     dealt = ranked.select("kmer", "counts", F.floor((F.col("_n") - 1) / size).cast("int").alias("_range"))
     return dealt.repartition(ranges, "_range").sortWithinPartitions("_range", "kmer").mapInPandas(
         run, "kmer string, acc array<double>, entropy double, entropy_threshold double"

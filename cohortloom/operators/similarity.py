@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 MAP_NODES = 10_000
 
 
@@ -27,27 +29,51 @@ def discretise(long: DataFrame, n_samples: int, bins: int = 100, least_share: fl
     return marked.where(F.col("share") >= least_share).select("kmer", "sample", "share", place.cast("long").alias("bin"))
 
 
-def sample_similarity(binned: DataFrame) -> DataFrame:
+def sample_similarity(binned: DataFrame, block: int = 2048) -> DataFrame:
     """Per pair of samples: over their common k-mers, twice the share of samples without
     the k-mer for equal bins, once for neighbouring ones.
 
-    The self join is within a k-mer, on the bins that can match, so its rows follow the
-    agreements.
+    A k-mer's bins are one row; each task compares the columns of its rows and adds up one
+    square matrix, of which cells are shuffled. Pairs without any agreement are left out.
     """
-    a = binned.select("kmer", F.col("sample").alias("s1"), "share", F.col("bin").alias("bin_a"))
-    b = binned.select(
-        "kmer", F.col("sample").alias("s2"), F.col("bin").alias("bin_b"),
-        F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("near"),
-    )
-    met = a.join(b, (a["kmer"] == b["kmer"]) & (F.col("bin_a") == F.col("near")) & (F.col("s1") < F.col("s2")))
-    gain = F.when(F.col("bin_a") == F.col("bin_b"), 2.0).otherwise(1.0) * (1 - F.col("share"))
-    return met.groupBy("s1", "s2").agg(F.sum(gain).alias("similarity"))
+    spark = binned.sparkSession
+    names = [r[0] for r in binned.select("sample").distinct().orderBy("sample").collect()]  # a matrix header
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("sample")).cast("int") - 1 if names else F.lit(0)
+    rows = binned.withColumn("at", place).groupBy("kmer").agg(F.max("share").alias("share"), F.collect_list("at").alias("at"), F.collect_list("bin").alias("bin"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), np.bool_)
+        for batch in batches:
+            for low in range(0, batch.num_rows, block):
+                part = batch.slice(low, block)
+                share, at, bins = (part.column(i) for i in range(3))
+                x = np.full((part.num_rows, len(names)), -9, np.int64)
+                line = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
+                x[line, at.flatten().to_numpy()] = bins.flatten().to_numpy()
+                gain = 1 - share.to_numpy()
+                for i in range(len(names) - 1):
+                    own = np.nonzero(x[:, i] > 0)[0]
+                    apart = np.abs(x[own, i + 1 :] - x[own, i : i + 1])
+                    total[i, i + 1 :] += ((apart == 0) * 2.0 + (apart == 1)).T @ gain[own]
+                    met[i, i + 1 :] |= (apart <= 1).any(0)
+        i, j = np.nonzero(met)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j]})
+
+    if not names:
+        return spark.createDataFrame([], f"s1 {binned.schema['sample'].dataType.simpleString()}, s2 {binned.schema['sample'].dataType.simpleString()}, similarity double")
+    cells = rows.select("share", "at", "bin").mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("similarity"))
+    header = F.array(*map(F.lit, names))
+    return cells.select(F.get(header, "i").alias("s1"), F.get(header, "j").alias("s2"), "similarity")
 
 
 def square_matrix(similar: DataFrame, samples: list[str]) -> DataFrame:
-    """The symmetric matrix with a zero diagonal, one row a sample."""
+    """(sample, values): the symmetric matrix with a zero diagonal, a row a sample, its values
+    in the order of ``samples``."""
     flipped = similar.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "similarity")
-    return similar.unionByName(flipped).groupBy("s1").pivot("s2", samples).agg(F.first("similarity")).na.fill(0.0)
+    rows = similar.unionByName(flipped).groupBy(F.col("s1").alias("sample")).agg(F.map_from_entries(F.collect_list(F.struct("s2", "similarity"))).alias("of"))
+    names = similar.sparkSession.createDataFrame([(n,) for n in samples], "sample string")
+    cells = [F.coalesce(F.try_element_at("of", F.lit(n)), F.lit(0.0)) for n in samples]
+    return names.join(rows, "sample", "left").select("sample", F.array(*cells).alias("values"))
 
 
 def _squared_distance(x, y):  # noqa: ANN001, ANN202
@@ -97,21 +123,42 @@ def column_distances(rows: DataFrame) -> DataFrame:
     return column_products(rows).select("i", "j", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
-def nearest_node(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The nearest node (node, weights) of each vector, the first among equals.
+def nearest_node(nodes: DataFrame, vectors: DataFrame, chunk: int = MAP_NODES) -> DataFrame:
+    """The nearest node (node, weights) of each vector, the first among equals to nine digits.
 
-    ``nodes`` is a trained map of at most ``MAP_NODES`` nodes and travels inside the
-    expression.
+    Nodes travel to the tasks as a matrix, ``chunk`` of them at a time; a map of more goes
+    over the vectors once a chunk and keeps the best so far. Products find which nodes are
+    near, and differences the distances of those.
     """
-    if len(nodes.select("node").take(MAP_NODES + 1)) > MAP_NODES:
-        raise ValueError(f"a map has at most {MAP_NODES} nodes")
-    grid = [(r[0], [float(x) for x in r[1]]) for r in nodes.select("node", "weights").orderBy("node").collect()]
-    v = F.col("embedding").cast("array<double>")
-    options = F.array(*[
-        F.struct(F.round(F.sqrt(_squared_distance(v, F.array(*map(F.lit, w)))), 9).alias("d"), F.lit(n).alias("node")) for n, w in grid
-    ])
-    best = F.array_min(options)
-    return vectors.select("vec_id", best["node"].alias("node"), best["d"].alias("distance"))
+    kind, node = vectors.schema["vec_id"].dataType.simpleString(), nodes.schema["node"].dataType
+    found = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.lit(None).cast(node).alias("node"), F.lit(None).cast("double").alias("d"))
+    names = nodes.select("node").distinct().count()
+    for low in range(0, max(names, 1), chunk):
+        grid = nodes.orderBy("node").offset(low).limit(chunk).select("node", F.col("weights").cast("array<double>")).collect()  # at most a chunk
+        if not grid:
+            break
+        labels, w = np.array([r[0] for r in grid]), np.array([r[1] for r in grid], float)
+        squares = (w * w).sum(1)
+
+        def run(batches: Iterator[pa.RecordBatch], labels=labels, w=w, squares=squares) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                    best, d = part.column(2).to_pylist(), part.column(3).to_pylist()
+                    own = (x * x).sum(1)[:, None]
+                    low_ = own + squares - 2 * x @ w.T
+                    near = low_ <= low_.min(1, keepdims=True) + 1e-8 * (own + squares + 1)
+                    for i, j in zip(*np.nonzero(near)):
+                        new = round(float(np.sqrt(((x[i] - w[j]) ** 2).sum())), 9)
+                        if d[i] is None or new < d[i]:
+                            best[i], d[i] = labels[j].item(), new
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(best, part.schema.field(2).type), pa.array(d, pa.float64())], names=["vec_id", "v", "node", "d"])
+
+        found = found.mapInArrow(run, f"vec_id {kind}, v array<double>, node {node.simpleString()}, d double")
+        if low + chunk < names:
+            found = stored(found, "nearest")
+    return found.select("vec_id", "node", F.col("d").alias("distance"))
 
 
 def silhouette(vectors: DataFrame) -> DataFrame:

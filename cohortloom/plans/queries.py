@@ -651,8 +651,8 @@ def correlation_collapse(s: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + T.SQL_M + "SELECT sample, kmer, raw_count FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY raw_count DESC, kmer) AS i FROM m) WHERE i <= 5")
 def top_features(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("sample").orderBy(F.desc("raw_count"), "kmer")
-    return T.matrix(s, d).withColumn("i", F.row_number().over(w)).where("i <= 5").select("sample", "kmer", "raw_count")
+    ranked = groups.numbered(T.matrix(s, d), ["sample"], [F.desc("raw_count"), F.asc("kmer")], "i")
+    return ranked.where("i <= 5").select("sample", "kmer", "raw_count")
 
 
 @query("WITH " + T.SQL_M + """SELECT sample, quantile_cont(raw_count, 0.5) AS median, round(avg(raw_count), 5) AS mean, round(var_samp(raw_count), 3) AS variance,

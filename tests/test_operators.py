@@ -169,10 +169,57 @@ def test_statistics_of_two_groups(spark):
     assert [r[0] for r in two.select(stats.max_fold(F.col("a"), F.col("b"))).collect()] == [0.0, float("inf"), 4.0]
 
 
-def test_nearest_node_refuses_huge_maps(spark):
-    nodes = spark.range(10_001).select(F.col("id").alias("node"), F.array(F.lit(0.0)).alias("weights"))
-    with pytest.raises(ValueError):
-        similarity.nearest_node(nodes, nodes)
+def test_nearest_node_of_a_map_in_chunks(spark):
+    rng = np.random.default_rng(4)
+    w, v = rng.integers(0, 4, (23, 3)).astype(float), rng.integers(0, 4, (40, 3)).astype(float)
+    nodes = spark.createDataFrame([(i + 5, x.tolist()) for i, x in enumerate(w)], "node int, weights array<double>")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    away = np.sqrt(((v[:, None] - w[None]) ** 2).sum(2)).round(9)
+    want = {i: (int(d.argmin()) + 5, float(d.min())) for i, d in enumerate(away)}
+    for chunk in (4, 100):
+        assert {r["vec_id"]: (r["node"], r["distance"]) for r in similarity.nearest_node(nodes, vectors, chunk).collect()} == want
+    assert similarity.nearest_node(nodes.limit(0), vectors).where("node IS NULL").count() == 40
+
+
+def test_similarity_of_columns_against_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"k{k}", f"s{s}", 0.1 * (k % 7), int(rng.integers(1, 6))) for k in range(60) for s in range(5) if rng.random() < 0.5]
+    want = {}
+    for k, s1, share, b1 in rows:
+        for k2, s2, _, b2 in rows:
+            if k == k2 and s1 < s2 and abs(b1 - b2) <= 1:
+                want[s1, s2] = want.get((s1, s2), 0) + (2 if b1 == b2 else 1) * (1 - share)
+    binned = spark.createDataFrame(rows, "kmer string, sample string, share double, bin long").repartition(3)
+    got = {(r["s1"], r["s2"]): r["similarity"] for r in similarity.sample_similarity(binned, block=7).collect()}
+    assert got == pytest.approx(want)
+    matrix = {r["sample"]: r["values"] for r in similarity.square_matrix(similarity.sample_similarity(binned), [f"s{i}" for i in range(5)]).collect()}
+    assert all(matrix[f"s{i}"][i] == 0 and matrix[f"s{i}"][j] == pytest.approx(want[f"s{min(i, j)}", f"s{max(i, j)}"]) for i in range(5) for j in range(5) if i != j)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_intervals_of_very_different_lengths(spark, closed):
+    rng = np.random.default_rng(9)
+    make = lambda n: [("c", int(s), int(s + w), i) for i, (s, w) in enumerate(zip(rng.integers(0, 200_000, n), rng.choice([0, 1, 5, 20, 300, 9_000, 150_000], n, p=[0.05, 0.2, 0.3, 0.3, 0.1, 0.03, 0.02])))]
+    a, b = make(250), make(250)
+    meets = (lambda x, y: x[1] <= y[2] and y[1] <= x[2]) if closed else (lambda x, y: x[1] < y[2] and y[1] < x[2])
+    kind = "chrom string, start long, end long, {} long"
+    frames = [spark.createDataFrame(rows, kind.format(i)) for rows, i in ((a, "a_id"), (b, "b_id"))]
+    assert len(intervals._levels(*frames)) > 1
+    got = sorted((r["a_id"], r["b_id"]) for r in intervals.overlap_join(*frames, closed=closed).collect())
+    assert got == sorted((x[3], y[3]) for x in a for y in b if meets(x, y))
+
+
+def test_a_gene_of_any_size_and_kmers_without_one(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(4, 12))
+    rows = [(f"k{i:02d}", [None, "g", "h"][i % 3], float(rng.integers(0, 9)), (base[rng.integers(0, 4)] * rng.choice([-1, 1]) + 0.2 * rng.normal(size=12)).tolist()) for i in range(45)]
+    want = set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[1] == y[1] and np.corrcoef(x[3], y[3])[0, 1] > 0.8:
+                want.add(y[0] if x[2] > y[2] else x[0])
+    counts = spark.createDataFrame(rows, "kmer string, gene string, score double, x array<double>")
+    assert {r["kmer"] for r in graph.correlated_losers(counts, 0.8).collect()} == want and want
 
 
 def test_positions_on_either_strand(spark):
