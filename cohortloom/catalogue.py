@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import queries as plans
-from .plans import studies, views  # noqa: F401  register their queries with the others
+from .plans import registry, studies, views  # noqa: F401  register their queries with the others
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

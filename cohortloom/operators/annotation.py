@@ -179,6 +179,31 @@ def best_in_window(scored: DataFrame, features: DataFrame, k: int) -> DataFrame:
     return of.select("name", "start", "end", F.col("b.kmer").alias("best_kmer"), F.col("b.score").alias("best_score"), (beats("l") & beats("h")).alias("generates_event"))
 
 
+def unannotated_events(sequences: DataFrame, events: DataFrame, perfect: bool = False) -> DataFrame:
+    """(best_kmer, event, genes) of sequences whose best k-mer no event has: ``unmapped`` without
+    alignment, ``multimap`` with several, else ``intragenic`` with a gene and ``intergenic``
+    without. Of sequences with the same best k-mer the first by id counts; with ``perfect``,
+    where only what differs from the genes is asked for, intragenic ones are none.
+
+    ``sequences`` (id, best_kmer, genes: an array of gene arrays, one an alignment); ``events``
+    (best_kmer, ...).
+    """
+    open_ = sequences.join(events.select("best_kmer"), "best_kmer", "left_anti")
+    n, genes = F.size("genes"), F.array_sort(F.array_distinct(F.flatten("genes")))
+    kind = F.when(n == 0, "unmapped").when(n > 1, "multimap").when(F.size(F.flatten("genes")) == 0, "intergenic").otherwise("intragenic")
+    told = open_.select("id", "best_kmer", kind.alias("event"), genes.alias("genes"))
+    if perfect:
+        told = told.where("event <> 'intragenic'")
+    first = told.groupBy("best_kmer").agg(F.min_by(F.struct("event", "genes"), "id").alias("e"))
+    return first.select("best_kmer", "e.event", "e.genes")
+
+
+def misaligned(tried: DataFrame, placed: DataFrame) -> DataFrame:
+    """(kmer, event): winners (kmer) whose sequences are aligned, yet that lie in no block of an
+    alignment; ``placed`` (kmer, ...) from ``kmer_positions``."""
+    return tried.select("kmer").distinct().join(placed.select("kmer"), "kmer", "left_anti").withColumn("event", F.lit("misalign"))
+
+
 def segment_relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """equal, contains, within, overlaps or apart, of two half-open segments."""
     return (

@@ -98,6 +98,42 @@ def sample_filter(samples: DataFrame, search: str = "", keys: list[str] = (), ta
     return samples.where(F.col("k_len").isin(list(k))) if k else samples
 
 
+def page_of(rows: DataFrame, order: str, ascending: bool, page_: int, size: int, key: str) -> DataFrame:
+    """A page of any table, ordered by one column, nulls last, and by ``key`` among equals."""
+    first = F.asc_nulls_last(order) if ascending else F.desc_nulls_last(order)
+    return rows.orderBy(first, F.asc(key)).offset(page_ * size).limit(size)
+
+
+def matrix_filter(matrices: DataFrame, search: str) -> DataFrame:
+    """Rows that hold the searched text anywhere, as JSON; shorter than three letters finds all."""
+    return matrices.where(F.contains(F.to_json(F.struct("*")), F.lit(search))) if len(search) > 2 else matrices
+
+
+def map_filter(rows: DataFrame, samples: list[str] = (), nodes: list[int] = (), classes: list[str] = ()) -> DataFrame:
+    """Rows (sample, node, class, ...) of a map's display that are asked for in every list;
+    an empty list asks for all."""
+    for column, asked in (("sample", samples), ("node", nodes), ("class", classes)):
+        if asked:
+            rows = rows.where(F.col(column).isin(list(asked)))
+    return rows
+
+
+def registry_stats(samples: DataFrame, visible: DataFrame, key: str = "name") -> DataFrame:
+    """(kind, key, value, n) of the samples (name, metadata, k_len): how many of the visible
+    ones have each k, each tag, each value of a tag, and, as value ``None``, lack the tag."""
+    shown = samples.join(visible.select(key).withColumn("_v", F.lit(1)), key, "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
+    none = F.lit(None).cast("string")
+    by_k = shown.groupBy(F.col("k_len").cast("string").alias("value")).agg(F.sum("_v").alias("n")).select(F.lit("k_len").alias("kind"), none.alias("key"), "value", "n")
+    tags = shown.select("_v", F.explode("metadata").alias("key", "value")).groupBy("key", "value").agg(F.sum("_v").alias("n"))
+    by_tag = tags.groupBy("key").agg(F.sum("n").alias("n"))
+    whole = shown.agg(F.sum("_v").alias("all"))  # one row
+    rest = by_tag.crossJoin(whole).select(F.lit("value").alias("kind"), "key", F.lit("None").alias("value"), (F.col("all") - F.col("n")).alias("n"))
+    return (
+        by_k.unionByName(by_tag.select(F.lit("tag").alias("kind"), "key", none.alias("value"), "n"))
+        .unionByName(tags.select(F.lit("value").alias("kind"), "key", "value", "n")).unionByName(rest)
+    )
+
+
 def unmapped_events(kmers: DataFrame) -> DataFrame:
     """Event type by number of alignments: none unmapped, several multimap, else by gene."""
     n = F.size("alignments")

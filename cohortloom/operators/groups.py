@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import anova_p, fold_change, normal_p, student_p, welch_df, welch_t
+from ..functions.stats import anova_p, fold_change, normal_p, pooled_t, student_p, welch_df, welch_t
 from .running import in_ranges, numbered, running
 
 
@@ -52,6 +52,16 @@ def with_welch_p(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", student_p(F.col("t"), F.col("df")))
 
 
+def with_pooled_p(stats: DataFrame) -> DataFrame:
+    """Student's t under equal variances for every pair of groups g < h, with its p-value."""
+    a = stats.select("kmer", *[F.col(c).alias(c + "_a") for c in ("grp", "n", "mean", "sd")])
+    b = stats.select("kmer", *[F.col(c).alias(c + "_b") for c in ("grp", "n", "mean", "sd")])
+    va, vb = F.col("sd_a") * F.col("sd_a"), F.col("sd_b") * F.col("sd_b")
+    t = pooled_t(F.col("mean_a"), va, F.col("n_a"), F.col("mean_b"), vb, F.col("n_b"))
+    both = a.join(b, "kmer").where("grp_a < grp_b").select("kmer", "grp_a", "grp_b", t.alias("t"), (F.col("n_a") + F.col("n_b") - 2).cast("double").alias("df"))
+    return both.withColumn("p", student_p(F.col("t"), F.col("df")))
+
+
 def anova(stats: DataFrame) -> DataFrame:
     """One-way F over all groups, from the groups' means and deviations."""
     per_kmer = Window.partitionBy("kmer")

@@ -13,6 +13,7 @@ from ..storage import stored
 from .graph import components
 from .neighbours import radius_join
 from .reduce import balanced_split
+from .similarity import nearest_node
 
 CLASSIFIERS = {
     "forest": lambda: RandomForestClassifier(numTrees=50, seed=1),
@@ -120,6 +121,18 @@ def train_som(vectors: DataFrame, width: int, height: int, rounds: int = 10, col
     return spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(weights)], "node int, weights array<double>")
 
 
+def second_map(cells: DataFrame, width: int, height: int, rounds: int = 6) -> DataFrame:
+    """(sample, node, distance): samples on a map of their own, trained on their projections
+    ``cells`` (sample, node, total) on a first map; nodes without a cell count as 0."""
+    names = [r[0] for r in cells.select("node").distinct().orderBy("node").collect()]  # a map's nodes
+    of = F.map_from_entries(F.collect_list(F.struct("node", "total")))
+    rows = cells.groupBy("sample").agg(of.alias("of")).select(
+        F.col("sample").alias("vec_id"), F.array(*[F.coalesce(F.try_element_at("of", F.lit(n)), F.lit(0.0)) for n in names]).alias("embedding")
+    )
+    rows = stored(rows, "projections")
+    return nearest_node(train_som(rows, width, height, rounds), rows).withColumnRenamed("vec_id", "sample")
+
+
 def projection(long: DataFrame, bmu: DataFrame, mean: bool = False, value: str = "value") -> DataFrame:
     """Per sample and node the sum of its features' values, or over the node's features."""
     sums = long.join(bmu, "kmer").groupBy("sample", "node").agg(F.sum(value).alias("total"))

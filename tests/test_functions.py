@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import kmers as K
@@ -92,3 +93,12 @@ def test_empty_matrix(spark):
     empty = counts4(spark).limit(0)
     assert matrix.entropy(empty, "raw_count").count() == 0
     assert groups.group_stats(empty, samples4(spark), "raw_count").count() == 0
+
+
+def test_gamma_and_normal_kernels():
+    x = np.array([1e-3, 0.1, 0.4999, 0.5, 1, 2.5, 10, 171.3, 1e4])
+    assert S.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
+    z = np.array([0, 1e-8, 0.3, -1, 1.99, 2.0, 2.01, 5, -9, 30, np.inf, np.nan])
+    want = [math.erfc(abs(v) / math.sqrt(2)) for v in z[:-1]]
+    got = S.normal_p_values(z)
+    assert got[:-1] == pytest.approx(want, rel=1e-10, abs=1e-300) and np.isnan(got[-1])
