@@ -51,9 +51,12 @@ def filtered(rows: DataFrame, request: Request) -> DataFrame:
 
 
 def ordered(rows: DataFrame, request: Request) -> DataFrame:
-    """By the asked column, k-mers telling equals apart; ``values_1`` is a place in an array."""
+    """By the asked column, k-mers telling equals apart; ``values_1`` is a place in an array.
+    Nulls and numbers that aren't finite, as folds of an empty group, come last either way."""
     name, _, place = request.order.rpartition("_")
     key = F.get(name, F.lit(int(place))) if place.isdigit() and name in rows.columns else F.col(request.order)
+    if rows.select(key.alias("k")).schema["k"].dataType.simpleString() in ("double", "float"):
+        key = F.when(F.isnan(key) | (F.abs(key) == float("inf")), None).otherwise(key)
     key = key.asc_nulls_last() if request.ascending else key.desc_nulls_last()
     return rows.orderBy(key, F.asc("kmer"))
 

@@ -56,9 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
         nearer = labels.join(around, "a").select("a", F.least("label", "seen").alias("label"))
         jumped = nearer.alias("x").join(nearer.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left")
         following = stored(jumped.select("a", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if not following.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").take(1):
+        done = not following.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").take(1)
+        dropped(labels)
+        if done:
             break
         labels = following
+    dropped(both)
     return following.select(F.col("a").alias("kmer"), F.col("label").alias("component"))
 
 

@@ -313,6 +313,13 @@ def test_browse_filters_and_pages(spark):
     assert tuple(browse.page_totals(rows, request).first()) == (20, 10)
 
 
+def test_folds_without_a_number_come_last(spark):
+    rows = spark.createDataFrame([("a", [1.5]), ("b", [float("inf")]), ("c", [-4.0]), ("d", [float("nan")]), ("e", None), ("f", [float("-inf")])], "kmer string, fold array<double>")
+    for up, first in ((True, ["c", "a"]), (False, ["a", "c"])):
+        got = [r["kmer"] for r in browse.ordered(rows, browse.Request(order="fold_0", ascending=up)).collect()]
+        assert got == [*first, "b", "d", "e", "f"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("AAAA\t3\nAAAC 5\n")
     (tmp_path / "create.tsv").write_text(f"{tmp_path}/c.tsv\ts1\tg1\n")
