@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import free_name, has_rows, read, save, tokenizer_file
+from cohortloom.llm.common import discard, free_name, has_rows, read, save, tokenizer_file
 from cohortloom.llm.jaccard import near_duplicates
 from cohortloom.llm.packing import pack
 from cohortloom.llm.queries import surrogate_key
@@ -70,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        made = save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # nothing reads it any more
+        docs = before = made
     return docs
