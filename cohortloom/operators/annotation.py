@@ -159,7 +159,8 @@ def kmer_positions(kmers: DataFrame, alignments: DataFrame, k: int) -> DataFrame
 
 
 def best_in_window(scored: DataFrame, features: DataFrame, k: int) -> DataFrame:
-    """Of each feature of a sequence its best k-mer, and whether that beats both borders.
+    """Of each feature of a sequence its best k-mer, and whether that beats both borders. A
+    feature of strand - (column ``strand``, if there is one) counts from the other end.
 
     ``scored`` (name, at, kmer, score): k-mers by their place in the sequence; ``features``
     (name, size, start, end): the window is k - 1 wider than the feature, a border 2k + 3
@@ -168,11 +169,13 @@ def best_in_window(scored: DataFrame, features: DataFrame, k: int) -> DataFrame:
     low, high = F.greatest(F.col("start") - k + 1, F.lit(0)), F.least(F.col("end") + k - 1, F.col("size"))
     far_low = F.greatest(F.col("start") - 3 * k - 2, F.lit(0))
     far_high = F.least(F.col("end") + 3 * k + 2, F.col("size"))
-    near = features.select("name", "start", "end", low.alias("lo"), high.alias("hi"), far_low.alias("flo"), far_high.alias("fhi"))
+    flip = F.col("strand") == "-" if "strand" in features.columns else F.lit(False)
+    ends = {"lo": (low, high), "hi": (high, low), "flo": (far_low, far_high), "fhi": (far_high, far_low)}
+    near = features.select("name", "start", "end", *[F.when(flip, F.col("size") - back).otherwise(at).alias(n) for n, (at, back) in ends.items()])
     inside = lambda a, b: (F.col("at") >= F.col(a)) & (F.col("at") + k <= F.col(b))
     best = lambda a, b, wide=None: F.max(F.when(inside(a, b) if wide is None else inside(a, b) & wide, F.struct("score", F.struct((-F.col("at")).alias("less")), "kmer")))
     wide_low, wide_high = F.col("lo") - F.col("flo") > k, F.col("fhi") - F.col("hi") > k
-    of = near.join(scored, "name").where(inside("flo", "fhi")).groupBy("name", "start", "end").agg(
+    of = near.join(scored, "name").where(inside("flo", "fhi")).groupBy("name", "start", "end", "lo").agg(
         best("lo", "hi").alias("b"), best("flo", "lo", wide_low).alias("l"), best("hi", "fhi", wide_high).alias("h")
     ).where("b IS NOT NULL")
     beats = lambda c: F.col(c).isNull() | (F.col("b.score") > F.col(c + ".score"))

@@ -239,8 +239,10 @@ def lift_over(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH sc AS (SELECT l_orderkey AS name, l_linenumber * 9 + l_partkey % 9 AS pos, l_partkey AS kmer, l_extendedprice AS score FROM lineitem
-), f AS (SELECT o_orderkey AS name, 80 AS size, 10 + o_custkey % 40 AS start, 14 + o_custkey % 40 AS "end" FROM orders
-), n AS (SELECT *, greatest(start - 4, 0) AS lo, least("end" + 4, size) AS hi, greatest(start - 17, 0) AS flo, least("end" + 17, size) AS fhi FROM f
+), f AS (SELECT o_orderkey AS name, 80 AS size, 10 + o_custkey % 40 AS start, 14 + o_custkey % 40 AS "end", o_custkey % 3 = 0 AS minus FROM orders
+), n0 AS (SELECT *, greatest(start - 4, 0) AS lo0, least("end" + 4, size) AS hi0, greatest(start - 17, 0) AS flo0, least("end" + 17, size) AS fhi0 FROM f
+), n AS (SELECT name, start, "end", CASE WHEN minus THEN size - hi0 ELSE lo0 END AS lo, CASE WHEN minus THEN size - lo0 ELSE hi0 END AS hi,
+  CASE WHEN minus THEN size - fhi0 ELSE flo0 END AS flo, CASE WHEN minus THEN size - flo0 ELSE fhi0 END AS fhi FROM n0
 ), j AS (SELECT n.*, sc.pos, sc.kmer, sc.score FROM n JOIN sc USING (name)
 ), b AS (
   SELECT name, start, "end", arg_max(kmer, (score, -pos, kmer)) FILTER (pos >= lo AND pos + 5 <= hi) AS best_kmer, max(score) FILTER (pos >= lo AND pos + 5 <= hi) AS best_score,
@@ -251,7 +253,9 @@ def best_and_border(s: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").alias("name"), (F.col("l_linenumber") * 9 + F.col("l_partkey") % 9).alias("at"), F.col("l_partkey").alias("kmer"), F.col("l_extendedprice").alias("score")
     )
     start = F.col("o_custkey") % 40
-    features = T.table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.lit(80).alias("size"), (start + 10).alias("start"), (start + 14).alias("end"))
+    features = T.table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.lit(80).alias("size"), (start + 10).alias("start"), (start + 14).alias("end"),
+        F.when(F.col("o_custkey") % 3 == 0, "-").otherwise("+").alias("strand"),
+    )
     return annotation.best_in_window(scored, features, 5)
 
 
