@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -19,7 +19,8 @@ CLASSIFIERS = {
     "forest": lambda: RandomForestClassifier(numTrees=50, seed=1),
     "logistic": lambda: LogisticRegression(maxIter=50),
     "bayes": lambda: NaiveBayes(modelType="gaussian"),
-    "svm": lambda: LinearSVC(maxIter=50),
+    "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20), parallelism=4),
+    "perceptron": None,  # its layers depend on the data, see ``predicted``
 }
 
 
@@ -35,12 +36,26 @@ def importances(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")) - 1)
 
 
-def predicted(train: DataFrame, test: DataFrame, kind: str = "forest", column: str = "embedding") -> DataFrame:
-    """``test`` with its prediction; both need the same features."""
-    model = CLASSIFIERS[kind]().fit(as_features(train, column))
+def predicted(train: DataFrame, test: DataFrame, kind: str = "forest", column: str = "embedding", hidden: int = 10) -> DataFrame:
+    """``test`` with its prediction; both need the same features, and labels from 0 on."""
+    rows = as_features(train, column)
+    if kind == "perceptron":
+        ends = train.agg(F.max(F.size(column)), F.max("label")).first()
+        model = MultilayerPerceptronClassifier(layers=[int(ends[0] or 1), hidden, int(ends[1] or 0) + 1], maxIter=100, seed=1).fit(rows)
+    else:
+        model = CLASSIFIERS[kind]().fit(rows)
     return model.transform(as_features(test, column)).drop("features", "rawPrediction", "probability")
 
 
+def classifier_zoo(train: DataFrame, test: DataFrame, kinds: list[str] | None = None, column: str = "embedding") -> DataFrame:
+    """(kind, accuracy, balanced_accuracy) of each kind of classifier on ``test``."""
+    out = None
+    for kind in kinds or sorted(CLASSIFIERS):
+        one = accuracy(predicted(train, test, kind, column)).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def missing_features(model_features: DataFrame, rows: DataFrame) -> DataFrame:
     """Features that a model needs and the rows lack; empty where prediction can go on."""
     return model_features.join(rows.select("kmer").distinct(), "kmer", "left_anti")
@@ -142,6 +157,18 @@ def projection(long: DataFrame, bmu: DataFrame, mean: bool = False, value: str =
     return sums.join(sizes, "node").select("sample", "node", (F.col("total") / F.col("n")).alias("total"))
 
 
+def class_projection(projected: DataFrame, samples: DataFrame) -> DataFrame:
+    """(grp, node, mean, low, high) of the totals (sample, node, total) of each group's samples
+    (sample, grp); a sample without the node counts as 0."""
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
+    there = projected.join(samples.select("sample", "grp"), "sample").groupBy("grp", "node").agg(
+        F.sum("total").alias("sum"), F.min("total").alias("low"), F.max("total").alias("high"), F.count("*").alias("k")
+    ).join(sizes, "grp")
+    lacks = F.col("k") < F.col("n")
+    zero = lambda c, f: F.when(lacks, f(F.col(c), F.lit(0.0))).otherwise(F.col(c)).alias(c)
+    return there.select("grp", "node", (F.col("sum") / F.col("n")).alias("mean"), zero("low", F.least), zero("high", F.greatest))
+
+
 def class_report(predicted: DataFrame) -> DataFrame:
     """Support, recall and precision of each label of (label, prediction)."""
     cells = predicted.groupBy("label", "prediction").agg(F.count("*").alias("n"))

@@ -194,3 +194,22 @@ def node_importance(s: SparkSession, d: str) -> DataFrame:
     """Importance of each dimension in extremely randomised trees."""
     splits, _ = trees.grow(_labelled(s, d), {"all": list(range(64))}, 20, 8, 5)
     return trees.importances(splits, 20).select("feature", Q._r(F.col("importance")).alias("importance"))
+
+
+@Q.query()
+def classifier_zoo(s: SparkSession, d: str) -> DataFrame:
+    """How naive Bayes and linear machines do on the held-out vectors."""
+    e = reduce.balanced_split(T.table(s, d, "embeddings"), "label", "vec_id", 0.25, seed=3)
+    return models.classifier_zoo(e.where("part = 'train'"), e.where("part = 'test'"), ["bayes", "svm"])
+
+
+@Q.query("WITH " + T.SQL_M + """, b AS (SELECT DISTINCT kmer, ascii(substr(kmer, 7, 1)) % 4 AS node FROM m
+), p AS (SELECT sample, node, sum(value) AS total FROM v JOIN b USING (kmer) GROUP BY 1, 2
+), z AS (SELECT s.grp, n.node, coalesce(p.total, 0.0) AS total FROM samples s CROSS JOIN (SELECT DISTINCT node FROM p) n LEFT JOIN p ON p.sample = s.sample AND p.node = n.node)
+SELECT grp, node, round(avg(total), 4) AS mean, round(min(total), 4) AS low, round(max(total), 4) AS high FROM z GROUP BY 1, 2""")
+def class_projection(s: SparkSession, d: str) -> DataFrame:
+    """Each group's mean, least and greatest totals by node; nodes from a letter of the feature."""
+    normal = Q._normal(s, d)
+    bmu = normal.select("kmer", (F.ascii(F.substring("kmer", 7, 1)) % 4).alias("node")).distinct()
+    found = models.class_projection(models.projection(normal, bmu), T.samples(s, d))
+    return found.select("grp", "node", *[Q._r(F.col(c), 4).alias(c) for c in ("mean", "low", "high")])

@@ -205,3 +205,18 @@ def test_forest_and_votes_out_of_the_bag_against_recursion(spark):
     assert got == pytest.approx({f: sum(s.get(f, 0) / sum(s.values()) for s in shares.values()) / 4 for f in got})
     kept.unpersist()
     assert [r["features"] for r in trees.accuracy_by_features(rows, 4, 5, 3, 3).orderBy("features").collect()] == [2, 3, 4]
+
+
+def test_every_kind_of_classifier_tells_apart_what_is_apart(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, 150)
+    x = rng.normal(size=(150, 4)) * 0.3 + np.eye(4)[y] * 3
+    rows = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(y, x))], "vec_id long, label int, embedding array<double>")
+    got = {r["kind"]: r["accuracy"] for r in models.classifier_zoo(rows.where("vec_id < 110"), rows.where("vec_id >= 110")).collect()}
+    assert set(got) == set(models.CLASSIFIERS) and min(got.values()) > 90
+
+
+def test_a_second_map_of_samples(spark):
+    cells = [(f"s{i}", n, float(10 * (i % 2 == n % 2) + n / 10)) for i in range(6) for n in range(4) if (i, n) != (5, 3)]
+    got = {r["sample"]: r["node"] for r in models.second_map(spark.createDataFrame(cells, "sample string, node int, total double"), 2, 1).collect()}
+    assert got["s0"] == got["s2"] == got["s4"] != got["s1"] == got["s3"] == got["s5"]
