@@ -45,19 +45,26 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(kmer, component): the component's smallest k-mer, over weak links.
 
-    Every round takes the least label among neighbours, then jumps to that label's label,
-    so that rounds grow with the logarithm of a chain.
+    Every round a k-mer takes the least label among its neighbours, and so does the k-mer
+    that its own label names: whole trees of labels hook on to smaller ones, not only their
+    rims. Then it jumps to that label's label, so that rounds grow with the logarithm of a
+    chain. Labels only fall and stay within their component.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        nearer = labels.join(around, "a").select("a", F.least("label", "seen").alias("label"))
-        jumped = nearer.alias("x").join(nearer.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left")
-        following = stored(jumped.select("a", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        done = not following.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").take(1)
-        dropped(labels)
+        near = labels.join(around, "a").select("a", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        hooks = near.groupBy(F.col("old").alias("a")).agg(F.min("label").alias("hook"))
+        hooked = near.join(hooks, "a", "left").select("a", "old", F.least("label", F.coalesce("hook", "label")).alias("label"))
+        hooked = stored(hooked, "hooked")
+        further = hooked.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        following = stored(
+            hooked.join(further, "label", "left").select("a", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
+        )
+        done = not following.where("label <> old").take(1)
+        dropped(labels, hooked)
         if done:
             break
         labels = following
