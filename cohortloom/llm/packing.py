@@ -2,11 +2,14 @@
 
 All pieces of one length are alike, so the problem is the histogram of lengths: at most
 ``capacity`` numbers, however many documents there are. A configuration is a multiset of
-lengths that fits one sequence. The program covers every length's count with as few
-configurations as it can; multiplicative weights solve it, where a knapsack by dynamic
-programming finds the best configuration at the current weights. Configurations are used
-in whole numbers until no piece is left over, and every piece finds its sequence by its
-rank among the pieces of its length.
+lengths that fits one sequence. The linear program covers every length's count with the
+least total of configurations. Multiplicative weights solve it: a length weighs less the
+more of its count is covered, a knapsack by dynamic programming finds configurations that
+are best at the current weights, and their shares add up to a fractional solution. Any
+weights also bound the number of sequences from below, by what all pieces are worth against
+the best configuration. The shares are rounded down and the
+program of what is left is solved again; what no share fills is priced whole.
+Every piece finds its sequence by its rank among the pieces of its length.
 
 Null texts count as empty: a document of the end id alone. Repeated rows are packed like
 any others, and told apart by a hash of their text where ids agree; rows alike in both
@@ -196,23 +199,146 @@ def best_configuration(value: np.ndarray, limit: np.ndarray, capacity: int, enou
     return out
 
 
+class Configurations:
+    """The configurations priced so far: rows of lengths and how often each occurs."""
+
+    def __init__(self) -> None:
+        self.known: set[tuple[tuple[int, int], ...]] = set()
+        self.lengths = self.times = np.zeros((0, 1), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def add(self, pattern: dict[int, int]) -> bool:
+        key = tuple(sorted(pattern.items()))
+        if key in self.known:
+            return False
+        self.known.add(key)
+        wide = max(self.lengths.shape[1], len(key))
+        for name, row in (("lengths", [n for n, _ in key]), ("times", [k for _, k in key])):
+            old = getattr(self, name)
+            rows = np.zeros((len(old) + 1, wide), np.int64)
+            rows[:-1, : old.shape[1]], rows[-1, : len(row)] = old, row
+            setattr(self, name, rows)
+        return True
+
+    def pattern(self, i: int) -> dict[int, int]:
+        return {int(n): int(k) for n, k in zip(self.lengths[i], self.times[i]) if k}
+
+
+def fractional(
+    left: np.ndarray,
+    capacity: int,
+    pool: Configurations,
+    rounds: int,
+    step: float = 0.1,
+    every: int = 1,
+    gap: float = 0.005,
+    longer: float = 0.01,
+) -> tuple[np.ndarray, float]:
+    """The share of each of the pool's configurations, which together cover the pieces of
+    ``left`` on average once, and a lower bound on the number of configurations.
+
+    In every round all configurations within a quarter of ``step`` of the best at the
+    current weights get an equal share, so much that no length's cover grows by more than
+    ``step``; its weight falls with the exponential of its cover. Every ``every`` rounds the
+    knapsack prices a new one, to within ``gap`` of the best. What all pieces are worth over
+    what the best configuration is worth bounds any packing; the weights of a round are
+    tried, and now and then their mean so far.
+    """
+    present, size = np.nonzero(left)[0], capacity + 1
+    count = left[present].astype(float)
+    each, cover, mean = np.zeros(size), np.zeros(size), np.zeros(len(present))
+    each[present] = 1 / count
+    x, bound = np.zeros(len(pool)), 0.0
+    fits = (pool.times <= left[pool.lengths]).all(1)
+
+    def price(value: np.ndarray) -> dict[int, int]:
+        nonlocal x, fits, bound
+        full = (value[present] / present).max() * capacity
+        pattern = best_configuration(value, left, capacity, (1 - gap) * full)
+        worth = sum(value[n] * k for n, k in pattern.items())
+        bound = max(bound, float(count @ value[present]) / (full if worth >= (1 - gap) * full else worth))
+        if pool.add(pattern):
+            x, fits = np.append(x, 0.0), np.append(fits, True)
+        return pattern
+
+    for r in range(rounds):
+        # At the start a length is worth its tokens, long ones a little more, so that short ones last.
+        value = np.zeros(size)
+        value[present] = present * (1 + longer * present / capacity) * np.exp(cover[present].min() - cover[present])
+        mean += value[present] / (count @ value[present])
+        if r % every == 0:
+            price(value)
+        if r % 500 == 499:
+            tried = np.zeros(size)
+            tried[present] = mean
+            price(tried)
+        worth = (value[pool.lengths] * pool.times).sum(1) * fits
+        near = np.nonzero(worth >= (1 - step / 4) * worth.max())[0]
+        rate = np.bincount(pool.lengths[near].ravel(), pool.times[near].ravel(), size) * each
+        share = step / rate.max()
+        x[near] += share
+        cover += share * rate
+    return x / np.average(cover[present], weights=count * present), bound
+
+
+def bounded_plan(
+    histogram: np.ndarray, capacity: int, rounds: int = 1000, last: int = 100, gaps: tuple[float, ...] = (0.002, 0.0005)
+) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations and how often to use each, and a number of sequences that no packing
+    can go below.
+
+    The program is solved and its shares are rounded down; then the rest is solved anew,
+    with the same pool and a quarter of the rounds, until ``last`` sequences would do or no
+    share reaches one. What is left is priced whole (``solve``), and again to a closer gap
+    where the plan stays above the bound.
+    """
+    left, lengths = histogram.astype(np.int64).copy(), np.arange(len(histogram))
+    out: list[tuple[dict[int, int], int]] = []
+    whole = int(left[capacity])
+    if whole:
+        out.append(({capacity: 1}, whole))
+        left[capacity] = 0
+    bound, pool, first = -(-int(left @ lengths) // capacity), Configurations(), True
+    while int(left @ lengths) > last * capacity:
+        x, least = fractional(left, capacity, pool, rounds if first else rounds // 4)
+        if first:
+            bound, first = max(bound, int(np.ceil(least - 1e-6))), False
+        settled = False
+        for i in np.nonzero(x >= 1)[0][np.argsort(-x[x >= 1], kind="stable")].tolist():
+            pattern = pool.pattern(i)
+            times = min([int(x[i])] + [int(left[n]) // k for n, k in pattern.items()])
+            if times:
+                out.append((pattern, times))
+                settled = True
+                for n, k in pattern.items():
+                    left[n] -= k * times
+        if not settled:
+            break
+    rest: list[tuple[dict[int, int], int]] | None = None
+    for gap in gaps:
+        priced = solve(left, capacity, gap=gap)
+        if rest is None or sum(n for _, n in priced) < sum(n for _, n in rest):
+            rest = priced
+        if sum(n for _, n in out + rest) == bound + whole:
+            break
+    return out + rest, bound + whole
+
+
 def solve(
     histogram: np.ndarray, capacity: int, step: float = 0.2, longer: float = 0.01, gap: float = 0.005
 ) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often to use each: a packing of the whole histogram.
+    """Whole configurations one after another, for what rounding leaves over.
 
     ``histogram[l]`` counts the pieces of length l. In every round a configuration that is
     best at the current weights, or within ``gap`` of a bound on the best, is used as often
     as its scarcest length allows, and the weights of its lengths fall with the part of
-    them that is covered. So shares are whole numbers from the start, a round uses up one
-    length at least, and rounds go on until every length is covered: there are no more of
+    them that is covered. A round uses up one length at least, so there are no more of
     them than lengths, however many pieces there are.
     """
     left = histogram.astype(np.int64).copy()
     out: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
     need = np.maximum(histogram, 1)
     while left.any():
         present = np.nonzero(left)[0]
@@ -229,17 +355,9 @@ def solve(
     return out
 
 
-def best_plan(histogram: np.ndarray, capacity: int, gaps: tuple[float, ...] = (0.005, 0.0005)) -> list[tuple[dict[int, int], int]]:
-    """The plan of fewest sequences: pricing is first done to the wider gap, and closer only
-    where the plan needs more sequences than all tokens together would fill."""
-    bound, best = -(-int(histogram @ np.arange(len(histogram))) // capacity), None
-    for gap in gaps:
-        plan = solve(histogram, capacity, gap=gap)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-        if sum(n for _, n in best) == bound:
-            break
-    return best
+def best_plan(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan of ``bounded_plan``."""
+    return bounded_plan(histogram, capacity)[0]
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:

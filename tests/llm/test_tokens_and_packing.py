@@ -8,7 +8,7 @@ import pytest
 from cohortloom.llm import packing
 from cohortloom.llm.byte_bpe import ByteBpe, encode_decode
 from cohortloom.llm.common import tokenizer_file
-from cohortloom.llm.packing import WordEncoder, best_configuration, best_plan, pack, solve
+from cohortloom.llm.packing import WordEncoder, best_configuration, best_plan, bounded_plan, pack, solve
 
 tokenizers = pytest.importorskip("tokenizers")
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -146,6 +146,40 @@ def test_plans_need_no_more_sequences_than_best_fit(seed):
     assert (used == histogram).all() and sum(n for _, n in plan) <= best_fit(lengths.tolist(), 256)
 
 
+def triples(rng):
+    """Lengths of 1,300 sequences of three pieces each, without a gap."""
+    two = rng.integers(100, 200, (1300, 2))
+    return np.concatenate([two.ravel(), 512 - two.sum(1)])
+
+
+@pytest.mark.parametrize(
+    "lengths, over",
+    [
+        (lambda rng: rng.integers(100, 251, 4000), 1.012),
+        (lambda rng: rng.integers(150, 301, 4000), 1.03),
+        (triples, 1.004),
+        (lambda rng: np.clip(rng.lognormal(5, 1, 2000), 1, 512).astype(int), 1.01),
+    ],
+)
+def test_plans_keep_near_the_bound_of_the_weights(lengths, over):
+    histogram = np.bincount(lengths(np.random.default_rng(0)), minlength=513)
+    plan, bound = bounded_plan(histogram, 512)
+    used = np.zeros(513, np.int64)
+    for pattern, times in plan:
+        assert sum(n * k for n, k in pattern.items()) <= 512
+        for n, k in pattern.items():
+            used[n] += k * times
+    assert (used == histogram).all()
+    assert bound >= -(-(histogram @ np.arange(513)) // 512)
+    assert bound <= sum(n for _, n in plan) <= over * bound
+
+
+def test_bound_is_above_the_total_length_where_pieces_do_not_fit_together():
+    histogram = np.bincount([60] * 900 + [30] * 100, minlength=101)
+    plan, bound = bounded_plan(histogram, 100)
+    assert bound == sum(n for _, n in plan) == 900  # their tokens fill 570 sequences
+
+
 def test_words_are_encoded_as_the_library_does():
     mine, theirs = WordEncoder(WORD), tokenizers.Tokenizer.from_file(WORD)
     many = texts()
