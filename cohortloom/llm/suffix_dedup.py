@@ -18,19 +18,25 @@ Null texts count as empty. Repeated rows are copies of each other, so all that i
 enough in them goes; of copies none is kept before the others, so there are no ties. Texts
 of any length are read whole; matches never cross rows. An empty table gives an empty
 result. Extra columns stay as they are.
+
+Passages of a number of words, which may have fewer bytes, are found in the same way: words
+become codes of eight bytes, of which only the first is 255, so that equal windows of codes
+start at the same byte of a word. Texts that are the same as a whole are one text there.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, has_rows, save
+from .common import discard, free_name, has_rows, release, save
+from .words import PlainWords
 
 GRAM = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -135,6 +141,22 @@ def runs(marks: bytearray, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def plain_bytes(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode() for t in texts]
+
+
+#: Bytes of a word's code.
+CODE = 8
+
+
+def word_codes(texts: list[str | None]) -> list[bytes]:
+    """The words of each text, in ``CODE`` bytes each: 255, and a hash without it."""
+    found = PlainWords().of(pa.array(texts, pa.string()))
+    codes = np.minimum(found.hashes.view(np.uint8).reshape(-1, CODE), 254)
+    codes[:, 0] = 255
+    return [codes[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+
+
 UNIT = "key long, seg binary, n long, lo int, hi int, dlo int, dhi int, t binary, s0 int, body binary"
 SPAN = "t binary, start int, stop int"
 
@@ -209,11 +231,13 @@ def _with_sizes(segments: DataFrame) -> DataFrame:
     return segments.join(keys.where("all > 1").select("key", "k", "single"), "key")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = 400, group: int = 300, code: Callable[[list[str | None]], list[bytes]] = plain_bytes
+) -> DataFrame:
     """(t, start, stop): the byte ranges that go, by md5 of the text; they may overlap.
 
     ``docs`` has ``t`` (md5, binary) and ``text``. ``group`` is how many segments are
-    sorted at once.
+    sorted at once. ``code`` gives the bytes that stand for texts.
     """
 
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +249,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
             here = Counter(hashes)
             first = dict(zip(hashes, texts))
             for at in range(0, len(first), 200):
-                out = []
-                for t in list(first)[at : at + 200]:
-                    data = (first[t] or "").encode()
+                out, part = [], list(first)[at : at + 200]
+                for t, data in zip(part, code([first[t] for t in part])):
                     for gram, place, a, b in segments(data, length):
                         seg = xxhash.xxh3_128_digest(data[a : b + length] + (place - a).to_bytes(4, "little"))
                         out.append((gram, seg, here[t], place - b, place - a, t, a))
@@ -266,8 +289,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 out = []
-                for t, text, parts in zip(*(c.to_pylist() for c in batch.slice(at, 50).columns)):
-                    data = text.encode()
+                hashes, texts, wanted_here = (c.to_pylist() for c in batch.slice(at, 50).columns)
+                for t, data, parts in zip(hashes, code(texts), wanted_here):
                     for p in parts:
                         end = p["s0"] + p["dhi"] - p["dlo"] + length
                         out.append((p["key"], p["seg"], p["n"], 0, length - GRAM, p["dlo"], p["dhi"], t, p["s0"], data[p["s0"] : end], p["k"]))
@@ -279,6 +302,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
     spans.append(save(_sorted_groups(units.where(F.col("k") <= group), length), "spans"))
 
     hot = units.where(F.col("k") > group).drop("k").dropDuplicates(["key", "seg"])
+    used = [found, alive, units]
     while has_rows(hot):
         parts = save(_halves(hot, length), "halves")
         named = [F.col(c) for c in ("lo", "hi", "dlo", "dhi", "t", "s0", "body")]
@@ -292,25 +316,57 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300) -> Data
         open_ = counted.where("k > 1 AND single")
         spans.append(save(_sorted_groups(open_.where(F.col("k") <= group), length), "spans"))
         hot = save(open_.where(F.col("k") > group).drop("k", "single"), "hot")
+        used += [parts, counted, hot]
+    discard(*used)  # all spans are saved
+    release(docs.sparkSession)
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
     return out
 
 
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """(t, start, stop): ranges of words, by their numbers, that lie in ``words`` words in a row
+    that also stand anywhere else; they may overlap. ``docs`` is as for ``repeated_spans``."""
+    docs = docs.where(F.length("text") >= 2 * words - 1)
+    if has_rows(docs.groupBy("t").count().where("count > 1")):  # only then are the texts dealt out
+        docs = docs.dropDuplicates(["t"])
+    # A range of bytes may open or end within a word's code.
+    first = F.ceil(F.col("start") / CODE).cast("int")
+    last = F.floor(F.col("stop") / CODE).cast("int")
+    spans = repeated_spans(docs, CODE * words, code=word_codes)
+    return spans.select("t", first.alias("start"), last.alias("stop")).where(F.col("stop") - F.col("start") >= words)
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def byte_ranges(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """From the first byte of the first word to the last one of the last, for ranges of words."""
+    if not ranges:
+        return []
+    places = [m.span() for m in WORD.finditer(data)]
+    return [(places[a][0], places[b - 1][1]) for a, b in ranges]
+
+
 COUNTS = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False, out: tuple[str, ...] = COUNTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False, out: tuple[str, ...] = COUNTS, words: int | None = None) -> DataFrame:
     """All columns of ``docs``, and what is kept of the text, its bytes, those removed and
     the removed spans, in columns named ``out``, which ``docs`` must not have.
 
     What is kept is binary, or with ``as_text`` a string without characters cut in two.
+    With ``words``, so many words in a row that also stand elsewhere go too, however few
+    bytes they have; both are judged on the input.
     """
     hash_col, spans_col = free_name(docs, "_t"), free_name(docs, "_spans")
     hashed = docs.withColumn(hash_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    spans = repeated_spans(hashed.select(F.col(hash_col).alias("t"), F.col(text_col).alias("text")), length)
-    listed = spans.distinct().groupBy(F.col("t").alias(hash_col)).agg(F.collect_list(F.struct("start", "stop")).alias(spans_col))
+    texts = hashed.select(F.col(hash_col).alias("t"), F.col(text_col).alias("text"))
+    spans = repeated_spans(texts, length).withColumn("of_words", F.lit(False))
+    if words is not None:
+        spans = spans.unionByName(repeated_words(texts, words).withColumn("of_words", F.lit(True)))
+    listed = spans.distinct().groupBy(F.col("t").alias(hash_col)).agg(F.collect_list(F.struct("start", "stop", "of_words")).alias(spans_col))
     joined = hashed.join(listed, hash_col, "left")
     schema = docs.schema
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
@@ -322,7 +378,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", a
             for text, found in zip(batch.column(where).to_pylist(), batch.column(len(schema)).to_pylist()):
                 data = (text or "").encode()
                 merged: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in found or []):
+                ranges = [(s["start"], s["stop"]) for s in found or [] if not s["of_words"]]
+                ranges += byte_ranges(data, [(s["start"], s["stop"]) for s in found or [] if s["of_words"]])
+                for s in sorted(ranges):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:

@@ -36,11 +36,15 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.select(*docs.columns)
 
 
+#: A passage of over 50 words goes if it repeats, also where it has fewer than 400 bytes.
+PASSAGE_WORDS = 51
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; a character cut in two goes with them. Null
-    texts stay null, and n_chars follows the text."""
+    """Texts without their repeated passages, of 400 bytes or of over 50 words; a character cut
+    in two goes with them. Null texts stay null, and n_chars follows the text."""
     out = tuple(free_name(docs, c) for c in COUNTS)
-    done = remove_repeats(docs, as_text=True, out=out)
+    done = remove_repeats(docs, as_text=True, out=out, words=PASSAGE_WORDS)
     text = F.when(F.col(out[2]) == 0, F.col("text")).otherwise(F.col(out[0]))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline as P
 import pytest
@@ -90,6 +91,27 @@ def test_repeated_passages_go(spark, tables):
             assert len(old.encode()) - len(r["text"].encode()) == want[r["doc_id"]][1] and r["n_chars"] == len(r["text"])
 
 
+def test_passages_of_over_50_words_go_though_they_have_fewer_than_400_bytes(spark, tables):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    long, short, copy, often = words(51), words(50), " ".join(words(60)), words(59)
+    rows = [words(40) + long + words(9), long + words(30), words(7) + short, short + words(3), words(8) + ["\n".join(long[:20]), "\t ".join(long[20:])]]
+    rows += [words(i) + often[: 59 - i % 9] + words(3) for i in range(400)]  # more than are sorted at once
+    texts = [" ".join(r) for r in rows] + [copy, copy, None, "", " \n", "é" * 150]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in P.cut_repeats(spark, docs, tables).collect()}
+    count = Counter(tuple(w[i : i + 51]) for w in ((t or "").encode().split() for t in set(texts)) for i in range(len(w) - 50))
+    bytes_gone = brute_removed(texts, 400)
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        at = [k for k in range(len(w) - 50) if count[tuple(w[k : k + 51])] > 1]
+        gone = {k + j for k in at for j in range(51)}
+        assert bytes_gone[i][1] == 0
+        assert got[i] == t if not gone else got[i].encode().split() == [x for k, x in enumerate(w) if k not in gone]
+    assert len(got[0].split()) == 49 and got[1].split() == rows[1][51:] and got[4].split() == rows[4][:8]
+    assert [got[i] for i in (2, 3, 405, 406)] == [texts[i] for i in (2, 3, 405, 406)]
+
+
 def test_entities_are_hidden(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     key = P.surrogate_key(spark)
