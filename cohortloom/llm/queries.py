@@ -18,7 +18,7 @@ from .packing import pack
 from .periodic_runs import periodic_runs, planted, run_report
 from .quality_rules import host_quality
 from .sharding import shard_documents, text_hub
-from .suffix_dedup import remove_repeats
+from .suffix_dedup import PASSAGE_WORDS, PASSAGES, remove_repeats
 from .surrogates import replace_entities
 from .toxicity import toxicity
 
@@ -45,8 +45,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = remove_repeats(docs, words=PASSAGE_WORDS, cut_words=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *PASSAGES)
 
 
 def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,16 +19,16 @@ enough in them goes; of copies none is kept before the others, so there are no t
 of any length are read whole; matches never cross rows. An empty table gives an empty
 result. Extra columns stay as they are.
 
-Passages of a number of words, which may have fewer bytes, are found in the same way: words
-become codes of eight bytes, of which only the first is 255, so that equal windows of codes
-start at the same byte of a word. Texts that are the same as a whole are one text there.
+Passages of a number of words, which may have fewer bytes, are found in the same way, with
+64-bit hashes of words as letters. Texts that are the same as a whole are one text there.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +38,61 @@ from pyspark.sql import functions as F
 from .common import discard, free_name, has_rows, release, save
 from .words import PlainWords
 
-GRAM = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def segments(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
+def plain_bytes(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode() for t in texts]
+
+
+@cache
+def _plain_words() -> PlainWords:
+    return PlainWords()
+
+
+#: Characters whose words are hashed at once; only a single longer text takes more.
+AT_ONCE = 1 << 19
+
+
+def word_codes(texts: list[str | None]) -> list[bytes]:
+    """The words of each text, as a 64-bit hash each."""
+    parts, size = [], AT_ONCE
+    for t in texts:
+        n = len(t or "")
+        if size + n > AT_ONCE:
+            parts, size = [*parts, []], 0
+        parts[-1].append(t)
+        size += n
+    out = []
+    for part in parts:
+        found = _plain_words().of(pa.array(part, pa.string()))
+        out += [found.hashes[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+    return out
+
+
+class Letters(NamedTuple):
+    """What stands for texts: ``code`` gives letters of ``size`` bytes, ``gram`` of them, a
+    power of two, name an anchor. With ``once``, texts that are the same as a whole are one."""
+
+    code: Callable[[list[str | None]], list[bytes]]
+    size: int
+    gram: int
+    once: bool
+
+
+BYTES, WORDS = Letters(plain_bytes, 1, 32, False), Letters(word_codes, 8, 8, True)
+
+
+def segments(data: bytes, length: int, letters: Letters = BYTES) -> list[tuple[int, int, int, int]]:
     """(gram hash, anchor, first window, last window) for each run of windows that name
     the same anchor."""
-    if len(data) < length:
+    if len(data) < length * letters.size:
         return []
-    wide = length - GRAM + 1
+    wide = length - letters.gram + 1
     with np.errstate(over="ignore"):
-        h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+        h = np.frombuffer(data, f"u{letters.size}").astype(np.uint64) + np.uint64(1)
         step, factor = 1, PRIME
-        while step < GRAM:
+        while step < letters.gram:
             h = h[:-step] * factor + h[step:]
             factor = factor * factor
             step *= 2
@@ -64,7 +105,7 @@ def segments(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
     blocks = padded.reshape(-1, wide)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(data) - length + 1
+    count = len(data) // letters.size - length + 1
     least = np.minimum(behind[:count], ahead[wide - 1 : wide - 1 + count])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
@@ -73,7 +114,7 @@ def segments(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
     return list(zip(h[places].view(np.int64).tolist(), places.tolist(), first.tolist(), last.tolist()))
 
 
-def smaller_than_next(text: bytes) -> bytearray:
+def smaller_than_next(text: bytes | str) -> bytearray:
     """1 for each suffix that is smaller than its successor; the empty suffix is smallest."""
     out, n = bytearray(len(text)), len(text)
     for i in range(n - 2, -1, -1):
@@ -82,14 +123,14 @@ def smaller_than_next(text: bytes) -> bytearray:
     return out
 
 
-def two_stage_sort(texts: list[bytes], counts: list[int]) -> list[tuple[int, int]]:
+def two_stage_sort(texts: list[bytes] | list[str], counts: list[int]) -> list[tuple[int, int]]:
     """The suffixes (text, start) with start < counts[text], in order.
 
     Each text's suffixes are taken as far as the first directly sorted one at or after its
     last start, or its end, so that every other one has a successor to be induced from.
     """
     kinds = [smaller_than_next(t) for t in texts]
-    direct: list[tuple[bytes, int, int]] = []
+    direct: list[tuple[bytes | str, int, int]] = []
     ends: list[tuple[int, int]] = []
     for j, (text, count, kind) in enumerate(zip(texts, counts, kinds)):
         stop = kind.find(1, count - 1)
@@ -101,14 +142,14 @@ def two_stage_sort(texts: list[bytes], counts: list[int]) -> list[tuple[int, int
             direct.append((text[p:], j, p))
             p = kind.find(1, p + 1, stop + 1)
     direct.sort()
-    buckets: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    buckets: dict[int | str, list[tuple[int, int]]] = {c: [] for c in sorted(set().union(*texts))}
     for j, n in ends:
         buckets[texts[j][n - 1]].append((j, n - 1))
-    sorted_first: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    sorted_first: dict[int | str, list[tuple[int, int]]] = {c: [] for c in buckets}
     for _, j, p in direct:
         sorted_first[texts[j][p]].append((j, p))
     out = []
-    for c in range(256):
+    for c in buckets:
         for group in (buckets[c], sorted_first[c]):  # the first grows while it is read
             for j, p in group:
                 if p < counts[j]:
@@ -118,7 +159,7 @@ def two_stage_sort(texts: list[bytes], counts: list[int]) -> list[tuple[int, int
     return out
 
 
-def repeated_windows(texts: list[bytes], counts: list[int], length: int) -> list[bytearray]:
+def repeated_windows(texts: list[bytes] | list[str], counts: list[int], length: int) -> list[bytearray]:
     """For each text and start below its count, 1 if a neighbour in suffix order shares
     ``length`` bytes."""
     marks = [bytearray(c) for c in counts]
@@ -141,38 +182,74 @@ def runs(marks: bytearray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def plain_bytes(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode() for t in texts]
-
-
-#: Bytes of a word's code.
-CODE = 8
-
-
-def word_codes(texts: list[str | None]) -> list[bytes]:
-    """The words of each text, in ``CODE`` bytes each: 255, and a hash without it."""
-    found = PlainWords().of(pa.array(texts, pa.string()))
-    codes = np.minimum(found.hashes.view(np.uint8).reshape(-1, CODE), 254)
-    codes[:, 0] = 255
-    return [codes[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+def as_letters(bodies: list[bytes], size: int) -> list[bytes] | list[str]:
+    """Texts with one letter for ``size`` bytes: bytes as they are, wider ones as characters
+    in the order of their values."""
+    if size == 1:
+        return bodies
+    _, ranks = np.unique(np.frombuffer(b"".join(bodies), f"u{size}"), return_inverse=True)
+    text = ranks.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum([len(b) // size for b in bodies]).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 UNIT = "key long, seg binary, n long, lo int, hi int, dlo int, dhi int, t binary, s0 int, body binary"
 SPAN = "t binary, start int, stop int"
 
 
-def _sorted_groups(units: DataFrame, length: int) -> DataFrame:
+def halved(
+    lo: int, hi: int, dlo: int, dhi: int, body: bytes, length: int, size: int
+) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+    """For each half of a block of places that a body has windows in: the half, the body's
+    first and last place there, what all windows of the half share, and their part of the body."""
+    middle = (lo + hi) // 2
+    for a, b in ((lo, middle), (middle + 1, hi)):
+        x, y = max(a, dlo), min(b, dhi)
+        if x <= y:
+            # A window whose anchor lies at place d starts dhi - d letters into the body. Every
+            # body reaches as far as what all windows of the half's places share.
+            shared = body[(dhi - a) * size : (dhi - b + length) * size]
+            yield a, b, x, y, shared, body[(dhi - y) * size : (dhi - x + length) * size]
+
+
+#: How often a group's places are halved before it is sorted; many bodies are alone by then.
+HALVINGS = 3
+
+Row = tuple[int, int, int, bytes, int, bytes]
+
+
+def spans_within(rows: list[Row], lo: int, hi: int, length: int, size: int, times: int = HALVINGS) -> Iterator[tuple[bytes, int, int]]:
+    """Spans of the rows (n, first place, last place, text, start, body) that occur once, n = 1.
+    Their windows are dealt by what those of half the places share; parts that are equal go
+    whole and are one from there on, and what is left together is sorted."""
+    if len(rows) < 2 or all(r[0] > 1 for r in rows):
+        return
+    if not times or lo == hi:
+        marks = repeated_windows(as_letters([r[5] for r in rows], size), [r[2] - r[1] + 1 for r in rows], length)
+        yield from ((r[3], r[4] + a, r[4] + b) for r, m in zip(rows, marks) if r[0] == 1 for a, b in runs(m, length))
+        return
+    found: dict[tuple[int, int, bytes], dict[tuple[int, int, bytes], list[tuple[int, bytes, int]]]] = defaultdict(dict)
+    for n, dlo, dhi, t, s0, body in rows:
+        for a, b, x, y, shared, part in halved(lo, hi, dlo, dhi, body, length, size):
+            found[a, b, shared].setdefault((x, y, part), []).append((n, t, s0 + dhi - y))
+    for (a, b, _), parts in found.items():
+        some = []
+        for (x, y, part), owners in parts.items():
+            if len(owners) > 1:
+                yield from ((t, at, at + y - x + length) for n, t, at in owners if n == 1)
+            n, t, at = owners[0]
+            some.append((n if len(owners) == 1 else 2, x, y, t, at, part))
+        yield from spans_within(some, a, b, length, size, times - 1)
+
+
+def _sorted_groups(units: DataFrame, length: int, letters: Letters) -> DataFrame:
     """Spans of the units that occur once, from suffix sorting within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, {}
+        key, places, group = None, (0, 0), {}
 
         def done() -> list[tuple[bytes, int, int]]:
-            if len(group) < 2 or all(r[0] > 1 for r in group.values()):
-                return []
-            rows = list(group.values())
-            marks = repeated_windows([r[3] for r in rows], [len(r[3]) - length + 1 for r in rows], length)
-            return [(r[1], r[2] + a, r[2] + b) for r, m in zip(rows, marks) if r[0] == 1 for a, b in runs(m, length)]
+            return list(spans_within(list(group.values()), *places, length, letters.size))
 
         def batch_of(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
             t, a, b = zip(*found) if found else ((), (), ())
@@ -182,19 +259,19 @@ def _sorted_groups(units: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            for k, seg, n, t, s0, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, seg, n, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key:
                     found += done()
-                    key, group = k, {}
-                group[seg] = (n, t, s0, body)
+                    key, places, group = k, (lo, hi), {}
+                group[seg] = (n, *rest)
             yield batch_of(found)
         yield batch_of(done())
 
-    slim = units.select("key", "seg", "n", "t", "s0", "body")
+    slim = units.select(*[x.split()[0] for x in UNIT.split(", ")])
     return slim.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def _halves(units: DataFrame, length: int) -> DataFrame:
+def _halves(units: DataFrame, length: int, letters: Letters) -> DataFrame:
     """Each unit's windows by halves of its block of places, keyed by what the windows of
     a half have in common."""
 
@@ -204,15 +281,7 @@ def _halves(units: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out = []
             for key, _, n, lo, hi, dlo, dhi, t, s0, body in zip(*(c.to_pylist() for c in batch.columns)):
-                middle = (lo + hi) // 2
-                for a, b in ((lo, middle), (middle + 1, hi)):
-                    x, y = max(a, dlo), min(b, dhi)
-                    if x > y:
-                        continue
-                    # A window whose anchor lies at place d starts dhi - d bytes into the body.
-                    part = body[dhi - y : dhi - x + length]
-                    # What all windows of the half's places share; every body reaches that far.
-                    shared = body[dhi - a : dhi - b + length]
+                for a, b, x, y, shared, part in halved(lo, hi, dlo, dhi, body, length, letters.size):
                     new = xxhash.xxh3_64_intdigest(shared, key & 0xFFFFFFFF ^ a) - (1 << 63)
                     seg = xxhash.xxh3_128_digest(part + bytes([x & 255, x >> 8]))
                     out.append((new, seg, n, a, b, x, y, t, s0 + dhi - y, part))
@@ -231,14 +300,13 @@ def _with_sizes(segments: DataFrame) -> DataFrame:
     return segments.join(keys.where("all > 1").select("key", "k", "single"), "key")
 
 
-def repeated_spans(
-    docs: DataFrame, length: int = 400, group: int = 300, code: Callable[[list[str | None]], list[bytes]] = plain_bytes
-) -> DataFrame:
-    """(t, start, stop): the byte ranges that go, by md5 of the text; they may overlap.
+def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, letters: Letters = BYTES) -> DataFrame:
+    """(t, start, stop): the ranges of letters that go, by md5 of the text; they may overlap.
 
     ``docs`` has ``t`` (md5, binary) and ``text``. ``group`` is how many segments are
-    sorted at once. ``code`` gives the bytes that stand for texts.
+    sorted at once.
     """
+    size = letters.size
 
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -250,9 +318,9 @@ def repeated_spans(
             first = dict(zip(hashes, texts))
             for at in range(0, len(first), 200):
                 out, part = [], list(first)[at : at + 200]
-                for t, data in zip(part, code([first[t] for t in part])):
-                    for gram, place, a, b in segments(data, length):
-                        seg = xxhash.xxh3_128_digest(data[a : b + length] + (place - a).to_bytes(4, "little"))
+                for t, data in zip(part, letters.code([first[t] for t in part])):
+                    for gram, place, a, b in segments(data, length, letters):
+                        seg = xxhash.xxh3_128_digest(data[a * size : (b + length) * size] + (place - a).to_bytes(4, "little"))
                         out.append((gram, seg, here[t], place - b, place - a, t, a))
                 columns = list(zip(*out)) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "seg", "n", "dlo", "dhi", "t", "s0"])
@@ -260,9 +328,10 @@ def repeated_spans(
     found = save(
         docs.select("t", "text").mapInArrow(cut_segments, "key long, seg binary, n long, dlo int, dhi int, t binary, s0 int"), "segments"
     )
-    one = found.groupBy("key", "seg").agg(
-        F.sum("n").alias("n"), F.min(F.struct("t", "s0", "dlo", "dhi")).alias("r")
-    )
+    n, place = F.sum("n"), F.struct("t", "s0", "dlo", "dhi")
+    if letters.once:  # all rows of one text and place are one occurrence
+        n = F.when(F.min(place) == F.max(place), 1).otherwise(2).cast("long")
+    one = found.groupBy("key", "seg").agg(n.alias("n"), F.min(place).alias("r"))
     alive = save(_with_sizes(one).select("key", "seg", "n", "k", "single", "r.*"), "alive")
     whole = found.join(alive.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select(
         "t", F.col("s0").alias("start"), (F.col("s0") + F.col("dhi") - F.col("dlo") + length).alias("stop")
@@ -290,21 +359,22 @@ def repeated_spans(
             for at in range(0, batch.num_rows, 50):
                 out = []
                 hashes, texts, wanted_here = (c.to_pylist() for c in batch.slice(at, 50).columns)
-                for t, data, parts in zip(hashes, code(texts), wanted_here):
+                for t, data, parts in zip(hashes, letters.code(texts), wanted_here):
                     for p in parts:
                         end = p["s0"] + p["dhi"] - p["dlo"] + length
-                        out.append((p["key"], p["seg"], p["n"], 0, length - GRAM, p["dlo"], p["dhi"], t, p["s0"], data[p["s0"] : end], p["k"]))
+                        body = data[p["s0"] * size : end * size]
+                        out.append((p["key"], p["seg"], p["n"], 0, length - letters.gram, p["dlo"], p["dhi"], t, p["s0"], body, p["k"]))
                 columns = list(zip(*out)) if out else [[]] * 11
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in UNIT.split(", ")] + ["k"])
 
     texts = docs.select("t", "text").mapInArrow(one_of_each, "t binary, text string").join(wanted, "t")
     units = save(texts.select("t", "text", "parts").mapInArrow(bodies, UNIT + ", k long"), "units")
-    spans.append(save(_sorted_groups(units.where(F.col("k") <= group), length), "spans"))
+    spans.append(save(_sorted_groups(units.where(F.col("k") <= group), length, letters), "spans"))
 
     hot = units.where(F.col("k") > group).drop("k").dropDuplicates(["key", "seg"])
     used = [found, alive, units]
     while has_rows(hot):
-        parts = save(_halves(hot, length), "halves")
+        parts = save(_halves(hot, length, letters), "halves")
         named = [F.col(c) for c in ("lo", "hi", "dlo", "dhi", "t", "s0", "body")]
         same = parts.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct(*named)).alias("r"))
         counted = save(_with_sizes(same).select("key", "seg", "n", "r.*", "k", "single"), "counted")
@@ -314,7 +384,7 @@ def repeated_spans(
             save(twice.select("t", F.col("s0").alias("start"), (F.col("s0") + F.col("dhi") - F.col("dlo") + length).alias("stop")), "spans")
         )
         open_ = counted.where("k > 1 AND single")
-        spans.append(save(_sorted_groups(open_.where(F.col("k") <= group), length), "spans"))
+        spans.append(save(_sorted_groups(open_.where(F.col("k") <= group), length, letters), "spans"))
         hot = save(open_.where(F.col("k") > group).drop("k", "single"), "hot")
         used += [parts, counted, hot]
     discard(*used)  # all spans are saved
@@ -328,38 +398,54 @@ def repeated_spans(
 def repeated_words(docs: DataFrame, words: int) -> DataFrame:
     """(t, start, stop): ranges of words, by their numbers, that lie in ``words`` words in a row
     that also stand anywhere else; they may overlap. ``docs`` is as for ``repeated_spans``."""
-    docs = docs.where(F.length("text") >= 2 * words - 1)
-    if has_rows(docs.groupBy("t").count().where("count > 1")):  # only then are the texts dealt out
-        docs = docs.dropDuplicates(["t"])
-    # A range of bytes may open or end within a word's code.
-    first = F.ceil(F.col("start") / CODE).cast("int")
-    last = F.floor(F.col("stop") / CODE).cast("int")
-    spans = repeated_spans(docs, CODE * words, code=word_codes)
-    return spans.select("t", first.alias("start"), last.alias("stop")).where(F.col("stop") - F.col("start") >= words)
+    return repeated_spans(docs.where(F.length("text") >= 2 * words - 1), words, letters=WORDS)
 
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LETTER = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 
 
 def byte_ranges(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """From the first byte of the first word to the last one of the last, for ranges of words."""
     if not ranges:
         return []
-    places = [m.span() for m in WORD.finditer(data)]
-    return [(places[a][0], places[b - 1][1]) for a, b in ranges]
+    edges = np.flatnonzero(np.diff(LETTER[np.frombuffer(data, np.uint8)], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    first, last = np.array(ranges).T
+    return list(zip(starts[first].tolist(), ends[last - 1].tolist()))
+
 
+def joined_up(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+        else:
+            merged.append((a, b))
+    return merged
+
+
+#: A passage of over 50 words is long enough to count, also where it has fewer than 400 bytes.
+PASSAGE_WORDS = 51
 
 COUNTS = ("kept", "n_bytes", "n_removed", "n_spans")
+#: Bytes and number of stretches that lie in repeated passages of a number of words.
+PASSAGES = ("n_passage_bytes", "n_passages")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False, out: tuple[str, ...] = COUNTS, words: int | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, text_col: str = "text", as_text: bool = False, out: tuple[str, ...] = COUNTS,
+    words: int | None = None, cut_words: bool = True,
+) -> DataFrame:
     """All columns of ``docs``, and what is kept of the text, its bytes, those removed and
     the removed spans, in columns named ``out``, which ``docs`` must not have.
 
     What is kept is binary, or with ``as_text`` a string without characters cut in two.
     With ``words``, so many words in a row that also stand elsewhere go too, however few
-    bytes they have; both are judged on the input.
+    bytes they have; both are judged on the input. Without ``cut_words`` these stay, and
+    two more names in ``out`` are for their bytes and how many stretches they make up.
     """
+    if words is not None and not cut_words and len(out) == len(COUNTS):
+        out += PASSAGES
     hash_col, spans_col = free_name(docs, "_t"), free_name(docs, "_spans")
     hashed = docs.withColumn(hash_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = hashed.select(F.col(hash_col).alias("t"), F.col(text_col).alias("text"))
@@ -377,24 +463,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", a
             rows = []
             for text, found in zip(batch.column(where).to_pylist(), batch.column(len(schema)).to_pylist()):
                 data = (text or "").encode()
-                merged: list[list[int]] = []
                 ranges = [(s["start"], s["stop"]) for s in found or [] if not s["of_words"]]
-                ranges += byte_ranges(data, [(s["start"], s["stop"]) for s in found or [] if s["of_words"]])
-                for s in sorted(ranges):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append([*s])
+                of_words = [(s["start"], s["stop"]) for s in found or [] if s["of_words"]]
+                passages = byte_ranges(data, of_words if cut_words else joined_up(of_words))
+                merged = joined_up(ranges + passages if cut_words else ranges)
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                rows.append((rest.decode(errors="ignore") if as_text else rest, len(data), len(data) - len(rest), len(merged)))
-            a, b, c, d = zip(*rows) if rows else ((), (), (), ())
-            new = [pa.array(a, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (b, c, d))]
+                counts = (len(data), len(data) - len(rest), len(merged))
+                if len(out) > len(COUNTS):
+                    counts += (sum(b - a for a, b in passages), len(passages))
+                rows.append((rest.decode(errors="ignore") if as_text else rest, *counts))
+            kept_column, *more = zip(*rows) if rows else [()] * len(out)
+            new = [pa.array(kept_column, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in more)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(schema)], *new], names=[*schema.names, *out])
 
-    kinds = ("string" if as_text else "binary", "long", "long", "long")
+    kinds = ("string" if as_text else "binary", *["long"] * (len(out) - 1))
     added = [f"`{c}` {k}" for c, k in zip(out, kinds)]
     return joined.select(*schema.names, spans_col).mapInArrow(cut, ", ".join(names + added))

@@ -9,7 +9,7 @@ from cohortloom.llm.common import discard, free_name, has_rows, read, save, toke
 from cohortloom.llm.jaccard import near_duplicates
 from cohortloom.llm.packing import pack
 from cohortloom.llm.queries import surrogate_key
-from cohortloom.llm.suffix_dedup import COUNTS, remove_repeats
+from cohortloom.llm.suffix_dedup import COUNTS, PASSAGE_WORDS, remove_repeats
 from cohortloom.llm.surrogates import replace_entities
 from cohortloom.llm.toxicity import score, train
 
@@ -36,10 +36,6 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.select(*docs.columns)
 
 
-#: A passage of over 50 words goes if it repeats, also where it has fewer than 400 bytes.
-PASSAGE_WORDS = 51
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages, of 400 bytes or of over 50 words; a character cut
     in two goes with them. Null texts stay null, and n_chars follows the text."""

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -6,7 +8,8 @@ from tests_brute import brute_components, brute_removed
 
 from cohortloom.llm import jaccard, suffix_dedup
 from cohortloom.llm.jaccard import near_duplicates
-from cohortloom.llm.suffix_dedup import remove_repeats, repeated_windows, two_stage_sort
+from cohortloom.llm.queries import op5_suffix_dedup
+from cohortloom.llm.suffix_dedup import as_letters, remove_repeats, repeated_windows, spans_within, two_stage_sort
 
 
 def words(rng, n, v=400):
@@ -91,3 +94,60 @@ def test_neighbours_show_repeats():
     texts = [b"abcabcx", b"zabcy"]
     marks = repeated_windows(texts, [len(t) - 2 for t in texts], 3)
     assert [bytes(m) for m in marks] == [b"\1\0\0\1\0", b"\0\1\0"]
+
+
+def brute_passages(texts: list[str | None], words: int = 51) -> list[tuple[int, int]]:
+    """Bytes and number of stretches in so many words that stand in another text or place."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
+    windows = [[tuple(m.group() for m in w[k : k + words]) for k in range(len(w) - words + 1)] for w in found]
+    count = Counter(x for t, w in {t: w for t, w in zip(texts, windows)}.items() for x in w)
+    out = []
+    for ms, ws in zip(found, windows):
+        gone = sorted({k + j for k, x in enumerate(ws) if count[x] > 1 for j in range(words)})
+        ends = [i for i, k in enumerate(gone) if i + 1 == len(gone) or gone[i + 1] > k + 1]
+        starts = [0, *[i + 1 for i in ends[:-1]]] if gone else []
+        out.append((sum(ms[gone[b]].end() - ms[gone[a]].start() for a, b in zip(starts, ends)), len(ends)))
+    return out
+
+
+def test_op5_tells_of_passages_of_over_50_words_with_fewer_than_400_bytes(spark, tmp_path):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    passage, brief, often, long = words(55), words(50), words(59), words(200)
+    rows = [words(30) + passage + words(20), passage + words(5) + long, long[10:] + words(9), words(4) + brief, brief + words(4), passage + words(2) + passage]
+    rows += [words(i) + often[: 59 - i % 9] + words(3) for i in range(320)]  # more than are sorted at once
+    texts = [" ".join(r) for r in rows]
+    texts += [texts[0], "\t \n".join([*passage[:20], "é", *passage]), "no " * 400, "a b", None, "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got[0]["n_removed"] > 0 and got[5]["n_removed"] == 0  # 0 has an exact copy
+    assert got[5]["n_passages"] == 2
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute_removed(texts, 400)
+    assert [(got[i]["n_passage_bytes"], got[i]["n_passages"]) for i in range(len(texts))] == brute_passages(texts)
+
+
+def test_letters_of_several_bytes_sort_as_numbers():
+    rng = random.Random(4)
+    rows = [[rng.choice([1, 255, 256, 1 << 63]) for _ in range(rng.randint(1, 12))] for _ in range(5)]
+    texts = as_letters([b"".join(x.to_bytes(8, "little") for x in r) for r in rows], 8)
+    got = [rows[j][p:] for j, p in two_stage_sort(texts, [len(r) for r in rows])]
+    assert got == sorted(r[p:] for r in rows for p in range(len(r)))
+
+
+@pytest.mark.parametrize("times", [1, 2, 9])
+def test_halving_a_group_leaves_no_repeat_out(times):
+    rng, length = random.Random(8), 12
+    marked = lambda rows, times: {
+        (t, p) for t, a, b in spans_within(rows, 0, 8, length, 1, times) for p in range(a, b - length + 1)
+    }
+    core = b"zzzz"  # at place d of a window, d from 0 to 8
+    for _ in range(100):
+        rows = []
+        for t in range(rng.randint(2, 9)):
+            dlo = rng.randint(0, 8)
+            dhi = rng.randint(dlo, 8)
+            body = [rng.choice(b"ab") for _ in range(dhi - dlo + length)]
+            body[dhi : dhi + 4] = core
+            rows.append((rng.choice([1, 1, 2]), dlo, dhi, bytes([t]), 0, bytes(body)))
+        assert marked(rows, times) == marked(rows, 0)
