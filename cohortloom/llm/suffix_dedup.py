@@ -10,29 +10,30 @@ their successors directly, the rest induced by scanning the buckets of first byt
 order. Neighbours in that order that share ``length`` bytes are repeats.
 
 An anchor with very many different segments is divided: the places that it can have in a
-window are halved, and a half's segments are dealt again by the bytes that all windows of
-that half have in common, until groups are small. At the last halving a group is one
-window. No task ever holds more than ``group`` segments, and nothing is left out.
+window are halved three times, and a part's segments are dealt again by the bytes that all
+windows of that part have in common, until groups are small. At the last halving a group is
+one window. No task ever sorts more than ``group`` segments, and nothing is left out.
 
 Null texts count as empty. Repeated rows are copies of each other, so all that is long
 enough in them goes; of copies none is kept before the others, so there are no ties. Texts
 of any length are read whole; matches never cross rows. An empty table gives an empty
 result. Extra columns stay as they are.
 
-Passages of a number of words, which may have fewer bytes, are found in the same way, with
-64-bit hashes of words as letters. Texts that are the same as a whole are one text there.
+Passages of a number of words, which may have fewer bytes, are found in the same way and by
+the same jobs, with 64-bit hashes of words as letters. Texts that are the same as a whole
+are one text there. Segments are told apart by 127 bits, 63 of their anchor and 64 of all.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_name, has_rows, release, save
@@ -41,8 +42,10 @@ from .words import PlainWords
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain_bytes(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode() for t in texts]
+def plain_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each text starts and the last one ends."""
+    data = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
 
 
 @cache
@@ -50,68 +53,89 @@ def _plain_words() -> PlainWords:
     return PlainWords()
 
 
-#: Characters whose words are hashed at once; only a single longer text takes more.
-AT_ONCE = 1 << 19
+def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as a 64-bit hash each, and where each text starts and the last one ends."""
+    found = _plain_words().of(pa.array(texts, pa.string()))
+    return found.hashes, found.first
 
 
-def word_codes(texts: list[str | None]) -> list[bytes]:
-    """The words of each text, as a 64-bit hash each."""
-    parts, size = [], AT_ONCE
-    for t in texts:
-        n = len(t or "")
-        if size + n > AT_ONCE:
-            parts, size = [*parts, []], 0
-        parts[-1].append(t)
-        size += n
-    out = []
-    for part in parts:
-        found = _plain_words().of(pa.array(part, pa.string()))
-        out += [found.hashes[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
-    return out
+#: Characters of texts that are taken at once, and letters; only a single longer text takes
+#: more. Arrays of so many letters stay in a core's cache.
+AT_ONCE, LETTERS_AT_ONCE = 1 << 19, 1 << 16
+
+
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum up to ``most``, or one that is larger."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > most:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if sizes:
+        yield begin, len(sizes)
 
 
 class Letters(NamedTuple):
     """What stands for texts: ``code`` gives letters of ``size`` bytes, ``gram`` of them, a
     power of two, name an anchor. With ``once``, texts that are the same as a whole are one."""
 
-    code: Callable[[list[str | None]], list[bytes]]
+    code: Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
     size: int
     gram: int
     once: bool
 
 
-BYTES, WORDS = Letters(plain_bytes, 1, 32, False), Letters(word_codes, 8, 8, True)
+#: The lowest bit of a key tells which letters it is of.
+BYTES, WORDS = KINDS = Letters(plain_bytes, 1, 32, False), Letters(word_codes, 8, 8, True)
 
 
-def segments(data: bytes, length: int, letters: Letters = BYTES) -> list[tuple[int, int, int, int]]:
-    """(gram hash, anchor, first window, last window) for each run of windows that name
-    the same anchor."""
-    if len(data) < length * letters.size:
-        return []
-    wide = length - letters.gram + 1
+def least_ahead(values: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each ``wide`` values in a row."""
+    step = 1
+    while 2 * step <= wide:
+        values = np.minimum(values[:-step], values[step:])
+        step *= 2
+    return np.minimum(values[: step - wide], values[wide - step :]) if step < wide else values
+
+
+def _segments(data: np.ndarray, ends: list[int], length: int, gram: int) -> tuple[np.ndarray, ...] | None:
+    if len(data) < length:
+        return None
     with np.errstate(over="ignore"):
-        h = np.frombuffer(data, f"u{letters.size}").astype(np.uint64) + np.uint64(1)
+        h = data.astype(np.uint64) + np.uint64(1)
         step, factor = 1, PRIME
-        while step < letters.gram:
+        while step < gram:
             h = h[:-step] * factor + h[step:]
             factor = factor * factor
             step *= 2
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    n = len(h)
-    key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // wide) * wide, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = key
-    blocks = padded.reshape(-1, wide)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(data) // letters.size - length + 1
-    least = np.minimum(behind[:count], ahead[wide - 1 : wide - 1 + count])
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
-    last = np.concatenate([first[1:] - 1, [count - 1]])
+    key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    least = least_ahead(key, length - gram + 1)
+    fits = np.ones(len(data), bool)  # windows within one text
+    for e in ends:
+        fits[max(e - length + 1, 0) : e] = False
+    windows = np.flatnonzero(fits[: len(least)])
+    if not len(windows):
+        return None
+    at = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    turns = np.flatnonzero(at[1:] != at[:-1])
+    first = np.concatenate([[0], turns + 1])
     places = at[first]
-    return list(zip(h[places].view(np.int64).tolist(), places.tolist(), first.tolist(), last.tolist()))
+    return h[places].view(np.int64), places, windows[first], windows[np.concatenate([turns, [len(at) - 1]])]
+
+
+def segments(data: np.ndarray, edges: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Gram hashes, anchors, first and last windows of each run of windows of a text that
+    name the same anchor. Text i is ``data[edges[i]:edges[i + 1]]``."""
+    found = [(np.zeros(0, np.int64),) * 4]
+    for i, j in portions(np.diff(edges).tolist(), LETTERS_AT_ONCE):
+        base = edges[i]
+        here = _segments(data[base : edges[j]], (edges[i + 1 : j + 1] - base).tolist(), length, gram)
+        if here:
+            found.append((here[0], *(x + base for x in here[1:])))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def smaller_than_next(text: bytes | str) -> bytearray:
@@ -193,8 +217,9 @@ def as_letters(bodies: list[bytes], size: int) -> list[bytes] | list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-UNIT = "key long, seg binary, n long, lo int, hi int, dlo int, dhi int, t binary, s0 int, body binary"
-SPAN = "t binary, start int, stop int"
+UNIT = "key long, seg long, n long, lo int, hi int, dlo int, dhi int, t binary, s0 int, body binary"
+UNIT_COLUMNS = [x.split()[0] for x in UNIT.split(", ")]
+SPAN = "t binary, start int, stop int, of_words boolean"
 
 
 def halved(
@@ -242,20 +267,20 @@ def spans_within(rows: list[Row], lo: int, hi: int, length: int, size: int, time
         yield from spans_within(some, a, b, length, size, times - 1)
 
 
-def _sorted_groups(units: DataFrame, length: int, letters: Letters) -> DataFrame:
+def _sorted_groups(units: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Spans of the units that occur once, from suffix sorting within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, places, group = None, (0, 0), {}
+        key, places, group = 0, (0, 0), {}
 
-        def done() -> list[tuple[bytes, int, int]]:
-            return list(spans_within(list(group.values()), *places, length, letters.size))
+        def done() -> list[tuple[bytes, int, int, bool]]:
+            kind = key & 1
+            return [(*x, kind == 1) for x in spans_within(list(group.values()), *places, lengths[kind], KINDS[kind].size)]
 
-        def batch_of(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-            t, a, b = zip(*found) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["t", "start", "stop"]
-            )
+        def batch_of(found: list[tuple[bytes, int, int, bool]]) -> pa.RecordBatch:
+            columns = zip(*found) if found else [()] * 4
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["t", "start", "stop", "of_words"])
 
         for batch in batches:
             found = []
@@ -267,82 +292,122 @@ def _sorted_groups(units: DataFrame, length: int, letters: Letters) -> DataFrame
             yield batch_of(found)
         yield batch_of(done())
 
-    slim = units.select(*[x.split()[0] for x in UNIT.split(", ")])
-    return slim.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+    return units.select(*UNIT_COLUMNS).repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def _halves(units: DataFrame, length: int, letters: Letters) -> DataFrame:
-    """Each unit's windows by halves of its block of places, keyed by what the windows of
-    a half have in common."""
+#: How often a block of places is halved when its segments are dealt again.
+HALVINGS_DEALT = 3
+
+
+def _parts(units: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Each unit's windows by parts of its block of places, keyed by what the windows of
+    a part have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            out = []
-            for key, _, n, lo, hi, dlo, dhi, t, s0, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b, x, y, shared, part in halved(lo, hi, dlo, dhi, body, length, letters.size):
-                    new = xxhash.xxh3_64_intdigest(shared, key & 0xFFFFFFFF ^ a) - (1 << 63)
-                    seg = xxhash.xxh3_128_digest(part + bytes([x & 255, x >> 8]))
-                    out.append((new, seg, n, a, b, x, y, t, s0 + dhi - y, part))
-            columns = list(zip(*out)) if out else [[]] * 10
-            kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in UNIT.split(", ")])
-
-    return units.mapInArrow(run, UNIT)
-
-
-def _with_sizes(segments: DataFrame) -> DataFrame:
-    """Segments (key, n, ...) of keys that occur more than once, with the number of
-    different ones (``k``) and whether any occurs once (``single``). A key with very many
-    is summed up in parts and joined, which Spark can split, unlike a window."""
-    keys = segments.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), (F.min("n") == 1).alias("single"))
-    return segments.join(keys.where("all > 1").select("key", "k", "single"), "key")
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, letters: Letters = BYTES) -> DataFrame:
-    """(t, start, stop): the ranges of letters that go, by md5 of the text; they may overlap.
-
-    ``docs`` has ``t`` (md5, binary) and ``text``. ``group`` is how many segments are
-    sorted at once.
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                for key, _, n, lo, hi, dlo, dhi, t, s0, body in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns)):
+                    kind = key & 1
+                    length, size = lengths[kind], KINDS[kind].size
+                    now = [(lo, hi, dlo, dhi, b"", body)]
+                    for _ in range(HALVINGS_DEALT):
+                        now = [x for a, b, x, y, _, part in now for x in halved(a, b, x, y, part, length, size)]
+                    for a, b, x, y, shared, part in now:
+                        new = xxhash.xxh3_64_intdigest(shared, key & 0xFFFFFFFF ^ a << 1) - (1 << 63) & ~1 | kind
+                        seg = xxhash.xxh3_64_intdigest(part, x) - (1 << 63)
+                        out.append((new, seg, n, a, b, x, y, t, s0 + dhi - y, part))
+                columns = zip(*out) if out else [()] * 10
+                kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=UNIT_COLUMNS)
+
+    return units.select(*UNIT_COLUMNS).mapInArrow(run, UNIT)
+
+
+def _of_words() -> Column:
+    return F.col("key").bitwiseAND(F.lit(1)) == 1
+
+
+def _with_sizes(rows: DataFrame, occurrences: Column) -> DataFrame:
+    """Segments (key, seg, t, s0, ...) of keys that occur more than once, with the occurrences
+    of each (``n``), the number of different ones with its key (``k``), whether any of those
+    occurs once (``single``), and whether a row is the one that stands for its like (``mine``).
+    All is summed up in parts and joined, which Spark can split, unlike a window.
+    ``occurrences`` may use ``first`` and ``last``, hashes of places, the same for one place."""
+    place = F.xxhash64("t", "s0")
+    first, last = F.min(place).alias("first"), F.max(place).alias("last")
+    each = rows.groupBy("key", "seg").agg(F.sum("n").alias("sum"), F.max("n").alias("most"), first, last)
+    each = each.select("key", "seg", occurrences.alias("n"), "first")
+    keys = each.groupBy("key").agg(F.count("*").alias("k"), (F.min("n") == 1).alias("single")).where("k > 1 OR NOT single")
+    return rows.drop("n").join(each.join(keys, "key"), ["key", "seg"]).withColumn("mine", place == F.col("first")).drop("first")
+
+
+def _whole(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Spans of whole segments."""
+    length = F.when(_of_words(), lengths[-1]).otherwise(lengths[0])
+    stop = (F.col("s0") + F.col("dhi") - F.col("dlo") + length).cast("int")
+    return rows.select("t", F.col("s0").alias("start"), stop.alias("stop"), _of_words().alias("of_words"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, words: int | None = None) -> DataFrame:
+    """(t, start, stop, of_words): the ranges that go, by md5 of the text; they may overlap.
+
+    Ranges are of bytes that lie in a string of ``length`` bytes that also starts elsewhere,
+    and with ``words`` also of words, by their numbers, that lie in so many words in a row
+    that stand elsewhere. Both go through the same jobs. ``docs`` has ``t`` (md5, binary)
+    and ``text``. ``group`` is how many segments are sorted at once.
     """
-    size = letters.size
+    lengths = (length,) if words is None else (length, words)
 
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        names = ["key", "seg", "n", "dlo", "dhi", "t", "s0"]
         for batch in batches:
-            hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            hashes = batch.column(0).to_pylist()
             here = Counter(hashes)
-            first = dict(zip(hashes, texts))
-            for at in range(0, len(first), 200):
-                out, part = [], list(first)[at : at + 200]
-                for t, data in zip(part, letters.code([first[t] for t in part])):
-                    for gram, place, a, b in segments(data, length, letters):
-                        seg = xxhash.xxh3_128_digest(data[a * size : (b + length) * size] + (place - a).to_bytes(4, "little"))
-                        out.append((gram, seg, here[t], place - b, place - a, t, a))
-                columns = list(zip(*out)) if out else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "seg", "n", "dlo", "dhi", "t", "s0"])
+            first = dict(zip(hashes, batch.column(1).to_pylist()))
+            for i, j in portions([len(t or "") for t in first.values()], AT_ONCE):
+                ts, texts = list(first)[i:j], list(first.values())[i:j]
+                copies, names_of = np.array([here[t] for t in ts]), pa.array(ts, pa.binary())
+                for kind, wide in enumerate(lengths):
+                    letters = KINDS[kind]
+                    data, edges = letters.code(texts)
+                    gram, place, a, b = segments(data, edges, wide, letters.gram)
+                    doc = np.searchsorted(edges, a, "right") - 1
+                    raw, size = data.tobytes(), letters.size
+                    ends = ((b + wide) * size).tolist()
+                    seg = [xxhash.xxh3_64_intdigest(raw[x:y], d) for x, y, d in zip((a * size).tolist(), ends, (place - a).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(gram & ~1 | kind), pa.array(np.array(seg, np.uint64).view(np.int64)),
+                            pa.array(np.ones(len(doc), np.int64) if letters.once else copies[doc]),
+                            pa.array((place - b).astype(np.int32)), pa.array((place - a).astype(np.int32)),
+                            names_of.take(pa.array(doc)), pa.array((a - edges[doc]).astype(np.int32)),
+                        ],
+                        names=names,
+                    )
 
     found = save(
-        docs.select("t", "text").mapInArrow(cut_segments, "key long, seg binary, n long, dlo int, dhi int, t binary, s0 int"), "segments"
+        docs.select("t", "text").mapInArrow(cut_segments, "key long, seg long, n long, dlo int, dhi int, t binary, s0 int"), "segments"
     )
-    n, place = F.sum("n"), F.struct("t", "s0", "dlo", "dhi")
-    if letters.once:  # all rows of one text and place are one occurrence
-        n = F.when(F.min(place) == F.max(place), 1).otherwise(2).cast("long")
-    one = found.groupBy("key", "seg").agg(n.alias("n"), F.min(place).alias("r"))
-    alive = save(_with_sizes(one).select("key", "seg", "n", "k", "single", "r.*"), "alive")
-    whole = found.join(alive.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select(
-        "t", F.col("s0").alias("start"), (F.col("s0") + F.col("dhi") - F.col("dlo") + length).alias("stop")
+    # Keys of one place alone go no further; where all segments of a key are the same, they go whole.
+    place = F.xxhash64("t", "s0")
+    keys = found.groupBy("key").agg(
+        F.sum("n").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"), F.min(place).alias("first"), F.max(place).alias("last")
     )
-    spans = [save(whole, "spans")]
+    keys = keys.where(F.when(_of_words(), F.col("first") != F.col("last")).otherwise(F.col("n") > 1))
+    shared = save(found.join(keys.select("key", (F.col("a") == F.col("b")).alias("same")), "key"), "shared")
+    discard(found)
+    # All rows of one text and place are one occurrence of words.
+    once = F.when(F.col("first") == F.col("last"), 1).otherwise(2).cast("long")
+    dealt = save(_with_sizes(shared.where("NOT same").drop("same"), F.when(_of_words(), once).otherwise(F.col("sum"))), "dealt")
+    spans = [_whole(shared.where("same"), lengths), _whole(dealt.where("n > 1"), lengths)]
 
-    wanted = (
-        alive.where("k > 1 AND single")
-        .groupBy("t")
-        .agg(F.collect_list(F.struct("key", "seg", "n", "k", "s0", "dlo", "dhi")).alias("parts"))
-    )
+    chosen = F.struct("key", "seg", "n", "k", "s0", "dlo", "dhi")
+    wanted = dealt.where("single AND mine").groupBy("t").agg(F.collect_list(chosen).alias("parts"))
 
     def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -354,53 +419,54 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, letters
             yield batch.filter(pa.array(new))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
-                out = []
-                hashes, texts, wanted_here = (c.to_pylist() for c in batch.slice(at, 50).columns)
-                for t, data, parts in zip(hashes, letters.code(texts), wanted_here):
-                    for p in parts:
-                        end = p["s0"] + p["dhi"] - p["dlo"] + length
-                        body = data[p["s0"] * size : end * size]
-                        out.append((p["key"], p["seg"], p["n"], 0, length - letters.gram, p["dlo"], p["dhi"], t, p["s0"], body, p["k"]))
-                columns = list(zip(*out)) if out else [[]] * 11
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in UNIT.split(", ")] + ["k"])
+                hashes, texts, listed = batch.slice(at, 50).columns
+                rows = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+                all_parts = listed.flatten()
+                keys = all_parts.field("key").to_numpy()
+                for kind, wide in enumerate(lengths):
+                    of_kind = np.flatnonzero(keys & 1 == kind)
+                    if not len(of_kind):
+                        continue
+                    docs_here, doc = np.unique(rows[of_kind], return_inverse=True)
+                    data, edges = KINDS[kind].code(texts.take(pa.array(docs_here)).to_pylist())
+                    p = all_parts.take(pa.array(of_kind))
+                    s0, dlo, dhi = (p.field(c).to_numpy().astype(np.int64) for c in ("s0", "dlo", "dhi"))
+                    raw, size, starts = data.tobytes(), KINDS[kind].size, edges[doc] + s0
+                    ends = starts + dhi - dlo + wide
+                    body = [raw[x:y] for x, y in zip((starts * size).tolist(), (ends * size).tolist())]
+                    lo, hi = np.zeros(len(doc), np.int32), np.full(len(doc), wide - KINDS[kind].gram, np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(p.field(c) for c in ("key", "seg", "n")), pa.array(lo), pa.array(hi), p.field("dlo"), p.field("dhi"),
+                            hashes.take(pa.array(rows[of_kind])), p.field("s0"), pa.array(body, pa.binary()), p.field("k"),
+                        ],
+                        names=[*UNIT_COLUMNS, "k"],
+                    )
 
     texts = docs.select("t", "text").mapInArrow(one_of_each, "t binary, text string").join(wanted, "t")
     units = save(texts.select("t", "text", "parts").mapInArrow(bodies, UNIT + ", k long"), "units")
-    spans.append(save(_sorted_groups(units.where(F.col("k") <= group), length, letters), "spans"))
-
-    hot = units.where(F.col("k") > group).drop("k").dropDuplicates(["key", "seg"])
-    used = [found, alive, units]
+    few, used = [units.where(F.col("k") <= group)], [shared, dealt, units]
+    hot = units.where(F.col("k") > group)
     while has_rows(hot):
-        parts = save(_halves(hot, length, letters), "halves")
-        named = [F.col(c) for c in ("lo", "hi", "dlo", "dhi", "t", "s0", "body")]
-        same = parts.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct(*named)).alias("r"))
-        counted = save(_with_sizes(same).select("key", "seg", "n", "r.*", "k", "single"), "counted")
+        parts = save(_parts(hot, lengths), "parts")
+        # A unit of words is there as often as its text; one place is one occurrence.
+        dealt = save(_with_sizes(parts, F.when(F.col("first") == F.col("last"), F.col("most")).otherwise(2)), "dealt")
+        discard(parts)
         # Parts found twice or more go whole, wherever they occur once as units.
-        twice = parts.join(counted.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi")
-        spans.append(
-            save(twice.select("t", F.col("s0").alias("start"), (F.col("s0") + F.col("dhi") - F.col("dlo") + length).alias("stop")), "spans")
-        )
-        open_ = counted.where("k > 1 AND single")
-        spans.append(save(_sorted_groups(open_.where(F.col("k") <= group), length, letters), "spans"))
-        hot = save(open_.where(F.col("k") > group).drop("k", "single"), "hot")
-        used += [parts, counted, hot]
+        spans.append(_whole(dealt.where("n > 1"), lengths))
+        open_ = dealt.where("single AND mine AND k > 1")
+        few.append(open_.where(F.col("k") <= group).select(*UNIT_COLUMNS, "k"))
+        hot = open_.where(F.col("k") > group)
+        used.append(dealt)
+    spans.append(_sorted_groups(reduce(DataFrame.unionByName, few), lengths))
+    out = save(reduce(DataFrame.unionByName, spans), "spans")
     discard(*used)  # all spans are saved
     release(docs.sparkSession)
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
     return out
 
 
-def repeated_words(docs: DataFrame, words: int) -> DataFrame:
-    """(t, start, stop): ranges of words, by their numbers, that lie in ``words`` words in a row
-    that also stand anywhere else; they may overlap. ``docs`` is as for ``repeated_spans``."""
-    return repeated_spans(docs.where(F.length("text") >= 2 * words - 1), words, letters=WORDS)
-
-
 LETTER = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 
 
@@ -414,14 +480,14 @@ def byte_ranges(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, i
     return list(zip(starts[first].tolist(), ends[last - 1].tolist()))
 
 
-def joined_up(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
-        else:
-            merged.append((a, b))
-    return merged
+def joined_up(starts: np.ndarray, stops: np.ndarray, touching: bool = True) -> list[tuple[int, int]]:
+    """The union of ranges, in order; those that only touch are one where ``touching``."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts)
+    starts, reach = starts[order], np.maximum.accumulate(stops[order])
+    new = np.flatnonzero(starts[1:] >= reach[:-1] + touching) + 1
+    return list(zip(starts[[0, *new]].tolist(), reach[[*(new - 1), -1]].tolist()))
 
 
 #: A passage of over 50 words is long enough to count, also where it has fewer than 400 bytes.
@@ -449,10 +515,9 @@ def remove_repeats(
     hash_col, spans_col = free_name(docs, "_t"), free_name(docs, "_spans")
     hashed = docs.withColumn(hash_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = hashed.select(F.col(hash_col).alias("t"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, length).withColumn("of_words", F.lit(False))
-    if words is not None:
-        spans = spans.unionByName(repeated_words(texts, words).withColumn("of_words", F.lit(True)))
-    listed = spans.distinct().groupBy(F.col("t").alias(hash_col)).agg(F.collect_list(F.struct("start", "stop", "of_words")).alias(spans_col))
+    spans = repeated_spans(texts, length) if words is None else repeated_spans(texts, length, words=words)
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft(F.col("stop").cast("long"), 1) + F.col("of_words").cast("long")
+    listed = spans.groupBy(F.col("t").alias(hash_col)).agg(F.collect_set(packed).alias(spans_col))
     joined = hashed.join(listed, hash_col, "left")
     schema = docs.schema
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
@@ -460,13 +525,19 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, found in zip(batch.column(where).to_pylist(), batch.column(len(schema)).to_pylist()):
+            rows, found = [], batch.column(len(schema))
+            packed = found.flatten().to_numpy()
+            starts, stops, kinds = packed >> 32, packed >> 1 & 0x7FFFFFFF, packed & 1
+            edges = np.cumsum([0, *found.value_lengths().fill_null(0).to_pylist()]).tolist()
+            for text, x, y in zip(batch.column(where).to_pylist(), edges, edges[1:]):
                 data = (text or "").encode()
-                ranges = [(s["start"], s["stop"]) for s in found or [] if not s["of_words"]]
-                of_words = [(s["start"], s["stop"]) for s in found or [] if s["of_words"]]
-                passages = byte_ranges(data, of_words if cut_words else joined_up(of_words))
-                merged = joined_up(ranges + passages if cut_words else ranges)
+                merged, passages = [], []
+                if y > x:
+                    a, b, of_words = starts[x:y], stops[x:y], kinds[x:y] == 1
+                    merged = joined_up(a[~of_words], b[~of_words])
+                    passages = byte_ranges(data, joined_up(a[of_words], b[of_words], not cut_words))
+                    if cut_words and passages:
+                        merged = joined_up(*np.array(merged + passages).T)
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(data[at:a])
