@@ -334,14 +334,19 @@ def _with_sizes(rows: DataFrame, occurrences: Column) -> DataFrame:
     """Segments (key, seg, t, s0, ...) of keys that occur more than once, with the occurrences
     of each (``n``), the number of different ones with its key (``k``), whether any of those
     occurs once (``single``), and whether a row is the one that stands for its like (``mine``).
-    All is summed up in parts and joined, which Spark can split, unlike a window.
+    All is summed up in parts, saved and joined; Spark can split such a join, unlike a window
+    or a join that sums up in the same stage.
     ``occurrences`` may use ``first`` and ``last``, hashes of places, the same for one place."""
     place = F.xxhash64("t", "s0")
     first, last = F.min(place).alias("first"), F.max(place).alias("last")
     each = rows.groupBy("key", "seg").agg(F.sum("n").alias("sum"), F.max("n").alias("most"), first, last)
-    each = each.select("key", "seg", occurrences.alias("n"), "first")
-    keys = each.groupBy("key").agg(F.count("*").alias("k"), (F.min("n") == 1).alias("single")).where("k > 1 OR NOT single")
-    return rows.drop("n").join(each.join(keys, "key"), ["key", "seg"]).withColumn("mine", place == F.col("first")).drop("first")
+    each = save(each.select("key", "seg", occurrences.alias("n"), "first"), "each")
+    keys = each.groupBy("key").agg(F.count("*").alias("k"), (F.min("n") == 1).alias("single"))
+    keys = save(keys.where("k > 1 OR NOT single"), "keys")
+    sized = rows.drop("n").join(each.join(keys, "key"), ["key", "seg"]).withColumn("mine", place == F.col("first")).drop("first")
+    out = save(sized, "dealt")
+    discard(each, keys)
+    return out
 
 
 def _whole(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
@@ -399,11 +404,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, words:
         F.sum("n").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"), F.min(place).alias("first"), F.max(place).alias("last")
     )
     keys = keys.where(F.when(_of_words(), F.col("first") != F.col("last")).otherwise(F.col("n") > 1))
-    shared = save(found.join(keys.select("key", (F.col("a") == F.col("b")).alias("same")), "key"), "shared")
-    discard(found)
+    keys = save(keys.select("key", (F.col("a") == F.col("b")).alias("same")), "keys")
+    shared = save(found.join(keys, "key"), "shared")
+    discard(found, keys)
     # All rows of one text and place are one occurrence of words.
     once = F.when(F.col("first") == F.col("last"), 1).otherwise(2).cast("long")
-    dealt = save(_with_sizes(shared.where("NOT same").drop("same"), F.when(_of_words(), once).otherwise(F.col("sum"))), "dealt")
+    dealt = _with_sizes(shared.where("NOT same").drop("same"), F.when(_of_words(), once).otherwise(F.col("sum")))
     spans = [_whole(shared.where("same"), lengths), _whole(dealt.where("n > 1"), lengths)]
 
     chosen = F.struct("key", "seg", "n", "k", "s0", "dlo", "dhi")
@@ -452,7 +458,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, group: int = 300, words:
     while has_rows(hot):
         parts = save(_parts(hot, lengths), "parts")
         # A unit of words is there as often as its text; one place is one occurrence.
-        dealt = save(_with_sizes(parts, F.when(F.col("first") == F.col("last"), F.col("most")).otherwise(2)), "dealt")
+        dealt = _with_sizes(parts, F.when(F.col("first") == F.col("last"), F.col("most")).otherwise(2))
         discard(parts)
         # Parts found twice or more go whole, wherever they occur once as units.
         spans.append(_whole(dealt.where("n > 1"), lengths))

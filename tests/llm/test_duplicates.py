@@ -151,3 +151,17 @@ def test_halving_a_group_leaves_no_repeat_out(times):
             body[dhi : dhi + 4] = core
             rows.append((rng.choice([1, 1, 2]), dlo, dhi, bytes([t]), 0, bytes(body)))
         assert marked(rows, times) == marked(rows, 0)
+
+
+def test_both_kinds_of_repeats_and_large_groups_take_few_jobs(spark, monkeypatch):
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    often = words(60)
+    texts = [" ".join(words(60) + often[i % 4 :] + words(60)) for i in range(330)]  # more than are sorted at once
+    names, real = [], suffix_dedup.save
+    monkeypatch.setattr(suffix_dedup, "save", lambda df, name, *more: names.append(name) or real(df, name, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = remove_repeats(docs, words=51, cut_words=False).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in rows}
+    assert [got[i] for i in range(len(texts))] == [x[:3] for x in brute_removed(texts, 400)]
+    assert len(names) <= 20, names
