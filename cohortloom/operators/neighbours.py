@@ -2,106 +2,287 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dropped, stored
 from .running import in_ranges, running
 
-#: Vectors of a block; a task compares two blocks at once.
-BLOCK = 512
+#: Vectors of a block at most; a task compares two blocks at once, tile by tile.
+BLOCK, TILE = 8192, 1024
+#: Partitions of blocks at most; the tasks are as many as pairs of them.
+SPLITS = 128
 
 
-def _distance(x: Column, y: Column, mirrored: bool) -> Column:
-    """Euclidean; ``mirrored``, to the nearer of y and -y."""
-    square = lambda f: F.sqrt(F.aggregate(F.zip_with(x, y, f), F.lit(0.0), lambda s, v: s + v * v))
-    apart = square(lambda a, b: a - b)
-    return F.least(apart, square(lambda a, b: a + b)) if mirrored else apart
+def _packed(x: np.ndarray) -> bytes:
+    """Rows of floats, in four bytes each where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short.tobytes() if (short == x).all() else np.ascontiguousarray(x, np.float64).tobytes()
 
 
-def _longer(cells: Column, steps: Column) -> Column:
-    """Every array of ``cells`` with every one of ``steps`` behind it."""
-    return F.flatten(F.transform(cells, lambda c: F.transform(steps, lambda v: F.concat(c, F.array(v)))))
+def _unpacked(data: bytes | pa.Buffer, n: int, dim: int) -> np.ndarray:
+    kind = np.float32 if dim and len(data) == 4 * n * dim else np.float64
+    return np.frombuffer(data, kind).reshape(n, dim).astype(np.float64)
 
 
-def _pivots(points: DataFrame, count: int, mirrored: bool) -> list[list[float]]:
+def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The matrix of a batch's rows, which were packed one by one."""
+    dims = np.unique(batch.column("dim").to_numpy())
+    if len(dims) != 1:
+        raise ValueError("the vectors differ in length")
+    x = batch.column("x")
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    ends = np.frombuffer(x.buffers()[1], np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+    if len(np.unique(np.diff(ends))) == 1:
+        return _unpacked(x.buffers()[2].slice(ends[0], ends[-1] - ends[0]), len(x), int(dims[0])) if ends[-1] else np.zeros((len(x), 0))
+    return np.concatenate([_unpacked(v.as_buffer(), 1, int(dims[0])) for v in x])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows; those with a null, an infinity or no number in them are near to nothing."""
+    for batch in batches:
+        x = batch.column("x")
+        n = pc.list_value_length(x).to_numpy()
+        values = x.flatten().to_numpy(zero_copy_only=False)
+        whole = np.ones(len(n), bool)
+        whole[np.repeat(np.arange(len(n)), n)[~np.isfinite(values)]] = False
+        if not whole.any():
+            continue
+        if len(dims := np.unique(n[whole])) > 1:
+            raise ValueError("the vectors differ in length")
+        dim, kept = int(dims[0]), batch.filter(pa.array(whole))
+        data = _packed(values[np.repeat(whole, n)])
+        ends = np.arange(kept.num_rows + 1, dtype=np.int32) * (len(data) // kept.num_rows)
+        packed = pa.Array.from_buffers(pa.binary(), kept.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([kept.column("by"), kept.column("id"), pa.array([dim] * kept.num_rows, pa.int32()), packed], ["by", "id", "dim", "x"])
+
+
+def _apart(x: np.ndarray, y: np.ndarray, mirrored: bool) -> np.ndarray:
+    """Euclidean distances, row by row; ``mirrored``, to the nearer of y and -y."""
+    length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v))
+    return np.minimum(length(x - y), length(x + y)) if mirrored else length(x - y)
+
+
+def between(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, mirrored: bool = False, step: int = 2048) -> np.ndarray:
+    """Distances of rows i of x to rows j of y, some rows at a time, which stay in the cache."""
+    d = np.empty(len(i))
+    for k in range(0, len(i), step):
+        d[k : k + step] = _apart(x.take(i[k : k + step], 0), y.take(j[k : k + step], 0), mirrored)
+    return d
+
+
+def _away(x: np.ndarray, at: list[np.ndarray], mirrored: bool) -> np.ndarray:
+    """A column for the distances to each of the pivots."""
+    return np.stack([_apart(x, p[None], mirrored) for p in at], 1) if at else np.zeros((len(x), 0))
+
+
+def _pivots(points: DataFrame, count: int, mirrored: bool) -> list[np.ndarray]:
     """The first vector by id, then each time the one furthest from all chosen."""
-    first = points.select(F.min_by("x", "id")).first()[0]
-    chosen = [] if first is None else [list(first)]
+    first = points.select(F.min_by(F.struct("dim", "x"), "id")).first()[0]
+    chosen = [] if first is None else [_unpacked(bytes(first["x"]), 1, first["dim"])[0]]
+
+    def furthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = _away(_vectors(batch), chosen, mirrored).min(1) if batch.num_rows else np.zeros(0)
+            most = far == far.max(initial=0)
+            if far.max(initial=0) > 0:
+                kept = batch.filter(pa.array(most)).select(["id", "dim", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(far[most]), *kept.columns], ["d", "id", "dim", "x"])
+
+    kind = points.schema["id"].dataType.simpleString()
     while chosen and len(chosen) < count:
-        away = [_distance(F.col("x"), F.array(*map(F.lit, p)), mirrored) for p in chosen]
-        nearest = away[0] if len(away) == 1 else F.least(*away)
-        far = points.select(F.max(F.struct(nearest.alias("d"), F.col("id"), F.col("x")))).first()[0]
-        if far["d"] is None or far["d"] == 0:
+        found = points.mapInArrow(furthest, f"d double, id {kind}, dim int, x binary")
+        far = found.select(F.max(F.struct("d", "id", "dim", "x"))).first()[0]
+        if far is None:
             break
-        chosen.append(list(far["x"]))
+        chosen.append(_unpacked(bytes(far["x"]), 1, far["dim"])[0])
     return chosen
 
 
+def in_blocks(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool = False, block: int = BLOCK, by: str | None = None) -> tuple[DataFrame, list[np.ndarray]]:
+    """``points`` (id, x array<double>) in stored blocks of at most ``block`` vectors, and the pivots.
+
+    Blocks are stretches in order of ``by`` and of the cells of pivot distances, a radius
+    wide; within a cell the order is by hash, so any cell falls apart. A block (block, dim,
+    ids, x) knows its first and last ``by``, the runs of equal ones (names, ends) and the least
+    and greatest distance to each pivot (lo, hi).
+    """
+    group = F.struct((F.col(by) if by else F.lit(0)).alias("v")).alias("by")
+    rows = points.where("x IS NOT NULL").select(group, "id", F.col("x").cast("array<double>").alias("x"))
+    own, kind = (rows.schema[c].dataType.simpleString() for c in ("by", "id"))
+    rows = stored(rows.mapInArrow(_rows, f"by {own}, id {kind}, dim int, x binary"), "points")
+    at = _pivots(rows, pivots, mirrored)
+    count = rows.count()
+    size = min(block, max(512, -(-count // 16)))
+    # A little wider than the radius, so that rounding can't part two cells.
+    wide = radius * (1 + 1e-9)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = np.floor(_away(_vectors(batch), at, mirrored) / wide)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.float64()))], [*batch.schema.names, "cell"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ends = np.linspace(0, table.num_rows, -(-table.num_rows // size) + 1).astype(int)
+            for a, b in zip(ends[:-1], ends[1:]):
+                part = table.slice(a, b - a).combine_chunks()
+                x = _vectors(part)
+                away = _away(x, at, mirrored)
+                of = part.column("by").combine_chunks()
+                # Only equal values look alike; nulls do, too.
+                names = [repr(v["v"]) for v in of.to_pylist()] if by else ["0"] * len(x)
+                last = [k for k in range(len(x)) if k + 1 == len(x) or names[k] != names[k + 1]]
+                ids = part.column("id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([
+                    of.take(pa.array([0])), of.take(pa.array([len(x) - 1])), pa.array([away.min(0).tolist()], pa.list_(pa.float64())),
+                    pa.array([away.max(0).tolist()], pa.list_(pa.float64())), pa.array([[names[k] for k in last]]), pa.array([[k + 1 for k in last]], pa.list_(pa.int32())),
+                    pa.array([x.shape[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), ids), pa.array([_packed(x)], pa.binary()),
+                ], ["first", "last", "lo", "hi", "names", "ends", "dim", "ids", "x"])
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= 4 * size:
+                yield from blocks()
+        if held:
+            yield from blocks()
+
+    order = ["by", "cell", F.xxhash64("id")]
+    dealt = rows.mapInArrow(placed, f"by {own}, id {kind}, dim int, x binary, cell array<double>")
+    dealt = dealt.repartitionByRange(max(1, -(-count // size)), *order).sortWithinPartitions(*order)
+    made = dealt.mapInArrow(cut, f"first {own}, last {own}, lo array<double>, hi array<double>, names array<string>, ends array<int>, dim int, ids array<{kind}>, x binary")
+    blocks = stored(made.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    dropped(rows)
+    return blocks, at
+
+
+def block_pairs(blocks: DataFrame, radius: float, more: Column | None = None) -> DataFrame:
+    """Rows of structs a and b: any two blocks that may hold near points, each with itself, too.
+
+    A product of partitions of blocks, each read where it is needed: nothing is copied for
+    the pairs. ``more`` is a further condition.
+    """
+    dealt = blocks.repartitionByRange(max(1, min(blocks.count(), SPLITS)), "block")
+    a, b = (dealt.select(F.struct("*").alias(n)) for n in "ab")
+    wide = F.lit(radius * (1 + 1e-9))
+    apart = F.exists(F.arrays_zip(F.col("a.lo").alias("al"), F.col("a.hi").alias("ah"), F.col("b.lo").alias("bl"), F.col("b.hi").alias("bh")),
+        lambda p: (p["al"] > p["bh"] + wide + 1e-9 * p["bh"]) | (p["bl"] > p["ah"] + wide + 1e-9 * p["ah"]))
+    on = (F.col("a.block") <= F.col("b.block")) & (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last")) & ~apart
+    return a.hint("shuffle_replicate_nl").join(b, on if more is None else on & more)
+
+
+class Side:
+    """A block of a pair, as a task sees it."""
+
+    def __init__(self, column: pa.StructArray, row: int) -> None:
+        self._column, self._row = column, row
+        self.block, dim, self.ids = self.value("block").as_py(), self.value("dim").as_py(), self.value("ids").values
+        self.x = _unpacked(self.value("x").as_buffer(), len(self.ids), dim)
+        ends = self.value("ends").as_py()
+        self.runs = dict(zip(self.value("names").as_py(), zip([0, *ends[:-1]], ends)))
+
+    def value(self, name: str) -> pa.Scalar:
+        return self._column.field(name)[self._row]
+
+
+def sides(batch: pa.RecordBatch) -> Iterator[tuple[Side, Side]]:
+    """The pairs of a batch of ``block_pairs``; of a block with itself, one side twice."""
+    for row in range(batch.num_rows):
+        a, b = (Side(batch.column(n), row) for n in "ab")
+        if a.x.shape[1] != b.x.shape[1]:
+            raise ValueError("the vectors differ in length")
+        yield a, a if a.block == b.block else b
+
+
+def tiles(a: Side, b: Side, radius: float, at: list[np.ndarray], mirrored: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) of equal ``by`` that may be near; of one block, no two tiles twice."""
+
+    def cut(side: Side, run: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts = [np.arange(k, min(k + TILE, run[1])) for k in range(run[0], run[1], TILE)]
+        return [(p, w.min(0), w.max(0)) for p in parts for w in [_away(side.x[p], at, mirrored)]]
+
+    for name, run in a.runs.items():
+        if name in b.runs:
+            own, other = cut(a, run), cut(b, b.runs[name])
+            for k, (rows, lo, hi) in enumerate(own):
+                for cols, low, high in other[k:] if a is b else other:
+                    if (lo <= high * (1 + 1e-9) + radius * (1 + 1e-9)).all() and (low <= hi * (1 + 1e-9) + radius * (1 + 1e-9)).all():
+                        yield rows, cols
+
+
+def finder(x: np.ndarray, y: np.ndarray, radius: float, mirrored: bool = False) -> Callable:
+    """A function of rows of x and rows of y: (i, j, sure) of all pairs that may be within
+    ``radius``, by one product, and whether rounding leaves no doubt.
+
+    The product is in single precision unless its error, bounded by norms, is large beside the
+    radius. Vectors are taken from their middle, but for mirrored ones.
+    """
+    square, dim = radius * radius, x.shape[1]
+    middle = 0.0 if mirrored else (x.sum(0) + y.sum(0)) / (len(x) + len(y))
+    u, v = x - middle, y - middle
+    uu, vv = (u * u).sum(1, keepdims=True), (v * v).sum(1, keepdims=True)
+    most = float(uu.max(initial=0) + vv.max(initial=0))
+    doubt = lambda kind: 4 * (dim + 8) * float(np.finfo(kind).eps) * most
+    kind = np.float32 if doubt(np.float32) < 0.01 * square and most < 1e30 and square > 1e-30 else np.float64
+    if not mirrored:
+        u, v = np.hstack([u, uu, np.ones_like(uu)]), np.hstack([-2 * v, np.ones_like(vv), vv])
+    u, v, uu, vv, slack = u.astype(kind), v.astype(kind), uu.astype(kind), vv.astype(kind), doubt(kind)
+
+    def found(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = u[rows] @ v[cols].T
+        if mirrored:
+            low = uu[rows] + vv[cols].T - 2 * np.abs(low)
+        at = np.flatnonzero(low <= kind(square + slack))
+        i, j = np.divmod(at, max(1, len(cols)))
+        return rows[i], cols[j], low.ravel()[at] < kind(square - slack)
+
+    return found
+
+
 def radius_join(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """(a, b, distance) for all pairs of ``points`` (id, x array<double>) with a < b that are
     at most ``radius`` apart. With ``mirrored``, x and -x count as the same point; with ``by``,
     only points that are equal in that column meet, nulls with nulls.
 
     By the triangle inequality such a pair's distances to any pivot differ by no more than
-    the radius. So points meet only in equal or neighbouring cells of pivot distances, a
-    radius wide. A cell's points are dealt to blocks by hash, and two blocks are compared
-    in a task, as one matrix product; what passes is computed again by differences. A cell
-    with most points takes many small tasks, and no pair comes up twice. Null vectors are
-    near to nothing; repeated ids are an error of the caller's.
+    the radius. So points are ordered by cells of pivot distances and cut to blocks, and two
+    blocks, or two tiles of them, meet only if their ranges of distances do. Tiles are compared
+    by one matrix product; what passes is computed again by differences. No pair comes up
+    twice, a cell with most points takes many tasks, and a vector is stored once and read by
+    each task that needs it. Null vectors are near to nothing; repeated ids are an error of
+    the caller's.
     """
     if radius <= 0:
         raise ValueError("the radius must be above 0")
-    group = F.struct(F.col(by) if by else F.lit(0)).alias("by")
-    points = stored(points.where("x IS NOT NULL").select("id", F.col("x").cast("array<double>").alias("x"), group), "points")
+    blocks, at = in_blocks(points, radius, pivots, mirrored, block, by)
     kind = points.schema["id"].dataType.simpleString()
-    at = _pivots(points, pivots, mirrored)
-    # A little wider than the radius, so that rounding can't part two cells.
-    cells = [F.floor(_distance(F.col("x"), F.array(*map(F.lit, p)), mirrored) / (radius * (1 + 1e-9))) for p in at]
-    cells = cells or [F.lit(0).cast("long")]
-    placed = stored(points.select("by", "id", "x", F.array(*cells).alias("cell")), "cells")
-    sizes = placed.groupBy("by", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    near = F.array(F.array().cast("array<bigint>"))
-    for i in range(len(cells)):
-        steps = F.array(*[F.get("cell", F.lit(i)) + F.lit(k) for k in (-1, 0, 1)])
-        near = _longer(near, steps)
-    # A cell looks at neighbours that are not before it, so two cells meet once.
-    pairs = sizes.select("by", "cell", "blocks", F.explode(F.filter(near, lambda c: c >= F.col("cell"))).alias("other"))
-    pairs = pairs.join(sizes.select("by", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks")), ["by", "other"])
-    dealt = placed.join(sizes, ["by", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    left = dealt.select("by", "cell", "block", "id", "x").join(pairs, ["by", "cell"]).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    left = left.where("cell <> other OR block <= meets").select("by", "cell", "other", "block", "meets", F.lit(True).alias("first"), "id", "x")
-    right = dealt.select("by", F.col("cell").alias("other"), F.col("block").alias("meets"), "id", "x").join(pairs, ["by", "other"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.where("cell <> other OR block < meets").select("by", "cell", "other", "block", "meets", F.lit(False).alias("first"), "id", "x")
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        first = table.column("first").to_numpy()
-        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        ids = table.column("id").combine_chunks()
-        a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
-        _, cell, other, of, meets = (k.as_py() for k in key)
-        same = cell == other and of == meets
-        if same:  # a block with itself
-            b = a
-        product = x[a] @ x[b].T
-        square = (x[a] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None]
-        low = square - 2 * (np.abs(product) if mirrored else product)
-        i, j = np.nonzero(low <= radius * radius + 1e-9 * (1 + square))
-        if same:
-            i, j = i[i < j], j[i < j]
-        i, j = a[i], b[j]
-        d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
-        if mirrored:
-            d = np.minimum(d, np.sqrt(((x[i] + x[j]) ** 2).sum(1)))
-        keep = d <= radius
-        return pa.table({"a": ids.take(pa.array(i[keep])), "b": ids.take(pa.array(j[keep])), "distance": d[keep]})
 
-    keys = ["by", "cell", "other", "block", "meets"]
-    met = left.unionByName(right).groupBy(*keys).applyInArrow(compare, f"a {kind}, b {kind}, distance double")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in sides(batch):
+                found = finder(a.x, b.x, radius, mirrored)
+                for rows, cols in tiles(a, b, radius, at, mirrored):
+                    i, j, _ = found(rows, cols)
+                    if a is b and rows[0] == cols[0]:
+                        i, j = i[i < j], j[i < j]
+                    d = between(a.x, b.x, i, j, mirrored)
+                    i, j, d = i[d <= radius], j[d <= radius], d[d <= radius]
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(i)), b.ids.take(pa.array(j)), pa.array(d)], ["a", "b", "distance"])
+
+    met = block_pairs(blocks, radius).mapInArrow(compare, f"a {kind}, b {kind}, distance double")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 

@@ -29,6 +29,42 @@ def test_radius_join_against_all_pairs(spark, block, pivots, mirrored):
         neighbours.radius_join(points, 0.0)
 
 
+def shuffled(spark, run):
+    """Bytes written to shuffles while ``run`` runs."""
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    run()
+    return written() - before
+
+
+def test_radius_join_moves_a_vector_once(spark):
+    """With 20 blocks a vector went to 20 tasks, and each time to disk."""
+    x = np.random.default_rng(5).normal(size=(2000, 16))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    found = []
+    assert shuffled(spark, lambda: found.append(neighbours.radius_join(points, 2.0, block=100).count())) < 4 * x.nbytes
+    square = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
+    assert found == [int((square[np.triu_indices(2000, 1)] <= 4).sum())]
+
+
+def test_radius_join_at_the_edge_of_rounding(spark):
+    """Points far from the origin, where single precision can't tell distances, and exact ties."""
+    x = [[1e6 + i * 0.25, -1e6] for i in range(40)] + [[1e6, -1e6], [float("nan"), 0.0], [float("inf"), 0.0]]
+    points = spark.createDataFrame([(str(i), v) for i, v in enumerate(x)], "id string, x array<double>")
+    want = sorted(tuple(sorted((str(i), str(j)))) for i, j in combinations(range(41), 2) if abs(x[i][0] - x[j][0]) <= 0.5)
+    assert sorted((r["a"], r["b"]) for r in neighbours.radius_join(points, 0.5, block=16).collect()) == want
+
+
+def test_radius_join_within_groups(spark):
+    rng = np.random.default_rng(6)
+    x, of = rng.normal(size=(120, 2)), [None if k % 7 == 0 else "abc"[k % 3] for k in range(120)]
+    points = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, of))], "id long, x array<double>, g string")
+    want = sorted((i, j) for i, j in combinations(range(120), 2) if of[i] == of[j] and np.linalg.norm(x[i] - x[j]) <= 0.4)
+    assert sorted((r["a"], r["b"]) for r in neighbours.radius_join(points, 0.4, block=9, by="g").collect()) == want
+
+
 def test_dbscan_against_a_loop(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(size=(25, 2)) * 0.2, rng.normal(size=(25, 2)) * 0.2 + 3, rng.uniform(-4, 6, size=(20, 2))])
