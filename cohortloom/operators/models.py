@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .density import dbscan  # noqa: F401
 from .graph import components
-from .neighbours import radius_join
 from .reduce import balanced_split
 from .similarity import nearest_node
 
@@ -82,24 +82,6 @@ def kmeans_merged(vectors: DataFrame, k: int, least: int) -> DataFrame:
     return found.join(F.broadcast(sizes), "cluster").select("vec_id", F.when(F.col("size") < least, -1).otherwise(F.col("cluster")).alias("cluster"))
 
 
-def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
-    """(id, cluster) for ``points`` (id, x): a point with ``least`` others within the radius,
-    itself included, is a core; cores that are neighbours share a cluster, named by its
-    smallest core; others join the smallest cluster that has a core near them, or are noise
-    (null)."""
-    near = stored(radius_join(points, radius).select("a", "b"), "near")
-    pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = points.select(F.col("id").alias("core")).join(pairs.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")), "core", "left")
-    cores = stored(counts.where(F.coalesce("n", F.lit(0)) + 1 >= least).select("core"), "cores")
-    between = near.join(cores.withColumnRenamed("core", "a"), "a", "left_semi").join(cores.withColumnRenamed("core", "b"), "b", "left_semi")
-    linked = components(between.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    own = cores.join(linked, F.col("core") == F.col("kmer"), "left").select("core", F.coalesce("component", "core").alias("cluster"))
-    border = pairs.join(own, F.col("b") == F.col("core")).groupBy("a").agg(F.min("cluster").alias("border"))
-    return points.join(own, points["id"] == own["core"], "left").join(border, points["id"] == border["a"], "left").select(
-        "id", F.coalesce("cluster", "border").alias("cluster")
-    )
-
-
 def train_som(vectors: DataFrame, width: int, height: int, rounds: int = 10, column: str = "embedding") -> DataFrame:
     """(node, weights): a batch self-organising map, its sums taken by Spark each round.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import dropped, stored
 from .running import in_ranges, running
 
-#: Vectors of a block at most; a task compares two blocks at once, tile by tile.
+#: Vectors of a block; a task compares two blocks at once, tile by tile.
 BLOCK, TILE = 8192, 1024
 #: Partitions of blocks at most; the tasks are as many as pairs of them.
 SPLITS = 128
@@ -106,7 +106,7 @@ def _pivots(points: DataFrame, count: int, mirrored: bool) -> list[np.ndarray]:
 
 
 def in_blocks(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool = False, block: int = BLOCK, by: str | None = None) -> tuple[DataFrame, list[np.ndarray]]:
-    """``points`` (id, x array<double>) in stored blocks of at most ``block`` vectors, and the pivots.
+    """``points`` (id, x array<double>) in stored blocks of about ``block`` vectors or fewer, and the pivots.
 
     Blocks are stretches in order of ``by`` and of the cells of pivot distances, a radius
     wide; within a cell the order is by hash, so any cell falls apart. A block (block, dim,
@@ -134,7 +134,7 @@ def in_blocks(points: DataFrame, radius: float, pivots: int = 2, mirrored: bool
 
         def blocks() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            ends = np.linspace(0, table.num_rows, -(-table.num_rows // size) + 1).astype(int)
+            ends = np.linspace(0, table.num_rows, max(1, round(table.num_rows / size)) + 1).astype(int)
             for a, b in zip(ends[:-1], ends[1:]):
                 part = table.slice(a, b - a).combine_chunks()
                 x = _vectors(part)
@@ -193,6 +193,9 @@ class Side:
         ends = self.value("ends").as_py()
         self.runs = dict(zip(self.value("names").as_py(), zip([0, *ends[:-1]], ends)))
 
+    def has(self, name: str) -> bool:
+        return self._column.type.get_field_index(name) >= 0
+
     def value(self, name: str) -> pa.Scalar:
         return self._column.field(name)[self._row]
 

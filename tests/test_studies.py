@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import models, neighbours, reduce, scoring, trees
+from cohortloom.operators import density
 
 
 @pytest.mark.parametrize(("block", "pivots", "mirrored"), [(512, 2, False), (3, 2, False), (4, 1, True), (5, 3, True)])
@@ -84,6 +85,42 @@ def test_dbscan_against_a_loop(spark):
     assert None in want.values() and len(set(want.values())) > 2
 
 
+def _clusters(x, radius, least):
+    """DBSCAN by a loop: cluster by place, None for noise."""
+    near = [set(np.nonzero(np.linalg.norm(x - v, axis=1) <= radius)[0]) - {i} for i, v in enumerate(x)]
+    cores, cluster = {i for i in range(len(x)) if len(near[i]) + 1 >= least}, {}
+    for c in sorted(cores):
+        todo = [c]
+        while todo:
+            i = todo.pop()
+            if i not in cluster:
+                cluster[i] = c
+                todo += [j for j in near[i] if j in cores]
+    return {i: cluster.get(i, min((cluster[j] for j in near[i] if j in cores), default=None)) for i in range(len(x))}
+
+
+def test_dbscan_writes_no_pairs(spark):
+    """A cluster in which all points are near each other, which gave two million pairs to disk."""
+    x = np.random.default_rng(7).normal(size=(2000, 2)) * 0.01
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    found = []
+    assert shuffled(spark, lambda: found.extend(models.dbscan(points, 1.0, 4).collect())) < 2_000_000
+    assert {r["cluster"] for r in found} == {0} and len(found) == 2000
+
+
+@pytest.mark.parametrize(("least", "radius"), [(1, 0.2), (3, 0.25), (6, 0.4), (300, 1.5)])
+def test_dbscan_across_blocks(spark, monkeypatch, least, radius):
+    """Small blocks, so that counts, links and borders go from one to another; a chain, copies,
+    a cluster, noise, and vectors that are null."""
+    rng = np.random.default_rng(least)
+    chain = np.stack([np.arange(60) * 0.19, np.full(60, 9.0)], 1)
+    x = np.vstack([rng.normal(size=(40, 2)), chain, np.ones((12, 2)) * 4, rng.uniform(-8, 8, size=(60, 2))])[rng.permutation(172)]
+    want = _clusters(x, radius, least) | {500: 500 if least == 1 else None}
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "id long, x array<double>")
+    monkeypatch.setattr(density, "in_blocks", lambda p, r: neighbours.in_blocks(p, r, block=24))
+    assert {r["id"]: r["cluster"] for r in density.dbscan(points, radius, least).collect()} == want
+
+
 def test_reduction_against_the_target(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 20))
