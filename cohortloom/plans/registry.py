@@ -171,5 +171,5 @@ def alignment_signatures(s: SparkSession, d: str) -> DataFrame:
         "\t", text(F.col("l_orderkey") * 10 + F.col("l_linenumber")), F.lit("0"), "l_linestatus", text(F.col("l_partkey") + 1), F.lit("60"), cigar,
         F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTTGCATCAGGACTTACGATCGATTACA"), F.lit("*"), md,
     )
-    found = files.sam_lines(li.select(line.alias("value"))).select(F.col("name").cast("long").alias("id"), "chrom", F.explode("signatures").alias("x"))
-    return found.select("id", "chrom", "x.*")
+    found = files.sam_signatures(li.select(line.alias("value")))
+    return found.withColumnRenamed("name", "id").withColumn("id", F.col("id").cast("long"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from . import walk
+
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, grp, file): name, group and ``;``-separated files; ``#`` starts a comment."""
@@ -195,22 +197,6 @@ def _signature(kind: str | Column, t_start: Column, t_end: Column, q_start: Colu
     return F.struct(F.lit(kind).alias("kind"), *[c.cast("long").alias(n) for n, c in named], info.alias("info"))
 
 
-def md_events(md: Column) -> Column:
-    """The events of an MD string: (at, info), ``at`` counting letters that are matched,
-    changed or deleted before it; deletions start with ^."""
-    gaps = F.transform(F.regexp_extract_all(md, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    names = F.regexp_extract_all(md, F.lit(r"(\D+)"), F.lit(1))
-    wide = lambda e: F.length(F.ltrim(e, F.lit("^"))).cast("long")
-    none = F.array().cast("array<struct<at: bigint, info: string>>")
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + wide(x["name"])).alias("at"),
-        F.concat(s["found"], F.array(F.struct((s["at"] + x["gap"]).alias("at"), x["name"].alias("info")))).alias("found"),
-    )
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), names.alias("name")), F.lit(1), F.size(names))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step)
-    return F.coalesce(walked["found"], none)
-
-
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Mapped alignments of SAM files, see ``sam_lines``."""
     return sam_lines(spark.read.text(path))
@@ -220,55 +206,29 @@ def sam_lines(lines: DataFrame) -> DataFrame:
     """Mapped alignments of lines (value) with their target and query blocks, half-open from
     0, and signatures: changed letters, insertions, deletions and clipped ends.
 
-    CIGAR and MD are walked as one: a fold over the CIGAR operations keeps the place in the
-    target, in the query and among the letters that MD counts, which skip introns.
-    Without MD there are no changed letters, and deletions have no letters.
+    CIGAR and MD are walked as one, see ``walk.walked``. Without MD there are no changed
+    letters, and deletions have no letters.
     """
+    block = "array<struct<start:bigint,end:bigint>>"
+    schema = f"name string, chrom string, strand string, match bigint, t_blocks {block}, q_blocks {block}, seq string, cigar string, signatures {SIGNATURE}"
+    return _sam_rows(lines).mapInArrow(walk.nested, schema)
+
+
+def sam_signatures(lines: DataFrame) -> DataFrame:
+    """(name, chrom, kind, t_start, t_end, q_start, q_end, info): a row for each signature of
+    ``sam_lines``."""
+    rows = _sam_rows(lines).select("name", "chrom", "pos", "cigar", "seq", "md")
+    return rows.mapInArrow(walk.flat, "name string, chrom string, kind string, t_start bigint, t_end bigint, q_start bigint, q_end bigint, info string")
+
+
+def _sam_rows(lines: DataFrame) -> DataFrame:
     cells = F.split("value", "\t")
-    rows = lines.where("NOT startswith(value, '@')").select(
+    strand = F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+")
+    return lines.where("NOT startswith(value, '@')").select(
         cells[0].alias("name"), cells[1].cast("long").alias("flag"), cells[2].alias("chrom"),
         (cells[3].cast("long") - 1).alias("pos"), cells[4].cast("long").alias("match"), cells[5].alias("cigar"), cells[9].alias("seq"),
-        F.coalesce(F.nullif(F.regexp_extract("value", "\tMD:Z:([^\t]*)", 1), F.lit("")), F.lit("0")).alias("md"),
-    ).where(F.col("flag").bitwiseAND(4) == 0).withColumn("md", md_events(F.col("md")))
-    lengths = F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)), lambda x: x.cast("long"))
-    kinds = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    ops = F.arrays_zip(lengths.alias("n"), kinds.alias("op"))
-    blocks = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(s: Column, x: Column) -> Column:
-        n, op = x["n"], x["op"]
-        matched = op.isin("M", "=", "X")
-        block = lambda at: F.array(F.struct(at.alias("start"), (at + n).alias("end")))
-        letters = F.substr("seq", (s["q"] + 1).cast("int"), n.cast("int"))
-
-        def changed(e: Column) -> Column:
-            t, q, wide = s["t"] + e["at"] - s["md"], s["q"] + e["at"] - s["md"], F.length(e["info"])
-            return _signature("mutation", t, t + wide, q, q + wide, F.concat(e["info"], F.lit(">"), F.substr("seq", (q + 1).cast("int"), wide)))
-
-        here = F.filter("md", lambda e: (e["at"] >= s["md"]) & (e["at"] < s["md"] + n) & ~F.startswith(e["info"], F.lit("^")))
-        lost = F.filter("md", lambda e: (e["at"] == s["md"]) & F.startswith(e["info"], F.lit("^")))
-        one = (
-            F.when(matched, F.transform(here, changed))
-            .when(op == "I", F.array(_signature("insertion", s["t"], s["t"] + 1, s["q"], s["q"] + n, letters)))
-            .when(op == "D", F.array(_signature("deletion", s["t"], s["t"] + n, s["q"], s["q"] + 1, F.coalesce(F.get(lost, F.lit(0))["info"], F.lit("")))))
-            .when(op == "S", F.array(_signature("clipping", s["t"], s["t"] + 1, s["q"], s["q"] + n, letters)))
-            .otherwise(F.array().cast(SIGNATURE))
-        )
-        ahead = lambda at, on: F.when(on, at + n).otherwise(at)
-        return F.struct(
-            ahead(s["t"], op.isin("M", "=", "X", "D", "N")).alias("t"), ahead(s["q"], op.isin("M", "=", "X", "I", "S")).alias("q"),
-            ahead(s["md"], op.isin("M", "=", "X", "D")).alias("md"),
-            F.when(matched, F.concat(s["t_blocks"], block(s["t"]))).otherwise(s["t_blocks"]).alias("t_blocks"),
-            F.when(matched, F.concat(s["q_blocks"], block(s["q"]))).otherwise(s["q_blocks"]).alias("q_blocks"),
-            F.concat(s["found"], one.cast(SIGNATURE)).alias("found"),
-        )
-
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.col("pos").alias("t"), zero.alias("q"), zero.alias("md"), blocks.alias("t_blocks"), blocks.alias("q_blocks"), F.array().cast(SIGNATURE).alias("found"))
-    walked = F.aggregate(ops, start, step)
-    strand = F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+")
-    done = rows.withColumn("w", walked)
-    return done.select("name", "chrom", strand.alias("strand"), "match", "w.t_blocks", "w.q_blocks", "seq", "cigar", F.col("w.found").alias("signatures"))
+        F.regexp_extract("value", "\tMD:Z:([^\t]*)", 1).alias("md"),
+    ).where(F.col("flag").bitwiseAND(4) == 0).select("name", "chrom", strand.alias("strand"), "match", "pos", "seq", "cigar", "md")
 
 
 def pslx(spark: SparkSession, path: str) -> DataFrame:

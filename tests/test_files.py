@@ -3,6 +3,7 @@
 import gzip
 import json
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -148,6 +149,40 @@ def test_cigar_and_md_walked_as_one(spark):
     assert ([tuple(b) for b in last["t_blocks"]], [tuple(b) for b in last["q_blocks"]]) == ([(4, 8), (10, 13)], [(0, 4), (4, 7)])
 
 
+def test_long_alignments_walked_once(spark):
+    """Some thousand operations and changed letters, which took time with the square of their number."""
+    rng, lines, want = np.random.default_rng(8), [], []
+    for i in range(30):
+        n = int(rng.integers(2000, 2500))
+        cigar = "".join(f"{k}M1{op}" for k, op in zip(rng.integers(2, 9, n), rng.choice(list("IN"), n))) + "5M"
+        letters = sum(int(x) for x, op in re.findall(r"(\d+)(.)", cigar) if op in "MI")
+        seq, matched = "".join(rng.choice(list("ACGT"), letters)), sum(int(x) for x in re.findall(r"(\d+)M", cigar))
+        md = "2A" * (matched // 3) + str(matched % 3)
+        lines.append((f"r{i}\t0\tc1\t{100 + i}\t60\t{cigar}\t*\t0\t0\t{seq}\t*\tMD:Z:{md}",))
+        want += [(f"r{i}", "c1", *x) for x in brute_sam(99 + i, cigar, md, seq)]
+    frame = spark.createDataFrame(lines, "value string").repartition(1)
+    files.sam_lines(frame.limit(1)).count()
+    began = time.perf_counter()
+    got = files.sam_lines(frame).select("name", "chrom", F.explode("signatures").alias("x")).select("name", "chrom", "x.*").collect()
+    assert time.perf_counter() - began < 20
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_signatures_row_by_row(spark):
+    """Letters beyond ASCII, a sequence that is not there, no MD, odd MD; the same as in the nested form."""
+    cells = [("3S5M1I2M", "ACGTÄßGTACG", "\tMD:Z:2T4"), ("4M2D3M", "ACGTACG", ""), ("4M2D3M", "ACGTACG", "\tMD:Z:4^GG1C1"), ("2I4M", "*", "\tMD:Z:0A3"),
+             ("*", "*", "\tMD:Z:7"), ("3M1P2M2H", "ACGTA", "\tMD:Z:0C0G3"), ("3M2D2M", "ACGTA", "\tMD:Z:3^AC0T1"), ("5=1X3M", "ACGTACGTA", "\tMD:Z:5G3")]
+    lines = [(f"s{i}\t{16 * (i % 2)}\tc{i % 3}\t{i}\t60\t{c}\t*\t0\t0\t{seq}\t*{md}",) for i, (c, seq, md) in enumerate(cells)] + [("s99\t4\t*\t0\t0\t*\t*\t0\t0\tACG\t*",)]
+    frame = spark.createDataFrame(lines, "value string")
+    nested = files.sam_lines(frame).select("name", "chrom", F.explode("signatures").alias("x")).select("name", "chrom", "x.*").collect()
+    got = sorted(map(tuple, files.sam_signatures(frame).collect()))
+    assert got == sorted(map(tuple, nested))
+    assert ("s0", "c0", "insertion", 4, 5, 8, 9, "A") in got and ("s0", "c0", "mutation", 1, 2, 5, 6, "T>ß") in got
+    assert ("s2", "c2", "deletion", 5, 7, 4, 5, "^GG") in got and ("s3", "c0", "insertion", 2, 3, 0, 2, "*") in got and ("s3", "c0", "mutation", 2, 3, 2, 3, "A>") in got
+    assert ("s6", "c0", "deletion", 8, 10, 3, 4, "^AC") in got and ("s6", "c0", "mutation", 10, 11, 3, 4, "T>T") in got
+    assert files.sam_lines(frame).count() == 8
+
+
 def test_pslx_runs_and_gaps(spark):
     psl = "\t".join(["18", *["0"] * 7, "-", "seq_4", "20", "0", "20", "c2", "900", "100", "150", "4", "5,5,5,3,", "0,5,10,17,", "100,108,140,145,", "ACGTA,ccccc,GGGGG,AAA,", "ATTTA,CCCCC,GGTGT,AAA,"])
     row = files.pslx_lines(spark.createDataFrame([("match\tmis",), (psl,)], "value string")).first()
