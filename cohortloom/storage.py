@@ -19,11 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back."""
+#: Whether a run's shuffle files go when it ends, in place of when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` written as Parquet and read back; with ``tidy`` the shuffle files of that are
+    deleted at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(TIDY, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
